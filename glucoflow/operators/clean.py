@@ -212,6 +212,7 @@ def insulin(
     bolus_limit: float = G.DEFAULT_BOLUS_LIMIT,
     max_dose: float = G.DEFAULT_MAX_DOSE,
     has_primary: bool = True,
+    use_metadata: bool = True,
 ) -> Processed:
     """Insulin pipeline: positive doses, class by size, then metadata overrides.
 
@@ -236,6 +237,9 @@ def insulin(
             G.is_basal(F.col("value"), bolus_limit, max_dose).alias("is_basal"),
         )
     )
+    if not use_metadata:
+        out = doses.select("series_id", "ts", "dose", "is_bolus", "is_basal", F.lit("").alias("type"))
+        return Processed("INSULIN", out, {"dose": G.UNITS}, [], ["dose"])
     meta = (
         _of_type(events, "INSULIN_META")
         .select("series_id", "ts", "_seq", classify_insulin_name(insulin_name_from_json(F.col("text"))).alias("mtype"))

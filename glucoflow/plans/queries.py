@@ -17,7 +17,7 @@ from glucoflow.functions.timeslots import micros, slot_of, slot_to_ts
 from glucoflow.operators import align as A
 from glucoflow.operators import clean as C
 from glucoflow.plans import devices as D
-from glucoflow.plans.sqlparts import DEVICE_CTE, cgm_fill_ctes, clip_sql, r6_sql, slot_sql, ts_sql
+from glucoflow.plans.sqlparts import DEVICE_CTE, TYPE_CTES, align_select, cgm_fill_ctes, clip_sql, r6_sql, slot_sql, ts_sql
 from glucoflow.session import ensure_session_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,310 @@ def cgm_gap_fill(spark, sf_dir):
     p = C.cgm(D.sensor_events(_events(spark, sf_dir)))
     f = p.frame
     return f.select("series_id", "ts", r6("cgm_primary").alias("cgm_primary"), r6("cgm_primary_mmol").alias("cgm_primary_mmol"), "missing")
+
+
+def _round_all(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    """Apply ``r6`` to every double column (final projection only)."""
+    out = []
+    for f in df.schema.fields:
+        if f.dataType.typeName() == "double" and f.name not in skip:
+            out.append(r6(f.name).alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+def _user_cgm(spark, sf_dir, **kw):
+    return C.cgm(_devices(spark, sf_dir), **kw)
+
+
+_USER = f"WITH {DEVICE_CTE},"
+
+
+@query(
+    "slot_round_half_even",
+    f"""SELECT event_id,
+  {ts_sql(slot_sql('epoch_us(ts)'))} AS slot_ts,
+  {ts_sql(slot_sql('epoch_us(ts) - (epoch_us(ts) % 150000000)'))} AS tie_slot_ts
+FROM events""",
+)
+def slot_round_half_even(spark, sf_dir):
+    """Nearest 5-minute slot, exact halves to the even slot.  Every event
+    time also yields an exact 2.5-minute multiple, half of them true ties."""
+    step = 300_000_000
+    us = micros("ts")
+    tie = us - F.pmod(us, F.lit(150_000_000))
+    from glucoflow.functions.timeslots import round_half_even
+
+    return _events(spark, sf_dir).select(
+        "event_id",
+        slot_to_ts(round_half_even(us, step), step).alias("slot_ts"),
+        slot_to_ts(round_half_even(tie, step), step).alias("tie_slot_ts"),
+    )
+
+
+@query(
+    "slot_mean",
+    f"""{_USER}
+b AS (SELECT series_id, {slot_sql('epoch_us(ts)')} AS slot, v FROM cgm_raw)
+SELECT series_id, {ts_sql('slot')} AS ts, {r6_sql('avg(v)')} AS cgm_mean, count(*) AS readings
+FROM b GROUP BY series_id, slot""",
+)
+def slot_mean(spark, sf_dir):
+    """T9 + A1: CGM readings per person averaged per 5-minute slot."""
+    obs, _ = C.cgm_slots(_devices(spark, sf_dir), 300_000_000)
+    ev = _devices(spark, sf_dir).where(F.col("data_type") == "CGM")
+    counts = ev.groupBy("series_id", slot_of("ts", 300_000_000).alias("slot")).agg(
+        F.avg("value").alias("cgm_mean"), F.count(F.lit(1)).alias("readings")
+    )
+    return counts.select("series_id", slot_to_ts("slot", 300_000_000).alias("ts"), r6("cgm_mean").alias("cgm_mean"), "readings")
+
+
+@query(
+    "grid_densify",
+    f"""{_USER}
+{cgm_fill_ctes('cgm_raw', limit=0)}
+SELECT series_id, {ts_sql('slot')} AS ts, {r6_sql('cgm_primary')} AS cgm_primary, NOT missing AS observed FROM cgm_out""",
+)
+def grid_densify(spark, sf_dir):
+    """W1 + J2: every 5-minute slot of each person's CGM span, no filling."""
+    p = _user_cgm(spark, sf_dir, interpolation_limit=0)
+    return p.frame.select("series_id", "ts", r6("cgm_primary").alias("cgm_primary"), (~F.col("missing")).alias("observed"))
+
+
+@query(
+    "gap_runs",
+    f"""{_USER}
+b AS (SELECT DISTINCT series_id, {slot_sql('epoch_us(ts)')} AS slot FROM cgm_raw),
+n AS (SELECT series_id, slot, lead(slot) OVER (PARTITION BY series_id ORDER BY slot) AS nb FROM b)
+SELECT series_id, {ts_sql('slot + 1')} AS gap_start, {ts_sql('nb - 1')} AS gap_end, nb - slot - 1 AS gap_slots
+FROM n WHERE nb IS NOT NULL AND nb - slot > 1""",
+)
+def gap_runs(spark, sf_dir):
+    """W2 + W3: every run of empty slots between two CGM readings of a person."""
+    from glucoflow.operators.fill import next_observation
+
+    obs, _ = C.cgm_slots(_devices(spark, sf_dir), 300_000_000)
+    nxt = next_observation(obs.where(F.col("column_name") == "cgm_primary"), ["series_id", "column_name"])
+    step = 300_000_000
+    return nxt.where(F.col("next_slot") - F.col("slot") > 1).select(
+        "series_id",
+        slot_to_ts(F.col("slot") + 1, step).alias("gap_start"),
+        slot_to_ts(F.col("next_slot") - 1, step).alias("gap_end"),
+        (F.col("next_slot") - F.col("slot") - 1).alias("gap_slots"),
+    )
+
+
+@query(
+    "cgm_person_fill",
+    f"""{_USER}
+{cgm_fill_ctes('cgm_raw')}
+SELECT series_id, {ts_sql('slot')} AS ts, {r6_sql('cgm_primary')} AS cgm_primary,
+       {r6_sql('cgm_primary * 0.0555')} AS cgm_primary_mmol, missing FROM cgm_out""",
+)
+def cgm_person_fill(spark, sf_dir):
+    """M3 per person: the full CGM pipeline keyed by user."""
+    return _round_all(_user_cgm(spark, sf_dir).frame)
+
+
+@query(
+    "cgm_completeness",
+    f"""{_USER}
+{cgm_fill_ctes('cgm_raw')}
+SELECT series_id, count(*) AS total_readings, count_if(missing) AS missing_primary,
+  count_if(cgm_primary IS NULL) AS missing_after_fill,
+  round(100.0 * count_if(NOT missing) / count(*), 2) AS initial_completeness_pct,
+  round(100.0 * count(cgm_primary) / count(*), 2) AS completeness_after_fill_pct
+FROM cgm_out GROUP BY series_id""",
+)
+def cgm_completeness(spark, sf_dir):
+    """Per person grid size, missing before/after fill and percentages."""
+    return C.cgm_completeness(_user_cgm(spark, sf_dir).frame)
+
+
+@query(
+    "cgm_multi_column",
+    f"""{_USER}
+two AS (
+  SELECT series_id, ts, 'cgm_primary' AS col, 40.0 + value * 3 AS v FROM ev WHERE event_type = 'view'
+  UNION ALL SELECT series_id, ts, 'cgm_2', (value / 5) * 18.0182 FROM ev WHERE event_type = 'click'
+),
+b AS (SELECT series_id, col, {slot_sql('epoch_us(ts)')} AS slot, v FROM two),
+sp AS (SELECT series_id, min(slot) lo, max(slot) hi FROM b GROUP BY 1),
+o AS (SELECT series_id, col, slot, avg(v) v FROM b GROUP BY 1, 2, 3),
+g AS (SELECT s.series_id, c.col, unnest(range(lo, hi + 1)) AS slot FROM sp s CROSS JOIN (VALUES ('cgm_primary'), ('cgm_2')) c(col)),
+f AS (SELECT g.series_id, g.col, g.slot, o.v FROM g LEFT JOIN o USING (series_id, col, slot)),
+w AS (
+  SELECT series_id, col, slot, v,
+    last_value(CASE WHEN v IS NOT NULL THEN slot END IGNORE NULLS) OVER (PARTITION BY series_id, col ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pb,
+    last_value(v IGNORE NULLS) OVER (PARTITION BY series_id, col ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
+    first_value(CASE WHEN v IS NOT NULL THEN slot END IGNORE NULLS) OVER (PARTITION BY series_id, col ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nb,
+    first_value(v IGNORE NULLS) OVER (PARTITION BY series_id, col ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv
+  FROM f
+),
+z AS (SELECT *, sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY series_id, col, pb) AS gap FROM w),
+fl AS (
+  SELECT series_id, col, slot, v IS NULL AS miss,
+    {clip_sql("CASE WHEN v IS NOT NULL THEN v WHEN pb IS NULL OR gap > 4 THEN NULL WHEN nb IS NULL THEN pv ELSE pv + (nv - pv) / (nb - pb) * (slot - pb) END")} AS iv
+  FROM z
+)
+SELECT series_id, {ts_sql('slot')} AS ts,
+  {r6_sql("max(CASE WHEN col = 'cgm_primary' THEN iv END)")} AS cgm_primary,
+  {r6_sql("max(CASE WHEN col = 'cgm_2' THEN iv END)")} AS cgm_2,
+  {r6_sql("max(CASE WHEN col = 'cgm_primary' THEN iv END) * 0.0555")} AS cgm_primary_mmol,
+  {r6_sql("max(CASE WHEN col = 'cgm_2' THEN iv END) * 0.0555")} AS cgm_2_mmol,
+  bool_or(CASE WHEN col = 'cgm_primary' THEN miss END) AS missing
+FROM fl GROUP BY series_id, slot""",
+)
+def cgm_multi_column(spark, sf_dir):
+    """J1 + O2 + P11: two CGM columns (mg/dL primary, mmol/L secondary) on one
+    grid; each column filled on its own, ``missing`` from the primary."""
+    ev = D.two_column_cgm(_events(spark, sf_dir))
+    p = C.cgm(ev, columns=[("cgm_primary", G.MGDL), ("cgm_2", G.MMOL)])
+    return _round_all(p.frame)
+
+
+# =================================================================== BGM
+@query(
+    "bgm_clean",
+    f"""{_USER}{TYPE_CTES}
+SELECT series_id, ts, {r6_sql('bgm_primary')} AS bgm_primary, bgm_primary_clipped, {r6_sql('bgm_primary_mmol')} AS bgm_primary_mmol FROM bgm_out""",
+)
+def bgm_clean(spark, sf_dir):
+    """M4: meter readings > 0, mmol/L -> mg/dL, clipped flag, clip, last per time, mmol."""
+    return _round_all(C.bgm(_devices(spark, sf_dir), columns=[("bgm_primary", G.MMOL)]).frame)
+
+
+@query(
+    "bgm_stats",
+    f"""{_USER}
+v AS (SELECT series_id, ts, value, value * 18.0182 AS mg FROM bgm_raw),
+k AS (SELECT series_id, count(DISTINCT ts) AS readings, min(ts) AS a, max(ts) AS b FROM v WHERE value > 0 GROUP BY 1),
+c AS (SELECT series_id,
+        count_if(NOT coalesce(value > 0, false)) AS removed_invalid,
+        count_if(value > 0 AND mg < 39.64) AS clipped_below,
+        count_if(value > 0 AND mg > 360.36) AS clipped_above
+      FROM v GROUP BY 1)
+SELECT c.series_id, removed_invalid, clipped_below, clipped_above, clipped_below + clipped_above AS clipped_total,
+  coalesce(readings, 0) AS readings,
+  {r6_sql("readings / CASE WHEN epoch_us(b) - epoch_us(a) > 0 THEN (epoch_us(b) - epoch_us(a)) / 86400e6 END")} AS readings_per_day
+FROM c LEFT JOIN k USING (series_id)""",
+)
+def bgm_stats(spark, sf_dir):
+    """Removed, clipped below/above, readings, readings per day."""
+    return _round_all(C.bgm_stats(_devices(spark, sf_dir)))
+
+
+# =============================================================== insulin
+@query(
+    "insulin_classify",
+    f"""{_USER}
+i AS (SELECT series_id, ts, value AS dose FROM ins_raw WHERE value > 0)
+SELECT series_id, ts, {r6_sql('dose')} AS dose, dose <= 8.0 AS is_bolus, dose > 8.0 AND dose <= 15.0 AS is_basal, '' AS type FROM i""",
+)
+def insulin_classify(spark, sf_dir):
+    """P6 + P14: positive doses classed by size (bolus <= 8 U < basal <= 15 U)."""
+    return _round_all(C.insulin(_devices(spark, sf_dir), use_metadata=False).frame)
+
+
+@query(
+    "insulin_metadata",
+    f"""{_USER}{TYPE_CTES}
+SELECT series_id, ts, {r6_sql('dose')} AS dose, is_bolus, is_basal, type FROM ins_out""",
+)
+def insulin_metadata(spark, sf_dir):
+    """M5 + J5: size classes overridden by metadata at the same time."""
+    return _round_all(C.insulin(_devices(spark, sf_dir)).frame)
+
+
+@query(
+    "insulin_stats",
+    f"""{_USER}{TYPE_CTES}
+SELECT series_id, count(*) AS doses, count_if(is_bolus) AS bolus, count_if(is_basal) AS basal,
+  count_if(dose > 15.0) AS count_over_max, count_if(type <> '') AS meta_updates
+FROM ins_out GROUP BY series_id""",
+)
+def insulin_stats(spark, sf_dir):
+    """A16 + A18: dose class counts per person, over-maximum doses, metadata updates."""
+    return C.insulin_stats(C.insulin(_devices(spark, sf_dir)).frame)
+
+
+# ================================================================= carbs
+@query(
+    "carbs_clean",
+    f"""{_USER}{TYPE_CTES}
+SELECT series_id, ts, {r6_sql('carbs_primary')} AS carbs_primary FROM carb_out""",
+)
+def carbs_clean(spark, sf_dir):
+    """M6: entries below 1 g dropped, first entry per time kept."""
+    return _round_all(C.carbs(_devices(spark, sf_dir)).frame)
+
+
+@query(
+    "carbs_stats",
+    f"""{_USER}
+c AS (SELECT series_id, ts, CASE WHEN value >= 1.0 THEN value END AS v FROM carb_raw),
+t AS (SELECT series_id, count(DISTINCT ts) AS final_entries FROM c WHERE v IS NOT NULL GROUP BY 1),
+b AS (SELECT series_id, count(*) AS original_entries, count(v) AS kept_entries FROM c GROUP BY 1)
+SELECT series_id, original_entries, kept_entries,
+  round(100.0 * kept_entries / original_entries, 1) AS kept_pct,
+  kept_entries - coalesce(final_entries, 0) AS duplicates_removed, coalesce(final_entries, 0) AS final_entries
+FROM b LEFT JOIN t USING (series_id)""",
+)
+def carbs_stats(spark, sf_dir):
+    """Carb entries kept per person, duplicates removed, final count."""
+    return C.carbs_stats(_devices(spark, sf_dir))
+
+
+# ================================================================= notes
+@query(
+    "notes_clean",
+    f"""{_USER}{TYPE_CTES}
+SELECT series_id, ts, notes_primary FROM note_out""",
+)
+def notes_clean(spark, sf_dir):
+    """M7: notes stripped of surrounding whitespace; blank notes dropped."""
+    return C.notes(_devices(spark, sf_dir)).frame.drop("_seq")
+
+
+# ================================================================= align
+def _processed(spark, sf_dir, types=("CGM", "BGM", "INSULIN", "CARBS", "NOTES")):
+    ev = _devices(spark, sf_dir)
+    out = {}
+    if "CGM" in types:
+        out["CGM"] = C.cgm(ev)
+    if "BGM" in types:
+        out["BGM"] = C.bgm(ev, columns=[("bgm_primary", G.MMOL)])
+    if "INSULIN" in types:
+        out["INSULIN"] = C.insulin(ev)
+    if "CARBS" in types:
+        out["CARBS"] = C.carbs(ev)
+    if "NOTES" in types:
+        out["NOTES"] = C.notes(ev)
+    return out
+
+
+def _align_query(types):
+    ctes, select = align_select(types=types)
+
+    def run(spark, sf_dir):
+        res = A.align(_processed(spark, sf_dir, ("CGM", *types)))
+        return _round_all(res.frame)
+
+    sql = f"""{_USER}{TYPE_CTES},
+{cgm_fill_ctes('cgm_raw')},
+{ctes}
+{select}"""
+    return run, sql
+
+
+for _name, _types in [
+    ("align_all", ("BGM", "INSULIN", "CARBS", "NOTES")),
+    ("align_bgm", ("BGM",)),
+    ("align_insulin", ("INSULIN",)),
+    ("align_carbs", ("CARBS",)),
+    ("align_notes", ("NOTES",)),
+]:
+    _run, _sql = _align_query(_types)
+    _run.__doc__ = f"M8/M9 + J3/J4: {', '.join(_types)} aligned onto each person's CGM grid."
+    query(_name, _sql)(_run)
