@@ -381,3 +381,191 @@ for _name, _types in [
     _run, _sql = _align_query(_types)
     _run.__doc__ = f"M8/M9 + J3/J4: {', '.join(_types)} aligned onto each person's CGM grid."
     query(_name, _sql)(_run)
+
+
+# ============================================================== timeline
+def _timeline_sql(table: str, series: str, ts: str, seq: str, step: int) -> str:
+    return f"""WITH b AS (SELECT CAST({series} AS VARCHAR) AS series_id, epoch_us({ts}) AS us, {seq} AS s FROM {table}),
+d AS (SELECT series_id, lead(us) OVER (PARTITION BY series_id ORDER BY us) - us AS diff FROM b),
+o AS (SELECT series_id, us, lead(us) OVER (PARTITION BY series_id ORDER BY s) AS nus FROM b),
+m AS (SELECT series_id, diff, count(*) AS n FROM d WHERE diff IS NOT NULL GROUP BY 1, 2),
+mm AS (SELECT series_id, arg_min(diff, {{'a': -n, 'b': diff}}) AS modal_step_us FROM m GROUP BY 1),
+c AS (SELECT series_id, count(*) AS rows FROM b GROUP BY 1),
+v AS (SELECT series_id, count_if(nus < us) AS order_violations FROM o GROUP BY 1)
+SELECT c.series_id, rows, coalesce(order_violations, 0) AS order_violations, modal_step_us,
+  rows > 0 AND coalesce(order_violations, 0) = 0 AND coalesce(modal_step_us = {step}, false) AS ok
+FROM c LEFT JOIN v USING (series_id) LEFT JOIN mm USING (series_id)"""
+
+
+@query("timeline_check", _timeline_sql("events", "user_id", "ts", "event_id", 300_000_000))
+def timeline_check(spark, sf_dir):
+    """W7 + A8 + W8: per person event timeline - order violations in stored
+    (event id) order, modal step (smallest on a tie), and the 5-minute check."""
+    ev = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("series_id"), "ts", F.col("event_id").alias("_seq"))
+    return A.timeline_check(ev, "5min")
+
+
+@query("modal_interval", _timeline_sql("orders", "o_custkey", "o_orderdate", "o_orderkey", 86_400_000_000))
+def modal_interval(spark, sf_dir):
+    """A8 + W8 on a daily timeline: per customer, modal gap between order
+    dates and order violations in order-key order."""
+    o = D.read_table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("series_id"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("_seq")
+    )
+    return A.timeline_check(o, "1D")
+
+
+# ============================================================ resampling
+_DAY = 86_400_000_000
+
+_DAILY_SQL = f"""WITH li AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id, {slot_sql('epoch_us(l_shipdate)', _DAY)} AS slot, l_quantity FROM lineitem),
+sp AS (SELECT series_id, min(slot) AS lo, max(slot) AS hi FROM li GROUP BY 1),
+g AS (SELECT series_id, unnest(range(lo, hi + 1)) AS slot FROM sp),
+a AS (SELECT series_id, slot, sum(l_quantity) AS q, count(*) AS n FROM li GROUP BY 1, 2),
+daily AS (SELECT g.series_id, g.slot, coalesce(a.q, 0.0) AS quantity, coalesce(a.n, 0) AS lines
+          FROM g LEFT JOIN a ON g.series_id = a.series_id AND g.slot = a.slot)"""
+
+
+def _daily(spark, sf_dir) -> DataFrame:
+    from glucoflow.operators.resample import calendar_grid, resample_onto, slot_span
+
+    li = D.read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("series_id"), F.col("l_shipdate").alias("ts"), "l_quantity"
+    )
+    grid = calendar_grid(slot_span(li, ["series_id"], "ts", _DAY), ["series_id"], _DAY).drop("slot")
+    return resample_onto(
+        li,
+        ["series_id"],
+        "ts",
+        {"quantity": F.sum("l_quantity"), "lines": F.count(F.lit(1))},
+        grid,
+        "1D",
+        fill={"quantity": 0.0, "lines": 0},
+    )
+
+
+@query(
+    "resample_daily_sum",
+    f"""{_DAILY_SQL}
+SELECT series_id, {ts_sql('slot', _DAY)} AS ts, {r6_sql('quantity')} AS quantity, lines FROM daily""",
+)
+def resample_daily_sum(spark, sf_dir):
+    """A6 + W1 + J3 at a daily step: per supplier, shipped quantity summed per
+    day onto the supplier's full daily calendar, 0 for empty days."""
+    d = _daily(spark, sf_dir)
+    return d.select("series_id", "ts", r6("quantity").alias("quantity"), F.col("lines").cast("bigint").alias("lines"))
+
+
+@query(
+    "month_nonempty",
+    f"""{_DAILY_SQL}
+SELECT series_id, strftime({ts_sql('slot', _DAY)}, '%Y-%m') AS month, count(*) AS days,
+  count_if(quantity <> 0 OR lines <> 0) AS nonzero_days, bool_or(quantity <> 0 OR lines <> 0) AS exported
+FROM daily GROUP BY 1, 2""",
+)
+def month_nonempty(spark, sf_dir):
+    """A20 + P20: calendar months of each supplier's daily series; a month is
+    exported only if some cell is neither null nor zero."""
+    from glucoflow.sinks.export import month_activity
+
+    return month_activity(_daily(spark, sf_dir), ["quantity", "lines"])
+
+
+@query(
+    "month_stats",
+    f"""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS series_id, strftime(o_orderdate, '%Y-%m') AS month,
+                   o_totalprice / 20000.0 AS dose FROM orders)
+SELECT series_id, month, count(*) AS records, count_if(dose > 0) AS doses,
+  count_if(dose > 0 AND dose <= 8.0) AS bolus, count_if(dose > 8.0 AND dose <= 15.0) AS basal,
+  count_if(dose > 15.0) AS over_max, {r6_sql('sum(dose)')} AS total_dose
+FROM o GROUP BY 1, 2""",
+)
+def month_stats(spark, sf_dir):
+    """A14 + A20 + A21: per customer and calendar month, doses derived from
+    order totals (total / 20000 U) counted by class."""
+    from glucoflow.operators.resample import month_of
+
+    o = D.read_table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("series_id"),
+        month_of("o_orderdate").alias("month"),
+        (F.col("o_totalprice") / 20000.0).alias("dose"),
+    )
+    d = F.col("dose")
+    return o.groupBy("series_id", "month").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count_if(d > 0).alias("doses"),
+        F.count_if((d > 0) & G.is_bolus(d, G.DEFAULT_BOLUS_LIMIT)).alias("bolus"),
+        F.count_if(G.is_basal(d, G.DEFAULT_BOLUS_LIMIT, G.DEFAULT_MAX_DOSE)).alias("basal"),
+        F.count_if(d > G.DEFAULT_MAX_DOSE).alias("over_max"),
+        r6(F.sum(d)).alias("total_dose"),
+    )
+
+
+_ALIGNED_COLS = [
+    "cgm_primary",
+    "cgm_primary_mmol",
+    "missing_cgm",
+    "bgm_primary",
+    "bgm_primary_clipped",
+    "bgm_primary_mmol",
+    "basal_dose",
+    "bolus_dose",
+    "carbs_primary",
+    "notes_primary",
+]
+
+
+def _completeness_sql() -> str:
+    ctes, select = align_select()
+    per_col = "\nUNION ALL ".join(
+        f"SELECT series_id, '{c}' AS column_name, round(100.0 * count({c}) / count(*), 2) AS completeness_pct FROM al GROUP BY 1"
+        for c in _ALIGNED_COLS
+    )
+    return f"""{_USER}{TYPE_CTES},
+{cgm_fill_ctes('cgm_raw')},
+{ctes},
+al AS ({select})
+{per_col}"""
+
+
+@query("column_completeness", _completeness_sql())
+def column_completeness(spark, sf_dir):
+    """A10: per person, share of non-null cells of every aligned column."""
+    from glucoflow.operators.quality import column_completeness as cc
+
+    return cc(A.align(_processed(spark, sf_dir)).frame, _ALIGNED_COLS)
+
+
+# ============================================================ timestamps
+_FMT_SQL = """CASE user_id % 4
+    WHEN 0 THEN 'unix_seconds' WHEN 1 THEN 'unix_milliseconds' ELSE 'iso8601' END"""
+
+
+@query(
+    "ts_convert",
+    f"""SELECT event_id, CAST(user_id AS VARCHAR) AS series_id, {_FMT_SQL} AS ts_type,
+  make_timestamp(CASE user_id % 4
+    WHEN 0 THEN (epoch_us(ts) // 1000000) * 1000000
+    WHEN 1 THEN (epoch_us(ts) // 1000) * 1000
+    WHEN 2 THEN (epoch_us(ts) // 60000000) * 60000000
+    ELSE (epoch_us(ts) // 1000000) * 1000000 END) AS ts
+FROM events""",
+)
+def ts_convert(spark, sf_dir):
+    """Each person's times exported as text in one of four layouts
+    (epoch s, epoch ms, ``dd-MM-yyyy HH:mm``, ISO ``...Z``); the format is
+    detected per person from a 50-value sample and every value converted."""
+    from glucoflow.functions import timestamps as TS
+
+    ev = _events(spark, sf_dir)
+    us = micros("ts")
+    kind = F.pmod(F.col("user_id"), F.lit(4))
+    text = (
+        F.when(kind == 0, F.floor(us / 1e6).cast("string"))
+        .when(kind == 1, F.floor(us / 1e3).cast("string"))
+        .when(kind == 2, F.date_format("ts", "dd-MM-yyyy HH:mm"))
+        .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    )
+    raw = ev.select("event_id", F.col("user_id").cast("string").alias("series_id"), text.alias("ts_text"))
+    detected = TS.detect(raw, ["series_id"], "ts_text", "event_id")
+    return TS.convert(raw, detected, ["series_id"], "ts_text").select("event_id", "series_id", "ts_type", "ts")
