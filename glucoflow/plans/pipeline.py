@@ -1,0 +1,154 @@
+"""End-to-end: export files -> layout -> events -> cleaned types -> aligned -> sinks.
+
+``process`` routes the long event table to the five cleaners (M2): a type
+whose plan cannot be built (no primary column, bad parameters) is noted
+and skipped; data problems never abort the run, they become metrics.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glucoflow.functions import glucose as G
+from glucoflow.operators import align as A
+from glucoflow.operators import clean as C
+from glucoflow.sources import conform
+from glucoflow.sources.catalog import Catalog, Layout, default_catalog
+from glucoflow.sources.readers import layout_specs, read_tables, to_events
+
+# Processors per data type; register more with ``register_processor``
+PROCESSORS: dict[str, object] = {}
+
+
+def register_processor(data_type: str):
+    def deco(fn):
+        PROCESSORS[data_type] = fn
+        return fn
+
+    return deco
+
+
+@register_processor("CGM")
+def _cgm(events, cols, p):
+    return C.cgm(events, cols.get("CGM"), interpolation_limit=p["interpolation_limit"], fill_tail=p["fill_tail"])
+
+
+@register_processor("BGM")
+def _bgm(events, cols, p):
+    return C.bgm(events, cols.get("BGM"))
+
+
+@register_processor("INSULIN")
+def _insulin(events, cols, p):
+    has_primary = any(n == "dose" or prim for n, prim in cols.get("INSULIN_PRIMARY", [("dose", True)]))
+    return C.insulin(events, p["bolus_limit"], p["max_dose"], has_primary=has_primary)
+
+
+@register_processor("CARBS")
+def _carbs(events, cols, p):
+    return C.carbs(events, [n for n, _ in cols.get("CARBS", [("carbs_primary", G.GRAMS)])])
+
+
+@register_processor("NOTES")
+def _notes(events, cols, p):
+    return C.notes(events, [n for n, _ in cols.get("NOTES", [("notes_primary", None)])])
+
+
+@dataclass
+class Run:
+    events: DataFrame
+    processed: dict[str, C.Processed]
+    notes: list[str] = field(default_factory=list)
+    quarantine: DataFrame | None = None
+
+
+def columns_of(layout: Layout) -> dict[str, list[tuple[str, str | None]]]:
+    """Output column names (primary first) and source units per data type."""
+    cols: dict[str, list[tuple[str, str | None]]] = {}
+    for spec in layout_specs(layout).values():
+        dt = "INSULIN" if spec.data_type == "INSULIN_META" else spec.data_type
+        if spec.data_type == "INSULIN":
+            cols.setdefault("INSULIN_PRIMARY", []).append((spec.column_name, spec.is_primary))
+            continue
+        if spec.data_type == "INSULIN_META":
+            continue
+        cols.setdefault(dt, []).append((spec.column_name, spec.unit))
+    for k in cols:
+        cols[k].sort(key=lambda x: not str(x[0]).endswith("_primary"))
+    return cols
+
+
+def process(
+    events: DataFrame,
+    columns: dict[str, list] | None = None,
+    types: list[str] | None = None,
+    interpolation_limit: int = G.DEFAULT_INTERPOLATION_LIMIT,
+    bolus_limit: float = G.DEFAULT_BOLUS_LIMIT,
+    max_dose: float = G.DEFAULT_MAX_DOSE,
+    fill_tail: bool = True,
+) -> tuple[dict[str, C.Processed], list[str]]:
+    """Run every available cleaner over ``events_long``."""
+    columns = columns or {}
+    params = dict(interpolation_limit=interpolation_limit, bolus_limit=bolus_limit, max_dose=max_dose, fill_tail=fill_tail)
+    out: dict[str, C.Processed] = {}
+    notes: list[str] = []
+    for t in types or [t for t in ("CGM", "BGM", "INSULIN", "CARBS", "NOTES") if t in columns or not columns]:
+        try:
+            out[t] = PROCESSORS[t](events, columns, params)
+        except C.ProcessingError as e:
+            notes.append(f"Error processing {t}: {e}")
+    return out, notes
+
+
+def process_path(
+    spark: SparkSession,
+    paths: list[str],
+    layout: Layout | str | None = None,
+    catalog: Catalog | None = None,
+    persist: bool = True,
+    **params,
+) -> Run:
+    """Detect (unless given), read, convert and clean a set of export files."""
+    catalog = catalog or default_catalog()
+    if isinstance(layout, str):
+        layout = catalog.get_format(layout)
+    if layout is None:
+        layout = conform.detect_layout(spark, paths, catalog)
+    specs = layout_specs(layout)
+    longs, bads = [], []
+    for _, (tb, df) in read_tables(spark, layout, paths).items():
+        long, bad = to_events(df, tb, specs)
+        longs.append(long)
+        bads.append(bad)
+    if not longs:
+        raise conform.ConformanceError(f"No readable tables of layout {layout.name} in the given paths")
+    events = longs[0]
+    for x in longs[1:]:
+        events = events.unionByName(x)
+    quarantine = bads[0]
+    for x in bads[1:]:
+        quarantine = quarantine.unionByName(x)
+    if persist:
+        # five cleaners read the same long table; keep it instead of re-parsing
+        events = events.persist(StorageLevel.MEMORY_AND_DISK)
+    processed, notes = process(events, columns_of(layout), **params)
+    return Run(events, processed, notes, quarantine)
+
+
+def run(spark: SparkSession, paths: list[str], out_dir: str, layout=None, freq: str = "5min", fmt: str = "csv", **params):
+    """Command-line equivalent: process, align (if CGM present), write."""
+    from glucoflow.sinks import export
+
+    r = process_path(spark, paths, layout, **params)
+    aligned = None
+    if "CGM" in r.processed:
+        try:
+            aligned = A.align(r.processed, freq=freq)
+        except A.AlignmentError as e:
+            r.notes.append(f"Alignment failed: {e}")
+    written = export.write(spark, r.processed, aligned, out_dir, fmt=fmt)
+    return r, aligned, written

@@ -569,3 +569,121 @@ def ts_convert(spark, sf_dir):
     raw = ev.select("event_id", F.col("user_id").cast("string").alias("series_id"), text.alias("ts_text"))
     detected = TS.detect(raw, ["series_id"], "ts_text", "event_id")
     return TS.convert(raw, detected, ["series_id"], "ts_text").select("event_id", "series_id", "ts_type", "ts")
+
+
+# =============================================================== sources
+from glucoflow.sinks import device_files as DF  # noqa: E402
+from glucoflow.sources import catalog as CAT  # noqa: E402
+from glucoflow.sources import readers as R  # noqa: E402
+
+_SRC_EV = """ev AS (SELECT CAST(user_id AS VARCHAR) AS series_id, ts, event_id, event_type, value,
+               CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
+
+_WIDE_COLS = {
+    "Historic Glucose mmol/L": "historic_glucose",
+    "Scan Glucose mmol/L": "scan_glucose",
+    "Strip Glucose mmol/L": "strip_glucose",
+    "Rapid-Acting Insulin (units)": "rapid_insulin",
+    "Long-Acting Insulin Value (units)": "long_insulin",
+    "Carbohydrates (grams)": "carbohydrates",
+}
+
+
+def _wide_csv_rows(ev: DataFrame) -> DataFrame:
+    et, v = F.col("event_type"), F.col("value")
+    k = F.get_json_object("props", "$.k")
+    return ev.select(
+        F.col("user_id").cast("string").alias("series_id"),
+        F.col("event_id").alias("_seq"),
+        F.lit("FreeStyle LibreLink").alias("Device"),
+        F.concat(F.lit("SN-"), F.col("user_id").cast("string")).alias("Serial Number"),
+        F.date_format("ts", "dd-MM-yyyy HH:mm").alias("Device Timestamp"),
+        F.when(et == "view", (F.lit(40.0) + v * 3) / 18.0).alias("Historic Glucose mmol/L"),
+        F.lit(None).cast("double").alias("Scan Glucose mmol/L"),
+        F.when(et == "click", v / 5).alias("Strip Glucose mmol/L"),
+        F.when(et == "purchase", v / 10).alias("Rapid-Acting Insulin (units)"),
+        F.lit(None).cast("double").alias("Long-Acting Insulin Value (units)"),
+        F.when(et == "signup", v - 5).alias("Carbohydrates (grams)"),
+        F.when(et == "error", F.concat(F.lit('note, "'), k, F.lit('"'))).alias("Notes"),
+    )
+
+
+@query(
+    "csv_source",
+    f"""WITH {_SRC_EV}
+SELECT series_id, make_timestamp((epoch_us(ts) // 60000000) * 60000000) AS ts,
+  {r6_sql("CASE WHEN event_type = 'view' THEN (40.0 + value * 3) / 18.0 END")} AS historic_glucose,
+  CAST(NULL AS DOUBLE) AS scan_glucose,
+  {r6_sql("CASE WHEN event_type = 'click' THEN value / 5 END")} AS strip_glucose,
+  {r6_sql("CASE WHEN event_type = 'purchase' THEN value / 10 END")} AS rapid_insulin,
+  CAST(NULL AS DOUBLE) AS long_insulin,
+  {r6_sql("CASE WHEN event_type = 'signup' THEN value - 5 END")} AS carbohydrates,
+  CASE WHEN event_type = 'error' THEN 'note, "' || CAST(k AS VARCHAR) || '"' END AS notes
+FROM ev""",
+)
+def csv_source(spark, sf_dir):
+    """Every person's events written as a wide CSV export
+    (preamble row, header on row 1, day-first minute times, quoted notes),
+    then read back through the layout catalogue."""
+    rows = _wide_csv_rows(_events(spark, sf_dir))
+    out = DF.scratch_dir(spark, "csv")
+    cols = [c.source_name for c in CAT.WIDE_CSV.files[0].tables[0].columns]
+    cols.insert(2, "Device Timestamp")
+    DF.write_csv_files(rows, out, cols, preamble=["Glucose Data", "Generated on", "export"]).agg(F.sum("rows")).collect()
+    table = CAT.WIDE_CSV.files[0].tables[0]
+    conv = R.convert_times(R.read_csv_table(spark, [f"{out}/*.csv"], table), table)
+    return conv.select(
+        "series_id",
+        "ts",
+        *[r6(F.expr(f"try_cast(`{src}` as double)")).alias(dst) for src, dst in _WIDE_COLS.items()],
+        F.col("Notes").alias("notes"),
+    )
+
+
+_XDRIP_TABLES = {
+    "BgReadings": ["timestamp", "calculated_value", "raw_data"],
+    "Treatments": ["timestamp", "insulin", "insulinJSON", "carbs", "notes"],
+}
+
+
+@query(
+    "sqlite_source",
+    f"""WITH {_SRC_EV},
+t AS (SELECT series_id, make_timestamp((epoch_us(ts) // 1000) * 1000) AS ts, event_type, value, k FROM ev)
+SELECT series_id, ts, 'CGM' AS data_type, 'cgm_primary' AS column_name, {r6_sql('40.0 + value * 3')} AS value, CAST(NULL AS VARCHAR) AS text FROM t WHERE event_type = 'view'
+UNION ALL SELECT series_id, ts, 'CGM', 'cgm_2', {r6_sql('value * 1000')}, NULL FROM t WHERE event_type = 'view'
+UNION ALL SELECT series_id, ts, 'INSULIN', 'insulin_primary', {r6_sql("CASE WHEN event_type = 'purchase' THEN value / 10 ELSE 0.0 END")}, NULL FROM t WHERE event_type IN ('purchase', 'signup', 'error')
+UNION ALL SELECT series_id, ts, 'INSULIN_META', 'insulin_meta_primary', NULL,
+  '[{{"insulin":"' || CASE k % 3 WHEN 0 THEN 'NovoRapid FlexPen' WHEN 1 THEN 'Levemir' ELSE 'Humalog' END || '"}}]' FROM t WHERE event_type = 'purchase'
+UNION ALL SELECT series_id, ts, 'CARBS', 'carbs_primary', {r6_sql("CASE WHEN event_type = 'signup' THEN value - 5 ELSE 0.0 END")}, NULL FROM t WHERE event_type IN ('purchase', 'signup', 'error')
+UNION ALL SELECT series_id, ts, 'NOTES', 'notes_primary', NULL, 'note ' || CAST(k AS VARCHAR) FROM t WHERE event_type = 'error'""",
+)
+def sqlite_source(spark, sf_dir):
+    """Every person's events written as a two-table SQLite
+    export (epoch-millisecond times), read back with the SQLite data source
+    and unpivoted into the long event table."""
+    ev = _events(spark, sf_dir)
+    et, v = F.col("event_type"), F.col("value")
+    rows = ev.where(et.isin("view", "purchase", "signup", "error")).select(
+        F.col("user_id").cast("string").alias("series_id"),
+        F.col("event_id").alias("_seq"),
+        F.when(et == "view", F.lit("BgReadings")).otherwise(F.lit("Treatments")).alias("_table"),
+        F.floor(micros("ts") / 1000).alias("timestamp"),
+        F.when(et == "view", F.lit(40.0) + v * 3).alias("calculated_value"),
+        F.when(et == "view", v * 1000).alias("raw_data"),
+        F.when(et == "purchase", v / 10).otherwise(F.lit(0.0)).alias("insulin"),
+        F.when(et == "purchase", D.meta_json(F.col("props"))).alias("insulinJSON"),
+        F.when(et == "signup", v - 5).otherwise(F.lit(0.0)).alias("carbs"),
+        F.when(et == "error", F.concat(F.lit("note "), F.get_json_object("props", "$.k"))).alias("notes"),
+    )
+    out = DF.scratch_dir(spark, "sqlite")
+    DF.write_sqlite_files(rows, out, _XDRIP_TABLES).agg(F.sum("rows")).collect()
+    import glob
+
+    paths = sorted(glob.glob(f"{out}/*.sqlite"))
+    specs = R.layout_specs(CAT.TWO_TABLE_SQLITE)
+    longs = []
+    for _, (tb, df) in R.read_tables(spark, CAT.TWO_TABLE_SQLITE, paths).items():
+        longs.append(R.to_events(df, tb, specs)[0])
+    long = longs[0].unionByName(longs[1])
+    return long.select("series_id", "ts", "data_type", "column_name", r6("value").alias("value"), "text")
