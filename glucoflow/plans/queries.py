@@ -687,3 +687,140 @@ def sqlite_source(spark, sf_dir):
         longs.append(R.to_events(df, tb, specs)[0])
     long = longs[0].unionByName(longs[1])
     return long.select("series_id", "ts", "data_type", "column_name", r6("value").alias("value"), "text")
+
+
+def _simple_rows(ev: DataFrame) -> DataFrame:
+    et, v = F.col("event_type"), F.col("value")
+    return ev.select(
+        F.col("user_id").cast("string").alias("series_id"),
+        F.col("event_id").alias("_seq"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"),
+        F.when(et == "view", F.lit(40.0) + v * 3).alias("glucose"),
+        F.when(et == "click", v * 2).alias("meter"),
+        F.when(et == "purchase", v / 10).alias("dose"),
+        F.when(et == "signup", v - 5).alias("carbs"),
+        F.when(et == "error", F.concat(F.lit("note <"), F.get_json_object("props", "$.k"), F.lit("> & more"))).alias("note"),
+    )
+
+
+_SIMPLE_SQL = f"""WITH {_SRC_EV}
+SELECT series_id, ts,
+  {r6_sql("CASE WHEN event_type = 'view' THEN 40.0 + value * 3 END")} AS glucose,
+  {r6_sql("CASE WHEN event_type = 'click' THEN value * 2 END")} AS meter,
+  {{extra}}
+  CASE WHEN event_type = 'error' THEN 'note <' || CAST(k AS VARCHAR) || '> & more' END AS note
+FROM ev"""
+
+
+@query(
+    "json_source",
+    _SIMPLE_SQL.format(
+        extra=f"""{r6_sql("CASE WHEN event_type = 'purchase' THEN value / 10 END")} AS dose,
+  {r6_sql("CASE WHEN event_type = 'signup' THEN value - 5 END")} AS carbs,"""
+    ),
+)
+def json_source(spark, sf_dir):
+    """S6 + T3: every person's events as a JSON export (``{"readings": [..]}``,
+    ISO times with microseconds), read back with the JSON reader."""
+    rows = _simple_rows(_events(spark, sf_dir))
+    out = DF.scratch_dir(spark, "json")
+    table = CAT.EXAMPLE_JSON.files[0].tables[0]
+    DF.write_json_files(rows, out, ["time", "glucose", "meter", "dose", "carbs", "note"], key="readings").agg(F.sum("rows")).collect()
+    conv = R.convert_times(R.read_json_table(spark, [f"{out}/*.json"], table), table)
+    return conv.select(
+        "series_id",
+        "ts",
+        *[r6(F.expr(f"try_cast({c} as double)")).alias(c) for c in ("glucose", "meter", "dose", "carbs")],
+        "note",
+    )
+
+
+@query("xml_source", _SIMPLE_SQL.format(extra=""))
+def xml_source(spark, sf_dir):
+    """S4 + S5: every person's events as an XML export (time as attribute,
+    values as child elements; empty elements are null), read back."""
+    rows = _simple_rows(_events(spark, sf_dir))
+    out = DF.scratch_dir(spark, "xml")
+    table = CAT.EXAMPLE_XML.files[0].tables[0]
+    DF.write_xml_files(rows, out, "reading", ["time"], ["glucose", "meter", "note"]).agg(F.sum("rows")).collect()
+    conv = R.convert_times(R.read_xml_table(spark, [f"{out}/*.xml"], table), table)
+    return conv.select(
+        "series_id",
+        "ts",
+        *[r6(F.expr(f"try_cast({c} as double)")).alias(c) for c in ("glucose", "meter")],
+        "note",
+    )
+
+
+@query(
+    "conformance_report",
+    """WITH u AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS series_id, user_id % 3 AS kind FROM events)
+SELECT series_id,
+  CASE kind WHEN 1 THEN 'sqlite' ELSE 'csv' END AS file_type,
+  CASE kind WHEN 0 THEN 'libreview_csv' WHEN 1 THEN 'xdrip_sqlite' END AS layout,
+  CASE kind WHEN 2 THEN 'libreview_csv: Missing required columns in : notes' ELSE '' END AS failed_candidates
+FROM u""",
+)
+def conformance_report(spark, sf_dir):
+    """F1-F8: a folder of mixed exports made from the events (people split in
+    three groups: wide CSV, SQLite, CSV lacking the Notes column) classified
+    against the catalogue; one verdict per file."""
+    from glucoflow.sources import conform
+
+    ev = _events(spark, sf_dir)
+    out = DF.scratch_dir(spark, "conform")
+    kind = F.pmod(F.col("user_id"), F.lit(3))
+    wide = _wide_csv_rows(ev.where(kind != 1))
+    cols = [c.source_name for c in CAT.WIDE_CSV.files[0].tables[0].columns]
+    cols.insert(2, "Device Timestamp")
+    good, bad = wide.where(F.pmod(F.col("series_id").cast("bigint"), F.lit(3)) == 0), wide.where(
+        F.pmod(F.col("series_id").cast("bigint"), F.lit(3)) == 2
+    )
+    DF.write_csv_files(good, out, cols, preamble=["Glucose Data"]).agg(F.sum("rows")).collect()
+    DF.write_csv_files(bad, out, [c for c in cols if c != "Notes"], preamble=["Glucose Data"]).agg(F.sum("rows")).collect()
+    et, v = F.col("event_type"), F.col("value")
+    sq = ev.where(kind == 1).select(
+        F.col("user_id").cast("string").alias("series_id"),
+        F.col("event_id").alias("_seq"),
+        F.when(et == "view", F.lit("BgReadings")).otherwise(F.lit("Treatments")).alias("_table"),
+        F.floor(micros("ts") / 1000).alias("timestamp"),
+        F.when(et == "view", F.lit(40.0) + v * 3).alias("calculated_value"),
+        F.when(et == "view", v).alias("raw_data"),
+        F.when(et == "purchase", v / 10).otherwise(F.lit(0.0)).alias("insulin"),
+        F.lit(None).cast("string").alias("insulinJSON"),
+        F.when(et == "signup", v - 5).otherwise(F.lit(0.0)).alias("carbs"),
+        F.lit(None).cast("string").alias("notes"),
+    )
+    DF.write_sqlite_files(sq, out, _XDRIP_TABLES).agg(F.sum("rows")).collect()
+    res = conform.classify(spark, out)
+    return res.select(
+        R.series_from_file(F.col("path")).alias("series_id"),
+        "file_type",
+        "layout",
+        F.array_join("failed_candidates", " | ").alias("failed_candidates"),
+    )
+
+
+@query(
+    "required_data_check",
+    f"""WITH {_SRC_EV}
+SELECT series_id,
+  array_to_string(list_filter([
+     CASE WHEN count_if(event_type = 'view') = 0 THEN 'Historic Glucose mmol/L' END,
+     'Scan Glucose mmol/L'], lambda x: x IS NOT NULL), '|') AS missing_required_data
+FROM ev GROUP BY series_id""",
+)
+def required_data_check(spark, sf_dir):
+    """per export file, REQUIRED_WITH_DATA columns without a single value
+    (the wide CSV exports from the events never fill the scan column)."""
+    from glucoflow.sources import conform
+
+    rows = _wide_csv_rows(_events(spark, sf_dir))
+    out = DF.scratch_dir(spark, "f10")
+    cols = [c.source_name for c in CAT.WIDE_CSV.files[0].tables[0].columns]
+    cols.insert(2, "Device Timestamp")
+    DF.write_csv_files(rows, out, cols, preamble=["Glucose Data"]).agg(F.sum("rows")).collect()
+    table = CAT.WIDE_CSV.files[0].tables[0]
+    df = R.read_csv_table(spark, [f"{out}/*.csv"], table).withColumn("series_id", R.series_from_file(F.col("_file")))
+    chk = conform.required_data_check(df, table, ["series_id"])
+    return chk.select("series_id", F.array_join("missing_required_data", "|").alias("missing_required_data"))

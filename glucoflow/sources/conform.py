@@ -124,7 +124,7 @@ def validate(spark: SparkSession, files: DataFrame, catalog: Catalog | None = No
     for t, exts in EXTENSIONS.items():
         ftype = F.when(ext.isin(*[e[1:] for e in exts]), F.lit(t)).otherwise(ftype)
     fl = files.select("path", ftype.alias("file_type"), F.regexp_extract("path", r"([^/]+)$", 1).alias("_name"))
-    cand = fl.join(st, "file_type").where(F.col("_name").rlike(F.col("_glob"))).drop("_name", "_glob")
+    cand = fl.join(st, "file_type").where(F.expr("_name rlike _glob")).drop("_name", "_glob")
     case_sensitive = F.col("file_type") == "sqlite"
     lower_all = lambda a: F.transform(a, lambda x: F.lower(F.trim(x)))
     joined = cand.join(
