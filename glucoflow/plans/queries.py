@@ -824,3 +824,97 @@ def required_data_check(spark, sf_dir):
     df = R.read_csv_table(spark, [f"{out}/*.csv"], table).withColumn("series_id", R.series_from_file(F.col("_file")))
     chk = conform.required_data_check(df, table, ["series_id"])
     return chk.select("series_id", F.array_join("missing_required_data", "|").alias("missing_required_data"))
+
+
+# ================================================================= sinks
+def _export_types(spark, sf_dir):
+    from glucoflow.sinks import export as EX
+
+    p = _processed(spark, sf_dir, ("INSULIN", "CARBS"))
+    out = DF.scratch_dir(spark, "export")
+    return EX.write(spark, p, None, out, fmt="csv")
+
+
+@query(
+    "export_months",
+    f"""{_USER}{TYPE_CTES}
+SELECT series_id, strftime(ts, '%Y-%m') AS month, ts, {r6_sql('dose')} AS dose, is_bolus, is_basal, type FROM ins_out""",
+)
+def export_months(spark, sf_dir):
+    """K1, K3, K6, K7, P20: insulin and carbs exported per person with the
+    calendar-month split, then the monthly insulin files read back."""
+    written = _export_types(spark, sf_dir)
+    back = (
+        spark.read.option("header", True)
+        .option("basePath", written["monthly/insulin"])
+        .option("emptyValue", "")
+        .csv(written["monthly/insulin"])
+    )
+    return back.select(
+        F.col("series_id").cast("string").alias("series_id"),
+        F.col("month").cast("string").alias("month"),
+        F.to_timestamp_ntz("ts").alias("ts"),
+        r6(F.col("dose").cast("double")).alias("dose"),
+        F.col("is_bolus").cast("boolean").alias("is_bolus"),
+        F.col("is_basal").cast("boolean").alias("is_basal"),
+        F.coalesce(F.col("type"), F.lit("")).alias("type"),
+    )
+
+
+@query(
+    "run_notes",
+    f"""{_USER}{TYPE_CTES}
+SELECT 'insulin' AS data_type, series_id, strftime(min(ts), '%Y-%m-%d') || ' to ' || strftime(max(ts), '%Y-%m-%d') AS date_range,
+  count(*) AS record_count FROM ins_out GROUP BY series_id
+UNION ALL
+SELECT 'carbs', series_id, strftime(min(ts), '%Y-%m-%d') || ' to ' || strftime(max(ts), '%Y-%m-%d'), count(*) FROM carb_out GROUP BY series_id""",
+)
+def run_notes(spark, sf_dir):
+    """K5 + A19: run notes (date range, record count, columns, units) written
+    as JSON per type and person, read back."""
+    written = _export_types(spark, sf_dir)
+    back = spark.read.json(written["processing_notes"])
+    return back.select("data_type", F.col("series_id").cast("string").alias("series_id"), "date_range", F.col("record_count").cast("bigint").alias("record_count"))
+
+
+_S15 = 900_000_000
+
+
+def _align15_sql() -> str:
+    sl = lambda c: slot_sql(f"epoch_us({c})", _S15)
+    return f"""{_USER}{TYPE_CTES},
+{cgm_fill_ctes('cgm_raw')},
+ref AS (SELECT series_id, slot * 300000000 AS us FROM cgm_out WHERE slot % 3 = 0),
+c15 AS (SELECT series_id, {slot_sql('slot * 300000000', _S15)} AS s, avg(cgm_primary) AS cgm_primary,
+        avg(cgm_primary * 0.0555) AS cgm_primary_mmol FROM cgm_out GROUP BY 1, 2),
+b15 AS (SELECT series_id, {sl('ts')} AS s, avg(bgm_primary) AS bgm_primary, bool_or(bgm_primary_clipped) AS bgm_primary_clipped,
+        avg(bgm_primary_mmol) AS bgm_primary_mmol FROM bgm_out GROUP BY 1, 2),
+bsp AS (SELECT series_id, min({sl('ts')}) AS lo, max({sl('ts')}) AS hi FROM bgm_out GROUP BY 1),
+i15 AS (SELECT series_id, {sl('ts')} AS s, sum(CASE WHEN is_basal THEN dose ELSE 0.0 END) AS basal_dose,
+        sum(CASE WHEN is_bolus THEN dose ELSE 0.0 END) AS bolus_dose FROM ins_out GROUP BY 1, 2),
+k15 AS (SELECT series_id, {sl('ts')} AS s, sum(carbs_primary) AS carbs_primary FROM carb_out GROUP BY 1, 2),
+n15 AS (SELECT series_id, {sl('ts')} AS s, arg_max(notes_primary, {{'t': ts, 's': _seq}}) AS notes_primary FROM note_out GROUP BY 1, 2)
+SELECT r.series_id, make_timestamp(r.us) AS ts,
+  {r6_sql('c.cgm_primary')} AS cgm_primary, {r6_sql('c.cgm_primary_mmol')} AS cgm_primary_mmol,
+  {r6_sql('b.bgm_primary')} AS bgm_primary,
+  coalesce(b.bgm_primary_clipped, CASE WHEN r.us >= bs.lo * {_S15} AND r.us <= bs.hi * {_S15} THEN false END) AS bgm_primary_clipped,
+  {r6_sql('b.bgm_primary_mmol')} AS bgm_primary_mmol,
+  {r6_sql('coalesce(i.basal_dose, 0.0)')} AS basal_dose, {r6_sql('coalesce(i.bolus_dose, 0.0)')} AS bolus_dose,
+  {r6_sql('coalesce(k.carbs_primary, 0.0)')} AS carbs_primary, n.notes_primary AS notes_primary
+FROM ref r
+LEFT JOIN c15 c ON c.series_id = r.series_id AND c.s * {_S15} = r.us
+LEFT JOIN b15 b ON b.series_id = r.series_id AND b.s * {_S15} = r.us
+LEFT JOIN bsp bs ON bs.series_id = r.series_id
+LEFT JOIN i15 i ON i.series_id = r.series_id AND i.s * {_S15} = r.us
+LEFT JOIN k15 k ON k.series_id = r.series_id AND k.s * {_S15} = r.us
+LEFT JOIN n15 n ON n.series_id = r.series_id AND n.s * {_S15} = r.us"""
+
+
+@query("align_15min", _align15_sql())
+def align_15min(spark, sf_dir):
+    """M8 with a caller's timeline and another step: each person's 15-minute
+    timeline (the quarter-hour points of the CGM grid); CGM is averaged per
+    15-minute slot, the other types resampled at 15 minutes."""
+    p = _processed(spark, sf_dir)
+    ref = p["CGM"].frame.where(F.pmod(micros("ts"), F.lit(_S15)) == 0).select("series_id", "ts")
+    return _round_all(A.align(p, reference=ref, freq="15min").frame)
