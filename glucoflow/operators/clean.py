@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from glucoflow.functions import glucose as G
 from glucoflow.functions.text import classify_insulin_name, clean_note, insulin_name_from_json
 from glucoflow.functions.timeslots import freq_to_micros, slot_of, slot_to_ts
-from glucoflow.operators.fill import DEFAULT_BLOCK_SLOTS, regular_grid
+from glucoflow.operators.fill import DEFAULT_BLOCK_SLOTS, wide_grid
 
 
 class ProcessingError(Exception):
@@ -58,6 +58,24 @@ def cgm_slots(events: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
     return obs, span
 
 
+def cgm_slot_means(events: DataFrame, step: int, names: list[str]) -> DataFrame:
+    """One row per observed slot, the mean of every column in it (A1).
+
+    A single aggregation (partial per map task, then one shuffle); a column
+    without readings in the slot is null.
+    """
+    # rows without a value still widen the grid: they stay as all-null slots
+    r = _of_type(events, "CGM").select(
+        "series_id",
+        "column_name",
+        slot_of("ts", step).alias("slot"),
+        G.to_mgdl(F.col("value"), F.col("unit")).alias("v"),
+    )
+    return r.groupBy("series_id", "slot").agg(
+        *[F.avg(F.when(F.col("column_name") == n, F.col("v"))).alias(n) for n in names]
+    )
+
+
 def cgm(
     events: DataFrame,
     columns: list[tuple[str, str]] | None = None,
@@ -78,22 +96,11 @@ def cgm(
     if interpolation_limit is None or interpolation_limit < 0:
         raise ProcessingError("interpolation limit must be >= 0")
     step = freq_to_micros(freq)
-    obs, span = cgm_slots(events, step)
-    grid = regular_grid(obs, span, ["series_id", "column_name"], interpolation_limit, fill_tail, block_slots)
     names = [c for c, _ in columns]
     primary = names[0]
-    if len(names) == 1:
-        wide = grid.where(F.col("column_name") == primary).select(
-            "series_id", "slot", F.col("v").alias(primary), (~F.col("observed")).alias("missing")
-        )
-    else:
-        # one row per slot; every column covers the whole span of its series
-        wide = grid.groupBy("series_id", "slot").agg(
-            *[F.max(F.when(F.col("column_name") == n, F.col("v"))).alias(n) for n in names],
-            (~F.coalesce(F.max(F.when(F.col("column_name") == primary, F.col("observed"))), F.lit(False))).alias(
-                "missing"
-            ),
-        )
+    obs_wide = cgm_slot_means(events, step, names)
+    grid = wide_grid(obs_wide, names, interpolation_limit, fill_tail, block_slots)
+    wide = grid.select("series_id", "slot", *names, (~F.col(f"{primary}__obs")).alias("missing"))
     out = wide.select(
         "series_id",
         "slot",

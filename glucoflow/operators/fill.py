@@ -123,3 +123,118 @@ def regular_grid(
         .select(*keys, "slot", F.lit(None).cast("double").alias("v"), F.lit(False).alias("observed"))
     )
     return body.unionByName(lead_rows)
+
+
+def wide_grid(
+    obs: DataFrame,
+    columns: list[str],
+    limit: int = 4,
+    fill_tail: bool = True,
+    block_slots: int = DEFAULT_BLOCK_SLOTS,
+) -> DataFrame:
+    """Regular grid with every column filled, emitted directly in wide form.
+
+    ``obs``: ``series_id, slot, <columns>`` - one row per slot that has any
+    reading row of the type (a column is null where it has no value; a row
+    may be null in every column and still widens the grid, as in the
+    original pipeline).  The grid of a series runs from its first to its
+    last such slot.
+
+    Per column, the rules of :func:`regular_grid` apply.  Previous / next
+    readings of every column come from windows per ``(series, block)``
+    (growing frames only, one ascending and one descending); readings in
+    other blocks come from a block summary (first / last reading per column
+    per block) computed on the already partitioned rows, scanned per series
+    with ``ignore nulls`` windows (a few rows per series-day) and joined back
+    on ``(series, block)``.  Each row then emits its own slots up to the next
+    row, so the dense grid is produced once, in place, and never shuffled.
+
+    Returns ``series_id, slot, <columns>, <c>__obs`` (``<c>__obs``: the
+    column had a reading in that slot).
+    """
+    keys = ["series_id", "_block"]
+    b = obs.withColumn("_block", F.floor(F.col("slot") / F.lit(block_slots)))
+    at = {c: F.when(F.col(c).isNotNull(), F.col("slot")) for c in columns}
+    w = Window.partitionBy(*keys).orderBy("slot")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    wd = Window.partitionBy(*keys).orderBy(F.col("slot").desc())
+    later = wd.rowsBetween(Window.unboundedPreceding, -1)  # rows after, nearest first
+    rows = b.select(
+        *keys,
+        "slot",
+        *columns,
+        F.lead("slot").over(w).alias("_next_any"),
+        *[F.last(at[c], ignorenulls=True).over(upto).alias(f"_ps_{c}") for c in columns],
+        *[F.last(c, ignorenulls=True).over(upto).alias(f"_pv_{c}") for c in columns],
+        *[F.last(at[c], ignorenulls=True).over(later).alias(f"_ns_{c}") for c in columns],
+        *[F.last(c, ignorenulls=True).over(later).alias(f"_nv_{c}") for c in columns],
+    )
+    # block summary on the rows as partitioned by the window (no exchange)
+    summ = rows.groupBy(*keys).agg(
+        F.min("slot").alias("_bfirst"),
+        F.max("slot").alias("_blast"),
+        *[F.min(at[c]).alias(f"_fs_{c}") for c in columns],
+        *[F.min_by(F.col(c), at[c]).alias(f"_fv_{c}") for c in columns],
+        *[F.max(at[c]).alias(f"_ls_{c}") for c in columns],
+        *[F.max_by(F.col(c), at[c]).alias(f"_lv_{c}") for c in columns],
+    )
+    wb = Window.partitionBy("series_id").orderBy("_block")
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    wbd = Window.partitionBy("series_id").orderBy(F.col("_block").desc())
+    after = wbd.rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select(
+        *keys,
+        F.lead("_bfirst").over(wb).alias("_next_any_blk"),
+        F.max("_blast").over(Window.partitionBy("series_id")).alias("_hi"),
+        *[F.last(f"_ls_{c}", ignorenulls=True).over(before).alias(f"_bps_{c}") for c in columns],
+        *[F.last(f"_lv_{c}", ignorenulls=True).over(before).alias(f"_bpv_{c}") for c in columns],
+        *[F.last(f"_fs_{c}", ignorenulls=True).over(after).alias(f"_bns_{c}") for c in columns],
+        *[F.last(f"_fv_{c}", ignorenulls=True).over(after).alias(f"_bnv_{c}") for c in columns],
+    )
+    joined = rows.join(carry, keys, "left")
+
+    # per row: the scalars each emitted slot needs (computed once per row)
+    pre = [
+        "series_id",
+        "slot",
+        F.coalesce(F.coalesce(F.col("_next_any"), F.col("_next_any_blk")) - 1, F.col("slot")).alias("_end"),
+    ]
+    for c in columns:
+        ps = F.coalesce(F.col(f"_ps_{c}"), F.col(f"_bps_{c}"))
+        pv = F.when(F.col(f"_ps_{c}").isNotNull(), F.col(f"_pv_{c}")).otherwise(F.col(f"_bpv_{c}"))
+        ns = F.coalesce(F.col(f"_ns_{c}"), F.col(f"_bns_{c}"))
+        nv = F.when(F.col(f"_ns_{c}").isNotNull(), F.col(f"_nv_{c}")).otherwise(F.col(f"_bnv_{c}"))
+        gap = F.when(ns.isNotNull(), ns - ps - 1).otherwise(F.col("_hi") - ps)
+        pre += [
+            ps.alias(f"_PS_{c}"),
+            pv.alias(f"_PV_{c}"),
+            ns.alias(f"_NS_{c}"),
+            nv.alias(f"_NV_{c}"),
+            gap.alias(f"_GAP_{c}"),
+            F.col(c).isNotNull().alias(f"_HERE_{c}"),
+        ]
+    s = F.col("g_slot")
+    out_cols = []
+    for c in columns:
+        ps, pv, ns, nv, gap = (F.col(f"_{k}_{c}") for k in ("PS", "PV", "NS", "NV", "GAP"))
+        tail = pv if fill_tail else F.lit(None).cast("double")
+        val = (
+            F.when(ps.isNull(), F.lit(None).cast("double"))
+            .when(s == ps, pv)
+            .when(gap > F.lit(limit), F.lit(None).cast("double"))
+            .when(ns.isNull(), tail)
+            .otherwise(pv + (nv - pv) / (ns - ps) * (s - ps))
+        )
+        out_cols += [val.alias(c), ((s == F.col("slot")) & F.col(f"_HERE_{c}")).alias(f"{c}__obs")]
+    # the explode below multiplies rows by the gap lengths: spread the (small)
+    # observed rows over the full partition count first, so runtime
+    # coalescing sized on the input does not leave a few tasks emitting the
+    # whole grid (an explicit count is kept by AQE)
+    spark = obs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return (
+        joined.select(*pre)
+        .repartition(n, "series_id", "slot")
+        .withColumn("g_slot", F.explode(F.sequence(F.col("slot"), F.col("_end"))))
+        .select("series_id", F.col("g_slot").alias("slot"), *out_cols)
+    )
