@@ -21,6 +21,8 @@ in a quarantine frame instead of becoming silent nulls.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
@@ -70,9 +72,48 @@ def normalise(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", " ")
 
 
+_TOKENS = [
+    ("yyyy", r"\d{4}"),
+    ("SSSSSS", r"\d{6}"),
+    ("SSS", r"\d{3}"),
+    ("XXX", r"(Z|[+-]\d{2}:\d{2})"),
+    ("M", r"\d{1,2}"),
+    ("d", r"\d{1,2}"),
+    ("H", r"\d{1,2}"),
+    ("h", r"\d{1,2}"),
+    ("m", r"\d{1,2}"),
+    ("s", r"\d{1,2}"),
+    ("a", r"(AM|PM|am|pm)"),
+]
+
+
+def pattern_regex(pattern: str) -> str:
+    """Shape of the text a lenient datetime pattern accepts, as a regex."""
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern[i] == "'":
+            j = pattern.index("'", i + 1)
+            out.append(re.escape(pattern[i + 1 : j]))
+            i = j + 1
+            continue
+        for tok, rx in _TOKENS:
+            if pattern.startswith(tok, i):
+                out.append(rx)
+                i += len(tok)
+                break
+        else:
+            out.append(re.escape(pattern[i]))
+            i += 1
+    return "^" + "".join(out) + "$"
+
+
 def parse_with(c: Column, pattern: str) -> Column:
-    """``try_to_timestamp`` to an instant; offsets honoured, naive = UTC."""
-    return F.try_to_timestamp(c, F.lit(pattern))
+    """``try_to_timestamp`` to an instant; offsets honoured, naive = UTC.
+
+    A regex on the text's shape runs first: values that cannot match are
+    skipped without a parse attempt (failed parses are the expensive path).
+    """
+    return F.when(c.rlike(pattern_regex(pattern)), F.try_to_timestamp(c, F.lit(pattern)))
 
 
 def sample(df: DataFrame, keys: list[str], value: str, order: str, n: int = SAMPLE_SIZE) -> DataFrame:
