@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glucoflow.functions import glucose as G
-from glucoflow.functions.text import classify_insulin_name, clean_note, insulin_name_from_json
+from glucoflow.functions.text import INSULIN_NAMES, clean_note, insulin_name_from_json
 from glucoflow.functions.timeslots import freq_to_micros, slot_of, slot_to_ts
 from glucoflow.operators.fill import DEFAULT_BLOCK_SLOTS, wide_grid
 
@@ -159,21 +159,19 @@ def bgm(events: DataFrame, columns: list[tuple[str, str]] | None = None) -> Proc
     )
     if len(names) == 1:
         # keep the last valid reading per exact time
-        last = r.groupBy("series_id", "ts").agg(F.max_by(F.struct("v", "clipped"), F.col("_seq")).alias("x"))
-        wide = last.select(
-            "series_id",
-            "ts",
-            F.col("x.v").alias(names[0]),
-            F.col("x.clipped").alias(f"{names[0]}_clipped"),
+        # primitive max_by per field (same row: _seq is unique) keeps hash aggregation
+        wide = r.groupBy("series_id", "ts").agg(
+            F.max_by("v", "_seq").alias(names[0]),
+            F.max_by("clipped", "_seq").alias(f"{names[0]}_clipped"),
         )
     else:
         per_col = r.groupBy("series_id", "ts", "column_name").agg(
-            F.max_by(F.struct("v", "clipped"), F.col("_seq")).alias("x")
+            F.max_by("v", "_seq").alias("v"), F.max_by("clipped", "_seq").alias("clipped")
         )
         aggs = []
         for n in names:
-            aggs.append(F.max(F.when(F.col("column_name") == n, F.col("x.v"))).alias(n))
-            aggs.append(F.max(F.when(F.col("column_name") == n, F.col("x.clipped"))).alias(f"{n}_clipped"))
+            aggs.append(F.max(F.when(F.col("column_name") == n, F.col("v"))).alias(n))
+            aggs.append(F.max(F.when(F.col("column_name") == n, F.col("clipped"))).alias(f"{n}_clipped"))
         wide = per_col.groupBy("series_id", "ts").agg(*aggs)
     out = wide.select(
         "series_id",
@@ -247,27 +245,34 @@ def insulin(
     if not use_metadata:
         out = doses.select("series_id", "ts", "dose", "is_bolus", "is_basal", F.lit("").alias("type"))
         return Processed("INSULIN", out, {"dose": G.UNITS}, [], ["dose"])
+    # recognised name -> its position in the lookup (an int keeps the
+    # aggregation hash based); the last recognised row per time wins
+    name = insulin_name_from_json(F.col("text"))
+    code = F.lit(None).cast("int")
+    for i, (key, _, _) in reversed(list(enumerate(INSULIN_NAMES))):
+        code = F.when(name.contains(key), F.lit(i)).otherwise(code)
     meta = (
         _of_type(events, "INSULIN_META")
-        .select("series_id", "ts", "_seq", classify_insulin_name(insulin_name_from_json(F.col("text"))).alias("mtype"))
-        .where(F.col("mtype").isNotNull())
+        .select("series_id", "ts", "_seq", code.alias("code"))
+        .where(F.col("code").isNotNull())
         .groupBy("series_id", "ts")
-        .agg(F.max_by(F.col("mtype"), F.col("_seq")).alias("mtype"))
+        .agg(F.max_by(F.col("code"), F.col("_seq")).alias("code"))
     )
     joined = doses.join(meta, ["series_id", "ts"], "left")
+
+    def pick(field: int, default):
+        out = default
+        for i, entry in enumerate(INSULIN_NAMES):
+            out = F.when(F.col("code") == i, F.lit(entry[field])).otherwise(out)
+        return out
+
     out = joined.select(
         "series_id",
         "ts",
         "dose",
-        F.when(F.col("mtype") == "novorapid", True)
-        .when(F.col("mtype") == "levemir", False)
-        .otherwise(F.col("is_bolus"))
-        .alias("is_bolus"),
-        F.when(F.col("mtype") == "novorapid", False)
-        .when(F.col("mtype") == "levemir", True)
-        .otherwise(F.col("is_basal"))
-        .alias("is_basal"),
-        F.coalesce(F.col("mtype"), F.lit("")).alias("type"),
+        pick(1, F.col("is_bolus")).alias("is_bolus"),
+        pick(2, F.col("is_basal")).alias("is_basal"),
+        pick(0, F.lit("")).alias("type"),
     )
     return Processed("INSULIN", out, {"dose": G.UNITS}, [], ["dose"])
 

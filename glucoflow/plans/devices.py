@@ -93,32 +93,25 @@ def _reading(data_type: str, column_name: str, unit: str | None, value=None, tex
 def device_events(events: DataFrame, series: Column | None = None) -> DataFrame:
     """``events_long`` rows for all five data types plus insulin metadata.
 
-    One scan of ``events``: each row maps to its reading(s) through one
-    ``explode`` (a purchase yields a dose and a metadata row).
+    A union of one projection per type: a consumer that filters on
+    ``data_type`` keeps only its branch, so its scan reads only the columns
+    it needs with ``event_type`` pushed into the Parquet reader.
     """
     s = series if series is not None else F.col("user_id")
     et = F.col("event_type")
     v = F.col("value")
-    readings = (
-        F.when(et == "view", F.array(_reading("CGM", "cgm_primary", "mg/dL", F.lit(40.0) + v * 3)))
-        .when(et == "click", F.array(_reading("BGM", "bgm_primary", "mmol/L", v / 5)))
-        .when(
-            et == "purchase",
-            F.array(
-                _reading("INSULIN", "dose", "U", v / 10),
-                _reading("INSULIN_META", "insulin_meta", None, text=meta_json(F.col("props"))),
-            ),
-        )
-        .when(et == "signup", F.array(_reading("CARBS", "carbs_primary", "g", v - 5)))
-        .when(et == "error", F.array(_reading("NOTES", "notes_primary", None, text=note_text(F.col("props")))))
-    )
-    return events.select(
-        s.cast("string").alias("series_id"),
-        "ts",
-        F.col("event_id").alias("_seq"),
-        F.explode(readings).alias("_r"),
-        F.lit("events").alias("source_table"),
-    ).select(*[f"_r.{c}" if c in _READING_FIELDS else c for c in EVENTS_LONG_COLUMNS])
+    parts = [
+        _long(events.where(et == "view"), s, "CGM", "cgm_primary", "mg/dL", F.lit(40.0) + v * 3),
+        _long(events.where(et == "click"), s, "BGM", "bgm_primary", "mmol/L", v / 5),
+        _long(events.where(et == "purchase"), s, "INSULIN", "dose", "U", v / 10),
+        _long(events.where(et == "purchase"), s, "INSULIN_META", "insulin_meta", None, text=meta_json(F.col("props"))),
+        _long(events.where(et == "signup"), s, "CARBS", "carbs_primary", "g", v - 5),
+        _long(events.where(et == "error"), s, "NOTES", "notes_primary", None, text=note_text(F.col("props"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(*EVENTS_LONG_COLUMNS)
 
 
 _READING_FIELDS = {"data_type", "column_name", "is_primary", "unit", "value", "text"}
