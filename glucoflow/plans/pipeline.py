@@ -72,7 +72,9 @@ def columns_of(layout: Layout) -> dict[str, list[tuple[str, str | None]]]:
     for spec in layout_specs(layout).values():
         dt = "INSULIN" if spec.data_type == "INSULIN_META" else spec.data_type
         if spec.data_type == "INSULIN":
+            # every dose column feeds the one ``dose`` column (no overwrite)
             cols.setdefault("INSULIN_PRIMARY", []).append((spec.column_name, spec.is_primary))
+            cols["INSULIN"] = [("dose", spec.unit)]
             continue
         if spec.data_type == "INSULIN_META":
             continue
