@@ -32,3 +32,41 @@ def date_range(df: DataFrame, ts: str = "ts") -> DataFrame:
         F.date_format(F.max(ts), "yyyy-MM-dd").alias("end_date"),
         F.count(F.lit(1)).alias("record_count"),
     )
+
+
+def period_stats(aligned: DataFrame, keys: list[str] | None = None, ts: str = "ts") -> DataFrame:
+    """Per person and calendar month, the statistics of the monthly notes
+    (A9, A13-A15) computed on the aligned frame:
+
+    CGM slots, missing and completeness before / after fill; BGM readings,
+    clipped count and share; basal / bolus / total doses (slots with a dose
+    > 0); carb entries (> 0); notes.
+    """
+    keys = keys or ["series_id"]
+    cols = set(aligned.columns)
+    total = F.count(F.lit(1))
+    aggs = [total.alias("records")]
+    if "cgm_primary" in cols:
+        miss = F.count_if(F.col("missing_cgm")) if "missing_cgm" in cols else F.lit(0)
+        aggs += [
+            miss.alias("cgm_missing"),
+            F.round(100.0 * (total - miss) / total, 2).alias("cgm_initial_pct"),
+            F.round(100.0 * F.count("cgm_primary") / total, 2).alias("cgm_after_fill_pct"),
+        ]
+    if "bgm_primary" in cols:
+        n = F.count("bgm_primary")
+        clipped = F.count_if(F.col("bgm_primary_clipped"))
+        aggs += [
+            n.alias("bgm_readings"),
+            clipped.alias("bgm_clipped"),
+            F.when(n > 0, F.round(100.0 * clipped / n, 1)).otherwise(F.lit(0.0)).alias("bgm_clipped_pct"),
+        ]
+    if "basal_dose" in cols:
+        basal = F.count_if(F.col("basal_dose") > 0)
+        bolus = F.count_if(F.col("bolus_dose") > 0)
+        aggs += [(basal + bolus).alias("insulin_doses"), basal.alias("basal_doses"), bolus.alias("bolus_doses")]
+    if "carbs_primary" in cols:
+        aggs.append(F.count_if(F.col("carbs_primary") > 0).alias("carb_entries"))
+    if "notes_primary" in cols:
+        aggs.append(F.count("notes_primary").alias("notes"))
+    return aligned.groupBy(*keys, F.date_format(ts, "yyyy-MM").alias("month")).agg(*aggs)

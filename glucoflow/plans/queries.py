@@ -918,3 +918,30 @@ def align_15min(spark, sf_dir):
     p = _processed(spark, sf_dir)
     ref = p["CGM"].frame.where(F.pmod(micros("ts"), F.lit(_S15)) == 0).select("series_id", "ts")
     return _round_all(A.align(p, reference=ref, freq="15min").frame)
+
+
+def _period_sql() -> str:
+    ctes, select = align_select()
+    return f"""{_USER}{TYPE_CTES},
+{cgm_fill_ctes('cgm_raw')},
+{ctes},
+al AS ({select})
+SELECT series_id, strftime(ts, '%Y-%m') AS month, count(*) AS records,
+  count_if(missing_cgm) AS cgm_missing,
+  round(100.0 * (count(*) - count_if(missing_cgm)) / count(*), 2) AS cgm_initial_pct,
+  round(100.0 * count(cgm_primary) / count(*), 2) AS cgm_after_fill_pct,
+  count(bgm_primary) AS bgm_readings, count_if(bgm_primary_clipped) AS bgm_clipped,
+  CASE WHEN count(bgm_primary) > 0 THEN round(100.0 * count_if(bgm_primary_clipped) / count(bgm_primary), 1) ELSE 0.0 END AS bgm_clipped_pct,
+  count_if(basal_dose > 0) + count_if(bolus_dose > 0) AS insulin_doses,
+  count_if(basal_dose > 0) AS basal_doses, count_if(bolus_dose > 0) AS bolus_doses,
+  count_if(carbs_primary > 0) AS carb_entries, count(notes_primary) AS notes
+FROM al GROUP BY 1, 2"""
+
+
+@query("period_stats", _period_sql())
+def period_stats(spark, sf_dir):
+    """A9 + A13-A15 + A20: monthly statistics of the aligned frame per person
+    (CGM completeness, BGM clipping, dose counts, carb entries, notes)."""
+    from glucoflow.operators.quality import period_stats as ps
+
+    return ps(A.align(_processed(spark, sf_dir)).frame)

@@ -120,3 +120,27 @@ def test_conformance_classifies_folder(spark, tmp_path):
     assert "Missing required columns" in res["bad.csv"]["failed_candidates"][0]
     assert res["x.sqlite"]["layout"] is None
     assert "Missing tables: Treatments" in res["x.sqlite"]["failed_candidates"][0]
+
+
+def test_multi_file_layout_folder_verdict(spark, tmp_path):
+    from glucoflow.sources import conform
+
+    two = K.Layout(
+        "two_files",
+        (
+            K.FileConfig("glucose.csv", "csv", (K.Table("", "Time", (K.Column("Glucose", "CGM", "mg/dL"),)),)),
+            K.FileConfig("insulin.csv", "csv", (K.Table("", "Time", (K.Column("Dose", "INSULIN", "U"), K.Column("Type", None, None, K.OPTIONAL))),)),
+        ),
+    )
+    cat = K.Catalog()
+    cat.register(two)
+    full, half = tmp_path / "full", tmp_path / "half"
+    full.mkdir()
+    half.mkdir()
+    _write(full / "glucose.csv", "Time,Glucose\n2024-01-01 00:00,100\n")
+    _write(full / "insulin.csv", "Time,Dose,Type\n2024-01-01 00:00,4,rapid\n")
+    _write(half / "glucose.csv", "Time,Glucose\n2024-01-01 00:00,100\n")
+    res = conform.classify(spark, str(tmp_path), cat)
+    assert res.where("layout = 'two_files'").count() == 3  # each file matches its own config
+    v = {os.path.basename(r["folder"]): r["complete"] for r in conform.folder_verdicts(res, cat).collect()}
+    assert v == {"full": True, "half": False}
