@@ -11,7 +11,6 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glucoflow.functions import glucose as G
 from glucoflow.operators import align as A

@@ -3,7 +3,6 @@ import os
 import sqlite3
 
 import pytest
-from pyspark.sql import functions as F
 
 from glucoflow.functions import timestamps as TS
 from glucoflow.sources import catalog as K
