@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() removes Unicode whitespace; Spark's trim() only spaces.
-_EDGE_SPACE = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
+# Python's str.strip() removes every Unicode whitespace character; Spark's
+# trim() only removes spaces.  The set is derived by rule, once.
+WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def clean_note(c: Column) -> Column:
-    """Strip surrounding whitespace; empty text becomes null."""
-    stripped = F.regexp_replace(c, _EDGE_SPACE, "")
+    """Strip surrounding whitespace; empty text becomes null (no regex)."""
+    stripped = F.btrim(c, F.lit(WHITESPACE))
     return F.when(stripped != F.lit(""), stripped)
 
 
