@@ -945,3 +945,38 @@ def period_stats(spark, sf_dir):
     from glucoflow.operators.quality import period_stats as ps
 
     return ps(A.align(_processed(spark, sf_dir)).frame)
+
+
+@query(
+    "cgm_no_tail_fill",
+    f"""WITH sensor AS (SELECT event_type AS series_id, ts, 40.0 + value * 3 AS v FROM events),
+{cgm_fill_ctes('sensor', fill_tail=False)}
+SELECT series_id, {ts_sql('slot')} AS ts, {r6_sql('cgm_primary')} AS cgm_primary, missing FROM cgm_out""",
+)
+def cgm_no_tail_fill(spark, sf_dir):
+    """W6 option (Q6): the dense sensors again, with trailing gaps left empty
+    instead of repeating the last reading."""
+    p = C.cgm(D.sensor_events(_events(spark, sf_dir)), fill_tail=False)
+    return p.frame.select("series_id", "ts", r6("cgm_primary").alias("cgm_primary"), "missing")
+
+
+@query(
+    "insulin_union_doses",
+    f"""{_USER}{TYPE_CTES},
+two AS (
+  SELECT series_id, ts, dose FROM ins_pos
+  UNION ALL SELECT series_id, ts, value / 20 FROM ev WHERE event_type = 'error' AND value / 20 > 0
+)
+SELECT t.series_id, t.ts, {r6_sql('t.dose')} AS dose,
+  CASE WHEN m.t = 'novorapid' THEN true WHEN m.t = 'levemir' THEN false ELSE t.dose <= 8.0 END AS is_bolus,
+  CASE WHEN m.t = 'novorapid' THEN false WHEN m.t = 'levemir' THEN true ELSE t.dose > 8.0 AND t.dose <= 15.0 END AS is_basal,
+  coalesce(m.t, '') AS type
+FROM two t LEFT JOIN ins_mt m ON t.series_id = m.series_id AND t.ts = m.ts""",
+)
+def insulin_union_doses(spark, sf_dir):
+    """M5 with two dose columns (Q2 fix): rapid doses from purchases and a
+    second, long-acting column from error events (value / 20); every
+    positive dose of either column is a row, none overwrites another."""
+    ev = _events(spark, sf_dir)
+    second = D._long(ev.where(F.col("event_type") == "error"), F.col("user_id"), "INSULIN", "insulin_2", "U", F.col("value") / 20)
+    return _round_all(C.insulin(D.device_events(ev).unionByName(second)).frame)

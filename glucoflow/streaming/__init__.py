@@ -28,12 +28,12 @@ def watch_exports(
     max_files_per_trigger: int | None = None,
     **params,
 ):
-    """Start a stream that runs ``pipeline.run`` on every batch of new files.
+    """Start a stream that runs ``workflow.run`` on every batch of new files.
 
     Returns the ``StreamingQuery``.  With ``available_now`` the stream
     processes what is there and stops (a scheduled incremental job).
     """
-    from glucoflow.plans import pipeline
+    from glucoflow.plans import workflow
 
     reader = spark.readStream.format("binaryFile").schema(_BINARY_SCHEMA)
     if glob:
@@ -47,7 +47,7 @@ def watch_exports(
         # itself is read by the batch pipeline on the executors
         paths = [r["path"] for r in batch.collect()]
         if paths:
-            pipeline.run(spark, paths, f"{out_dir.rstrip('/')}/batch={batch_id}", layout=layout, **params)
+            workflow.run(spark, paths, f"{out_dir.rstrip('/')}/batch={batch_id}", layout=layout, **params)
 
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/glucoflow-stream"
     writer = files.writeStream.foreachBatch(run_batch).option("checkpointLocation", ckpt)

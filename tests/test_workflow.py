@@ -3,7 +3,7 @@
 import glob
 import os
 
-from glucoflow.plans import pipeline
+from glucoflow.plans import workflow
 
 HEADER = ("Device,Serial Number,Device Timestamp,Historic Glucose mmol/L,Scan Glucose mmol/L,Strip Glucose mmol/L,"
           "Rapid-Acting Insulin (units),Long-Acting Insulin Value (units),Carbohydrates (grams),Notes")
@@ -25,7 +25,7 @@ def test_run_end_to_end(spark, tmp_path):
     src.mkdir()
     write_export(src / "alice.csv", 8)
     write_export(src / "bob.csv", 9)
-    run, aligned, written = pipeline.run(spark, [str(src / "alice.csv"), str(src / "bob.csv")], str(tmp_path / "out"))
+    run, aligned, written = workflow.run(spark, [str(src / "alice.csv"), str(src / "bob.csv")], str(tmp_path / "out"))
     assert set(run.processed) == {"CGM", "BGM", "INSULIN", "CARBS", "NOTES"}
     al = aligned.frame
     assert al.select("series_id").distinct().count() == 2
