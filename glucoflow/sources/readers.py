@@ -46,7 +46,7 @@ def read_csv_table(spark: SparkSession, paths: list[str], table: Table, max_colu
     raw = (
         spark.read.schema(schema)
         .option("header", False)
-        .option("multiLine", True)
+        .option("multiLine", table.quoted_newlines)
         .option("mode", "PERMISSIVE")
         .option("encoding", "UTF-8")
         .option("quote", '"')
@@ -58,7 +58,11 @@ def read_csv_table(spark: SparkSession, paths: list[str], table: Table, max_colu
             F.array(*[F.col(f"_c{i}") for i in range(n)]).alias("_fields"),
         )
     )
-    # row position within its file: a file's rows are consecutive ids
+    # row position within its file.  Splits of one file are packed into
+    # partitions in offset order and ids grow with the partition, so the
+    # first rows of a file (preamble, header) get positions 0, 1, ... even
+    # when a big file is split (``quoted_newlines=False``); later rows only
+    # need to sort after the header.
     first = raw.groupBy("_file").agg(F.min("_seq").alias("_first"))
     rows = raw.join(first, "_file").withColumn("_pos", F.col("_seq") - F.col("_first")).drop("_first")
     required = [c.source_name.strip().lower() for c in table.columns if c.requirement != OPTIONAL]

@@ -143,3 +143,20 @@ def test_multi_file_layout_folder_verdict(spark, tmp_path):
     assert res.where("layout = 'two_files'").count() == 3  # each file matches its own config
     v = {os.path.basename(r["folder"]): r["complete"] for r in conform.folder_verdicts(res, cat).collect()}
     assert v == {"full": True, "half": False}
+
+
+def test_csv_split_file_keeps_header(spark, tmp_path):
+    table = K.Table("", "Time", (K.Column("Glucose", "CGM", "mg/dL"),), header_row=1, quoted_newlines=False)
+    lines = ["Export of glucose", "Time,Glucose"] + [f"2024-01-01 {i // 60:02d}:{i % 60:02d},{100 + i % 50}" for i in range(1200)]
+    _write(tmp_path / "big.csv", "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        # the file really is read as several splits
+        assert spark.read.option("multiLine", False).csv(str(tmp_path / "big.csv")).rdd.getNumPartitions() > 1
+        df = R.read_csv_table(spark, [str(tmp_path / "big.csv")], table)
+        rows = df.orderBy("_seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 1200
+    assert rows[0]["Time"] == "2024-01-01 00:00" and rows[-1]["Glucose"] == str(100 + 1199 % 50)

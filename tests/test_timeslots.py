@@ -31,3 +31,19 @@ def test_round_before_epoch(spark):
     out = [r[0] for r in df.select(round_half_even(F.col("us"), 300_000_000)).collect()]
     # -7:30 min -> -2 slots (even), -2:30 -> 0 (even), just after -> 0
     assert out == [-2, 0, 0]
+
+
+def test_rounding_matches_pandas_on_random_instants(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    step_us = {"5min": 300_000_000, "15min": 900_000_000, "1h": 3_600_000_000}
+    base = rng.integers(-10**15, 2 * 10**15, size=400)
+    for freq, step in step_us.items():
+        ties = (base // step) * step + step // 2  # exact halves
+        us = np.concatenate([base, ties, ties + 1, ties - 1])
+        df = spark.createDataFrame([(int(x),) for x in us], "us bigint")
+        got = [r[0] for r in df.select(round_half_even(F.col("us"), step) * F.lit(step)).collect()]
+        exp = (pd.to_datetime(us, unit="us").round(freq).asi8 // 1000).tolist()
+        assert got == exp, freq
