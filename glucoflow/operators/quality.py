@@ -70,3 +70,89 @@ def period_stats(aligned: DataFrame, keys: list[str] | None = None, ts: str = "t
     if "notes_primary" in cols:
         aggs.append(F.count("notes_primary").alias("notes"))
     return aligned.groupBy(*keys, F.date_format(ts, "yyyy-MM").alias("month")).agg(*aggs)
+
+
+# The text of the per-type processing notes, as in the original
+# run notes (placeholders filled per person by Spark's format_string).
+NOTE_FORMATS = {
+    "CGM": [
+        "Processed %d total CGM readings",
+        "Found %d missing or interpolated values in primary data",
+        "Found %d missing values after interpolation",
+        "Initial CGM dataset completeness: %.2f%%",
+        "CGM completeness after interpolation: %.2f%%",
+    ],
+    "BGM": [
+        "Removed %d invalid/zero values from column 1",
+        "Clipped %d values in column bgm_primary (%d below range, %d above range)",
+        "Processed %d total BGM readings",
+        "Average of %.1f readings per day",
+        "Date range: %s to %s",
+    ],
+    "INSULIN": [
+        "Found %d positive doses",
+        "- %d doses classified as bolus (≤%sU)",
+        "- %d doses classified as basal (>%sU)",
+        "- Dropped %d doses exceeding %sU",
+        "Updated %d classifications using metadata",
+        "Final dataset contains %d insulin records",
+    ],
+    "CARBS": [
+        "Column carbs_primary: Kept %d entries ≥1g (%.1f%%)",
+        "Removed %d duplicate timestamps",
+        "Final dataset contains %d entries from %d original records",
+    ],
+    "NOTES": [
+        "Column notes_primary: found %d valid notes",
+        "Final dataset contains %d notes entries",
+    ],
+}
+
+
+def data_notes(events: DataFrame, processed: dict, bolus_limit: float = 8.0, max_dose: float = 15.0) -> DataFrame:
+    """Per person and data type, the processing notes with that person's
+    numbers (``series_id, data_type, notes array<string>``).  All counts are
+    aggregates; nothing is collected."""
+    from glucoflow.operators import clean as C
+
+    fs = F.format_string
+    out = []
+    if "CGM" in processed:
+        m = C.cgm_completeness(processed["CGM"].frame)
+        f = NOTE_FORMATS["CGM"]
+        out.append(m.select("series_id", F.lit("CGM").alias("data_type"), F.array(
+            fs(f[0], "total_readings"), fs(f[1], "missing_primary"), fs(f[2], "missing_after_fill"),
+            fs(f[3], "initial_completeness_pct"), fs(f[4], "completeness_after_fill_pct"),
+        ).alias("notes")))
+    if "BGM" in processed:
+        m = C.bgm_stats(events).join(
+            processed["BGM"].frame.groupBy("series_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b")), "series_id", "left"
+        )
+        f = NOTE_FORMATS["BGM"]
+        out.append(m.select("series_id", F.lit("BGM").alias("data_type"), F.array(
+            fs(f[0], "removed_invalid"), fs(f[1], "clipped_total", "clipped_below", "clipped_above"),
+            fs(f[2], "readings"), fs(f[3], F.coalesce(F.col("readings_per_day"), F.lit(0.0))),
+            fs(f[4], F.col("a").cast("string"), F.col("b").cast("string")),
+        ).alias("notes")))
+    if "INSULIN" in processed:
+        m = C.insulin_stats(processed["INSULIN"].frame, max_dose)
+        f = NOTE_FORMATS["INSULIN"]
+        out.append(m.select("series_id", F.lit("INSULIN").alias("data_type"), F.array(
+            fs(f[0], "doses"), fs(f[1], "bolus", F.lit(str(bolus_limit))), fs(f[2], "basal", F.lit(str(bolus_limit))),
+            fs(f[3], "count_over_max", F.lit(str(max_dose))), fs(f[4], "meta_updates"), fs(f[5], "doses"),
+        ).alias("notes")))
+    if "CARBS" in processed:
+        m = C.carbs_stats(events)
+        f = NOTE_FORMATS["CARBS"]
+        out.append(m.select("series_id", F.lit("CARBS").alias("data_type"), F.array(
+            fs(f[0], "kept_entries", "kept_pct"), fs(f[1], "duplicates_removed"),
+            fs(f[2], "final_entries", "original_entries"),
+        ).alias("notes")))
+    if "NOTES" in processed:
+        m = processed["NOTES"].frame.groupBy("series_id").agg(F.count("notes_primary").alias("n"))
+        f = NOTE_FORMATS["NOTES"]
+        out.append(m.select("series_id", F.lit("NOTES").alias("data_type"), F.array(fs(f[0], "n"), fs(f[1], "n")).alias("notes")))
+    res = out[0]
+    for x in out[1:]:
+        res = res.unionByName(x)
+    return res

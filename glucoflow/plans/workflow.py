@@ -151,5 +151,8 @@ def run(spark: SparkSession, paths: list[str], out_dir: str, layout=None, freq:
             aligned = A.align(r.processed, freq=freq)
         except A.AlignmentError as e:
             r.notes.append(f"Alignment failed: {e}")
-    written = export.write(spark, r.processed, aligned, out_dir, fmt=fmt)
+    from glucoflow.operators.quality import data_notes
+
+    notes = data_notes(r.events, r.processed, params.get("bolus_limit", G.DEFAULT_BOLUS_LIMIT), params.get("max_dose", G.DEFAULT_MAX_DOSE))
+    written = export.write(spark, r.processed, aligned, out_dir, fmt=fmt, data_notes=notes)
     return r, aligned, written

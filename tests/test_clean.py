@@ -76,3 +76,25 @@ def test_notes_strip_and_drop_empty(spark):
     ]
     out = C.notes(long_events(spark, rows)).frame.orderBy("_seq").toPandas()
     assert list(out.notes_primary) == ["breakfast", "feeling low", "again"]
+
+
+def test_data_notes_text(spark):
+    from glucoflow.operators.quality import data_notes
+
+    rows = [
+        ("p", at(0), 0, "CGM", "cgm_primary", True, "mg/dL", 100.0, None),
+        ("p", at(10), 1, "CGM", "cgm_primary", True, "mg/dL", 120.0, None),
+        ("p", at(0), 2, "INSULIN", "dose", True, "U", 5.0, None),
+        ("p", at(5), 3, "INSULIN", "dose", True, "U", 20.0, None),
+        ("p", at(0), 4, "CARBS", "carbs_primary", True, "g", 0.5, None),
+        ("p", at(5), 5, "CARBS", "carbs_primary", True, "g", 30.0, None),
+    ]
+    ev = long_events(spark, rows)
+    p = {"CGM": C.cgm(ev), "INSULIN": C.insulin(ev), "CARBS": C.carbs(ev)}
+    notes = {r["data_type"]: r["notes"] for r in data_notes(ev, p).collect()}
+    assert notes["CGM"][0] == "Processed 3 total CGM readings"
+    assert notes["CGM"][1] == "Found 1 missing or interpolated values in primary data"
+    assert notes["CGM"][3] == "Initial CGM dataset completeness: 66.67%"
+    assert notes["INSULIN"][1] == "- 1 doses classified as bolus (≤8.0U)"
+    assert notes["INSULIN"][3] == "- Dropped 1 doses exceeding 15.0U"
+    assert notes["CARBS"][0] == "Column carbs_primary: Kept 1 entries ≥1g (50.0%)"

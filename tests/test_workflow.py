@@ -43,6 +43,8 @@ def test_run_end_to_end(spark, tmp_path):
     assert glob.glob(f"{base}/monthly/cgm/series_id=bob/month=2024-01/*.csv")
     notes = spark.read.json(written["processing_notes"])
     assert notes.where("data_type = 'aligned'").count() == 2
+    cgm_notes = notes.where("data_type = 'cgm' AND series_id = 'alice'").first()["notes"]
+    assert "Processed 12 total CGM readings" in cgm_notes
 
 
 def test_stream_processes_new_files(spark, tmp_path):
