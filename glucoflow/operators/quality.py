@@ -132,7 +132,7 @@ def data_notes(events: DataFrame, processed: dict, bolus_limit: float = 8.0, max
         out.append(m.select("series_id", F.lit("BGM").alias("data_type"), F.array(
             fs(f[0], "removed_invalid"), fs(f[1], "clipped_total", "clipped_below", "clipped_above"),
             fs(f[2], "readings"), fs(f[3], F.coalesce(F.col("readings_per_day"), F.lit(0.0))),
-            fs(f[4], F.col("a").cast("string"), F.col("b").cast("string")),
+            fs(f[4], F.date_format("a", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.date_format("b", "yyyy-MM-dd HH:mm:ss.SSSSSS")),
         ).alias("notes")))
     if "INSULIN" in processed:
         m = C.insulin_stats(processed["INSULIN"].frame, max_dose)

@@ -980,3 +980,60 @@ def insulin_union_doses(spark, sf_dir):
     ev = _events(spark, sf_dir)
     second = D._long(ev.where(F.col("event_type") == "error"), F.col("user_id"), "INSULIN", "insulin_2", "U", F.col("value") / 20)
     return _round_all(C.insulin(D.device_events(ev).unionByName(second)).frame)
+
+
+def _notes_sql() -> str:
+    return f"""{_USER}{TYPE_CTES},
+{cgm_fill_ctes('cgm_raw')},
+c AS (SELECT series_id, count(*) AS n, count_if(missing) AS miss, count_if(cgm_primary IS NULL) AS na,
+        round(100.0 * count_if(NOT missing) / count(*), 2) AS p1, round(100.0 * count(cgm_primary) / count(*), 2) AS p2
+      FROM cgm_out GROUP BY 1),
+bv AS (SELECT series_id, ts, value, value * 18.0182 AS mg FROM bgm_raw),
+bk AS (SELECT series_id, count(DISTINCT ts) AS readings, min(ts) AS a, max(ts) AS b FROM bv WHERE value > 0 GROUP BY 1),
+bc AS (SELECT series_id, count_if(NOT coalesce(value > 0, false)) AS removed,
+        count_if(value > 0 AND mg < 39.64) AS lo, count_if(value > 0 AND mg > 360.36) AS hi FROM bv GROUP BY 1),
+bo AS (SELECT series_id, min(ts) AS a, max(ts) AS b FROM bgm_out GROUP BY 1),
+b AS (SELECT bc.series_id, removed, lo, hi, coalesce(readings, 0) AS readings,
+        {r6_sql("readings / CASE WHEN epoch_us(bk.b) - epoch_us(bk.a) > 0 THEN (epoch_us(bk.b) - epoch_us(bk.a)) / 86400e6 END")} AS rate,
+        bo.a AS a, bo.b AS b
+      FROM bc LEFT JOIN bk USING (series_id) LEFT JOIN bo USING (series_id)),
+i AS (SELECT series_id, count(*) AS n, count_if(is_bolus) AS bol, count_if(is_basal) AS bas,
+        count_if(dose > 15.0) AS over, count_if(type <> '') AS upd FROM ins_out GROUP BY 1),
+kc AS (SELECT series_id, ts, CASE WHEN value >= 1.0 THEN value END AS v FROM carb_raw),
+k AS (SELECT series_id, count(*) AS orig, count(v) AS kept, round(100.0 * count(v) / count(*), 1) AS pct,
+        count(DISTINCT CASE WHEN v IS NOT NULL THEN ts END) AS fin FROM kc GROUP BY 1),
+n AS (SELECT series_id, count(*) AS n FROM note_out GROUP BY 1)
+SELECT series_id, 'CGM' AS data_type, concat_ws(' | ',
+  printf('Processed %d total CGM readings', n), printf('Found %d missing or interpolated values in primary data', miss),
+  printf('Found %d missing values after interpolation', na), printf('Initial CGM dataset completeness: %.2f%%', round(p1, 2)),
+  printf('CGM completeness after interpolation: %.2f%%', round(p2, 2))) AS notes FROM c
+UNION ALL
+SELECT series_id, 'BGM', concat_ws(' | ',
+  printf('Removed %d invalid/zero values from column 1', removed),
+  printf('Clipped %d values in column bgm_primary (%d below range, %d above range)', lo + hi, lo, hi),
+  printf('Processed %d total BGM readings', readings), printf('Average of %.1f readings per day', round(coalesce(rate, 0.0), 1)),
+  'Date range: ' || strftime(a, '%Y-%m-%d %H:%M:%S.%f') || ' to ' || strftime(b, '%Y-%m-%d %H:%M:%S.%f')) FROM b
+UNION ALL
+SELECT series_id, 'INSULIN', concat_ws(' | ',
+  printf('Found %d positive doses', n), printf('- %d doses classified as bolus (≤8.0U)', bol),
+  printf('- %d doses classified as basal (>8.0U)', bas), printf('- Dropped %d doses exceeding 15.0U', over),
+  printf('Updated %d classifications using metadata', upd), printf('Final dataset contains %d insulin records', n)) FROM i
+UNION ALL
+SELECT series_id, 'CARBS', concat_ws(' | ',
+  printf('Column carbs_primary: Kept %d entries ≥1g (%.1f%%)', kept, round(pct, 1)),
+  printf('Removed %d duplicate timestamps', kept - coalesce(fin, 0)),
+  printf('Final dataset contains %d entries from %d original records', coalesce(fin, 0), orig)) FROM k
+UNION ALL
+SELECT series_id, 'NOTES', concat_ws(' | ',
+  printf('Column notes_primary: found %d valid notes', n), printf('Final dataset contains %d notes entries', n)) FROM n"""
+
+
+@query("processing_notes", _notes_sql())
+def processing_notes(spark, sf_dir):
+    """M10 + K5 + A9, A11-A18: each person's processing notes per data type
+    (the original notes text with that person's numbers)."""
+    from glucoflow.operators.quality import data_notes
+
+    p = _processed(spark, sf_dir)
+    n = data_notes(_devices(spark, sf_dir), p)
+    return n.select("series_id", "data_type", F.array_join("notes", " | ").alias("notes"))
