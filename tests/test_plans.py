@@ -41,3 +41,16 @@ def test_alignment_aggregates_once(spark):
     plan = _plan(al)
     # all non-reference types meet in one union feeding one aggregation
     assert plan.count("Union") == 1, plan
+
+
+def test_time_sample_is_limited_before_the_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from glucoflow.functions import timestamps as TS
+
+    ev = spark.read.parquet(f"{SF}/events.parquet").select(
+        F.col("user_id").cast("string").alias("s"), "event_id", F.col("ts").cast("string").alias("t")
+    )
+    plan = _plan(TS.detect(ev, ["s"], "t", "event_id"))
+    # a hot person sends at most 50 rows per map task to the sample window
+    assert re.search(r"WindowGroupLimit .*row_number\(\), 50, Partial", plan), plan
