@@ -66,12 +66,13 @@ def _structure_of(path: str) -> list[tuple]:
             with open(p, encoding="utf-8") as fh:
                 data = json.load(fh)
             if isinstance(data, list):
-                first = data[0] if data and isinstance(data[0], dict) else {}
-                rows.append((path, ft, "", 0, list(first)))
+                # a top-level list serves every table of the layout ("*")
+                if data and isinstance(data[0], dict):
+                    rows.append((path, ft, "*", 0, list(data[0])))
             elif isinstance(data, dict):
                 for k, v in data.items():
-                    if isinstance(v, list):
-                        first = v[0] if v and isinstance(v[0], dict) else {}
+                    first = v[0] if isinstance(v, list) and v else v
+                    if isinstance(first, dict):
                         rows.append((path, ft, k, 0, list(first)))
         elif ft == "xml":
             import xml.etree.ElementTree as ET
@@ -127,9 +128,9 @@ def validate(spark: SparkSession, files: DataFrame, catalog: Catalog | None = No
     cand = fl.join(st, "file_type").where(F.expr("_name rlike _glob")).drop("_name", "_glob")
     case_sensitive = F.col("file_type") == "sqlite"
     lower_all = lambda a: F.transform(a, lambda x: F.lower(F.trim(x)))
-    joined = cand.join(
-        s.select("path", "table_name", "pos", "names"), ["path", "table_name"], "left"
-    )
+    st_rows = s.select(F.col("path").alias("_p"), F.col("table_name").alias("_t"), "pos", "names")
+    match = (F.col("path") == F.col("_p")) & ((F.col("table_name") == F.col("_t")) | (F.col("_t") == "*"))
+    joined = cand.join(st_rows, match, "left").drop("_p", "_t")
     actual = F.when(case_sensitive, F.col("names")).otherwise(lower_all(F.col("names")))
     wanted = F.when(case_sensitive, F.col("required")).otherwise(lower_all(F.col("required")))
     joined = joined.withColumn("missing", F.when(F.col("names").isNull(), wanted).otherwise(F.array_except(wanted, actual)))

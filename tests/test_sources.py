@@ -160,3 +160,23 @@ def test_csv_split_file_keeps_header(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert len(rows) == 1200
     assert rows[0]["Time"] == "2024-01-01 00:00" and rows[-1]["Glucose"] == str(100 + 1199 % 50)
+
+
+def test_json_and_xml_structure_checks(spark, tmp_path):
+    from glucoflow.sources import conform
+
+    cat = K.Catalog()
+    cat.register(K.EXAMPLE_JSON)
+    cat.register(K.EXAMPLE_XML)
+    _write(tmp_path / "a.json", '{"readings": [{"time": "2024-01-01T00:00:00Z", "glucose": 100, "meter": null, "dose": 1, "carbs": 2}]}')
+    _write(tmp_path / "b.json", '[{"time": "2024-01-01T00:00:00Z", "glucose": 100}]')  # list: misses fields
+    _write(tmp_path / "e.json", '[{"Time": "2024-01-01T00:00:00Z", "glucose": 1, "meter": 2, "dose": 3, "carbs": 4}]')
+    _write(tmp_path / "c.xml", '<export><reading time="2024-01-01T00:00:00Z"><glucose>100</glucose><meter></meter></reading></export>')
+    _write(tmp_path / "d.xml", '<export><reading time="2024-01-01T00:00:00Z"><glucose>100</glucose></reading></export>')
+    res = {os.path.basename(r["path"]): r for r in conform.classify(spark, str(tmp_path), cat).collect()}
+    assert res["a.json"]["layout"] == "example_json"
+    assert res["b.json"]["layout"] is None
+    assert "Missing required columns in readings: carbs, dose, meter" in res["b.json"]["failed_candidates"][0]
+    assert res["e.json"]["layout"] == "example_json"  # a list serves the table; keys compared lower-cased
+    assert res["c.xml"]["layout"] == "example_xml"
+    assert res["d.xml"]["layout"] is None and "meter" in res["d.xml"]["failed_candidates"][0]
