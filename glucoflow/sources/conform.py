@@ -134,11 +134,13 @@ def validate(spark: SparkSession, files: DataFrame, catalog: Catalog | None = No
     actual = F.when(case_sensitive, F.col("names")).otherwise(lower_all(F.col("names")))
     wanted = F.when(case_sensitive, F.col("required")).otherwise(lower_all(F.col("required")))
     joined = joined.withColumn("missing", F.when(F.col("names").isNull(), wanted).otherwise(F.array_except(wanted, actual)))
-    # CSV: declared header row, or the first of the first four rows that holds everything
+    # CSV: declared header row, or the first of the first four rows that holds
+    # everything; any other row counts as "everything missing", so a file
+    # shorter than the declared header row fails
     pos_ok = F.col("header_row").isNull() | (F.col("pos") == F.col("header_row")) | F.col("pos").isNull()
+    joined = joined.withColumn("missing", F.when(pos_ok, F.col("missing")).otherwise(wanted))
     per_table = (
-        joined.where(pos_ok)
-        .groupBy("path", "layout", "layout_pos", "file_type", "file_pattern", "table_name")
+        joined.groupBy("path", "layout", "layout_pos", "file_type", "file_pattern", "table_name")
         .agg(
             F.min_by(F.col("missing"), F.struct(F.size("missing"), F.col("pos"))).alias("missing"),
             F.bool_or(F.col("names").isNotNull()).alias("present"),

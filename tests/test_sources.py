@@ -180,3 +180,12 @@ def test_json_and_xml_structure_checks(spark, tmp_path):
     assert res["e.json"]["layout"] == "example_json"  # a list serves the table; keys compared lower-cased
     assert res["c.xml"]["layout"] == "example_xml"
     assert res["d.xml"]["layout"] is None and "meter" in res["d.xml"]["failed_candidates"][0]
+
+
+def test_csv_shorter_than_declared_header_row_fails(spark, tmp_path):
+    from glucoflow.sources import conform
+
+    header = "Device,Serial Number,Device Timestamp,Historic Glucose mmol/L,Scan Glucose mmol/L,Strip Glucose mmol/L,Rapid-Acting Insulin (units),Long-Acting Insulin Value (units),Carbohydrates (grams),Notes"
+    _write(tmp_path / "short.csv", header + "\n")  # header on row 0, layout declares row 1
+    res = conform.classify(spark, str(tmp_path)).collect()
+    assert res[0]["layout"] is None
