@@ -125,7 +125,6 @@ FROM b GROUP BY series_id, slot""",
 )
 def slot_mean(spark, sf_dir):
     """T9 + A1: CGM readings per person averaged per 5-minute slot."""
-    obs, _ = C.cgm_slots(_devices(spark, sf_dir), 300_000_000)
     ev = _devices(spark, sf_dir).where(F.col("data_type") == "CGM")
     counts = ev.groupBy("series_id", slot_of("ts", 300_000_000).alias("slot")).agg(
         F.avg("value").alias("cgm_mean"), F.count(F.lit(1)).alias("readings")

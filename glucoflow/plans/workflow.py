@@ -155,4 +155,6 @@ def run(spark: SparkSession, paths: list[str], out_dir: str, layout=None, freq:
 
     notes = data_notes(r.events, r.processed, params.get("bolus_limit", G.DEFAULT_BOLUS_LIMIT), params.get("max_dose", G.DEFAULT_MAX_DOSE))
     written = export.write(spark, r.processed, aligned, out_dir, fmt=fmt, data_notes=notes)
+    if r.events.is_cached:
+        r.events.unpersist()
     return r, aligned, written
