@@ -426,21 +426,17 @@ daily AS (SELECT g.series_id, g.slot, coalesce(a.q, 0.0) AS quantity, coalesce(a
 
 
 def _daily(spark, sf_dir) -> DataFrame:
-    from glucoflow.operators.resample import calendar_grid, resample_onto, slot_span
+    from glucoflow.operators.resample import fill_between_observed
 
     li = D.read_table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("series_id"), F.col("l_shipdate").alias("ts"), "l_quantity"
     )
-    grid = calendar_grid(slot_span(li, ["series_id"], "ts", _DAY), ["series_id"], _DAY).drop("slot")
-    return resample_onto(
-        li,
-        ["series_id"],
-        "ts",
-        {"quantity": F.sum("l_quantity"), "lines": F.count(F.lit(1))},
-        grid,
-        "1D",
-        fill={"quantity": 0.0, "lines": 0},
+    # sums per day, then the supplier's calendar emitted from its own days
+    # (the timeline is the span of the data: no calendar join)
+    per_day = li.groupBy("series_id", slot_of("ts", _DAY).alias("slot")).agg(
+        F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines")
     )
+    return fill_between_observed(per_day, ["series_id"], {"quantity": 0.0, "lines": 0}, _DAY)
 
 
 @query(
