@@ -230,8 +230,9 @@ def wide_grid(
     # observed rows over the full partition count first, so runtime
     # coalescing sized on the input does not leave a few tasks emitting the
     # whole grid (an explicit count is kept by AQE)
-    spark = obs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    from glucoflow.session import target_partitions
+
+    n = target_partitions(obs.sparkSession)
     return (
         joined.select(*pre)
         .repartition(n, "series_id", "slot")

@@ -41,19 +41,36 @@ def get_spark(master: str | None = None, partitions: int | None = None) -> Spark
     return ensure_session_defaults(spark)
 
 
+def target_partitions(spark: SparkSession) -> int:
+    """Partition count for stages that expand rows: the shuffle partition
+    setting, at least the cluster's default parallelism when known."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        n = max(n, spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. a remote session)
+        pass
+    return n
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir``.
 
     Only when the session names none (local tests) a fresh folder is made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. a remote session)
+        sc = None
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        if sc is not None:
+            sc.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     path = tempfile.mkdtemp(prefix="glucoflow-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
