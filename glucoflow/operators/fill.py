@@ -1,18 +1,18 @@
-"""Regular grid with limited linear gap filling, per series and column.
+"""Regular grid with limited linear gap filling, and block-wise "next row".
 
-The grid is built from the observed slots themselves: every observation
-emits the slots up to the next observation (``explode(sequence(..))``), so
-grid, gap length and interpolation come from one ``lead`` and no join with a
-dense calendar.
+The grid is built from the observed slots themselves: every observed slot
+emits the slots up to the next observed slot (``explode(sequence(..))``), so
+grid, gap lengths and interpolation need no join with a dense calendar.
 
 Skew: one person (series) may hold a large share of all readings, so no
 window is partitioned by the series alone.  Windows run per
-``(series, column, block)`` where a block is a fixed number of slots (one day
-by default).  The observation that follows the last one of a block is found
-on the small table of block heads (one row per non-empty block) and carried
-into the previous block as a sentinel row, so the main window never needs a
-join.  A block holds at most ``block_slots`` slot rows after the slot
-aggregation, whatever the raw reading rate.
+``(series, block)`` where a block is a fixed number of slots (one day by
+default), which bounds a window partition at ``block_slots`` slot rows after
+the slot aggregation, whatever the raw reading rate.  What crosses a block
+boundary comes from the small table of per-block summaries (a few rows per
+series-day): carried into the previous block as a sentinel row
+(``with_next``) or scanned per series and joined back on
+``(series, block)`` (``wide_grid``).
 """
 
 from __future__ import annotations
@@ -72,59 +72,6 @@ def next_observation(obs: DataFrame, keys: list[str], block_slots: int = DEFAULT
     return with_next(obs, keys, "slot", ["v"], block_slots)
 
 
-def regular_grid(
-    obs: DataFrame,
-    span: DataFrame,
-    keys: list[str],
-    limit: int = 4,
-    fill_tail: bool = True,
-    block_slots: int = DEFAULT_BLOCK_SLOTS,
-) -> DataFrame:
-    """Every slot of each series span with filled values for one column.
-
-    ``obs``:  ``keys + [slot, v]`` with non-null ``v``, one row per slot.
-    ``span``: ``[series_id, lo, hi]`` - the grid bounds of each series, taken
-    over all columns of the data type (so leading / trailing slots exist).
-    ``keys`` must start with ``series_id``.
-
-    Returns ``keys + [slot, v, observed]``.  Rules: a gap of more than
-    ``limit`` slots stays entirely null; shorter inner gaps get a straight
-    line between the neighbours; a trailing gap up to ``limit`` repeats the
-    last value (off with ``fill_tail=False``); leading slots stay null.
-    """
-    nxt = next_observation(obs, keys, block_slots).join(span, "series_id")
-    end = F.coalesce(F.col("next_slot") - 1, F.col("hi"))
-    gap = F.when(F.col("next_slot").isNotNull(), F.col("next_slot") - F.col("slot") - 1).otherwise(
-        F.col("hi") - F.col("slot")
-    )
-    s = F.col("g_slot")
-    interp = F.col("v") + (F.col("next_v") - F.col("v")) / (F.col("next_slot") - F.col("slot")) * (
-        s - F.col("slot")
-    )
-    tail = F.col("v") if fill_tail else F.lit(None).cast("double")
-    filled = (
-        F.when(s == F.col("slot"), F.col("v"))
-        .when(F.col("_gap") > F.lit(limit), F.lit(None).cast("double"))
-        .when(F.col("next_slot").isNull(), tail)
-        .otherwise(interp)
-    )
-    body = (
-        nxt.withColumn("_gap", gap)
-        .withColumn("g_slot", F.explode(F.sequence(F.col("slot"), end)))
-        .select(*keys, F.col("g_slot").alias("slot_out"), filled.alias("v_out"), (s == F.col("slot")).alias("observed"))
-        .withColumnRenamed("slot_out", "slot")
-        .withColumnRenamed("v_out", "v")
-    )
-    # leading slots before the first observation of each key: always null
-    first = obs.groupBy(*keys).agg(F.min("slot").alias("_first")).join(span, "series_id")
-    lead_rows = (
-        first.where(F.col("_first") > F.col("lo"))
-        .select(*keys, F.explode(F.sequence(F.col("lo"), F.col("_first") - 1)).alias("slot"))
-        .select(*keys, "slot", F.lit(None).cast("double").alias("v"), F.lit(False).alias("observed"))
-    )
-    return body.unionByName(lead_rows)
-
-
 def wide_grid(
     obs: DataFrame,
     columns: list[str],
@@ -140,7 +87,12 @@ def wide_grid(
     original pipeline).  The grid of a series runs from its first to its
     last such slot.
 
-    Per column, the rules of :func:`regular_grid` apply.  Previous / next
+    Rules per column: a gap of more than ``limit`` slots stays entirely
+    null; shorter inner gaps get a straight line between the neighbours; a
+    trailing gap up to ``limit`` repeats the last value (off with
+    ``fill_tail=False``); slots before the column's first reading stay null.
+
+    Previous / next
     readings of every column come from windows per ``(series, block)``
     (growing frames only, one ascending and one descending); readings in
     other blocks come from a block summary (first / last reading per column
