@@ -133,7 +133,14 @@ def read_xml_table(spark: SparkSession, paths: list[str], table: Table) -> DataF
 
 
 # ---------------------------------------------------------------- SQLite
-def read_sqlite_table(spark: SparkSession, paths: list[str], table: Table) -> DataFrame:
+def read_sqlite_table(
+    spark: SparkSession,
+    paths: list[str],
+    table: Table,
+    rows_per_partition: int = 1_000_000,
+    split_bytes: int = 64 << 20,
+) -> DataFrame:
+    """One SQLite table from many files; big files are split by rowid range."""
     spark.dataSource.register(SQLiteTableSource)
     local = [p[5:] if p.startswith("file:") else p for p in paths]
     return (
@@ -141,6 +148,8 @@ def read_sqlite_table(spark: SparkSession, paths: list[str], table: Table) -> Da
         .option("paths", ",".join(local))
         .option("table", table.name)
         .option("columns", ",".join(table.wanted()))
+        .option("rowsPerPartition", str(rows_per_partition))
+        .option("splitBytes", str(split_bytes))
         .load()
     )
 

@@ -189,3 +189,18 @@ def test_csv_shorter_than_declared_header_row_fails(spark, tmp_path):
     _write(tmp_path / "short.csv", header + "\n")  # header on row 0, layout declares row 1
     res = conform.classify(spark, str(tmp_path)).collect()
     assert res[0]["layout"] is None
+
+
+def test_sqlite_large_file_split_by_rowid(spark, tmp_path):
+    p = str(tmp_path / "big.sqlite")
+    con = sqlite3.connect(p)
+    con.execute("CREATE TABLE BgReadings (timestamp INTEGER, calculated_value REAL, raw_data REAL)")
+    con.executemany("INSERT INTO BgReadings VALUES (?, ?, ?)", [(1704067200000 + i * 300000, 100.0 + i % 7, i) for i in range(2500)])
+    con.commit()
+    con.close()
+    tb = K.TWO_TABLE_SQLITE.files[0].tables[0]
+    df = R.read_sqlite_table(spark, [p], tb, rows_per_partition=400, split_bytes=1)
+    assert df.rdd.getNumPartitions() == 7
+    rows = df.orderBy("_seq").collect()
+    assert len(rows) == 2500 and [r["_seq"] for r in rows] == list(range(1, 2501))
+    assert rows[-1]["raw_data"] == "2499.0"
