@@ -39,7 +39,10 @@ def main() -> None:
     spark = get_spark(master=f"local[{cpus}]", partitions=max(8, cpus * 2))
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
     # warm-up: JVM, parquet footers, codegen caches
-    QUERIES[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    try:
+        QUERIES[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    except Exception as e:  # noqa: BLE001 - the timed loop reports it
+        print(f"warm-up failed: {e!r}"[:500], file=sys.stderr)
     times: dict[str, float | None] = {}
     for name in names:
         t0 = time.perf_counter()
