@@ -137,6 +137,8 @@ def process_path(
         # five cleaners read the same long table; keep it instead of re-parsing
         events = events.persist(StorageLevel.MEMORY_AND_DISK)
     processed, notes = process(events, columns_of(layout), **params)
+    # Units that are not legal for their data type are reported
+    notes = [*layout.unit_problems(), *notes]
     return Run(events, processed, notes, quarantine)
 
 
