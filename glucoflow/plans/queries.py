@@ -875,11 +875,11 @@ def run_notes(spark, sf_dir):
 _S15 = 900_000_000
 
 
-def _align15_sql() -> str:
+def _align15_sql(_S15: int = _S15) -> str:
     sl = lambda c: slot_sql(f"epoch_us({c})", _S15)
     return f"""{_USER}{TYPE_CTES},
 {cgm_fill_ctes('cgm_raw')},
-ref AS (SELECT series_id, slot * 300000000 AS us FROM cgm_out WHERE slot % 3 = 0),
+ref AS (SELECT series_id, slot * 300000000 AS us FROM cgm_out WHERE slot % {_S15 // 300_000_000} = 0),
 c15 AS (SELECT series_id, {slot_sql('slot * 300000000', _S15)} AS s, avg(cgm_primary) AS cgm_primary,
         avg(cgm_primary * 0.0555) AS cgm_primary_mmol FROM cgm_out GROUP BY 1, 2),
 b15 AS (SELECT series_id, {sl('ts')} AS s, avg(bgm_primary) AS bgm_primary, bool_or(bgm_primary_clipped) AS bgm_primary_clipped,
@@ -905,14 +905,25 @@ LEFT JOIN k15 k ON k.series_id = r.series_id AND k.s * {_S15} = r.us
 LEFT JOIN n15 n ON n.series_id = r.series_id AND n.s * {_S15} = r.us"""
 
 
+def _align_on_step(spark, sf_dir, step: int, freq: str) -> DataFrame:
+    p = _processed(spark, sf_dir)
+    ref = p["CGM"].frame.where(F.pmod(micros("ts"), F.lit(step)) == 0).select("series_id", "ts")
+    return _round_all(A.align(p, reference=ref, freq=freq).frame)
+
+
 @query("align_15min", _align15_sql())
 def align_15min(spark, sf_dir):
     """M8 with a caller's timeline and another step: each person's 15-minute
     timeline (the quarter-hour points of the CGM grid); CGM is averaged per
     15-minute slot, the other types resampled at 15 minutes."""
-    p = _processed(spark, sf_dir)
-    ref = p["CGM"].frame.where(F.pmod(micros("ts"), F.lit(_S15)) == 0).select("series_id", "ts")
-    return _round_all(A.align(p, reference=ref, freq="15min").frame)
+    return _align_on_step(spark, sf_dir, _S15, "15min")
+
+
+@query("align_1h", _align15_sql(3_600_000_000))
+def align_1h(spark, sf_dir):
+    """M8 with an hourly caller timeline (the full hours of the CGM grid);
+    every type resampled at one hour."""
+    return _align_on_step(spark, sf_dir, 3_600_000_000, "1h")
 
 
 def _period_sql() -> str:
