@@ -536,6 +536,34 @@ _FMT_SQL = """CASE user_id % 4
     WHEN 0 THEN 'unix_seconds' WHEN 1 THEN 'unix_milliseconds' ELSE 'iso8601' END"""
 
 
+def _ts_text(spark, sf_dir) -> DataFrame:
+    """Every event time as text, in one of four layouts chosen per person."""
+    ev = _events(spark, sf_dir)
+    us = micros("ts")
+    kind = F.pmod(F.col("user_id"), F.lit(4))
+    text = (
+        F.when(kind == 0, F.floor(us / 1e6).cast("string"))
+        .when(kind == 1, F.floor(us / 1e3).cast("string"))
+        .when(kind == 2, F.date_format("ts", "dd-MM-yyyy HH:mm"))
+        .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    )
+    return ev.select("event_id", F.col("user_id").cast("string").alias("series_id"), text.alias("ts_text"))
+
+
+@query(
+    "ts_detect",
+    f"""SELECT DISTINCT CAST(user_id AS VARCHAR) AS series_id, {_FMT_SQL} AS ts_type,
+  CASE user_id % 4 WHEN 2 THEN 'd-M-yyyy H:m' WHEN 3 THEN 'yyyy-M-d''T''H:m:sXXX' END AS pattern
+FROM events""",
+)
+def ts_detect(spark, sf_dir):
+    """The time layout of each person's text times, detected from the
+    first 50 values (epoch seconds / milliseconds, day-first, ISO with Z)."""
+    from glucoflow.functions import timestamps as TS
+
+    return TS.detect(_ts_text(spark, sf_dir), ["series_id"], "ts_text", "event_id")
+
+
 @query(
     "ts_convert",
     f"""SELECT event_id, CAST(user_id AS VARCHAR) AS series_id, {_FMT_SQL} AS ts_type,
@@ -552,16 +580,7 @@ def ts_convert(spark, sf_dir):
     detected per person from a 50-value sample and every value converted."""
     from glucoflow.functions import timestamps as TS
 
-    ev = _events(spark, sf_dir)
-    us = micros("ts")
-    kind = F.pmod(F.col("user_id"), F.lit(4))
-    text = (
-        F.when(kind == 0, F.floor(us / 1e6).cast("string"))
-        .when(kind == 1, F.floor(us / 1e3).cast("string"))
-        .when(kind == 2, F.date_format("ts", "dd-MM-yyyy HH:mm"))
-        .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    )
-    raw = ev.select("event_id", F.col("user_id").cast("string").alias("series_id"), text.alias("ts_text"))
+    raw = _ts_text(spark, sf_dir)
     detected = TS.detect(raw, ["series_id"], "ts_text", "event_id")
     return TS.convert(raw, detected, ["series_id"], "ts_text").select("event_id", "series_id", "ts_type", "ts")
 
