@@ -84,3 +84,12 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     if not len(words):
         return words
     return np.unique(window_hashes(words, min(width, len(words))))
+
+
+def joined_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and the number of words of each."""
+    raw = np.frombuffer(b" ".join(texts), np.uint8)
+    start, end = word_spans(raw)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    upto = np.searchsorted(start, ends)
+    return spans_hash(prefix_sums(BYTE_VALUES[raw]), start, end), np.diff(upto, prepend=0)
