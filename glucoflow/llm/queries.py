@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucoflow.llm import decontaminate, neardup, quality, secrets, substring, suffixes
+from glucoflow.llm import decontaminate, linededup, neardup, quality, secrets, substring, suffixes
 from glucoflow.llm.common import importable
 
 
@@ -15,6 +15,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left by pairwise alignment, as digests."""
+    kept = linededup.line_dedup(documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters, base rule and adaptive verdict of every document."""
     return quality.judge(documents(spark, sf_dir))
@@ -48,6 +54,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
