@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucoflow.llm import decontaminate, linededup, neardup, quality, secrets, substring, suffixes
+from glucoflow.llm import decontaminate, langid, linededup, neardup, quality, secrets, substring, suffixes
 from glucoflow.llm.common import importable
 
 
@@ -43,6 +43,17 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from text, declaration and source."""
+    return langid.identify(langid.of_documents(documents(spark, sf_dir))).select(F.col("row_key").alias("doc_id"), "language", "posterior", "text_language", F.col("accepted").alias("kept"))
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from text, markup, address suffix and host."""
+    pages = importable(spark).read.parquet(f"{sf_dir}/pages.parquet")
+    return langid.identify(langid.of_pages(pages)).select(F.col("row_key").alias("page_id"), "language", "posterior", "text_language", "accepted")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components at 3-word shingles and similarity 0.85."""
     return neardup.near_duplicates(documents(spark, sf_dir), width=3, num=85, den=100)
@@ -58,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op7_language_id": op7_language_id,
+    "pages_language_id": pages_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
