@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucoflow.llm import decontaminate, langid, linededup, neardup, quality, secrets, substring, suffixes
+from glucoflow.llm import decontaminate, langid, linededup, neardup, packing, quality, secrets, substring, suffixes
 from glucoflow.llm.common import importable
 
 
@@ -43,6 +43,18 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def tokenizer() -> str:
+    """Path of the public vocabulary file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 ids that hold all documents."""
+    return packing.pack(documents(spark, sf_dir), tokenizer())
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document from text, declaration and source."""
     return langid.identify(langid.of_documents(documents(spark, sf_dir))).select(F.col("row_key").alias("doc_id"), "language", "posterior", "text_language", F.col("accepted").alias("kept"))
@@ -69,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op7_language_id": op7_language_id,
     "pages_language_id": pages_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
