@@ -16,62 +16,72 @@ import numpy as np
 END_ID = 2
 SPECIAL = "<|endoftext|>"
 #: pieces that a task keeps
-CACHED_PIECES = 300_000
+CACHED_PIECES = 600_000
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: characters whose class is known without a table: ASCII and the Latin-1 letters
 _PLAIN = re.compile(f"[\t\n\r -~{_LETTER}]*")
 #: fixed: the split of this public vocabulary, over those characters
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
-_SPACED = re.compile(f" [{_LETTER}]+")
-_BARE = re.compile(f"[{_LETTER}]+")
 
 
 class Encoder:
-    """One per task; holds the library's tokenizer and the pieces seen so far."""
+    """One per task; holds the library's tokenizer and the pieces seen so far.
+
+    Piece k has the ids flat[first[k] : first[k + 1]].
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.first = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, pieces: set[str]) -> None:
         """Encode new pieces: runs of letters joined in one text, the rest one by one."""
-        spaced = [p for p in pieces if _SPACED.fullmatch(p)]
-        bare = [p for p in pieces if _BARE.fullmatch(p)]
+        spaced = [p for p in pieces if p[0] == " " and len(p) > 1 and p[1:].isalpha()]
+        bare = [p for p in pieces if p.isalpha()]
+        rest = list(pieces.difference(spaced, bare))
+        ids, sizes = [self.flat], []
         for some, between, step in ((spaced, "", 1), (bare, "\n", 2)):
             for k in range(0, len(some), 4096):
                 part = some[k : k + 4096]
                 found = self.tokenizer.encode(between.join(part), add_special_tokens=False)
-                for p in part:
-                    self.known[p] = []
-                for word, i in zip(found.word_ids, found.ids, strict=True):
-                    if word % step == 0:
-                        self.known[part[word // step]].append(i)
-        rest = sorted(pieces.difference(spaced, bare))
-        for p, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[p] = found.ids
+                word, got = np.array(found.word_ids), np.array(found.ids, "<u4")
+                sizes.append(np.bincount(word[word % step == 0] // step, minlength=len(part)))
+                ids.append(got[word % step == 0])
+        for found in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False):
+            ids.append(np.array(found.ids, "<u4"))
+            sizes.append(np.array([len(ids[-1])]))
+        self.known.update(zip([*spaced, *bare, *rest], range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.flat = np.concatenate(ids)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Per text its ids as little-endian unsigned 32-bit integers, the end id last; null is empty."""
         split = [_PIECES.findall(t) if t and _PLAIN.fullmatch(t) and SPECIAL not in t else None for t in texts]
         new = set().union(*(s for s in split if s)).difference(self.known)
         if len(self.known) + len(new) > CACHED_PIECES:
-            self.known = {}
+            self.forget()
             new = set().union(*(s for s in split if s))
-        self._learn(new)
-        known, out = self.known, []
+        if new:
+            self._learn(new)
+        out = []
         for text, pieces in zip(texts, split, strict=True):
             if pieces is None:
-                ids = self.whole(text) if text else []
-            else:
-                ids = []
-                for p in pieces:
-                    ids += known[p]
-            out.append(np.array([*ids, END_ID], "<u4"))
+                out.append(np.array([*(self.whole(text) if text else ()), END_ID], "<u4"))
+                continue
+            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            first, size = self.first[at], self.first[at + 1] - self.first[at]
+            ids = np.full(int(size.sum()) + 1, END_ID, "<u4")
+            ids[:-1] = self.flat[np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(ids) - 1)]
+            out.append(ids)
         return out
