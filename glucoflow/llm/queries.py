@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucoflow.llm import decontaminate, langid, linededup, neardup, packing, quality, secrets, substring, suffixes
-from glucoflow.llm.common import importable
+from glucoflow.llm import decontaminate, langid, linededup, neardup, packing, quality, secrets, substring, suffixes, tokenfile
+from glucoflow.llm.common import importable, scratch_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer())
 
 
+def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written as coded blocks and read back."""
+    docs = documents(spark, sf_dir)
+    path = scratch_path(spark, "token-ids")
+    tokenfile.write_ids(docs, tokenizer(), path)
+    return tokenfile.checksums(spark, path)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document from text, declaration and source."""
     return langid.identify(langid.of_documents(documents(spark, sf_dir))).select(F.col("row_key").alias("doc_id"), "language", "posterior", "text_language", F.col("accepted").alias("kept"))
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_token_id_output": op6_token_id_output,
     "op7_language_id": op7_language_id,
     "pages_language_id": pages_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
