@@ -10,10 +10,10 @@
 3. Bands of the sketch are buckets.  A bucket's members are compared with its
    pivot, the member that shares most buckets, not with each other, so work is
    linear in the bucket.  Links are confirmed on the full sets.
-4. Buckets whose members still lie in different components are open.  There,
-   the pairs of different components that could reach the threshold (by the
-   sizes, and by the elements that any other member has at all) are compared
-   too.  So every pair that shares a bucket is linked, connected or refuted.
+4. Buckets whose members still lie in different components are open.  Of their
+   members, the pairs of different components that pass an exact prefix filter
+   are compared too.  So every pair that shares a bucket is linked, connected
+   or refuted.
 5. Components come from alternating star operations on tables.
 
 With 32 bands of 4 places a pair at similarity 0.85 misses all buckets with a
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glucoflow.llm.common import encode, in_batches, materialize, rows_of
@@ -142,28 +142,36 @@ def links(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -
 
 
 def _open_pairs(shared: DataFrame, found: DataFrame, elements: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components within a bucket that could still reach num/den.
+    """Pairs of members of open buckets, in different components, that could reach num/den.
 
-    Sets of x and y elements need an overlap of num (x + y) / (num + den).  No
-    overlap exceeds the elements of a set that another open member has at all.
+    Exact prefix filter: sets of x and y elements need an overlap of
+    o = num (x + y) / (num + den).  With the elements of all sets in one order,
+    rare ones first, the first x - o + 1 and the first y - o + 1 elements then
+    have one in common.  Elements that no other open member has come first and
+    are only counted; a document with too many of them is settled at once.
     """
     of = components(found)
     placed = shared.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     spread = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = materialize(placed.join(spread, "bucket").select("bucket", "doc_id", "n_shingles", "component"), "open")
-
-    token = elements.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("elements").alias("element"))
-    twice = token.groupBy("element").agg(F.count("*").alias("n")).filter("n > 1").select("element")
-    reach = token.join(twice, "element").groupBy("doc_id").agg(F.count("*").alias("reach"))
-
-    need: Column = num * (F.col("l.n_shingles") + F.col("r.n_shingles"))
-    # the smallest partner that the size rule allows already asks for num / den of the set
-    able = materialize(open_.join(reach, "doc_id").filter(den * F.col("reach") >= num * F.col("n_shingles")), "able")
-    left, right = able.alias("l"), able.alias("r")
+    open_ = materialize(placed.join(spread, "bucket").select("doc_id", F.col("n_shingles").alias("n"), "component").distinct(), "open")
+
+    token = elements.join(open_, "doc_id").select("doc_id", "n", "component", F.explode("elements").alias("element"))
+    twice = token.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = token.join(twice, "element").groupBy("doc_id", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("common"))
+    alone = F.col("n") - F.size("common")
+    longest = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    first = F.slice("common", F.lit(1), F.greatest(F.lit(0), longest - alone).cast("int"))
+    prefix = ranked.select("doc_id", "n", "component", alone.alias("alone"), F.posexplode(first).alias("pos", "of"))
+    prefix = materialize(prefix.select("doc_id", "n", "component", (F.col("alone") + F.col("pos")).alias("place"), F.col("of.element").alias("element")), "prefix")
+
+    mixed = prefix.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("element")
+    rows = prefix.join(mixed, "element")
+    left, right = rows.alias("l"), rows.alias("r")
+    overlap = F.ceil((F.col("l.n") + F.col("r.n")) * num / (num + den))
     return (
-        left.join(right, F.col("l.bucket") == F.col("r.bucket"))
+        left.join(right, F.col("l.element") == F.col("r.element"))
         .filter("l.doc_id > r.doc_id and l.component <> r.component")
-        .filter((num + den) * F.least("l.reach", "r.reach") >= need)
+        .filter((F.col("l.place") <= F.col("l.n") - overlap) & (F.col("r.place") <= F.col("r.n") - overlap))
         .select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
         .distinct()
     )
