@@ -63,7 +63,7 @@ def trigram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     Trigrams are bytes of lower-cased words with a space on both sides.
     """
-    raw = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
+    raw = np.frombuffer(b"\n" + b"\n".join(texts).lower() + b"\n", np.uint8)
     clean = np.where(_LETTER[raw], raw, 32).astype(np.uint32)
     if len(clean) < 3:
         return np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
@@ -228,7 +228,7 @@ def identify(rows: DataFrame, model: Model | None = None) -> DataFrame:
         "row_key",
         F.when(F.col("guess").isNotNull(), F.element_at(names, F.array_position("total", top).cast("int"))).alias("language"),
         F.when(F.col("guess").isNotNull(), F.col("posterior")).otherwise(F.lit(0.0)).alias("posterior"),
-        F.element_at(names, F.col("guess") + 1).alias("text_language"),
+        F.when(F.col("guess").isNotNull(), F.element_at(names, F.coalesce("guess", F.lit(0)) + 1)).alias("text_language"),
         (F.col("guess").isNotNull() & (F.col("posterior") >= LEAST_POSTERIOR)).alias("accepted"),
     )
 

@@ -120,7 +120,7 @@ def test_language(docs, rows):
         if r["row_key"] is None or r["row_key"] in odd:
             continue
         letters = any(c.isalpha() for c in texts[r["row_key"]] or "")
-        assert (r["text_language"] is not None) == letters
+        assert (r["text_language"] is not None) == letters, r
         assert r["accepted"] or not letters or r["posterior"] < langid.LEAST_POSTERIOR
     right = [r["language"] == rows[r["row_key"]][2] for r in judged if r["row_key"] is not None and r["row_key"] < 30]
     assert sum(right) >= 29
