@@ -1,18 +1,19 @@
-"""Timestamp format detection (on a sample) and conversion to UTC.
+"""Timestamp format detection and conversion to UTC.
 
 Detection follows the original rule set, evaluated per series with Spark
-aggregates over the first 50 non-null values (``row_number() <= 50`` is
-planned as a group limit, applied before the shuffle):
+aggregates over all non-null values, or over the first 50 (parity option):
 
 1. numeric values, all within (1e8, 1e12) -> epoch seconds; else all within
    (1e11, 1e15) -> epoch milliseconds;
-2. the first 10 values joined contain ``T`` and (``Z`` or ``+``) -> ISO 8601;
+2. the values (the first 10 of a sample) contain ``T`` and (``Z`` or ``+``) -> ISO 8601;
 3. a leading ``d[-/]d[-/]d`` date whose first number is above 12 marks the
    sample as day-first: the day-first formats are tried first;
 4. explicit formats in a fixed order, accepted when >= 95 % of the
-   normalised sample parses;
+   normalised values parses;
 5. fallback: a documented list of extra patterns accepted at >= 90 %
-   (Spark cannot guess per element like dateutil; see README).
+   (Spark cannot guess per element like dateutil; see README);
+6. a choice that parses under 90 % of all values is given up: every value is
+   then parsed by the first pattern that fits it.
 
 Conversion: epoch units directly, formats with ``try_to_timestamp``; naive
 times are taken as UTC.  Values that do not parse are counted and returned
@@ -27,9 +28,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
+# Sample of the parity option, values looked at for the ISO
+# mark, shares of a sample that accept a format, ranges of epoch numbers, and
+# the shapes of a date whose first number may be a day.
 SAMPLE_SIZE = 50
+ISO_VALUES = 10
 EXPLICIT_ACCEPT = 0.95
 INFERRED_ACCEPT = 0.90
+EPOCH_SECONDS = (1e8, 1e12)
+EPOCH_MILLIS = (1e11, 1e15)
+SEPARATED_DATE = r"^\s*\d{1,2}[-/]\d{1,2}[-/]\d{2,4}"
+DAY_FIRST_DATE = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{2,4})"
+
+#: copies of the format table for the salted join
+JOIN_SALTS = 16
 
 # The explicit format list, in trial order, as strptime
 # patterns, and the day-first subset tried first when the sample shows a day
@@ -49,12 +61,13 @@ DAYFIRST_FORMATS = ["%d-%m-%Y %H:%M", "%d/%m/%Y %H:%M", "%d-%m-%Y %H:%M:%S"]
 
 # fallback patterns (own list) for values no explicit format covers
 INFERRED_PATTERNS = [
-    "yyyy-M-d'T'H:m:s.SSSSSSXXX",
-    "yyyy-M-d'T'H:m:s.SSSXXX",
+    "yyyy-M-d'T'H:m:s.SSSSSSSSSXXX",
     "yyyy-M-d'T'H:m:sXXX",
-    "yyyy-M-d'T'H:m:s.SSSSSS",
+    "yyyy-M-d'T'H:m:s.SSSSSSSSS",
     "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d H:m:s.SSSSSS",
+    "yyyy-M-d H:m:s.SSSSSSSSSXXX",
+    "yyyy-M-d H:m:sXXX",
+    "yyyy-M-d H:m:s.SSSSSSSSS",
     "yyyy-M-d H:m:s",
     "yyyy-M-d",
     "d/M/yyyy H:m:s",
@@ -74,9 +87,8 @@ def normalise(c: Column) -> Column:
 
 _TOKENS = [
     ("yyyy", r"\d{4}"),
-    ("SSSSSS", r"\d{6}"),
-    ("SSS", r"\d{3}"),
-    ("XXX", r"(Z|[+-]\d{2}:\d{2})"),
+    ("SSSSSSSSS", r"\d{1,9}"),
+    ("XXX", r"(Z|[+-]\d{2}:?\d{2})"),
     ("M", r"\d{1,2}"),
     ("d", r"\d{1,2}"),
     ("H", r"\d{1,2}"),
@@ -113,64 +125,81 @@ def parse_with(c: Column, pattern: str) -> Column:
     A regex on the text's shape runs first: values that cannot match are
     skipped without a parse attempt (failed parses are the expensive path).
     """
-    return F.when(c.rlike(pattern_regex(pattern)), F.try_to_timestamp(c, F.lit(pattern)))
-
-
-def sample(df: DataFrame, keys: list[str], value: str, order: str, n: int = SAMPLE_SIZE) -> DataFrame:
-    """First ``n`` non-null values per key group, as stripped text."""
+    shaped = c.rlike(pattern_regex(pattern))
+    if pattern.endswith("XXX"):
+        c = F.regexp_replace(c, r"([+-]\d{2})(\d{2})$", "$1:$2")  # +0200 like +02:00
+    return F.when(shaped, F.try_to_timestamp(c, F.lit(pattern)))
+
+
+def sampled(df: DataFrame, keys: list[str], value: str, order: str, n: int | None) -> DataFrame:
+    """Non-null values as stripped text, with ``rn`` (place in its group) and
+    ``used``: whether the value is one of the first ``n`` (T1); all are if n is None."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, order, F.trim(F.col(value).cast("string")).alias("v"))
+    if n is None:
+        return rows.withColumns({"rn": F.lit(0), "used": F.lit(True)})
     w = Window.partitionBy(*keys).orderBy(order)
-    return (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, order, F.trim(F.col(value).cast("string")).alias("v"))
-        .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= n)
-    )
+    return rows.withColumn("rn", F.row_number().over(w)).withColumn("used", F.col("rn") <= n)
 
 
-def detect(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+def detect(df: DataFrame, keys: list[str], value: str, order: str, sample_size: int | None = None) -> DataFrame:
     """Per key group: ``ts_type`` (unix_seconds, unix_milliseconds, iso8601,
-    unknown) and the chosen Spark ``pattern`` (null for epochs / unknown)."""
-    s = sample(df, keys, value, order)
-    num = F.expr("try_cast(v as double)")
+    unknown) and the chosen Spark ``pattern`` (null for epochs / unknown).
+
+    By default the rules are evaluated over all values of the group, as
+    partial aggregates before the shuffle.  ``sample_size=50`` is the parity
+    option: the first 50 values choose, as in the original.  In both modes a
+    choice that parses under 90 % of all values is given up for parsing value
+    by value (T7).
+    """
     nv = normalise(F.col("v"))
-    day_m = F.regexp_extract(F.col("v"), r"^(\d{1,2})[-/](\d{1,2})[-/](\d{2,4})", 1)
+    fits_any = lambda c, patterns: F.coalesce(*[parse_with(c, p) for p in patterns]).isNotNull()
+    tried = {f"p{i}": parse_with(nv, pat).isNotNull() for i, (_, pat) in enumerate(EXPLICIT_FORMATS)}
+    tried |= {"inf": fits_any(F.col("v"), INFERRED_PATTERNS), "dinf": fits_any(F.col("v"), DAYFIRST_INFERRED)}
+    s = sampled(df, keys, value, order, sample_size).withColumns(tried)
+    used = F.col("used")
+    among = lambda c: F.avg(F.when(used, F.col(c).cast("double")))
+    share = lambda c: F.avg(c.cast("double"))
+    num = F.expr("try_cast(v as double)")
+    day_m = F.regexp_extract(F.col("v"), DAY_FIRST_DATE, 1)
+    first = used if sample_size is None else F.col("rn") <= ISO_VALUES
+    upper = F.upper(F.col("v"))
     aggs = [
-        F.count(F.lit(1)).alias("n"),
-        F.count(num).alias("n_num"),
-        F.count_if((num > 1e8) & (num < 1e12)).alias("n_sec"),
-        F.count_if((num > 1e11) & (num < 1e15)).alias("n_ms"),
-        F.upper(
-            F.array_join(F.slice(F.sort_array(F.collect_list(F.struct(order, "v"))), 1, 10).getField("v"), " ")
-        ).alias("head10"),
-        F.bool_or(F.col("v").rlike(r"^\s*\d{1,2}[-/]\d{1,2}[-/]\d{2,4}")).alias("sep_match"),
-        F.bool_or(F.when(day_m != "", day_m.cast("int") > 12)).alias("dayfirst"),
+        F.count_if(used).alias("n"),
+        F.count(F.when(used, num)).alias("n_num"),
+        F.count_if(used & (num > EPOCH_SECONDS[0]) & (num < EPOCH_SECONDS[1])).alias("n_sec"),
+        F.count_if(used & (num > EPOCH_MILLIS[0]) & (num < EPOCH_MILLIS[1])).alias("n_ms"),
+        F.bool_or(first & upper.contains("T")).alias("has_t"),
+        F.bool_or(first & (upper.contains("Z") | upper.contains("+"))).alias("has_zone"),
+        F.bool_or(used & F.col("v").rlike(SEPARATED_DATE)).alias("sep_match"),
+        F.bool_or(used & F.when(day_m != "", day_m.cast("int") > 12)).alias("dayfirst"),
     ]
-    for i, (_, pat) in enumerate(EXPLICIT_FORMATS):
-        aggs.append(F.avg(parse_with(nv, pat).isNotNull().cast("double")).alias(f"_e{i}"))
-    inferred = F.coalesce(*[parse_with(F.col("v"), p) for p in INFERRED_PATTERNS])
-    dayfirst_inf = F.coalesce(*[parse_with(F.col("v"), p) for p in DAYFIRST_INFERRED])
-    aggs.append(F.avg(inferred.isNotNull().cast("double")).alias("_inf"))
-    aggs.append(F.avg(dayfirst_inf.isNotNull().cast("double")).alias("_dinf"))
+    explicit = [f"p{i}" for i in range(len(EXPLICIT_FORMATS))]
+    for i, c in enumerate(explicit):
+        aggs += [among(c).alias(f"_e{i}"), share(F.col(c)).alias(f"_f{i}")]
+    anything = F.array_contains(F.array(*explicit, "inf", "dinf"), True)
+    aggs += [among("inf").alias("_inf"), among("dinf").alias("_dinf"), share(anything).alias("_any")]
     stats = s.groupBy(*keys).agg(*aggs)
 
+    # a format is a candidate by the sample and by all values
+    fits = lambda i: (F.col(f"_e{i}") >= EXPLICIT_ACCEPT) & (F.col(f"_f{i}") >= INFERRED_ACCEPT)
     explicit_pick = F.lit(None).cast("string")
     for i, (_, pat) in reversed(list(enumerate(EXPLICIT_FORMATS))):
-        explicit_pick = F.when(F.col(f"_e{i}") >= EXPLICIT_ACCEPT, F.lit(pat)).otherwise(explicit_pick)
+        explicit_pick = F.when(fits(i), F.lit(pat)).otherwise(explicit_pick)
     dayfirst_pick = F.lit(None).cast("string")
     for fmt in reversed(DAYFIRST_FORMATS):
         i = [f for f, _ in EXPLICIT_FORMATS].index(fmt)
-        dayfirst_pick = F.when(F.col(f"_e{i}") >= EXPLICIT_ACCEPT, F.lit(_SPARK[fmt])).otherwise(dayfirst_pick)
+        dayfirst_pick = F.when(fits(i), F.lit(_SPARK[fmt])).otherwise(dayfirst_pick)
 
     is_sec = (F.col("n_num") > 0) & (F.col("n_sec") == F.col("n_num"))
     is_ms = (F.col("n_num") > 0) & (F.col("n_ms") == F.col("n_num"))
-    iso = F.col("head10").contains("T") & (F.col("head10").contains("Z") | F.col("head10").contains("+"))
-    chosen = (
-        F.when(F.coalesce(F.col("dayfirst"), F.lit(False)), F.coalesce(dayfirst_pick, explicit_pick))
-        .otherwise(explicit_pick)
-    )
+    iso = F.coalesce(F.col("has_t") & F.col("has_zone"), F.lit(False))
+    day_first = F.coalesce(F.col("dayfirst"), F.lit(False))
+    chosen = F.when(day_first, F.coalesce(dayfirst_pick, explicit_pick)).otherwise(explicit_pick)
+    by_value = F.when(day_first, F.lit("dayfirst")).otherwise(F.lit("inferred"))
     fallback = (
-        F.when(F.col("sep_match") & ~F.coalesce(F.col("dayfirst"), F.lit(False)) & (F.col("_dinf") >= INFERRED_ACCEPT), F.lit("dayfirst"))
+        F.when(F.col("sep_match") & ~day_first & (F.col("_dinf") >= INFERRED_ACCEPT), F.lit("dayfirst"))
         .when(F.col("_inf") >= INFERRED_ACCEPT, F.lit("inferred"))
+        .when(F.col("_any") >= INFERRED_ACCEPT, by_value)
     )
     return stats.select(
         *keys,
@@ -182,7 +211,7 @@ def detect(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
         .otherwise(F.lit("unknown"))
         .alias("ts_type"),
         F.when(is_sec | is_ms, F.lit(None).cast("string"))
-        .when(iso & chosen.isNull(), F.lit("inferred"))
+        .when(iso & chosen.isNull(), F.coalesce(fallback, F.lit("inferred")))
         .otherwise(F.coalesce(chosen, fallback))
         .alias("pattern"),
     )
@@ -191,21 +220,24 @@ def detect(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
 def convert(df: DataFrame, detected: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Add ``ts`` (timestamp_ntz, UTC) using the detected type and pattern.
 
-    ``detected`` is small (one row per key group) and is joined on ``keys``.
+    ``detected`` has one row per key group.  One person may hold a large share
+    of all rows, so the join is salted: the rows by their time text, the
+    formats repeated for every salt.
     """
     v = F.trim(F.col(value).cast("string"))
     nv = normalise(v)
     num = F.expr(f"try_cast(trim(cast(`{value}` as string)) as double)")
-    by_pattern = F.lit(None).cast("timestamp")
-    for _, pat in EXPLICIT_FORMATS:
-        by_pattern = F.when(F.col("pattern") == pat, parse_with(nv, pat)).otherwise(by_pattern)
-    inferred = F.coalesce(*[parse_with(v, p) for p in INFERRED_PATTERNS])
-    dayfirst = F.coalesce(*[parse_with(v, p) for p in DAYFIRST_INFERRED])
+    # value by value: day-first patterns if chosen, then the inferred, then the explicit ones
+    day_first = F.col("pattern") == "dayfirst"
+    by_value = day_first | (F.col("pattern") == "inferred")
+    tries = [F.when(day_first, parse_with(v, p)) for p in DAYFIRST_INFERRED]
+    tries += [F.when(by_value, parse_with(v, p)) for p in INFERRED_PATTERNS]
+    tries += [F.when(by_value | (F.col("pattern") == p), parse_with(nv, p)) for _, p in EXPLICIT_FORMATS]
     parsed = (
         F.when(F.col("ts_type") == "unix_seconds", F.timestamp_micros((num * 1e6).cast("bigint")))
         .when(F.col("ts_type") == "unix_milliseconds", F.timestamp_micros((num * 1e3).cast("bigint")))
-        .when(F.col("pattern") == "inferred", inferred)
-        .when(F.col("pattern") == "dayfirst", dayfirst)
-        .otherwise(by_pattern)
+        .otherwise(F.coalesce(*tries))
     )
-    return df.join(detected, keys, "left").withColumn("ts", parsed.cast(TimestampNTZType()))
+    salted = detected.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(JOIN_SALTS)).cast("int"))
+    return rows.join(salted, [*keys, "_salt"], "left").withColumn("ts", parsed.cast(TimestampNTZType())).drop("_salt")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glucoflow.functions import glucose as G
+from glucoflow.functions.numbers import finite
 from glucoflow.functions.text import INSULIN_NAMES, clean_note, insulin_name_from_json
 from glucoflow.functions.timeslots import freq_to_micros, slot_of, slot_to_ts
 from glucoflow.operators.fill import DEFAULT_BLOCK_SLOTS, wide_grid
@@ -35,12 +36,13 @@ class Processed:
 
 
 def _of_type(events: DataFrame, *types: str) -> DataFrame:
-    return events.where(F.col("data_type").isin(*types))
+    """Rows of the types; a NaN or infinite value counts as missing (it would sort above every reading)."""
+    return events.where(F.col("data_type").isin(*types)).withColumn("value", finite(F.col("value")))
 
 
 def _require_primary(columns: list[tuple[str, str]], label: str) -> None:
     if not any(name.endswith("_primary") for name, _ in columns):
-        raise ProcessingError(f"No primary {label} column found")
+        raise ProcessingError(f"{label}: none of the columns is the primary one")
 
 
 # --------------------------------------------------------------------- CGM
@@ -121,7 +123,7 @@ def cgm(
     for n, _ in columns:
         units[n] = G.MGDL
         units[f"{n}_mmol"] = G.MMOL
-    notes = [f"Converted CGM column {i + 1} from {G.MMOL} to {G.MGDL}" for i, (_, u) in enumerate(columns) if u == G.MMOL]
+    notes = [f"CGM column {i + 1}: {G.MMOL} times {G.MMOL_TO_MGDL} is {G.MGDL}" for i, (_, u) in enumerate(columns) if u == G.MMOL]
     return Processed("CGM", out, units, notes, names)
 
 
@@ -229,7 +231,7 @@ def insulin(
     Output: ``series_id, ts, dose, is_bolus, is_basal, type``.
     """
     if not has_primary:
-        raise ProcessingError("No primary insulin dose column found")
+        raise ProcessingError("INSULIN: none of the dose columns is the primary one")
     doses = (
         _of_type(events, "INSULIN")
         .where(F.col("value") > 0)
@@ -296,7 +298,7 @@ def carbs(events: DataFrame, columns: list[str] | None = None) -> Processed:
     """
     names = columns or ["carbs_primary"]
     if not any(n.endswith("_primary") for n in names):
-        raise ProcessingError("No primary carbohydrate column found")
+        raise ProcessingError("CARBS: none of the columns is the primary one")
     r = (
         _of_type(events, "CARBS")
         .select("series_id", "ts", "_seq", "column_name", G.carbs_kept(F.col("value")).alias("v"))
@@ -342,7 +344,7 @@ def notes(events: DataFrame, columns: list[str] | None = None) -> Processed:
     """
     names = columns or ["notes_primary"]
     if not any(n.endswith("_primary") for n in names):
-        raise ProcessingError("No primary notes column found")
+        raise ProcessingError("NOTES: none of the columns is the primary one")
     r = (
         _of_type(events, "NOTES")
         .select("series_id", "ts", "_seq", "column_name", clean_note(F.col("text")).alias("note"))

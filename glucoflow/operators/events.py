@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
+from glucoflow.functions.numbers import finite, to_number
+
 TEXT_TYPES = ("NOTES", "INSULIN_META")
 
 EVENTS_LONG_COLUMNS = [
@@ -85,7 +87,8 @@ def to_long(
 ) -> DataFrame:
     """Unpivot a wide source table into ``events_long`` rows.
 
-    One ``explode`` of an array of structs: a single pass, no shuffle.
+    One ``explode`` of an array of structs: a single pass, no shuffle.  Text
+    becomes a number by ``to_number``; NaN and infinities are null everywhere.
     Rows whose value and text are both null are dropped, except for CGM:
     every row of a table with a CGM column widens the CGM grid span, as in the
     original pipeline, so those rows are kept with a null value.
@@ -93,13 +96,14 @@ def to_long(
     sc = F.col(series) if isinstance(series, str) else series
     tc = F.col(ts) if isinstance(ts, str) else ts
     qc = F.col(seq) if isinstance(seq, str) else seq
+    kinds = dict(wide.dtypes)
     items = []
     for c in columns:
         src = F.col(f"`{c.source}`")
         if c.data_type in TEXT_TYPES:
             value, text = F.lit(None).cast("double"), src.cast("string")
         else:
-            value, text = F.expr(f"try_cast(`{c.source}` as double)"), F.lit(None).cast("string")
+            value, text = (to_number(src) if kinds[c.source] == "string" else finite(src.cast("double"))), F.lit(None).cast("string")
         items.append(
             F.struct(
                 F.lit(c.data_type).alias("data_type"),
@@ -124,8 +128,3 @@ def to_long(
             | (F.col("data_type") == F.lit("CGM"))
         )
     )
-
-
-def long_frame(df: DataFrame) -> DataFrame:
-    """Project any compatible frame onto the ``events_long`` column order."""
-    return df.select(*EVENTS_LONG_COLUMNS)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glucoflow.functions import glucose as G
+from glucoflow.functions.numbers import to_number
 from glucoflow.functions.timeslots import micros, slot_of, slot_to_ts
 from glucoflow.operators import align as A
 from glucoflow.operators import clean as C
@@ -561,7 +562,7 @@ def ts_detect(spark, sf_dir):
     first 50 values (epoch seconds / milliseconds, day-first, ISO with Z)."""
     from glucoflow.functions import timestamps as TS
 
-    return TS.detect(_ts_text(spark, sf_dir), ["series_id"], "ts_text", "event_id")
+    return TS.detect(_ts_text(spark, sf_dir), ["series_id"], "ts_text", "event_id", sample_size=TS.SAMPLE_SIZE)
 
 
 @query(
@@ -577,7 +578,7 @@ FROM events""",
 def ts_convert(spark, sf_dir):
     """Each person's times exported as text in one of four layouts
     (epoch s, epoch ms, ``dd-MM-yyyy HH:mm``, ISO ``...Z``); the format is
-    detected per person from a 50-value sample and every value converted."""
+    detected per person over all values and every value converted."""
     from glucoflow.functions import timestamps as TS
 
     raw = _ts_text(spark, sf_dir)
@@ -585,6 +586,70 @@ def ts_convert(spark, sf_dir):
     return TS.convert(raw, detected, ["series_id"], "ts_text").select("event_id", "series_id", "ts_type", "ts")
 
 
+# layout of person k % 12: Spark pattern, shift of the written time in hours, kept precision in us
+_LAYOUTS = [
+    ("dd-MM-yyyy HH:mm", 0, 60_000_000),
+    ("dd/MM/yyyy HH:mm", 0, 60_000_000),
+    ("yyyy-MM-dd HH:mm:ss", 0, 1_000_000),
+    ("yyyy-MM-dd HH:mm", 0, 60_000_000),
+    ("dd-MM-yyyy HH:mm:ss", 0, 1_000_000),
+    ("MM/dd/yyyy HH:mm", 0, 60_000_000),
+    ("yyyy-MM-dd'T'HH:mm:ss'+0000'", 0, 1_000_000),
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", 0, 1_000_000),
+    ("dd-MM-yyyy hh:mm a", 0, 60_000_000),
+    ("yyyy-MM-dd'T'HH:mm:ss'+02:00'", 2, 1_000_000),
+    ("yyyy-MM-dd'T'HH:mm:ss.S'Z'", 0, 100_000),
+]
+_MIXED = len(_LAYOUTS)
+
+
+@query(
+    "ts_all_formats",
+    f"""SELECT event_id, CAST(user_id AS VARCHAR) AS series_id, make_timestamp(epoch_us(ts) // p * p) AS ts
+FROM (SELECT *, CASE user_id % {_MIXED + 1} {' '.join(f'WHEN {k} THEN {p}' for k, (_, _, p) in enumerate(_LAYOUTS))}
+  ELSE CASE WHEN event_id % 2 = 0 THEN 60000000 ELSE 1000000 END END AS p FROM events)""",
+)
+def ts_all_formats(spark, sf_dir):
+    """Every explicit format, offsets with and without a colon, short
+    fractions, and people whose export mixes two formats, half and half (no
+    format reaches 90 %, so each value is parsed by the one that fits)."""
+    from glucoflow.functions import timestamps as TS
+
+    ev = _events(spark, sf_dir)
+    kind = F.pmod(F.col("user_id"), F.lit(_MIXED + 1))
+    text = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", _LAYOUTS[0][0])).otherwise(F.date_format("ts", _LAYOUTS[2][0]))
+    for k, (pattern, hours, _) in enumerate(_LAYOUTS):
+        text = F.when(kind == k, F.date_format(F.col("ts") + F.expr(f"interval {hours} hours"), pattern)).otherwise(text)
+    raw = ev.select("event_id", F.col("user_id").cast("string").alias("series_id"), text.alias("ts_text"))
+    detected = TS.detect(raw, ["series_id"], "ts_text", "event_id")
+    return TS.convert(raw, detected, ["series_id"], "ts_text").select("event_id", "series_id", "ts")
+
+
+_WORDS = ["NaN", "inf", "-Infinity", "N/A", "", "1d", " 12.50 ", "abc"]
+
+
+@query(
+    "number_null_words",
+    f"""WITH t AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 16 < 8 THEN CASE event_id % 16 WHEN 6 THEN 12.5 END ELSE value END AS v
+  FROM events WHERE event_type = 'click')
+SELECT CAST(user_id AS VARCHAR) AS series_id, ts, {r6_sql('greatest(least(v, 360.36), 39.64)')} AS bgm_primary, v < 39.64 OR v > 360.36 AS bgm_primary_clipped
+FROM t WHERE v > 0""",
+)
+def number_null_words(spark, sf_dir):
+    """P1, P5, P9 on text exports: words for a missing value, NaN and infinity
+    become null, never a reading."""
+    from glucoflow.operators.events import ColumnSpec, to_long
+
+    ev = _events(spark, sf_dir).where(F.col("event_type") == "click")
+    words = F.array(*map(F.lit, _WORDS))
+    k = F.pmod(F.col("event_id"), F.lit(16)).cast("int")
+    text = F.when(k < 8, F.get(words, k)).otherwise(F.col("value").cast("string"))
+    wide = ev.select(F.col("user_id").cast("string").alias("series_id"), "ts", F.col("event_id").alias("_seq"), text.alias("meter"))
+    long = to_long(wide, [ColumnSpec("meter", "BGM", "bgm_primary", True, "mg/dL")], "series_id", "ts", "_seq")
+    out = C.bgm(long).frame
+    return out.select("series_id", "ts", r6("bgm_primary").alias("bgm_primary"), "bgm_primary_clipped")
+
+
 # =============================================================== sources
 from glucoflow.sinks import device_files as DF  # noqa: E402
 from glucoflow.sources import catalog as CAT  # noqa: E402
@@ -622,9 +687,7 @@ def _wide_csv_rows(ev: DataFrame) -> DataFrame:
     )
 
 
-@query(
-    "csv_source",
-    f"""WITH {_SRC_EV}
+_CSV_SQL = f"""WITH {_SRC_EV}
 SELECT series_id, make_timestamp((epoch_us(ts) // 60000000) * 60000000) AS ts,
   {r6_sql("CASE WHEN event_type = 'view' THEN (40.0 + value * 3) / 18.0 END")} AS historic_glucose,
   CAST(NULL AS DOUBLE) AS scan_glucose,
@@ -633,25 +696,78 @@ SELECT series_id, make_timestamp((epoch_us(ts) // 60000000) * 60000000) AS ts,
   CAST(NULL AS DOUBLE) AS long_insulin,
   {r6_sql("CASE WHEN event_type = 'signup' THEN value - 5 END")} AS carbohydrates,
   CASE WHEN event_type = 'error' THEN 'note, "' || CAST(k AS VARCHAR) || '"' END AS notes
-FROM ev""",
-)
+FROM ev"""
+
+
+def _csv_columns() -> list[str]:
+    cols = [c.source_name for c in CAT.WIDE_CSV.files[0].tables[0].columns]
+    cols.insert(2, "Device Timestamp")
+    return cols
+
+
+def _csv_values(conv: DataFrame) -> DataFrame:
+    return conv.select(
+        "series_id",
+        "ts",
+        *[r6(to_number(F.col(f"`{src}`"))).alias(dst) for src, dst in _WIDE_COLS.items()],
+        F.col("Notes").alias("notes"),
+    )
+
+
+@query("csv_source", _CSV_SQL)
 def csv_source(spark, sf_dir):
     """Every person's events written as a wide CSV export
     (preamble row, header on row 1, day-first minute times, quoted notes),
     then read back through the layout catalogue."""
     rows = _wide_csv_rows(_events(spark, sf_dir))
     out = DF.scratch_dir(spark, "csv")
-    cols = [c.source_name for c in CAT.WIDE_CSV.files[0].tables[0].columns]
-    cols.insert(2, "Device Timestamp")
-    DF.write_csv_files(rows, out, cols, preamble=["Glucose Data", "Generated on", "export"]).agg(F.sum("rows")).collect()
+    DF.write_csv_files(rows, out, _csv_columns(), preamble=["Glucose Data", "Generated on", "export"]).agg(F.sum("rows")).collect()
+    table = CAT.WIDE_CSV.files[0].tables[0]
+    return _csv_values(R.convert_times(R.read_csv_table(spark, [f"{out}/*.csv"], table), table))
+
+
+@query("csv_wide_columns", _CSV_SQL)
+def csv_wide_columns(spark, sf_dir):
+    """S1, S2 on exports of over 80 columns: the wanted ones stand behind 70
+    others, in another order than the layout names them."""
+    filler = [f"Extra {i}" for i in range(70)]
+    rows = _wide_csv_rows(_events(spark, sf_dir)).withColumns({c: F.lit(i) for i, c in enumerate(filler)})
+    out = DF.scratch_dir(spark, "csv-wide")
+    DF.write_csv_files(rows, out, [*filler, *reversed(_csv_columns())], preamble=["Glucose Data"]).agg(F.sum("rows")).collect()
+    table = CAT.WIDE_CSV.files[0].tables[0]
+    return _csv_values(R.convert_times(R.read_csv_table(spark, [f"{out}/*.csv"], table), table))
+
+
+@query("csv_header_search", _CSV_SQL)
+def csv_header_search(spark, sf_dir):
+    """the layout declares no header row; each file's header is found among
+    its first rows (half of the exports have a preamble row, half have none)."""
+    from dataclasses import replace
+
+    rows = _wide_csv_rows(_events(spark, sf_dir))
+    odd = F.pmod(F.col("series_id").cast("bigint"), F.lit(2)) == 1
+    out = DF.scratch_dir(spark, "csv-search")
+    DF.write_csv_files(rows.where(odd), out, _csv_columns(), preamble=["Glucose Data"]).agg(F.sum("rows")).collect()
+    DF.write_csv_files(rows.where(~odd), out, _csv_columns()).agg(F.sum("rows")).collect()
+    table = replace(CAT.WIDE_CSV.files[0].tables[0], header_row=None)
+    return _csv_values(R.convert_times(R.read_csv_table(spark, [f"{out}/*.csv"], table), table))
+
+
+@query(
+    "quarantine_counts",
+    """SELECT CAST(user_id AS VARCHAR) AS series_id, count(*) AS rows, count_if(event_id % 25 = 0) AS quarantined
+FROM events GROUP BY 1""",
+)
+def quarantine_counts(spark, sf_dir):
+    """Rows whose time is missing or does not parse (one in 25 here) are
+    kept apart and counted per person, never silently dropped."""
+    rows = _wide_csv_rows(_events(spark, sf_dir))
+    stamp = F.when(F.col("_seq") % 50 == 0, F.lit("n/a")).when(F.col("_seq") % 50 != 25, F.col("`Device Timestamp`"))
+    out = DF.scratch_dir(spark, "csv-quarantine")
+    DF.write_csv_files(rows.withColumn("Device Timestamp", stamp), out, _csv_columns(), preamble=["Glucose Data"]).agg(F.sum("rows")).collect()
     table = CAT.WIDE_CSV.files[0].tables[0]
     conv = R.convert_times(R.read_csv_table(spark, [f"{out}/*.csv"], table), table)
-    return conv.select(
-        "series_id",
-        "ts",
-        *[r6(F.expr(f"try_cast(`{src}` as double)")).alias(dst) for src, dst in _WIDE_COLS.items()],
-        F.col("Notes").alias("notes"),
-    )
+    return conv.groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ts").isNull()).alias("quarantined"))
 
 
 _XDRIP_TABLES = {

@@ -17,7 +17,7 @@ from glucoflow.operators import align as A
 from glucoflow.operators import clean as C
 from glucoflow.sources import conform
 from glucoflow.sources.catalog import Catalog, Layout, default_catalog
-from glucoflow.sources.readers import layout_specs, read_tables, to_events
+from glucoflow.sources.readers import layout_specs, read_tables, rejected_files, to_events
 
 # Processors per data type; register more with ``register_processor``
 PROCESSORS: dict[str, object] = {}
@@ -63,6 +63,7 @@ class Run:
     processed: dict[str, C.Processed]
     notes: list[str] = field(default_factory=list)
     quarantine: DataFrame | None = None
+    rejected: DataFrame | None = None
 
 
 def columns_of(layout: Layout) -> dict[str, list[tuple[str, str | None]]]:
@@ -111,9 +112,15 @@ def process_path(
     layout: Layout | str | None = None,
     catalog: Catalog | None = None,
     persist: bool = True,
+    series=None,
     **params,
 ) -> Run:
-    """Detect (unless given), read, convert and clean a set of export files."""
+    """Detect (unless given), read, convert and clean a set of export files.
+
+    ``series``: person key of a row, by default the file's name; files of the
+    same name in several folders need a key made from the path (column
+    ``_file``), see ``readers.series_from_path``.
+    """
     catalog = catalog or default_catalog()
     if isinstance(layout, str):
         layout = catalog.get_format(layout)
@@ -122,7 +129,7 @@ def process_path(
     specs = layout_specs(layout)
     longs, bads = [], []
     for _, (tb, df) in read_tables(spark, layout, paths).items():
-        long, bad = to_events(df, tb, specs)
+        long, bad = to_events(df, tb, specs, series)
         longs.append(long)
         bads.append(bad)
     if not longs:
@@ -139,7 +146,7 @@ def process_path(
     processed, notes = process(events, columns_of(layout), **params)
     # Units that are not legal for their data type are reported
     notes = [*layout.unit_problems(), *notes]
-    return Run(events, processed, notes, quarantine)
+    return Run(events, processed, notes, quarantine, rejected_files(spark, layout, paths))
 
 
 def run(spark: SparkSession, paths: list[str], out_dir: str, layout=None, freq: str = "5min", fmt: str = "csv", **params):
@@ -151,12 +158,18 @@ def run(spark: SparkSession, paths: list[str], out_dir: str, layout=None, freq:
     if "CGM" in r.processed:
         try:
             aligned = A.align(r.processed, freq=freq)
+            aligned.notes.extend(A.collect_notes(r.processed))
         except A.AlignmentError as e:
             r.notes.append(f"Alignment failed: {e}")
     from glucoflow.operators.quality import data_notes
 
     notes = data_notes(r.events, r.processed, params.get("bolus_limit", G.DEFAULT_BOLUS_LIMIT), params.get("max_dose", G.DEFAULT_MAX_DOSE))
     written = export.write(spark, r.processed, aligned, out_dir, fmt=fmt, data_notes=notes)
+    # what did not make it into the results is written beside them
+    for name, left in (("quarantine", r.quarantine), ("rejected_files", r.rejected)):
+        if left is not None:
+            written[name] = f"{written.get('base', out_dir)}/{name}"
+            left.write.mode("overwrite").json(written[name])
     if r.events.is_cached:
         r.events.unpersist()
     return r, aligned, written

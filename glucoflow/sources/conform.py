@@ -17,13 +17,17 @@ from __future__ import annotations
 import csv
 import fnmatch
 import json
+import sqlite3
 
 import pandas as pd
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glucoflow.sources.catalog import EXTENSIONS, OPTIONAL, Catalog, Layout, catalog_frame, default_catalog
 
+#: table name under which an unreadable file's message stands
+ERROR = "__error__"
 STRUCT_SCHEMA = "path string, file_type string, table_name string, pos int, names array<string>"
 HEADER_SEARCH_ROWS = 4
 
@@ -82,8 +86,11 @@ def _structure_of(path: str) -> list[tuple]:
                 if el.tag not in seen and (len(el) or el.attrib):
                     seen.add(el.tag)
                     rows.append((path, ft, el.tag, 0, [*el.attrib.keys(), *[c.tag for c in el]]))
-    except (OSError, ValueError, UnicodeDecodeError, IndexError) as e:  # unreadable file: no structure
-        rows.append((path, ft or "", "__error__", 0, [str(e)[:200]]))
+                if len(el):
+                    el.clear()  # a finished element is done with: memory stays at one record
+    except (OSError, ValueError, UnicodeDecodeError, IndexError, csv.Error, sqlite3.Error, SyntaxError) as e:
+        # this file can't be read: its verdict says so, the others go on (an XML ParseError is a SyntaxError)
+        return [(path, ft or "", ERROR, 0, [f"{type(e).__name__}: {e}"])]
     return rows
 
 
@@ -104,6 +111,14 @@ def structures(spark: SparkSession, files: DataFrame) -> DataFrame:
     return files.select("path").mapInPandas(_extract, STRUCT_SCHEMA)
 
 
+def _type_of(ext: SparkColumn) -> SparkColumn:
+    """File type by extension, null for others."""
+    ftype = F.lit(None).cast("string")
+    for t, exts in EXTENSIONS.items():
+        ftype = F.when(ext.isin(*[e[1:] for e in exts]), F.lit(t)).otherwise(ftype)
+    return ftype
+
+
 def validate(spark: SparkSession, files: DataFrame, catalog: Catalog | None = None) -> DataFrame:
     """One row per (file, candidate layout): ``valid``, ``missing_tables``,
     ``missing_columns`` (map table -> names) and the report text (F8)."""
@@ -121,13 +136,12 @@ def validate(spark: SparkSession, files: DataFrame, catalog: Catalog | None = No
     st = F.broadcast(req)  # fixed catalogue: a few rows per layout
     s = structures(spark, files)
     ext = F.lower(F.regexp_extract(F.col("path"), r"\.([^./]+)$", 1))
-    ftype = F.lit(None).cast("string")
-    for t, exts in EXTENSIONS.items():
-        ftype = F.when(ext.isin(*[e[1:] for e in exts]), F.lit(t)).otherwise(ftype)
-    fl = files.select("path", ftype.alias("file_type"), F.regexp_extract("path", r"([^/]+)$", 1).alias("_name"))
+    fl = files.select("path", _type_of(ext).alias("file_type"), F.regexp_extract("path", r"([^/]+)$", 1).alias("_name"))
     cand = fl.join(st, "file_type").where(F.expr("_name rlike _glob")).drop("_name", "_glob")
     case_sensitive = F.col("file_type") == "sqlite"
     lower_all = lambda a: F.transform(a, lambda x: F.lower(F.trim(x)))
+    errors = s.where(F.col("table_name") == ERROR).select("path", F.col("names")[0].alias("error"))
+    s = s.where(F.col("table_name") != ERROR)
     st_rows = s.select(F.col("path").alias("_p"), F.col("table_name").alias("_t"), "pos", "names")
     match = (F.col("path") == F.col("_p")) & ((F.col("table_name") == F.col("_t")) | (F.col("_t") == "*"))
     joined = cand.join(st_rows, match, "left").drop("_p", "_t")
@@ -165,6 +179,8 @@ def validate(spark: SparkSession, files: DataFrame, catalog: Catalog | None = No
             "; ",
         ),
     )
+    per_layout = per_layout.join(errors, "path", "left")
+    report = F.when(F.col("error").isNotNull(), F.concat(F.lit("can't be read: "), F.col("error"))).otherwise(report)
     return per_layout.select(
         "path",
         "file_type",
@@ -180,11 +196,12 @@ def validate(spark: SparkSession, files: DataFrame, catalog: Catalog | None = No
 
 def classify(spark: SparkSession, paths: list[str] | str, catalog: Catalog | None = None) -> DataFrame:
     """Per file: detected layout (first valid in catalogue order) or null,
-    plus the reports of the failed candidates (F1)."""
+    plus the reports of the failed candidates (F1).  Every file has a row: one
+    that no layout's pattern and type fits says so."""
     files = list_files(spark, paths)
     v = validate(spark, files, catalog)
     w = Window.partitionBy("path").orderBy(F.col("valid").desc(), "layout_pos")
-    return (
+    judged = (
         v.withColumn("_rn", F.row_number().over(w))
         .groupBy("path", "file_type")
         .agg(
@@ -195,6 +212,15 @@ def classify(spark: SparkSession, paths: list[str] | str, catalog: Catalog | Non
             ),
         )
     )
+    ext = F.lower(F.regexp_extract(F.col("path"), r"\.([^./]+)$", 1))
+    none = files.join(judged, "path", "left_anti").select(
+        "path",
+        _type_of(ext).alias("file_type"),
+        F.lit(None).cast("string").alias("layout"),
+        F.lit(None).cast("string").alias("file_pattern"),
+        F.array(F.lit("no layout describes such a file")).alias("failed_candidates"),
+    )
+    return judged.unionByName(none)
 
 
 def detect_layout(spark: SparkSession, paths: list[str], catalog: Catalog | None = None) -> Layout:

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glucoflow.functions import timestamps as TS
+from glucoflow.functions.numbers import null_words
 from glucoflow.operators.events import ColumnSpec, name_columns, to_long
 from glucoflow.sources.catalog import CONFIRMATION_ONLY, OPTIONAL, Layout, Table
 from glucoflow.sources.sqlite_source import SQLiteTableSource
 
+#: rows that are searched for an undeclared header
 HEADER_SEARCH_ROWS = 4
-_MIN_CSV_COLUMNS = 64
 
 
 def _norm(c: SparkColumn) -> SparkColumn:
@@ -30,20 +31,35 @@ def series_from_file(file_col: SparkColumn) -> SparkColumn:
     return F.regexp_extract(file_col, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
+def series_from_path(file_col: SparkColumn) -> SparkColumn:
+    """Person key from the last folder and the file's name: ``p1/export.csv`` -> ``p1/export``."""
+    return F.regexp_extract(file_col, r"([^/]+/[^/]+?)(\.[^./]*)?$", 1)
+
+
 # ------------------------------------------------------------------- CSV
-def read_csv_table(spark: SparkSession, paths: list[str], table: Table, max_columns: int | None = None) -> DataFrame:
-    """Read one CSV table from many files with per-file header resolution.
+def _required(table: Table) -> list[str]:
+    return [c.source_name.strip().lower() for c in table.columns if c.requirement != OPTIONAL]
 
-    Files are parsed without a header (all text, quoted newlines kept).  The
-    header of each file is its declared ``header_row`` or, when undeclared,
-    the first of the first four rows holding every required name.  Columns
-    are then picked by position of their (case-insensitive, stripped) name in
-    that file's header, so files with different column orders mix freely and
-    optional columns missing from a file are null.
+
+def csv_width(spark: SparkSession, paths: list[str], table: Table) -> int:
+    """Fields of the widest line that names all required columns.
+
+    No column beyond that is ever asked for, so nothing is cut off.  One pass
+    over the lines, one number to the driver; quoted separators only make the
+    width larger than needed.
     """
-    n = max_columns or _MIN_CSV_COLUMNS
-    schema = ", ".join(f"_c{i} string" for i in range(n))
-    raw = (
+    line = F.lower(F.col("value"))
+    named = F.lit(True)
+    for name in _required(table):
+        named = named & line.contains(name)
+    widest = spark.read.text(paths).where(named).agg(F.max(F.length("value") - F.length(F.replace(F.col("value"), F.lit(","), F.lit("")))))
+    return int(widest.first()[0] or 0) + 1
+
+
+def _csv_rows(spark: SparkSession, paths: list[str], table: Table, width: int) -> DataFrame:
+    """Every CSV record as ``_file, _seq, _fields`` (all text, no header)."""
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    return (
         spark.read.schema(schema)
         .option("header", False)
         .option("multiLine", table.quoted_newlines)
@@ -55,41 +71,67 @@ def read_csv_table(spark: SparkSession, paths: list[str], table: Table, max_colu
         .select(
             F.col("_metadata.file_path").alias("_file"),
             F.monotonically_increasing_id().alias("_seq"),
-            F.array(*[F.col(f"_c{i}") for i in range(n)]).alias("_fields"),
+            F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("_fields"),
         )
     )
-    # row position within its file.  Splits of one file are packed into
-    # partitions in offset order and ids grow with the partition, so the
-    # first rows of a file (preamble, header) get positions 0, 1, ... even
-    # when a big file is split (``quoted_newlines=False``); later rows only
-    # need to sort after the header.
-    first = raw.groupBy("_file").agg(F.min("_seq").alias("_first"))
-    rows = raw.join(first, "_file").withColumn("_pos", F.col("_seq") - F.col("_first")).drop("_first")
-    required = [c.source_name.strip().lower() for c in table.columns if c.requirement != OPTIONAL]
+
+
+def _csv_headers(rows: DataFrame, table: Table) -> DataFrame:
+    """One row per file: ``_file, _hseq, _header, _hpos`` (nulls: no row names all required columns).
+
+    Splits of one file are packed into partitions in offset order and ids grow
+    with the partition, so a file's first rows get its first positions even
+    when it is split.  Summed up per map task before the shuffle.
+    """
     lowered = F.transform(F.col("_fields"), lambda x: _norm(x))
+    names_all = F.size(F.array_except(F.array(*[F.lit(r) for r in _required(table)]), lowered)) == 0
+    candidate = F.when(names_all, F.struct("_seq", lowered.alias("_header")))
+    found = rows.groupBy("_file").agg(F.min("_seq").alias("_first"), F.min_by(candidate, F.when(names_all, F.col("_seq"))).alias("_h"))
+    return found.select("_file", F.col("_h._seq").alias("_hseq"), F.col("_h._header").alias("_header"), (F.col("_h._seq") - F.col("_first")).alias("_hpos"))
+
+
+def _header_ok(table: Table, search_rows: int) -> SparkColumn:
     if table.header_row is not None:
-        headers = rows.where(F.col("_pos") == table.header_row).select("_file", "_pos", lowered.alias("_header"))
-    else:
-        cand = rows.where(F.col("_pos") < HEADER_SEARCH_ROWS).select(
-            "_file", "_pos", lowered.alias("_header")
-        )
-        req = F.array(*[F.lit(r) for r in required])
-        headers = (
-            cand.where(F.size(F.array_except(req, F.col("_header"))) == 0)
-            .groupBy("_file")
-            .agg(F.min_by(F.struct("_pos", "_header"), F.col("_pos")).alias("_h"))
-            .select("_file", F.col("_h._pos").alias("_pos"), F.col("_h._header").alias("_header"))
-        )
-    headers = headers.withColumnRenamed("_pos", "_hpos")
-    body = rows.join(headers, "_file").where(F.col("_pos") > F.col("_hpos"))
+        return F.coalesce(F.col("_hpos") == table.header_row, F.lit(False))
+    return F.coalesce(F.col("_hpos") < search_rows, F.lit(False))
+
+
+def read_csv_table(spark: SparkSession, paths: list[str], table: Table, max_columns: int | None = None, search_rows: int = HEADER_SEARCH_ROWS) -> DataFrame:
+    """Read one CSV table from many files with per-file header resolution.
+
+    Files are parsed without a header (all text, quoted newlines kept).  The
+    header of each file is its declared ``header_row`` or, when undeclared,
+    the first of the first ``search_rows`` rows holding every required name.
+    Columns are then picked by position of their (case-insensitive, stripped)
+    name in that file's header, so files with different column orders mix
+    freely and optional columns missing from a file are null.  Files without
+    such a header are left out here and listed by ``rejected_csv_files``.
+
+    ``max_columns`` may give the number of fields to parse; by default it is
+    taken from the headers found.
+    """
+    rows = _csv_rows(spark, paths, table, max_columns or csv_width(spark, paths, table))
+    headers = _csv_headers(rows, table).where(_header_ok(table, search_rows))
+    # one small row per file; Spark broadcasts it where its measured size allows
+    body = rows.join(headers, "_file").where(F.col("_seq") > F.col("_hseq"))
     # element_at with index 0 (name not in this file's header) would raise
     safe = []
     for name in table.wanted():
         idx = F.array_position(F.col("_header"), F.lit(name.strip().lower())).cast("int")
-        safe.append(F.when(idx > 0, F.element_at(F.col("_fields"), idx)).alias(name))
+        safe.append(null_words(F.when(idx > 0, F.element_at(F.col("_fields"), idx))).alias(name))
     return body.select("_file", "_seq", *safe)
 
 
+def rejected_csv_files(spark: SparkSession, paths: list[str], table: Table, search_rows: int = HEADER_SEARCH_ROWS) -> DataFrame:
+    """``_file, reason`` of CSV files with rows but without the header that the layout asks for."""
+    rows = _csv_rows(spark, paths, table, csv_width(spark, paths, table))
+    where = F.lit(f"row {table.header_row}" if table.header_row is not None else f"the first {search_rows} rows")
+    reason = F.when(F.col("_hpos").isNull(), F.lit("no row names all required columns")).otherwise(
+        F.concat(F.lit("the header is in row "), F.col("_hpos").cast("string"), F.lit(", expected in "), where)
+    )
+    return _csv_headers(rows, table).where(~_header_ok(table, search_rows)).select("_file", reason.alias("reason"))
+
+
 # ------------------------------------------------------------------ JSON
 def read_json_table(spark: SparkSession, paths: list[str], table: Table) -> DataFrame:
     """A JSON export: either a list of records, or an object whose keys are
@@ -98,7 +140,10 @@ def read_json_table(spark: SparkSession, paths: list[str], table: Table) -> Data
     cols = {c.lower(): c for c in df.columns}
     if table.name and table.name.lower() in cols:
         src = cols[table.name.lower()]
-        recs = df.select("_file", F.posexplode(F.col(f"`{src}`")).alias("_seq", "_r")).select(
+        records = F.col(f"`{src}`")
+        if dict(df.dtypes)[src].startswith("struct"):
+            records = F.array(records)  # every file holds a single record
+        recs = df.select("_file", F.posexplode(records).alias("_seq", "_r")).select(
             "_file", F.col("_seq").cast("bigint"), "_r.*"
         )
     else:
@@ -172,6 +217,16 @@ def read_tables(spark: SparkSession, layout: Layout, paths: list[str]) -> dict[s
     return out
 
 
+def rejected_files(spark: SparkSession, layout: Layout, paths: list[str]) -> DataFrame:
+    """``_file, reason`` of all CSV files of a layout whose header can't be found."""
+    out = spark.createDataFrame([], "_file string, reason string")
+    for fc in layout.files:
+        mine = [p for p in paths if fc.matches(p)]
+        if fc.file_type == "csv" and mine:
+            out = out.unionByName(rejected_csv_files(spark, mine, fc.tables[0]))
+    return out
+
+
 def layout_specs(layout: Layout) -> dict[tuple[str, str], ColumnSpec]:
     """Standard output names for every mapped column of a layout.
 
@@ -198,7 +253,7 @@ def layout_specs(layout: Layout) -> dict[tuple[str, str], ColumnSpec]:
 
 def convert_times(df: DataFrame, table: Table, series: SparkColumn | None = None) -> DataFrame:
     """Add ``series_id`` and ``ts`` (UTC) to source rows: the time format is
-    detected per series from a 50-value sample, then every row converted."""
+    detected per series over all its values, then every row converted."""
     s = series if series is not None else series_from_file(F.col("_file"))
     keyed = df.withColumn("series_id", s)
     tcol = table.timestamp_column
@@ -213,10 +268,11 @@ def to_events(
     series: SparkColumn | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Source rows -> ``events_long`` plus a quarantine frame of rows whose
-    time did not parse (kept out of the results, counted by the caller)."""
+    time is missing or did not parse (kept out of the results, counted by the
+    caller)."""
     tcol = table.timestamp_column
     conv = convert_times(df, table, series)
-    bad = conv.where(F.col("ts").isNull() & F.col(f"`{tcol}`").isNotNull()).select(
+    bad = conv.where(F.col("ts").isNull()).select(
         "series_id", "_file", "_seq", F.col(f"`{tcol}`").alias("raw_time"), "ts_type"
     )
     good = conv.where(F.col("ts").isNotNull())

@@ -60,6 +60,11 @@ class _SQLiteReader(DataSourceReader):
             if not valid_identifier(ident):
                 raise ValueError(f"unsafe SQLite identifier: {ident!r}")
 
+    def _splittable(self, con) -> bool:
+        """Whether the file has the table, with rowids (a view or a table without has none)."""
+        found = con.execute("SELECT type, sql FROM sqlite_master WHERE name = ? COLLATE NOCASE", (self.table,)).fetchone()
+        return found is not None and found[0] == "table" and "WITHOUT ROWID" not in (found[1] or "").upper()
+
     def partitions(self):
         import sqlite3
 
@@ -71,13 +76,19 @@ class _SQLiteReader(DataSourceReader):
                 continue
             con = sqlite3.connect(f"file:{local}?mode=ro", uri=True)
             try:
-                lo, hi = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quote(self.table)}").fetchone()
+                if not self._splittable(con):
+                    parts.append(_Range(local, None, None))  # read as a whole; no table, no rows
+                    continue
+                n, lo, hi = con.execute(f"SELECT count(*), min(rowid), max(rowid) FROM {_quote(self.table)}").fetchone()
             finally:
                 con.close()
-            if lo is None:
+            if not n:
                 continue
-            for start in range(lo, hi + 1, self.rows_per_part):
-                parts.append(_Range(local, start, min(start + self.rows_per_part - 1, hi)))
+            # as many ranges as the rows ask for, however far apart their ids lie
+            ranges = -(-n // self.rows_per_part)
+            step = -(-(hi - lo + 1) // ranges)
+            for start in range(lo, hi + 1, step):
+                parts.append(_Range(local, start, min(start + step - 1, hi)))
         return parts or [_Range("", None, None)]
 
     def read(self, partition):
@@ -94,7 +105,9 @@ class _SQLiteReader(DataSourceReader):
             sel = ", ".join(
                 f"CAST({_quote(c)} AS TEXT)" if c in present else "NULL" for c in self.columns
             )
-            sql = f"SELECT rowid{', ' + sel if sel else ''} FROM {_quote(self.table)}"
+            # without rowids the rows are numbered in the order they come
+            key = "rowid" if self._splittable(con) else "row_number() OVER () - 1"
+            sql = f"SELECT {key}{', ' + sel if sel else ''} FROM {_quote(self.table)}"
             args: tuple = ()
             if partition.lo is not None:
                 sql += " WHERE rowid BETWEEN ? AND ?"
