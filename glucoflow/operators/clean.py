@@ -8,6 +8,7 @@ catalogue, never from the data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -33,6 +34,9 @@ class Processed:
     units: dict[str, str] = field(default_factory=dict)
     notes: list[str] = field(default_factory=list)
     value_columns: list[str] = field(default_factory=list)
+    # CGM: emits the grid with the per-slot columns of other types on it
+    with_columns: Callable[[DataFrame, list[str], dict[str, str]], DataFrame] | None = None
+    step: int | None = None
 
 
 def _of_type(events: DataFrame, *types: str) -> DataFrame:
@@ -101,22 +105,42 @@ def cgm(
     names = [c for c, _ in columns]
     primary = names[0]
     obs_wide = cgm_slot_means(events, step, names)
-    grid = wide_grid(obs_wide, names, interpolation_limit, fill_tail, block_slots)
-    wide = grid.select("series_id", "slot", *names, (~F.col(f"{primary}__obs")).alias("missing"))
-    out = wide.select(
-        "series_id",
-        "slot",
-        slot_to_ts("slot", step).alias("ts"),
-        *[G.clip_glucose(F.col(n)).alias(n) for n in names],
-        "missing",
-    ).select(
-        "series_id",
-        "slot",
-        "ts",
-        *names,
-        *[G.to_mmol(F.col(n)).alias(f"{n}_mmol") for n in names],
-        "missing",
-    )
+
+    def finished(grid: DataFrame, more: list[str]) -> DataFrame:
+        wide = grid.select("series_id", "slot", *names, (~F.col(f"{primary}__obs")).alias("missing"), *more)
+        return wide.select(
+            "series_id",
+            "slot",
+            slot_to_ts("slot", step).alias("ts"),
+            *[G.clip_glucose(F.col(n)).alias(n) for n in names],
+            "missing",
+            *more,
+        ).select(
+            "series_id",
+            "slot",
+            "ts",
+            *names,
+            *[G.to_mmol(F.col(n)).alias(f"{n}_mmol") for n in names],
+            "missing",
+            *more,
+        )
+
+    def with_columns(per_slot: DataFrame, carried: list[str], spans: dict[str, str]) -> DataFrame:
+        """The grid with columns of ``per_slot(series_id, slot, ..)`` on their
+        slots: both meet as sparse rows, so the grid is emitted once, complete.
+        """
+        both = obs_wide.withColumn("_grid", F.lit(True)).unionByName(per_slot.withColumn("_grid", F.lit(False)), allowMissingColumns=True)
+        own, other = [*names], [c for c in per_slot.columns if c not in ("series_id", "slot")]
+        # at most one row of each kind per slot
+        one = both.groupBy("series_id", "slot").agg(
+            *[F.max(F.when(F.col("_grid"), F.col(c))).alias(c) for c in own],
+            *[F.max(F.when(~F.col("_grid"), F.col(c))).alias(c) for c in other],
+            F.bool_or("_grid").alias("_grid"),
+        )
+        grid = wide_grid(one, names, interpolation_limit, fill_tail, block_slots, carried, spans)
+        return finished(grid, [*carried, *spans])
+
+    out = finished(wide_grid(obs_wide, names, interpolation_limit, fill_tail, block_slots), [])
     if not keep_slot:
         out = out.drop("slot")
     units = {}
@@ -124,7 +148,7 @@ def cgm(
         units[n] = G.MGDL
         units[f"{n}_mmol"] = G.MMOL
     notes = [f"CGM column {i + 1}: {G.MMOL} times {G.MMOL_TO_MGDL} is {G.MGDL}" for i, (_, u) in enumerate(columns) if u == G.MMOL]
-    return Processed("CGM", out, units, notes, names)
+    return Processed("CGM", out, units, notes, names, with_columns, step)
 
 
 def cgm_completeness(cgm_frame: DataFrame) -> DataFrame:

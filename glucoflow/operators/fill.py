@@ -78,9 +78,18 @@ def wide_grid(
     limit: int = 4,
     fill_tail: bool = True,
     block_slots: int = DEFAULT_BLOCK_SLOTS,
+    carried: list[str] | None = None,
+    spans: dict[str, str] | None = None,
 ) -> DataFrame:
     """Regular grid with every column filled, emitted directly in wide form.
 
+    ``carried``: further columns of ``obs`` that belong to their own slot only
+    (null on the slots a row fills).  With them ``obs`` has a boolean ``_grid``:
+    rows that aren't of the type itself don't widen its grid, and those outside
+    it are left out.  ``spans``: name -> boolean column of ``obs``; the result
+    tells by ``name`` whether a slot lies between the first and the last row of
+    its series where that column is true (null: there is none).
+
     ``obs``: ``series_id, slot, <columns>`` - one row per slot that has any
     reading row of the type (a column is null where it has no value; a row
     may be null in every column and still widens the grid, as in the
@@ -104,6 +113,9 @@ def wide_grid(
     Returns ``series_id, slot, <columns>, <c>__obs`` (``<c>__obs``: the
     column had a reading in that slot).
     """
+    carried, spans = carried or [], spans or {}
+    own = F.col("_grid") if carried else F.lit(True)
+    bounds = {"grid": own} | {name: F.coalesce(F.col(c), F.lit(False)) for name, c in spans.items()}
     keys = ["series_id", "_block"]
     b = obs.withColumn("_block", F.floor(F.col("slot") / F.lit(block_slots)))
     at = {c: F.when(F.col(c).isNotNull(), F.col("slot")) for c in columns}
@@ -115,6 +127,8 @@ def wide_grid(
         *keys,
         "slot",
         *columns,
+        *carried,
+        *[F.when(is_in, F.col("slot")).alias(f"_in_{name}") for name, is_in in bounds.items()],
         F.lead("slot").over(w).alias("_next_any"),
         *[F.last(at[c], ignorenulls=True).over(upto).alias(f"_ps_{c}") for c in columns],
         *[F.last(c, ignorenulls=True).over(upto).alias(f"_pv_{c}") for c in columns],
@@ -124,7 +138,7 @@ def wide_grid(
     # block summary on the rows as partitioned by the window (no exchange)
     summ = rows.groupBy(*keys).agg(
         F.min("slot").alias("_bfirst"),
-        F.max("slot").alias("_blast"),
+        *[e for name in bounds for e in (F.min(f"_in_{name}").alias(f"_lo_{name}"), F.max(f"_in_{name}").alias(f"_hi_{name}"))],
         *[F.min(at[c]).alias(f"_fs_{c}") for c in columns],
         *[F.min_by(F.col(c), at[c]).alias(f"_fv_{c}") for c in columns],
         *[F.max(at[c]).alias(f"_ls_{c}") for c in columns],
@@ -134,10 +148,15 @@ def wide_grid(
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     wbd = Window.partitionBy("series_id").orderBy(F.col("_block").desc())
     after = wbd.rowsBetween(Window.unboundedPreceding, -1)
+    ws = Window.partitionBy("series_id")
     carry = summ.select(
         *keys,
         F.lead("_bfirst").over(wb).alias("_next_any_blk"),
-        F.max("_blast").over(Window.partitionBy("series_id")).alias("_hi"),
+        *[
+            e
+            for name in bounds
+            for e in (F.min(f"_lo_{name}").over(ws).alias(f"_lo_{name}"), F.max(f"_hi_{name}").over(ws).alias(f"_hi_{name}"))
+        ],
         *[F.last(f"_ls_{c}", ignorenulls=True).over(before).alias(f"_bps_{c}") for c in columns],
         *[F.last(f"_lv_{c}", ignorenulls=True).over(before).alias(f"_bpv_{c}") for c in columns],
         *[F.last(f"_fs_{c}", ignorenulls=True).over(after).alias(f"_bns_{c}") for c in columns],
@@ -146,17 +165,21 @@ def wide_grid(
     joined = rows.join(carry, keys, "left")
 
     # per row: the scalars each emitted slot needs (computed once per row)
+    following = F.coalesce(F.col("_next_any"), F.col("_next_any_blk")) - 1
     pre = [
         "series_id",
         "slot",
-        F.coalesce(F.coalesce(F.col("_next_any"), F.col("_next_any_blk")) - 1, F.col("slot")).alias("_end"),
+        F.least(F.coalesce(following, F.col("slot")), F.col("_hi_grid")).alias("_end"),
+        *carried,
+        *[x for name in spans for x in (f"_lo_{name}", f"_hi_{name}")],
     ]
+    joined = joined.where((F.col("slot") >= F.col("_lo_grid")) & (F.col("slot") <= F.col("_hi_grid")))
     for c in columns:
         ps = F.coalesce(F.col(f"_ps_{c}"), F.col(f"_bps_{c}"))
         pv = F.when(F.col(f"_ps_{c}").isNotNull(), F.col(f"_pv_{c}")).otherwise(F.col(f"_bpv_{c}"))
         ns = F.coalesce(F.col(f"_ns_{c}"), F.col(f"_bns_{c}"))
         nv = F.when(F.col(f"_ns_{c}").isNotNull(), F.col(f"_nv_{c}")).otherwise(F.col(f"_bnv_{c}"))
-        gap = F.when(ns.isNotNull(), ns - ps - 1).otherwise(F.col("_hi") - ps)
+        gap = F.when(ns.isNotNull(), ns - ps - 1).otherwise(F.col("_hi_grid") - ps)
         pre += [
             ps.alias(f"_PS_{c}"),
             pv.alias(f"_PV_{c}"),
@@ -178,16 +201,19 @@ def wide_grid(
             .otherwise(pv + (nv - pv) / (ns - ps) * (s - ps))
         )
         out_cols += [val.alias(c), ((s == F.col("slot")) & F.col(f"_HERE_{c}")).alias(f"{c}__obs")]
-    # the explode below multiplies rows by the gap lengths: spread the (small)
-    # observed rows over the full partition count first, so runtime
-    # coalescing sized on the input does not leave a few tasks emitting the
-    # whole grid (an explicit count is kept by AQE)
+    out_cols += [F.when(s == F.col("slot"), F.col(c)).alias(c) for c in carried]
+    out_cols += [s.between(F.col(f"_lo_{name}"), F.col(f"_hi_{name}")).alias(name) for name in spans]
+    # a row emits its gap in two steps: first the starts of stretches of at
+    # most block_slots slots, which are spread over the full partition count
+    # (an explicit count is kept by AQE), then each stretch's slots.  So no
+    # array grows with a gap's length, and a long gap is emitted by many tasks
     from glucoflow.session import target_partitions
 
     n = target_partitions(obs.sparkSession)
     return (
         joined.select(*pre)
-        .repartition(n, "series_id", "slot")
-        .withColumn("g_slot", F.explode(F.sequence(F.col("slot"), F.col("_end"))))
+        .withColumn("_from", F.explode(F.sequence(F.col("slot"), F.col("_end"), F.lit(block_slots))))
+        .repartition(n, "series_id", "_from")
+        .withColumn("g_slot", F.explode(F.sequence(F.col("_from"), F.least(F.col("_end"), F.col("_from") + (block_slots - 1)))))
         .select("series_id", F.col("g_slot").alias("slot"), *out_cols)
     )

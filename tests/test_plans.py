@@ -43,7 +43,7 @@ def test_alignment_aggregates_once(spark):
     assert plan.count("Union") == 1, plan
 
 
-def test_time_sample_is_limited_before_the_shuffle(spark):
+def test_time_rules_are_summed_up_before_the_shuffle(spark):
     from pyspark.sql import functions as F
 
     from glucoflow.functions import timestamps as TS
@@ -52,5 +52,27 @@ def test_time_sample_is_limited_before_the_shuffle(spark):
         F.col("user_id").cast("string").alias("s"), "event_id", F.col("ts").cast("string").alias("t")
     )
     plan = _plan(TS.detect(ev, ["s"], "t", "event_id"))
-    # a hot person sends at most 50 rows per map task to the sample window
-    assert re.search(r"WindowGroupLimit .*row_number\(\), 50, Partial", plan), plan
+    # all rules are partial aggregates: a hot person sends one row per map task
+    assert "Window" not in plan and re.search(r"HashAggregate\(keys=\[s#\d+\], functions=\[partial_", plan), plan
+
+
+def test_grid_is_emitted_once_and_never_exchanged(spark):
+    from glucoflow.operators import align as A
+    from glucoflow.plans.queries import _processed
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(A.align(_processed(spark, SF)).frame)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    above = plan[: plan.index("sequence(_from")]
+    assert "Exchange" not in above and "Join" not in above, plan
+
+
+def test_a_gap_of_fifty_years_is_emitted_in_stretches(spark):
+    from glucoflow.operators.fill import wide_grid
+
+    obs = spark.createDataFrame([("s", 0, 1.0), ("s", 5_259_600, 2.0)], "series_id string, slot long, v double")
+    grid = wide_grid(obs, ["v"])
+    assert grid.count() == 5_259_601 and grid.where("v is not null").count() == 2
