@@ -271,19 +271,8 @@ def insulin(
     if not use_metadata:
         out = doses.select("series_id", "ts", "dose", "is_bolus", "is_basal", F.lit("").alias("type"))
         return Processed("INSULIN", out, {"dose": G.UNITS}, [], ["dose"])
-    # recognised name -> its position in the lookup (an int keeps the
-    # aggregation hash based); the last recognised row per time wins
-    name = insulin_name_from_json(F.col("text"))
-    code = F.lit(None).cast("int")
-    for i, (key, _, _) in reversed(list(enumerate(INSULIN_NAMES))):
-        code = F.when(name.contains(key), F.lit(i)).otherwise(code)
-    meta = (
-        _of_type(events, "INSULIN_META")
-        .select("series_id", "ts", "_seq", code.alias("code"))
-        .where(F.col("code").isNotNull())
-        .groupBy("series_id", "ts")
-        .agg(F.max_by(F.col("code"), F.col("_seq")).alias("code"))
-    )
+    # the last recognised row per time wins
+    meta = _recognised(events).groupBy("series_id", "ts").agg(F.max_by(F.col("code"), F.col("_seq")).alias("code"))
     joined = doses.join(meta, ["series_id", "ts"], "left")
 
     def pick(field: int, default):
@@ -303,15 +292,33 @@ def insulin(
     return Processed("INSULIN", out, {"dose": G.UNITS}, [], ["dose"])
 
 
-def insulin_stats(ins: DataFrame, max_dose: float = G.DEFAULT_MAX_DOSE) -> DataFrame:
-    """Per series: doses, bolus, basal, over the maximum, metadata updates."""
-    return ins.groupBy("series_id").agg(
+def _recognised(events: DataFrame) -> DataFrame:
+    """Metadata rows that name a known insulin: ``series_id, ts, _seq, code``.
+
+    The code is the name's position in the lookup (an int keeps aggregations
+    hash based).
+    """
+    name = insulin_name_from_json(F.col("text"))
+    code = F.lit(None).cast("int")
+    for i, (key, _, _) in reversed(list(enumerate(INSULIN_NAMES))):
+        code = F.when(name.contains(key), F.lit(i)).otherwise(code)
+    return _of_type(events, "INSULIN_META").select("series_id", "ts", "_seq", code.alias("code")).where(F.col("code").isNotNull())
+
+
+def insulin_stats(events: DataFrame, bolus_limit: float = G.DEFAULT_BOLUS_LIMIT, max_dose: float = G.DEFAULT_MAX_DOSE) -> DataFrame:
+    """Per series: doses, bolus and basal by size (before metadata), over the
+    maximum, and the recognised metadata rows at the time of a dose."""
+    dose = F.col("value")
+    doses = _of_type(events, "INSULIN").where(dose > 0)
+    counts = doses.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("doses"),
-        F.count_if(F.col("is_bolus")).alias("bolus"),
-        F.count_if(F.col("is_basal")).alias("basal"),
-        F.count_if(F.col("dose") > F.lit(max_dose)).alias("count_over_max"),
-        F.count_if(F.col("type") != "").alias("meta_updates"),
+        F.count_if(G.is_bolus(dose, bolus_limit)).alias("bolus"),
+        F.count_if(G.is_basal(dose, bolus_limit, max_dose)).alias("basal"),
+        F.count_if(dose > F.lit(max_dose)).alias("count_over_max"),
     )
+    updates = _recognised(events).join(doses.select("series_id", "ts"), ["series_id", "ts"], "left_semi")
+    updates = updates.groupBy("series_id").agg(F.count(F.lit(1)).alias("meta_updates"))
+    return counts.join(updates, "series_id", "left").withColumn("meta_updates", F.coalesce("meta_updates", F.lit(0).cast("bigint")))
 
 
 # ------------------------------------------------------------------- carbs

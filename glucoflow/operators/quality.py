@@ -135,7 +135,7 @@ def data_notes(events: DataFrame, processed: dict, bolus_limit: float = 8.0, max
             fs(f[4], F.date_format("a", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.date_format("b", "yyyy-MM-dd HH:mm:ss.SSSSSS")),
         ).alias("notes")))
     if "INSULIN" in processed:
-        m = C.insulin_stats(processed["INSULIN"].frame, max_dose)
+        m = C.insulin_stats(events, bolus_limit, max_dose)
         f = NOTE_FORMATS["INSULIN"]
         out.append(m.select("series_id", F.lit("INSULIN").alias("data_type"), F.array(
             fs(f[0], "doses"), fs(f[1], "bolus", F.lit(str(bolus_limit))), fs(f[2], "basal", F.lit(str(bolus_limit))),

@@ -293,13 +293,16 @@ def insulin_metadata(spark, sf_dir):
 @query(
     "insulin_stats",
     f"""{_USER}{TYPE_CTES}
-SELECT series_id, count(*) AS doses, count_if(is_bolus) AS bolus, count_if(is_basal) AS basal,
-  count_if(dose > 15.0) AS count_over_max, count_if(type <> '') AS meta_updates
-FROM ins_out GROUP BY series_id""",
+SELECT p.series_id, count(*) AS doses, count_if(dose <= 8.0) AS bolus, count_if(dose > 8.0 AND dose <= 15.0) AS basal,
+  count_if(dose > 15.0) AS count_over_max,
+  (SELECT count(*) FROM ins_meta m WHERE m.t IS NOT NULL AND m.series_id = p.series_id
+     AND EXISTS (SELECT 1 FROM ins_pos d WHERE d.series_id = m.series_id AND d.ts = m.ts)) AS meta_updates
+FROM ins_pos p GROUP BY p.series_id""",
 )
 def insulin_stats(spark, sf_dir):
-    """A16 + A18: dose class counts per person, over-maximum doses, metadata updates."""
-    return C.insulin_stats(C.insulin(_devices(spark, sf_dir)).frame)
+    """A16 + A18: dose classes by size per person, over-maximum doses, recognised
+    metadata rows at a dose."""
+    return C.insulin_stats(_devices(spark, sf_dir))
 
 
 # ================================================================= carbs
@@ -1138,8 +1141,11 @@ b AS (SELECT bc.series_id, removed, lo, hi, coalesce(readings, 0) AS readings,
         {r6_sql("readings / CASE WHEN epoch_us(bk.b) - epoch_us(bk.a) > 0 THEN (epoch_us(bk.b) - epoch_us(bk.a)) / 86400e6 END")} AS rate,
         bo.a AS a, bo.b AS b
       FROM bc LEFT JOIN bk USING (series_id) LEFT JOIN bo USING (series_id)),
-i AS (SELECT series_id, count(*) AS n, count_if(is_bolus) AS bol, count_if(is_basal) AS bas,
-        count_if(dose > 15.0) AS over, count_if(type <> '') AS upd FROM ins_out GROUP BY 1),
+i AS (SELECT p.series_id, count(*) AS n, count_if(dose <= 8.0) AS bol, count_if(dose > 8.0 AND dose <= 15.0) AS bas,
+        count_if(dose > 15.0) AS over,
+        (SELECT count(*) FROM ins_meta m WHERE m.t IS NOT NULL AND m.series_id = p.series_id
+           AND EXISTS (SELECT 1 FROM ins_pos d WHERE d.series_id = m.series_id AND d.ts = m.ts)) AS upd
+      FROM ins_pos p GROUP BY 1),
 kc AS (SELECT series_id, ts, CASE WHEN value >= 1.0 THEN value END AS v FROM carb_raw),
 k AS (SELECT series_id, count(*) AS orig, count(v) AS kept, round(100.0 * count(v) / count(*), 1) AS pct,
         count(DISTINCT CASE WHEN v IS NOT NULL THEN ts END) AS fin FROM kc GROUP BY 1),

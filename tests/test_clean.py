@@ -51,7 +51,9 @@ def test_insulin_size_classes_and_metadata(spark):
     assert list(out.is_bolus) == [False, False, False, True]
     assert list(out.is_basal) == [True, True, False, False]
     assert list(out.type) == ["levemir", "", "", "novorapid"]
-    st = C.insulin_stats(C.insulin(long_events(spark, rows)).frame).collect()[0]
+    st = C.insulin_stats(long_events(spark, rows)).collect()[0]
+    # classes by size, before metadata moved two of the doses
+    assert (st["doses"], st["bolus"], st["basal"]) == (4, 1, 2)
     assert st["count_over_max"] == 1 and st["meta_updates"] == 2
 
 
