@@ -8,7 +8,6 @@ Everything else (shuffle partitions, AQE) is left to the cluster's settings;
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -55,22 +54,18 @@ def target_partitions(spark: SparkSession) -> int:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) a fresh folder is made.
+    Only where the session names none (local tests) a folder beside the
+    warehouse takes its place; the setting itself can't be changed at run time.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - no SparkContext (e.g. a remote session)
         sc = None
-    if configured:
-        if sc is not None:
-            sc.setCheckpointDir(configured)
-        return configured
     current = sc.getCheckpointDir() if sc is not None else None
-    if current:
-        return current
-    path = tempfile.mkdtemp(prefix="glucoflow-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    if sc is not None:
+    path = current or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if sc is not None and not current:
         sc.setCheckpointDir(path)
     return path

@@ -12,6 +12,7 @@ from __future__ import annotations
 import csv
 import json
 import os
+import re
 import sqlite3
 import uuid
 from xml.sax.saxutils import quoteattr
@@ -26,7 +27,7 @@ WRITTEN_SCHEMA = "path string, rows bigint"
 
 def scratch_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
+    base = re.sub("^file:(//)?", "", checkpoint_dir(spark))  # these writers open plain paths
     path = f"{base.rstrip('/')}/glucoflow-{tag}-{uuid.uuid4().hex[:12]}"
     return path
 
@@ -85,7 +86,8 @@ def _sqlite_writer(out_dir: str, tables: dict[str, list[str]]):
                     if path not in cons:
                         con = sqlite3.connect(path)
                         for t, cols in tables.items():
-                            con.execute(f'CREATE TABLE IF NOT EXISTS "{t}" (' + ", ".join(f'"{c}"' for c in cols) + ")")
+                            con.execute(f'DROP TABLE IF EXISTS "{t}"')  # of an earlier try
+                            con.execute(f'CREATE TABLE "{t}" (' + ", ".join(f'"{c}"' for c in cols) + ")")
                         cons[path] = con
                         counts[path] = 0
                     con = cons[path]
