@@ -26,6 +26,13 @@ HEADLINE = [
     "resample_daily_sum",
     "month_stats",
     "ts_convert",
+    "ts_all_formats",
+    "csv_source",
+    "sqlite_source",
+    "json_source",
+    "xml_source",
+    "conformance_report",
+    "export_complete",
 ]
 
 

@@ -1064,6 +1064,38 @@ def align_1h(spark, sf_dir):
     return _align_on_step(spark, sf_dir, 3_600_000_000, "1h")
 
 
+@query(
+    "align_rejects",
+    f"""{_USER}{TYPE_CTES},
+{cgm_fill_ctes('cgm_raw')}
+SELECT series_id, count(*) AS rows, 0 AS order_violations, 600000000 AS modal_step_us
+FROM cgm_out WHERE CAST(series_id AS BIGINT) % 2 = 1 AND slot % 2 = 0 GROUP BY series_id HAVING count(*) > 1""",
+)
+def align_rejects(spark, sf_dir):
+    """W8 in alignment: people with odd ids bring a 10-minute timeline to a
+    5-minute alignment; their verdicts come with the result."""
+    p = _processed(spark, sf_dir)
+    odd = F.pmod(F.col("series_id").cast("bigint"), F.lit(2)) == 1
+    ref = p["CGM"].frame.where(~odd | (F.pmod(micros("ts"), F.lit(600_000_000)) == 0)).select("series_id", "ts")
+    return A.align(p, reference=ref).rejects.select("series_id", "rows", "order_violations", "modal_step_us").where("rows > 1")
+
+
+@query(
+    "export_complete",
+    f"""{_USER}{TYPE_CTES}
+SELECT series_id, ts, {r6_sql('carbs_primary')} AS carbs_primary FROM carb_out""",
+)
+def export_complete(spark, sf_dir):
+    """K1, K7: the complete carbs dataset of a run, read back."""
+    written = _export_types(spark, sf_dir)
+    back = spark.read.option("header", True).option("basePath", written["carbs"]).csv(written["carbs"])
+    return back.select(
+        F.col("series_id").cast("string").alias("series_id"),
+        F.to_timestamp_ntz("ts").alias("ts"),
+        r6(F.col("carbs_primary").cast("double")).alias("carbs_primary"),
+    )
+
+
 def _period_sql() -> str:
     ctes, select = align_select()
     return f"""{_USER}{TYPE_CTES},

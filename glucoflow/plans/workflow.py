@@ -166,7 +166,8 @@ def run(spark: SparkSession, paths: list[str], out_dir: str, layout=None, freq:
     notes = data_notes(r.events, r.processed, params.get("bolus_limit", G.DEFAULT_BOLUS_LIMIT), params.get("max_dose", G.DEFAULT_MAX_DOSE))
     written = export.write(spark, r.processed, aligned, out_dir, fmt=fmt, data_notes=notes)
     # what did not make it into the results is written beside them
-    for name, left in (("quarantine", r.quarantine), ("rejected_files", r.rejected)):
+    rejects = aligned.rejects if aligned is not None else None
+    for name, left in (("quarantine", r.quarantine), ("rejected_files", r.rejected), ("rejected_timelines", rejects)):
         if left is not None:
             written[name] = f"{written.get('base', out_dir)}/{name}"
             left.write.mode("overwrite").json(written[name])
