@@ -63,11 +63,6 @@ def round_half_even(us: Column, step: int) -> Column:
     return q + F.when(up, F.lit(1)).otherwise(F.lit(0))
 
 
-def floor_slot(us: Column, step: int) -> Column:
-    """Slot number of the bin that starts at or before ``us``."""
-    return ((us - F.pmod(us, F.lit(step))) / F.lit(step)).cast("bigint")
-
-
 def slot_of(ts: Column | str, step: int, dtype=None) -> Column:
     """Round a timestamp to the grid (ties to even), as a slot number."""
     return round_half_even(micros(ts, dtype), step)
@@ -77,8 +72,3 @@ def slot_to_ts(slot: Column | str, step: int) -> Column:
     """Slot number back to a naive (UTC) timestamp."""
     c = F.col(slot) if isinstance(slot, str) else slot
     return F.timestamp_micros(c * F.lit(step)).cast(TimestampNTZType())
-
-
-def micros_to_ts(us: Column | str) -> Column:
-    c = F.col(us) if isinstance(us, str) else us
-    return F.timestamp_micros(c).cast(TimestampNTZType())

@@ -25,15 +25,6 @@ def column_completeness(df: DataFrame, columns: list[str], keys: list[str] | Non
     )
 
 
-def date_range(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """First and last date (``yyyy-MM-dd``) over all rows."""
-    return df.agg(
-        F.date_format(F.min(ts), "yyyy-MM-dd").alias("start_date"),
-        F.date_format(F.max(ts), "yyyy-MM-dd").alias("end_date"),
-        F.count(F.lit(1)).alias("record_count"),
-    )
-
-
 def period_stats(aligned: DataFrame, keys: list[str] | None = None, ts: str = "ts") -> DataFrame:
     """Per person and calendar month, the statistics of the monthly notes
     (A9, A13-A15) computed on the aligned frame:

@@ -79,17 +79,6 @@ def note_text(props: Column) -> Column:
     )
 
 
-def _reading(data_type: str, column_name: str, unit: str | None, value=None, text=None) -> Column:
-    return F.struct(
-        F.lit(data_type).alias("data_type"),
-        F.lit(column_name).alias("column_name"),
-        F.lit(column_name.endswith("_primary")).alias("is_primary"),
-        F.lit(unit).cast("string").alias("unit"),
-        (value if value is not None else F.lit(None)).cast("double").alias("value"),
-        (text if text is not None else F.lit(None)).cast("string").alias("text"),
-    )
-
-
 def device_events(events: DataFrame, series: Column | None = None) -> DataFrame:
     """``events_long`` rows for all five data types plus insulin metadata.
 
@@ -114,9 +103,6 @@ def device_events(events: DataFrame, series: Column | None = None) -> DataFrame:
     return out.select(*EVENTS_LONG_COLUMNS)
 
 
-_READING_FIELDS = {"data_type", "column_name", "is_primary", "unit", "value", "text"}
-
-
 def sensor_events(events: DataFrame) -> DataFrame:
     """Every event as a CGM reading of the sensor named by its event type."""
     return _long(events, F.col("event_type"), "CGM", "cgm_primary", "mg/dL", F.lit(40.0) + F.col("value") * 3)

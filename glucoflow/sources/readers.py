@@ -8,6 +8,8 @@ times to UTC and unpivots the mapped columns into ``events_long``.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -190,7 +192,7 @@ def read_sqlite_table(
     local = [p[5:] if p.startswith("file:") else p for p in paths]
     return (
         spark.read.format(SQLiteTableSource.name())
-        .option("paths", ",".join(local))
+        .option("paths", json.dumps(local))
         .option("table", table.name)
         .option("columns", ",".join(table.wanted()))
         .option("rowsPerPartition", str(rows_per_partition))

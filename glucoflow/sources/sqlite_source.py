@@ -6,7 +6,7 @@ standard ``sqlite3`` module inside the tasks.  One input partition per
 into ranges of ``rowsPerPartition`` rowids, so one big export does not land
 in one task.  ``rowid`` is the row order (``_seq``).
 
-Options: ``paths`` (comma separated), ``table``, ``columns`` (comma
+Options: ``paths`` (a JSON list, or comma separated), ``table``, ``columns`` (comma
 separated, the wanted list), ``rowsPerPartition`` (default 1,000,000),
 ``splitBytes`` (files above this size are split; default 64 MiB).
 Columns missing from a file come back as nulls; identifiers must be
@@ -15,6 +15,7 @@ alphanumeric, ``_`` or ``.``.
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -51,7 +52,8 @@ class SQLiteTableSource(DataSource):
 
 class _SQLiteReader(DataSourceReader):
     def __init__(self, options, columns):
-        self.paths = [p for p in options.get("paths", "").split(",") if p]
+        given = options.get("paths", "")
+        self.paths = json.loads(given) if given.startswith("[") else [p for p in given.split(",") if p]
         self.table = options.get("table", "")
         self.columns = columns
         self.rows_per_part = int(options.get("rowsPerPartition", 1_000_000))

@@ -25,7 +25,7 @@ def watch_exports(
     checkpoint: str | None = None,
     glob: str | None = None,
     available_now: bool = True,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int = 1000,
     **params,
 ):
     """Start a stream that runs ``workflow.run`` on every batch of new files.
@@ -38,13 +38,12 @@ def watch_exports(
     reader = spark.readStream.format("binaryFile").schema(_BINARY_SCHEMA)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     files = reader.load(input_dir).select("path")  # content is never read here
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        # the list of new file names is small (one row per file); the data
-        # itself is read by the batch pipeline on the executors
+        # at most max_files_per_trigger names; the data itself is read by the
+        # batch pipeline on the executors
         paths = [r["path"] for r in batch.collect()]
         if paths:
             workflow.run(spark, paths, f"{out_dir.rstrip('/')}/batch={batch_id}", layout=layout, **params)
