@@ -98,4 +98,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: words of a whole text
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_SUBSTRING_SQL = f"""WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, i, list_slice(ws, i, i + 19) AS s FROM w, unnest(range(1, len(ws) - 18)) AS t(i)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM later, unnest(range(0, 20)) AS t(k)),
+word AS (SELECT doc_id, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) AS t(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS txt FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id"""
+
+_NEAR_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, list_slice(ws, i, i + 2) AS s FROM w, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1)) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(d, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.d, edge.b FROM reach JOIN edge ON edge.a = reach.c)
+SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, d = min(c) AS kept
+FROM reach LEFT JOIN n ON n.doc_id = d GROUP BY d"""
+
+ORACLES: dict[str, str] = {"op3_substring_dedup": _SUBSTRING_SQL, "op8_minhash_near_dedup": _NEAR_SQL}
