@@ -72,9 +72,16 @@ def null_key(c: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of at most ``size`` rows: few texts are Python objects at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, size):
+            yield batch.slice(k, size)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The named columns of Arrow batches, row by row."""
-    for batch in batches:
+    for batch in slices(batches):
         yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
 

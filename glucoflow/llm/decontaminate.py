@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glucoflow.llm.common import encode, in_batches
+from glucoflow.llm.common import encode, in_batches, slices
 from glucoflow.llm.hashing import joined_word_hashes, mix, word_hashes
 
 WINDOW = 12
@@ -246,7 +246,7 @@ def _regions(places: list[int], m: int, budget: int, start: int, n: int) -> Iter
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of Arrow batches with about SEGMENT_BYTES of text, and their texts."""
-    for batch in batches:
+    for batch in slices(batches, 2048):
         texts = batch.column("text").to_pylist()
         first = size = 0
         for k, t in enumerate(texts):

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glucoflow.llm.common import encode, in_batches, materialize, rows_of
+from glucoflow.llm.common import encode, in_batches, materialize, rows_of, slices
 
 LINE_WORDS = 3
 BLOCK_WORDS = 8
@@ -167,7 +167,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     schema = docs.schema.add("kept_text", "string").add("n_lines", "long").add("n_removed", "long")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [_without(*r) for r in zip(*(batch.column(n).to_pylist() for n in ("text", "_gone_key", "_gone")), strict=True)]
             extra = [pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), _TEXT, strict=True)] if made else [pa.array([], f.type) for f in _TEXT]
             own = batch.schema.names[:-3]
