@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glucoflow.llm.common import encode
+from glucoflow.llm.common import encode, in_batches, rows_of
 from glucoflow.llm.hashing import BYTE_VALUES, prefix_sums, spans_hash, word_hashes
 
 #: perfect difference sets: every difference modulo the period occurs once
@@ -191,10 +191,12 @@ class Block:
     """The documents of a block in ascending order, with what the rounds say about them."""
 
     def __init__(self, table: pa.Table, w: Windows):
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        rows = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+        expand = zstandard.ZstdDecompressor().decompress
+        ids, packed = table.column("doc_id").to_pylist(), table.column("packed").to_pylist()
+        texts = [None if p is None else expand(p) for p in packed]
+        rows = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or b""))
         self.ids = [r[0] for r in rows]
-        self.raws = [encode(r[1]) for r in rows]
+        self.raws = [r[1] or b"" for r in rows]
         self.w = w
 
     def working(self, skip: set) -> list[bytes]:
@@ -282,6 +284,20 @@ def block_number(doc_id: Column, bounds: list[int], parts: int) -> Column:
     return F.when(doc_id.isNull(), F.lit(len(bounds) * parts)).otherwise((k - 1) * parts + F.greatest(F.lit(0).cast("long"), F.least(part, F.lit(parts - 1).cast("long"))))
 
 
+_PACKED = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary()), ("block", pa.int64())])
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """docs with the text as compressed UTF-8: it is moved once and kept on disk while the rounds run."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
+        made = ((d, None if t is None else compress(encode(t)), b) for d, t, b in rows_of(batches, "doc_id", "text", "block"))
+        return in_batches(made, _PACKED, 512)
+
+    return docs.select("doc_id", "text", "block").mapInArrow(rows, "doc_id long, packed binary, block long")
+
+
 def _bits(table: pa.Table, name: str) -> dict[int, bytes]:
     return {b: p for r, b, p in zip(table.column("round").to_pylist(), table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True) if r == name}
 
@@ -325,6 +341,7 @@ def repeated_windows(docs: DataFrame, w: Windows, finish: Callable[[Block, Itera
     docs: (doc_id, text, block).  copies: (block, doc_id) of documents known to
     be whole copies of an earlier one; they take no part.
     """
+    docs = packed_texts(docs)
     w = w.sized(total_bytes if w.unit == "bytes" else max(1, total_bytes // 5))
     skip = None
     if copies is not None:
