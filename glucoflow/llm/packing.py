@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glucoflow.llm.common import in_batches, materialize, rows_of
-from glucoflow.llm.tokens import Encoder
+from glucoflow.llm.tokens import task_encoder
 
 CAPACITY = 1024
-#: texts that are encoded together
-BATCH_TEXTS = 256
+#: texts that are encoded together: so many, or so many characters
+BATCH_TEXTS = 1024
+BATCH_CHARS = 2 << 20
 #: pieces that a task packs together
 ROUND_PIECES = 50_000
 
@@ -54,10 +55,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """The pieces of every document row with a checksum of their ids."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = task_encoder(tokenizer)
 
         def made() -> Iterator[tuple]:
-            for some in _groups(rows_of(batches, "doc_id", "text"), BATCH_TEXTS):
+            for some in _groups(rows_of(batches, "doc_id", "text")):
                 for (doc_id, _), ids in zip(some, encoder.encode([t for _, t in some]), strict=True):
                     for k, (start, length) in enumerate(cut(len(ids), capacity)):
                         yield doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes())
@@ -67,13 +68,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, _PIECES_DDL)
 
 
-def _groups(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
+def _groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows (id, text) in groups of a bounded size."""
     some: list[tuple] = []
+    size = 0
     for r in rows:
         some.append(r)
-        if len(some) == size:
+        size += len(r[1] or "")
+        if len(some) == BATCH_TEXTS or size >= BATCH_CHARS:
             yield some
-            some = []
+            some, size = [], 0
     if some:
         yield some
 

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from glucoflow.llm import coder
 from glucoflow.llm.common import in_batches, rows_of, total_bytes
-from glucoflow.llm.packing import BATCH_TEXTS, _groups
-from glucoflow.llm.tokens import Encoder
+from glucoflow.llm.packing import _groups
+from glucoflow.llm.tokens import task_encoder
 
 SHARD_BYTES = 12 << 20
 
@@ -47,13 +47,13 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str) -> None:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer)
+        encoder = task_encoder(tokenizer)
 
         def made() -> Iterator[tuple]:
             waiting: list[np.ndarray] = []
             size = place = number = block = 0
             full = coder.LANES * coder.BLOCK_IDS
-            for some in _groups(rows_of(batches, "doc_id", "text"), BATCH_TEXTS):
+            for some in _groups(rows_of(batches, "doc_id", "text")):
                 for (doc_id, _), ids in zip(some, encoder.encode([t for _, t in some]), strict=True):
                     yield shard, "document", number, doc_id, place, len(ids), None
                     number, place, size = number + 1, place + len(ids), size + len(ids)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -25,6 +26,12 @@ _PLAIN = re.compile(f"[\t\n\r -~{_LETTER}]*")
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
 
 
+@lru_cache(maxsize=1)
+def task_encoder(path: str) -> Encoder:
+    """The encoder of this worker process; known pieces stay for its next task."""
+    return Encoder(path)
+
+
 class Encoder:
     """One per task; holds the library's tokenizer and the pieces seen so far.
 
