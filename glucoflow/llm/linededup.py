@@ -1,20 +1,24 @@
 """Line dedup by pairwise patience alignment (operator 1).
 
-Documents that share a line are paired: each holder of a line with the line's
-earliest holder, and the holders of a rare line (at most ``RARE_DOCS``
-documents) with each other.  The first rule is linear in the number of lines,
-however frequent one is, so no line is too frequent to count.  Each pair's
-line hashes are aligned by patience diff: lines unique in both are matched in
-the longest increasing order, and matches are extended over equal neighbours.
-Aligned common blocks of ``BLOCK_WORDS`` words or more are deleted from the
-later document (larger id).  A deleted line always remains in an earlier
-document: the earliest holder of a line has nothing to align it with.
-
-Only line hashes (64 bits) are shuffled for pairing and alignment; texts move
-once, to have their lines taken out.
-
-Defined results: lines are split at \\n; a line of less than ``LINE_WORDS``
-words makes no pair but may belong to a block; null text has no lines and
+The result is that of aligning every document with every earlier one.  Each
+pair's line hashes are aligned by patience diff: lines unique in both are
+matched in the longest increasing order, and matches are extended over equal
+neighbours.  Aligned common blocks of ``BLOCK_WORDS`` words or more are deleted
+from the later document (larger id).  A deleted line always remains in an
+earlier document: the earliest holder of a run has nothing to align it with.
+
+Pairs are found by runs: the shortest runs of adjacent lines, from each line
+on and up to each line, that have ``BLOCK_WORDS`` words.  Every line of a block
+lies in such a run within the block, so a pair without a common run has no
+block.  Each holder of a run is aligned with the run's earliest holder.  Where
+lines of a run are left in a document (they stand in another order, or more
+than once), it is aligned with the run's next earlier holders, in growing
+numbers (``RARE_DOCS`` first), until they are deleted or no holder is left.
+
+Only line and run hashes (64 bits) are shuffled for pairing and alignment;
+texts move once, to have their lines taken out.
+
+Defined results: lines are split at \\n; null text has no lines and
 stays null; a null id is never paired and keeps its text; of rows that repeat
 an id the smallest text is aligned, and all of them lose the lines deleted
 from it only if their text is the same; an empty table gives an empty one.
@@ -26,18 +30,24 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glucoflow.llm.common import encode, in_batches, materialize, rows_of, slices
+from glucoflow.llm.hashing import prefix_sums, spans_hash
 
-LINE_WORDS = 3
+LINE_WORDS = 3  # of the plain version in tests/llm, which pairs by lines
 BLOCK_WORDS = 8
 RARE_DOCS = 6
+#: next holders of a run in one round at most; rounds go on until none is left
+ROUND_DOCS = 768
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("keys", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32()))])
+_RUN = pa.schema([("doc_id", pa.int64()), ("run", pa.int64())])
+_OPEN = pa.schema([("run", pa.int64()), ("b", pa.int64()), ("last", pa.int64())])
 _GONE = pa.schema([("b", pa.int64()), ("gone", pa.list_(pa.int32()))])
 _TEXT = pa.schema([("kept_text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
 
@@ -124,34 +134,99 @@ def lines(docs: DataFrame) -> DataFrame:
     return known.mapInArrow(rows, "doc_id long, text_key long, keys array<long>, n_words array<int>")
 
 
-def pairs(table: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of documents to align."""
-    pair = F.explode(F.arrays_zip("keys", "n_words")).alias("line")
-    holders = table.select("doc_id", pair).filter(F.col("line.n_words") >= LINE_WORDS).select("doc_id", F.col("line.keys").alias("key")).distinct()
-    shared = holders.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    held = holders.join(shared, "key")
-    star = held.filter("doc_id > first_id").select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))
-    groups = held.filter((F.col("n") > 2) & (F.col("n") <= RARE_DOCS)).groupBy("key").agg(F.collect_set("doc_id").alias("of"))
-    rare = groups.select(F.explode("of").alias("a"), "of").select("a", F.explode("of").alias("b")).filter("a < b")
-    return star.unionByName(rare).distinct()
+def runs(keys: list[int], n_words: list[int]) -> dict[int, list[tuple[int, int]]]:
+    """By hash, the places (from, to) of the shortest runs of lines that have BLOCK_WORDS words."""
+    upto = np.concatenate([[0], np.cumsum(n_words, dtype=np.int64)])
+    start = np.flatnonzero(upto[-1] - upto[:-1] >= BLOCK_WORDS)
+    end = np.flatnonzero(upto >= BLOCK_WORDS)
+    start, end = (
+        np.concatenate([start, np.searchsorted(upto, upto[end] - BLOCK_WORDS, side="right") - 1]),
+        np.concatenate([np.searchsorted(upto, upto[start] + BLOCK_WORDS), end]),
+    )
+    sums = prefix_sums(np.array(keys, np.int64).view(np.uint64))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for h, i, j in zip(spans_hash(sums, start, end).view(np.int64).tolist(), start.tolist(), end.tolist(), strict=True):
+        out.setdefault(h, []).append((i, j))
+    return out
 
 
-def deletions(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, gone): numbers of the lines to delete, one row per document that has any."""
-    table = materialize(lines(docs), "lines")
-    single = table.groupBy("doc_id").agg(F.min(F.struct("text_key", "keys", "n_words")).alias("s")).select("doc_id", "s.*")
+def shared_runs(table: DataFrame) -> DataFrame:
+    """(run, doc_id, first_id, n): holders of the runs that several documents hold."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = ((d, run) for d, keys, n in rows_of(batches, "doc_id", "keys", "n_words") for run in runs(keys, n))
+        return in_batches(made, _RUN)
+
+    holders = table.select("doc_id", "keys", "n_words").mapInArrow(rows, "doc_id long, run long")
+    shared = holders.groupBy("run").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    return holders.join(shared, "run")
+
+
+def aligned(pairs: DataFrame, single: DataFrame) -> DataFrame:
+    """(b, gone): lines of b in common blocks with a, for pairs (a, b)."""
     left = single.select(F.col("doc_id").alias("a"), F.col("keys").alias("of_a"))
     right = single.select(F.col("doc_id").alias("b"), F.col("keys").alias("of_b"), "n_words")
-    joined = pairs(single).join(right, "b").join(left, "a").select("b", "of_a", "of_b", "n_words")
+    joined = pairs.join(right, "b").join(left, "a").select("b", "of_a", "of_b", "n_words")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = ((b, common_blocks(x, y, n)) for b, x, y, n in rows_of(batches, "b", "of_a", "of_b", "n_words"))
         return in_batches(((b, gone) for b, gone in made if gone), _GONE, 1024)
 
     found = joined.mapInArrow(rows, "b long, gone array<int>")
+    return _joined(found)
+
+
+def _joined(found: DataFrame) -> DataFrame:
     # at most one array per partner, each no longer than the document
-    each = found.groupBy("b").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("gone"))
-    return each.withColumnRenamed("b", "doc_id").join(single.select("doc_id", "text_key"), "doc_id")
+    return found.groupBy("b").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("gone"))
+
+
+def still_open(wanted: DataFrame, gone: DataFrame, single: DataFrame) -> DataFrame:
+    """Rows (run, b, last) of wanted whose run has a line in b that isn't deleted yet."""
+    of = wanted.groupBy("b").agg(F.collect_list(F.struct("run", "last")).alias("of"))
+    lines_of = single.select(F.col("doc_id").alias("b"), "keys", "n_words")
+    joined = of.join(gone, "b", "left").join(lines_of, "b").select("b", "of", "gone", "keys", "n_words")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple]:
+            for b, of, out, keys, n in rows_of(batches, "b", "of", "gone", "keys", "n_words"):
+                left = np.ones(len(keys) + 1, np.int64)
+                left[0] = 0
+                left[np.array(out or [], np.int64) + 1] = 0
+                left = np.cumsum(left)
+                places = runs(keys, n)
+                for r in of:
+                    if any(left[j] > left[i] for i, j in places[r["run"]]):
+                        yield r["run"], b, r["last"]
+
+        return in_batches(made(), _OPEN)
+
+    return joined.mapInArrow(rows, "run long, b long, last long")
+
+
+def deletions(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, gone): numbers of the lines to delete, one row per document that has any."""
+    each = lines(docs).groupBy("doc_id").agg(F.min(F.struct("text_key", "keys", "n_words")).alias("s")).select("doc_id", "s.*")
+    single = materialize(each, "lines")
+    held = materialize(shared_runs(single), "runs")
+    first = held.filter("doc_id > first_id")
+    gone = materialize(aligned(first.select(F.col("first_id").alias("a"), F.col("doc_id").alias("b")).distinct(), single), "gone")
+    wanted = first.filter("n > 2").select("run", F.col("doc_id").alias("b"), F.col("first_id").alias("last"))
+    size = RARE_DOCS
+    while True:
+        open_runs = materialize(still_open(wanted, gone, single), "open")
+        active = open_runs.groupBy("run").agg(F.first("last").alias("last"), F.max("b").alias("top"))
+        following = held.join(active, "run").filter("doc_id > last and doc_id < top").select("run", F.col("doc_id").alias("a"))
+        place = F.row_number().over(Window.partitionBy("run").orderBy("a"))
+        partners = materialize(following.withColumn("place", place).filter(F.col("place") <= size).drop("place"), "partners")
+        if partners.isEmpty():
+            break
+        found = aligned(open_runs.join(partners, "run").filter("a < b").select("a", "b").distinct(), single)
+        gone = materialize(_joined(gone.unionByName(found)), "gone")
+        reached = partners.groupBy("run").agg(F.max("a").alias("last"))
+        wanted = open_runs.drop("last").join(reached, "run").filter("b > last").select("run", "b", "last")
+        size = min(2 * size, ROUND_DOCS)
+    return gone.withColumnRenamed("b", "doc_id").join(single.select("doc_id", "text_key"), "doc_id")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
