@@ -3,7 +3,8 @@
 The result is that of aligning every document with every earlier one.  Each
 pair's line hashes are aligned by patience diff: lines unique in both are
 matched in the longest increasing order, and matches are extended over equal
-neighbours.  Aligned common blocks of ``BLOCK_WORDS`` words or more are deleted
+neighbours; a stretch without such lines is aligned by a longest common
+subsequence, of these by one in the fewest blocks.  Aligned common blocks of ``BLOCK_WORDS`` words or more are deleted
 from the later document (larger id).  A deleted line always remains in an
 earlier document: the earliest holder of a run has nothing to align it with.
 
@@ -26,6 +27,7 @@ from it only if their text is the same; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -80,6 +82,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         at_b = {b[j]: j for j in range(b0, b1) if in_b[b[j]] == 1}
         common = [(i, at_b[a[i]]) for i in range(a0, a1) if in_a[a[i]] == 1 and a[i] in at_b]
         if not common:
+            matched += [(a0 + i, b0 + j) for i, j in longest_common(a[a0:a1], b[b0:b1])]
             continue
         i0, j0 = a0, b0
         for i, j in [*_increasing(common), (a1, b1)]:
@@ -88,6 +91,62 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def longest_common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence of a and b, as positions, in as few blocks as one can be.
+
+    A score counts every match as more than all blocks together and takes one
+    off for each block.  Rows of scores are computed over all of b; every
+    ``step``-th is kept, and the rows between are computed again on the way back.
+    """
+    in_a, in_b = set(a), set(b)
+    rows = [i for i, x in enumerate(a) if x in in_b]
+    if not rows:
+        return []
+    columns = np.array([j for j, x in enumerate(b) if x in in_a])
+    own = np.array(b, np.int64)[columns]
+    places = {x: np.flatnonzero(own == x) for x in {a[i] for i in rows}}
+    follows = np.diff(columns, prepend=-2) == 1  # the column before is the line before
+    match = min(len(rows), len(columns)) + 1
+    step = max(1, math.isqrt(len(rows)))
+
+    def row(k: int, ends: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores that end in a match of row k at each column (0: none), and the best up to each column."""
+        at = places[a[rows[k]]]
+        new = np.zeros_like(ends)
+        score = np.where(at > 0, best[at - 1], 0) + match - 1
+        if k and rows[k] == rows[k - 1] + 1:
+            before = np.where((at > 0) & follows[at], ends[at - 1], 0)
+            score = np.maximum(score, np.where(before > 0, before + match, 0))
+        new[at] = score
+        return new, np.maximum(best, np.maximum.accumulate(new))
+
+    state = np.zeros(len(columns), np.int64), np.zeros(len(columns), np.int64)
+    kept = []
+    for k in range(len(rows)):
+        if k % step == 0:
+            kept.append(state)
+        state = row(k, *state)
+    out: list[tuple[int, int]] = []
+    j, goal, inside = len(columns) - 1, int(state[1][-1]), False
+    for section in range(len(kept) - 1, -1, -1):
+        states = [kept[section]]
+        for k in range(section * step, min(len(rows), (section + 1) * step)):
+            states.append(row(k, *states[-1]))
+        for k in range(section * step + len(states) - 2, section * step - 1, -1):
+            (ends, best), (own_ends, _) = states[k - section * step], states[k - section * step + 1]
+            if j < 0 or goal <= 0:
+                break
+            if not inside:
+                if best[j] == goal:
+                    continue  # reached without this row
+                j = int(np.flatnonzero(own_ends[: j + 1] == goal)[0])
+            out.append((rows[k], int(columns[j])))
+            inside = bool(k and j and rows[k] == rows[k - 1] + 1 and follows[j] and ends[j - 1] > 0 and ends[j - 1] + match == goal)
+            goal -= match if inside else match - 1
+            j -= 1
+    return out[::-1]
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest subsequence of pairs (ascending in the first) that ascends in the second."""
     tops: list[int] = []
