@@ -7,9 +7,13 @@ edit distance becomes Hamming distance.  Sampling ``SAMPLED`` steps of the walk
 and hashing the words emitted there gives one LSH key; ``REPEATS`` independent
 walks and samples bring the recall (measured in the tests) over the target.
 
-Windows have the size of an item, at most ``WINDOW`` words: longer items are
-entered at each of their word offsets, so one walk from each document word
-serves items of all lengths, and an item is found when any of its windows is.
+Windows have ``WINDOW`` words: items are entered at each of their word offsets,
+so one walk from each document word serves items of all lengths, and an item is
+found when any of its windows is.  Items of at most ``EXACT_WORDS`` words have
+too few windows for that.  They are cut into one piece more than they may have
+edits; one of the pieces stands unedited wherever the item is contained, so
+looking up the pieces' hashes finds every place, also at a text's ends.
+
 Every candidate (document, item, place) is verified exactly by a bit-parallel
 edit distance between the item and all substrings around the place.  An item
 is contained when its distance in words is at most ``1 - SIMILARITY`` of its
@@ -37,11 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glucoflow.llm.common import encode, in_batches, slices
-from glucoflow.llm.hashing import joined_word_hashes, mix, word_hashes
+from glucoflow.llm.hashing import joined_word_hashes, mix, window_hashes, word_hashes
 
 WINDOW = 12
 REPEATS = 7
 SAMPLED = 5
+EXACT_WORDS = 19
 SIMILARITY = 0.8
 ITEM_BLOCK_BYTES = 4 << 20
 SEGMENT_BYTES = 1 << 20
@@ -92,25 +97,36 @@ class Items:
                 self.masks.append(self._mask(words))
         bits = min(26, max(20, (8 * sum(map(len, self.words))).bit_length()))
         self.shift = np.uint64(64 - bits)
-        self.sizes = sorted({min(WINDOW, len(w)) for w in self.words})
-        self.tables: dict[tuple[int, int], tuple] = {}
+        self.tables: dict[int, tuple] = {}
+        self.pieces: dict[int, tuple] = {}
         hashes = [word_hashes(b" ".join(w)) for w in self.words]
         self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.keys = mix(np.arange(1, len(self.words) + 1, dtype=np.uint64) * np.uint64(0x589965CC75374CC3))
         self.vocabulary = np.zeros(1 << bits, bool)
         for key, h in zip(self.keys, hashes, strict=True):
             self.vocabulary[mix(h ^ key) >> self.shift] = True
-        for size in self.sizes:
-            own = [k for k, w in enumerate(self.words) if min(WINDOW, len(w)) == size]
-            offsets = [np.arange(len(self.words[k]) - size + 1) for k in own]
+        own = [k for k, w in enumerate(self.words) if len(w) > EXACT_WORDS]
+        if own:
+            offsets = [np.arange(len(self.words[k]) - WINDOW + 1) for k in own]
             item = np.repeat(own, [len(o) for o in offsets])
-            offset = np.concatenate(offsets)
             for r in range(REPEATS):
-                keys = np.concatenate([walk_keys(hashes[k], o, size, r) for k, o in zip(own, offsets, strict=True)])
-                order = np.argsort(keys, kind="stable")
-                present = np.zeros(1 << bits, bool)
-                present[keys >> self.shift] = True
-                self.tables[size, r] = present, keys[order], item[order], offset[order]
+                keys = np.concatenate([walk_keys(hashes[k], o, WINDOW, r) for k, o in zip(own, offsets, strict=True)])
+                self.tables[r] = self._table(keys, item, np.concatenate(offsets), bits)
+        pieces: dict[int, list[tuple]] = defaultdict(list)
+        for k, w in enumerate(self.words):
+            if len(w) <= EXACT_WORDS:
+                cut = np.linspace(0, len(w), self.budget[k] + 2).astype(int).tolist()
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    pieces[b - a].append((window_hashes(hashes[k][a:b], b - a)[0], k, a))
+        for size, found in sorted(pieces.items()):
+            keys, item, offset = zip(*found, strict=True)
+            self.pieces[size] = self._table(np.array(keys, np.uint64), np.array(item), np.array(offset), bits)
+
+    def _table(self, keys: np.ndarray, item: np.ndarray, offset: np.ndarray, bits: int) -> tuple:
+        order = np.argsort(keys, kind="stable")
+        present = np.zeros(1 << bits, bool)
+        present[keys >> self.shift] = True
+        return present, keys[order], item[order], offset[order]
 
     @staticmethod
     def _mask(words: list[bytes]) -> dict[bytes, int]:
@@ -126,18 +142,24 @@ class Items:
         word of each document.  A place may lie outside the document.
         """
         items, places, windows = [], [], []
-        for size in self.sizes:
+
+        def look_up(table: tuple, key: np.ndarray, starts: np.ndarray) -> None:
+            present, keys, item, offset = table
+            near = np.flatnonzero(present[key >> self.shift])
+            lo = np.searchsorted(keys, key[near], side="left")
+            n = np.searchsorted(keys, key[near], side="right") - lo
+            which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            items.append(item[which])
+            windows.append(np.repeat(starts[near], n))
+            places.append(windows[-1] - offset[which])
+
+        starts = np.flatnonzero(room >= WINDOW)
+        for r, table in self.tables.items() if len(starts) else ():
+            look_up(table, walk_keys(words, starts, WINDOW, r), starts)
+        for size, table in self.pieces.items():
             starts = np.flatnonzero(room >= size)
-            for r in range(REPEATS) if len(starts) else ():
-                present, keys, item, offset = self.tables[size, r]
-                key = walk_keys(words, starts, size, r)
-                near = np.flatnonzero(present[key >> self.shift])
-                lo = np.searchsorted(keys, key[near], side="left")
-                n = np.searchsorted(keys, key[near], side="right") - lo
-                which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                items.append(item[which])
-                windows.append(np.repeat(starts[near], n))
-                places.append(windows[-1] - offset[which])
+            if len(starts):
+                look_up(table, window_hashes(words, size)[starts], starts)
         if not items:
             return (np.zeros(0, np.int64),) * 3
         doc = np.searchsorted(first, np.concatenate(windows), side="right") - 1
@@ -206,7 +228,7 @@ def matches(items: Items, texts: list[str | None]) -> list[list[tuple[int, int,
     starts = np.cumsum(sizes) - sizes
     room = np.repeat(starts + sizes, sizes) - np.arange(len(words))
     found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-    if not len(words) or not items.sizes:
+    if not len(words) or not items.words:
         return found
     near: dict[tuple[int, int], list[int]] = defaultdict(list)
     for d, k, p in zip(*(x.tolist() for x in items.places(words, room, starts)), strict=True):
