@@ -1,21 +1,16 @@
-"""Byte-level dedup by sorting sampled suffixes of a difference cover (operator 10).
+"""Byte-level dedup of repeated 50-byte windows (operator 10).
 
 A byte is removed when a 50-byte string covers it that also starts in a
-document of a smaller id.  Instead of a whole suffix array only what can have
-an equal neighbour is sorted:
-
-1. Sampled suffixes (positions in a difference cover modulo 21) are sorted by
-   their first 30 bytes, and equal neighbours get a common name.  The order of
-   different tuples doesn't matter for neighbours, so fingerprints are sorted.
-   Suffixes with a name of their own are discarded.
-2. A tuple and an offset below the period reach 50 bytes, the depth that is
-   asked for, so names are not recursed upon further.
-3. The remaining suffixes, sampled or not, that reach a named tuple within the
-   period are merged in one sort by their 50-byte prefixes.
-4. Adjacent equal prefixes are compared by document id.
+document of a smaller id.
+
+This is the method of op3 (``anchors.py``) with bytes for words, length 50 and
+period 21: blocks of documents exchange fingerprints of anchors at positions in
+a difference cover, then of the windows around repeated anchors.  No suffix
+array is built: no sort of tuples over the corpus, no names, no recursion and
+no merge.  The windows' 64-bit fingerprints decide; their bytes aren't compared.
 
 Documents that are whole copies of an earlier one are found by a digest first;
-all their bytes go, and they take no part in the sorts.
+all their bytes go, and they take no part in the exchange.
 
 Defined results: null text is empty; texts of fewer than 50 bytes keep
 everything; rows that repeat an id are not earlier than each other; null ids
