@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucoflow.llm import decontaminate, langid, linededup, neardup, packing, quality, secrets, substring, suffixes, tokenfile
+from glucoflow.llm import decontaminate, exactdup, langid, linededup, neardup, packing, quality, secrets, substring, suffixes, tokenfile
 from glucoflow.llm.common import importable, scratch_path
 
 
@@ -84,6 +84,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; the largest id of each stays."""
+    return exactdup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 #: words of a whole text
@@ -120,4 +126,7 @@ reach(d, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.d, edge.
 SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, d = min(c) AS kept
 FROM reach LEFT JOIN n ON n.doc_id = d GROUP BY d"""
 
-ORACLES: dict[str, str] = {"op3_substring_dedup": _SUBSTRING_SQL, "op8_minhash_near_dedup": _NEAR_SQL}
+_EXACT_SQL = """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
+
+ORACLES: dict[str, str] = {"op3_substring_dedup": _SUBSTRING_SQL, "op8_minhash_near_dedup": _NEAR_SQL, "op13_exact_dedup": _EXACT_SQL}
