@@ -39,13 +39,15 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store is in memory while its task runs
 }
 OUT = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
 
 
 @contextmanager
 def _state_on_disk(spark: SparkSession):
-    """A query started inside takes these settings with it; the session gets its own back."""
+    """Queries started and state read inside follow these settings; the session gets its own back."""
     before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
@@ -123,7 +125,8 @@ def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, k
         return spark.createDataFrame([], OUT)
     checkpoint = checkpoint or scratch_path(spark, "exact-state")
     learn(spark, path, checkpoint, docs.schema, key_bytes, batch_bytes)
-    state = materialize(held(spark, checkpoint), "exact-held")
+    with _state_on_disk(spark):
+        state = materialize(held(spark, checkpoint), "exact-held")
 
     groups = equal_texts(docs, state, key_bytes)
     shared = groups.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
