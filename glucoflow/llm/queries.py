@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucoflow.llm import decontaminate, exactdup, langid, linededup, neardup, packing, quality, secrets, substring, suffixes, tokenfile
+from glucoflow.llm import decontaminate, exactdup, langid, lexical, linededup, neardup, packing, quality, secrets, substring, suffixes, tokenfile
 from glucoflow.llm.common import importable, scratch_path
 
 
@@ -84,6 +84,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the largest id of each stays."""
     return exactdup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_ranked_lexical_search": op12_ranked_lexical_search,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -129,4 +135,18 @@ FROM reach LEFT JOIN n ON n.doc_id = d GROUP BY d"""
 _EXACT_SQL = """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
-ORACLES: dict[str, str] = {"op3_substring_dedup": _SUBSTRING_SQL, "op8_minhash_near_dedup": _NEAR_SQL, "op13_exact_dedup": _EXACT_SQL}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_RANKED_SQL = f"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL),
+d AS (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n, ts FROM w WHERE len(ts) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS N_, CAST(sum(n) AS BIGINT) AS L_ FROM d),
+q AS (SELECT DISTINCT i, item_id, unnest(ts) AS t FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS ts FROM benchmark WHERE text IS NOT NULL)),
+tf AS (SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * N_ + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, c),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * n * N_) // L_) AS m FROM d, c),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN tf USING (t) JOIN wt USING (t) JOIN m USING (r) GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+ORACLES: dict[str, str] = {"op12_ranked_lexical_search": _RANKED_SQL, "op3_substring_dedup": _SUBSTRING_SQL, "op8_minhash_near_dedup": _NEAR_SQL, "op13_exact_dedup": _EXACT_SQL}
