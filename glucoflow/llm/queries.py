@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucoflow.llm import decontaminate, exactdup, langid, lexical, linededup, neardup, packing, quality, secrets, substring, suffixes, tokenfile
+from glucoflow.llm import decontaminate, exactdup, langid, lexical, linededup, neardup, packing, quality, secrets, substring, suffixes, tokenfile, whitening
 from glucoflow.llm.common import importable, scratch_path
 
 
@@ -84,6 +84,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight leading whitened components of every valid embedding."""
+    found = whitening.whiten(importable(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return lexical.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_ranked_lexical_search": op12_ranked_lexical_search,
     "op13_exact_dedup": op13_exact_dedup,
 }

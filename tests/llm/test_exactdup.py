@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from glucoflow.llm import exactdup
 from glucoflow.llm.common import scratch_path
@@ -81,6 +82,13 @@ def test_empty_table_and_single_file(spark, empty):
     assert result(exactdup.exact_dedup(spark, one)) == plain([(1, "x"), (2, "x")])
 
 
+def test_hot_digests(spark, monkeypatch):
+    """With a bound of 3 hot digests the large groups are broadcast, the others joined."""
+    monkeypatch.setattr(exactdup, "HOT", 3)
+    rows = [(k, "hot" if k % 3 else f"text {k % 30}", None, None, None) for k in range(300)]
+    assert result(exactdup.exact_dedup(spark, save(spark, rows, scratch_path(spark, "exact-hot"), 4))) == plain([r[:2] for r in rows])
+
+
 def test_session_settings_stay(spark):
     before = {k: spark.conf.get(k, None) for k in exactdup.STATE_CONF}
     with exactdup._state_on_disk(spark):
@@ -90,6 +98,6 @@ def test_session_settings_stay(spark):
 
 def test_no_python_in_plans(spark, stored):
     docs = spark.read.parquet(stored)
-    state = exactdup.located(docs).groupBy("digest").count().selectExpr("digest", "count as n")
-    plan = exactdup.equal_texts(docs, state)._jdf.queryExecution().toString()
+    state = exactdup.located(docs).groupBy("digest").agg({"doc_id": "count"}).selectExpr("digest", "`count(doc_id)` as n", "named_struct('doc_id', 1L, 'file_key', 1L, 'row_index', 1L) as keep")
+    plan = exactdup.with_state(exactdup.equal_texts(docs, state, state).withColumn("file_key", F.lit(1)).withColumn("row_index", F.lit(1)), state, state)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow"))
