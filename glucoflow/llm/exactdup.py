@@ -16,8 +16,8 @@ split by these groups, so a collision never removes a row.
 * an empty table gives an empty result.
 
 Skew: equal rows of a task are summed up before the shuffle, both for the state
-and for the byte check.  Only rows of digest, id and locator are joined with
-the state, where AQE splits a hot digest.
+and for the byte check.  Digests with more than 1 / HOT of all rows, at most
+HOT of them, are broadcast; all others are joined by digest.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from glucoflow.llm.common import materialize, scratch_path
 KEY_BYTES = 32
 #: a micro-batch takes about so many bytes of files
 BATCH_BYTES = 1 << 40
+#: a digest is hot with more than this share of the rows (1 / HOT); so there are at most HOT such digests
+HOT = 10_000
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -100,18 +102,32 @@ def held(spark: SparkSession, checkpoint: str) -> DataFrame:
     return state.select(F.col("key.digest").alias("digest"), F.col("value.count").alias("n"), F.col("value.max").alias("keep"))
 
 
-def equal_texts(docs: DataFrame, state: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
+def parted(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """State of hot digests, at most HOT rows, and of all others."""
+    rows = state.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(rows // HOT, 1)
+    return state.filter(hot), state.filter(~hot)
+
+
+def equal_texts(docs: DataFrame, hot: DataFrame, cold: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
     """Rows of hits grouped by their bytes: digest, text, n, keep; usually one group per digest.
 
     Grouping compares whole texts; equal ones of a task meet before the shuffle.
     """
-    hits = state.filter("n > 1").select("digest")
-    return (
-        located(docs, key_bytes)
-        .join(hits, "digest")
-        .groupBy("digest", "text")
-        .agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "file_key", "row_index")).alias("keep"))
-    )
+    rows = located(docs, key_bytes)
+    hits = F.broadcast(hot.select("digest"))
+    seen = rows.join(hits, "digest").unionByName(rows.join(hits, "digest", "left_anti").join(cold.filter("n > 1").select("digest"), "digest"))
+    return seen.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "file_key", "row_index")).alias("keep"))
+
+
+def with_state(rows: DataFrame, hot: DataFrame, cold: DataFrame) -> DataFrame:
+    """Rows with n and keep of their digest; rows of hot digests go anywhere in the shuffle."""
+    named = lambda side, tag: side.select(F.col("digest").alias(f"{tag}_digest"), F.col("n").alias(f"{tag}_n"), F.col("keep").alias(f"{tag}_keep"))
+    found = rows.join(F.broadcast(named(hot, "hot")), F.col("digest") == F.col("hot_digest"), "left")
+    anywhere = F.concat(F.col("digest"), F.encode(F.hex("file_key"), "utf-8"), F.encode(F.hex("row_index"), "utf-8"))  # longer than a digest
+    found = found.withColumn("key", F.when(F.col("hot_n").isNull(), F.col("digest")).otherwise(anywhere))
+    found = found.join(named(cold, "cold"), F.col("key") == F.col("cold_digest"), "left")
+    return found.select(*rows.columns, F.coalesce("hot_n", "cold_n").alias("n"), F.coalesce("hot_keep", "cold_keep").alias("keep"))
 
 
 def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, key_bytes: int = KEY_BYTES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -128,12 +144,13 @@ def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, k
     with _state_on_disk(spark):
         state = materialize(held(spark, checkpoint), "exact-held")
 
-    groups = equal_texts(docs, state, key_bytes)
+    hot, cold = parted(state)
+    groups = equal_texts(docs, hot, cold, key_bytes)
     shared = groups.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
     shared = materialize(shared, "exact-collisions")
 
     rows = located(docs, key_bytes).drop("text")
-    judged = rows.join(state, "digest", "left")
+    judged = with_state(rows, hot, cold)
     if not shared.isEmpty():  # a digest of several texts: these rows follow the groups of equal bytes
         apart = groups.join(shared, "digest").select("digest", F.unhex(F.sha2("text", 256)).alias("sha256"), F.col("n").alias("own_n"), F.col("keep").alias("own_keep"))
         judged = judged.join(apart, ["digest", "sha256"], "left").withColumn("n", F.coalesce("own_n", "n")).withColumn("keep", F.coalesce("own_keep", "keep"))
