@@ -113,10 +113,13 @@ def equal_texts(docs: DataFrame, hot: DataFrame, cold: DataFrame, key_bytes: int
     """Rows of hits grouped by their bytes: digest, text, n, keep; usually one group per digest.
 
     Grouping compares whole texts; equal ones of a task meet before the shuffle.
+    Texts meet cold hits by a sort-merge join at every size, so that what is
+    moved grows evenly: at most all texts once.
     """
     rows = located(docs, key_bytes)
-    hits = F.broadcast(hot.select("digest"))
-    seen = rows.join(hits, "digest").unionByName(rows.join(hits, "digest", "left_anti").join(cold.filter("n > 1").select("digest"), "digest"))
+    often = F.broadcast(hot.select("digest"))
+    hits = cold.filter("n > 1").select("digest").hint("merge")
+    seen = rows.join(often, "digest").unionByName(rows.join(often, "digest", "left_anti").join(hits, "digest"))
     return seen.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "file_key", "row_index")).alias("keep"))
 
 
