@@ -811,9 +811,7 @@ def sqlite_source(spark, sf_dir):
     )
     out = DF.scratch_dir(spark, "sqlite")
     DF.write_sqlite_files(rows, out, _XDRIP_TABLES).agg(F.sum("rows")).collect()
-    import glob
-
-    paths = sorted(glob.glob(f"{out}/*.sqlite"))
+    paths = [f"{out}/*.sqlite"]
     specs = R.layout_specs(CAT.TWO_TABLE_SQLITE)
     longs = []
     for _, (tb, df) in R.read_tables(spark, CAT.TWO_TABLE_SQLITE, paths).items():
@@ -960,12 +958,12 @@ def required_data_check(spark, sf_dir):
 
 
 # ================================================================= sinks
-def _export_types(spark, sf_dir):
+def _export_types(spark, sf_dir, types=("INSULIN", "CARBS"), align=False, fmt="csv", **kw):
     from glucoflow.sinks import export as EX
 
-    p = _processed(spark, sf_dir, ("INSULIN", "CARBS"))
+    p = _processed(spark, sf_dir, types)
     out = DF.scratch_dir(spark, "export")
-    return EX.write(spark, p, None, out, fmt="csv")
+    return EX.write(spark, p, A.align(p) if align else None, out, fmt=fmt, **kw)
 
 
 @query(
@@ -974,24 +972,12 @@ def _export_types(spark, sf_dir):
 SELECT series_id, strftime(ts, '%Y-%m') AS month, ts, {r6_sql('dose')} AS dose, is_bolus, is_basal, type FROM ins_out""",
 )
 def export_months(spark, sf_dir):
-    """K1, K3, K6, K7, P20: insulin and carbs exported per person with the
-    calendar-month split, then the monthly insulin files read back."""
-    written = _export_types(spark, sf_dir)
-    back = (
-        spark.read.option("header", True)
-        .option("basePath", written["monthly/insulin"])
-        .option("emptyValue", "")
-        .csv(written["monthly/insulin"])
-    )
-    return back.select(
-        F.col("series_id").cast("string").alias("series_id"),
-        F.col("month").cast("string").alias("month"),
-        F.to_timestamp_ntz("ts").alias("ts"),
-        r6(F.col("dose").cast("double")).alias("dose"),
-        F.col("is_bolus").cast("boolean").alias("is_bolus"),
-        F.col("is_basal").cast("boolean").alias("is_basal"),
-        F.coalesce(F.col("type"), F.lit("")).alias("type"),
-    )
+    """K1, K3, K6, K7, P20: insulin and carbs exported in (person, time) ranges
+    with the calendar-month split, then the monthly insulin files read back."""
+    from glucoflow.sinks.export import read_table
+
+    back = read_table(spark, _export_types(spark, sf_dir)["base"], "monthly/insulin")
+    return _round_all(back.select("series_id", "month", "ts", "dose", "is_bolus", "is_basal", "type"))
 
 
 @query(
@@ -1005,9 +991,116 @@ SELECT 'carbs', series_id, strftime(min(ts), '%Y-%m-%d') || ' to ' || strftime(m
 def run_notes(spark, sf_dir):
     """K5 + A19: run notes (date range, record count, columns, units) written
     as JSON per type and person, read back."""
-    written = _export_types(spark, sf_dir)
-    back = spark.read.json(written["processing_notes"])
-    return back.select("data_type", F.col("series_id").cast("string").alias("series_id"), "date_range", F.col("record_count").cast("bigint").alias("record_count"))
+    from glucoflow.sinks.export import NOTES_SCHEMA
+
+    back = spark.read.schema(NOTES_SCHEMA).json(_export_types(spark, sf_dir)["processing_notes"])
+    return back.where("scope = 'person'").select("data_type", "series_id", "date_range", "record_count")
+
+
+def _aligned_ctes() -> str:
+    ctes, select = align_select()
+    return f"""{_USER}{TYPE_CTES},
+{cgm_fill_ctes('cgm_raw')},
+{ctes},
+al AS ({select})"""
+
+
+@query("export_aligned", f"{_aligned_ctes()} SELECT * FROM al")
+def export_aligned(spark, sf_dir):
+    """K2, K7: the aligned frame of a run as CSV, read back whole."""
+    from glucoflow.sinks.export import read_table
+
+    written = _export_types(spark, sf_dir, ("CGM", "BGM", "INSULIN", "CARBS", "NOTES"), align=True, split_by_month=False)
+    return _round_all(read_table(spark, written["base"], "aligned"))
+
+
+@query(
+    "export_aligned_months",
+    f"""{_aligned_ctes()},
+am AS (SELECT *, strftime(ts, '%Y-%m') AS month FROM al)
+SELECT * FROM am WHERE (series_id, month) IN (
+  SELECT (series_id, month) FROM am GROUP BY series_id, month
+  HAVING bool_or(coalesce(cgm_primary <> 0 OR cgm_primary_mmol <> 0, false) OR missing_cgm OR coalesce(bgm_primary <> 0 OR bgm_primary_mmol <> 0, false)
+    OR coalesce(bgm_primary_clipped, false) OR basal_dose <> 0 OR bolus_dose <> 0 OR carbs_primary <> 0 OR notes_primary IS NOT NULL))""",
+)
+def export_aligned_months(spark, sf_dir):
+    """K4, P20: the month split of the aligned frame, through the Parquet
+    exporter into a folder that runs share, read back."""
+    from glucoflow.sinks import export as EX
+
+    aligned = A.align(_processed(spark, sf_dir))
+    written = EX.write(spark, {}, aligned, DF.scratch_dir(spark, "export"), fmt="parquet", months_dir=DF.scratch_dir(spark, "months"))
+    return _round_all(spark.read.schema(EX.with_month(aligned.frame.schema)).parquet(written["monthly/aligned"]))
+
+
+def _month_notes_sql() -> str:
+    """Month notes of every type and of the aligned frame, as text per field."""
+    pct = lambda k, n, d: f"printf('%.{d}f%%', CASE WHEN {n} > 0 THEN round_even(100.0 * {k} / {n}, {d}) ELSE 0.0 END)"
+    lines = {
+        "cgm": [
+            "'CGM Processing Notes:'", "'  Processed ' || count(*) || ' total CGM readings'",
+            "'  Found ' || count_if({missing}) || ' missing or interpolated values'",
+            f"'  Initial CGM completeness: ' || {pct('(count(*) - count_if({missing}))', 'count(*)', 2)}",
+            f"'  CGM completeness after interpolation: ' || {pct('count(cgm_primary)', 'count(*)', 2)}",
+        ],
+        "bgm": [
+            "'BGM Processing Notes (bgm_primary):'", "'Processed ' || count(bgm_primary) || ' total BGM readings'",
+            f"'Found ' || count_if(bgm_primary_clipped) || ' clipped values (' || {pct('count_if(bgm_primary_clipped)', 'count(bgm_primary)', 1)} || ')'",
+        ],
+        "insulin": ["'INSULIN Processing Notes:'", "'Found ' || ({basal} + {bolus}) || ' total doses'", "{basal} || ' basal doses'", "{bolus} || ' bolus doses'"],
+        "carbs": ["'CARBS Processing Notes:'", "'  Found ' || count_if(carbs_primary > 0) || ' carb entries'"],
+        "notes": ["'NOTES Processing Notes:'", "'  Found ' || count(notes_primary) || ' notes entries'"],
+    }
+    tables = {
+        "cgm": ("cgm_f", ["cgm_primary", "cgm_primary_mmol", "missing"], {"cgm_primary": "mg/dL", "cgm_primary_mmol": "mmol/L"}),
+        "bgm": ("bgm_out", ["bgm_primary", "bgm_primary_clipped", "bgm_primary_mmol"], {"bgm_primary": "mg/dL", "bgm_primary_mmol": "mmol/L"}),
+        "insulin": ("ins_out", ["dose", "is_bolus", "is_basal", "type"], {"dose": "U"}),
+        "carbs": ("carb_out", ["carbs_primary"], {"carbs_primary": "g"}),
+        "notes": ("note_out", ["notes_primary"], {}),
+        "aligned": (
+            "al",
+            ["cgm_primary", "cgm_primary_mmol", "missing_cgm", "bgm_primary", "bgm_primary_clipped", "bgm_primary_mmol", "basal_dose", "bolus_dose", "carbs_primary", "notes_primary"],
+            {"cgm_primary": "mg/dL", "cgm_primary_mmol": "mmol/L", "bgm_primary": "mg/dL", "bgm_primary_mmol": "mmol/L", "dose": "U", "carbs_primary": "g"},
+        ),
+    }
+    parts = []
+    for name, (table, columns, units) in tables.items():
+        own = [x for v in lines.values() for x in v] if name == "aligned" else lines[name]
+        doses = {"basal": "count_if(basal_dose > 0)", "bolus": "count_if(bolus_dose > 0)"} if name == "aligned" else {"basal": "count_if(is_basal)", "bolus": "count_if(is_bolus)"}
+        fill = {"missing": "missing_cgm" if name == "aligned" else "missing", **doses}
+        texts = [x.format(**fill) for x in own]
+        if name == "insulin":  # every row is a dose, whatever its class
+            texts[1] = "'Found ' || count(*) || ' total doses'"
+        text = " || chr(10) || ".join(["'Period: ' || strftime(ts, '%Y-%m')", "'Records: ' || count(*)", *texts])
+        share = " || ',' || ".join(f"'{c}=' || {pct(f'count({c})', 'count(*)', 2)}" for c in columns) if name == "aligned" else "''"
+        parts.append(f"""SELECT '{name}' AS data_type, series_id, strftime(ts, '%Y-%m') AS month,
+  strftime(min(ts), '%Y-%m-%d') || ' to ' || strftime(max(ts), '%Y-%m-%d') AS date_range, count(*) AS record_count,
+  '{','.join(columns)}' AS columns_present, {text} AS notes, '{','.join(f'{k}={v}' for k, v in units.items())}' AS source_units,
+  {"'5min'" if name == "aligned" else "NULL"} AS frequency, {share} AS completeness, '2024-02-01' AS export_date
+FROM {table} GROUP BY series_id, strftime(ts, '%Y-%m')""")
+    return f"""{_aligned_ctes()},
+cgm_f AS (SELECT series_id, {ts_sql('slot')} AS ts, cgm_primary, cgm_primary * 0.0555 AS cgm_primary_mmol, missing FROM cgm_out)
+{' UNION ALL '.join(parts)}"""
+
+
+@query("export_month_notes", _month_notes_sql())
+def export_month_notes(spark, sf_dir):
+    """The notes of every exported month, per type and for the
+    aligned frame, with all their fields."""
+    from glucoflow.sinks.export import NOTES_SCHEMA
+
+    written = _export_types(spark, sf_dir, ("CGM", "BGM", "INSULIN", "CARBS", "NOTES"), align=True, fmt="parquet", export_date="2024-02-01")
+    back = spark.read.schema(NOTES_SCHEMA).json(written["processing_notes"]).where("scope = 'month'")
+    pairs = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return back.select(
+        "data_type", "series_id", "month", "date_range", "record_count",
+        F.array_join("columns_present", ",").alias("columns_present"),
+        F.array_join("notes", "\n").alias("notes"),
+        pairs("source_units").alias("source_units"),
+        "frequency",
+        pairs("completeness").alias("completeness"),
+        "export_date",
+    )
 
 
 _S15 = 900_000_000
@@ -1087,13 +1180,9 @@ SELECT series_id, ts, {r6_sql('carbs_primary')} AS carbs_primary FROM carb_out""
 )
 def export_complete(spark, sf_dir):
     """K1, K7: the complete carbs dataset of a run, read back."""
-    written = _export_types(spark, sf_dir)
-    back = spark.read.option("header", True).option("basePath", written["carbs"]).csv(written["carbs"])
-    return back.select(
-        F.col("series_id").cast("string").alias("series_id"),
-        F.to_timestamp_ntz("ts").alias("ts"),
-        r6(F.col("carbs_primary").cast("double")).alias("carbs_primary"),
-    )
+    from glucoflow.sinks.export import read_table
+
+    return _round_all(read_table(spark, _export_types(spark, sf_dir)["base"], "carbs"))
 
 
 def _period_sql() -> str:

@@ -85,6 +85,8 @@ def _sqlite_writer(out_dir: str, tables: dict[str, list[str]]):
                     path = f"{out_dir}/{sid}.sqlite"
                     if path not in cons:
                         con = sqlite3.connect(path)
+                        con.execute("PRAGMA journal_mode = OFF")  # a failed task writes its files anew
+                        con.execute("PRAGMA synchronous = OFF")
                         for t, cols in tables.items():
                             con.execute(f'DROP TABLE IF EXISTS "{t}"')  # of an earlier try
                             con.execute(f'CREATE TABLE "{t}" (' + ", ".join(f'"{c}"' for c in cols) + ")")

@@ -4,6 +4,7 @@ import glob
 import os
 
 from glucoflow.plans import workflow
+from glucoflow.sinks import export
 
 HEADER = ("Device,Serial Number,Device Timestamp,Historic Glucose mmol/L,Scan Glucose mmol/L,Strip Glucose mmol/L,"
           "Rapid-Acting Insulin (units),Long-Acting Insulin Value (units),Carbohydrates (grams),Notes")
@@ -39,11 +40,12 @@ def test_run_end_to_end(spark, tmp_path):
     assert sum(r["carbs_primary"] for r in alice) == 20.0  # 0.5 g dropped
     base = written["base"]
     assert os.path.basename(base).startswith("2024-01-01_to_2024-01-01_complete_")
-    assert glob.glob(f"{base}/aligned/series_id=alice/*.csv")
-    assert glob.glob(f"{base}/monthly/cgm/series_id=bob/month=2024-01/*.csv")
-    notes = spark.read.json(written["processing_notes"])
-    assert notes.where("data_type = 'aligned'").count() == 2
-    cgm_notes = notes.where("data_type = 'cgm' AND series_id = 'alice'").first()["notes"]
+    assert glob.glob(f"{base}/aligned/part-*.csv")
+    assert glob.glob(f"{base}/monthly/cgm/month=2024-01/*.csv")
+    assert export.read_table(spark, base, "monthly/cgm", ["bob"]).where("month = '2024-01'").count() == 12
+    notes = spark.read.schema(export.NOTES_SCHEMA).json(written["processing_notes"])
+    assert notes.where("data_type = 'aligned' AND scope = 'person'").count() == 2
+    cgm_notes = notes.where("data_type = 'cgm' AND series_id = 'alice' AND scope = 'person'").first()["notes"]
     assert "Processed 12 total CGM readings" in cgm_notes
 
 
@@ -55,4 +57,5 @@ def test_stream_processes_new_files(spark, tmp_path):
     write_export(src / "carol.csv", 10)
     q = watch_exports(spark, str(src), str(tmp_path / "out"), glob="*.csv", checkpoint=str(tmp_path / "ckpt"))
     q.awaitTermination(300)
-    assert glob.glob(str(tmp_path / "out" / "batch=0" / "*_complete_*" / "cgm" / "series_id=carol" / "*.csv"))
+    base = glob.glob(str(tmp_path / "out" / "batch=0" / "*_complete_*"))[0]
+    assert export.read_table(spark, base, "cgm", ["carol"]).count() == 12
