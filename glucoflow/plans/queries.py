@@ -756,6 +756,25 @@ def csv_header_search(spark, sf_dir):
     return _csv_values(R.convert_times(R.read_csv_table(spark, [f"{out}/*.csv"], table), table))
 
 
+@query("csv_quoted_header", _CSV_SQL)
+def csv_quoted_header(spark, sf_dir):
+    """Exports whose header has a quoted line break and whose column
+    order differs (odd people write it reversed, behind a preamble)."""
+    from dataclasses import replace
+
+    notes = "Notes\n(free text)"
+    rows = _wide_csv_rows(_events(spark, sf_dir)).withColumnRenamed("Notes", notes)
+    columns = [notes if c == "Notes" else c for c in _csv_columns()]
+    odd = F.pmod(F.col("series_id").cast("bigint"), F.lit(2)) == 1
+    out = DF.scratch_dir(spark, "csv-quoted")
+    DF.write_csv_files(rows.where(odd), out, columns[::-1], preamble=["Glucose Data"]).agg(F.sum("rows")).collect()
+    DF.write_csv_files(rows.where(~odd), out, columns).agg(F.sum("rows")).collect()
+    wide = CAT.WIDE_CSV.files[0].tables[0]
+    table = replace(wide, header_row=None, columns=tuple(replace(c, source_name=notes) if c.source_name == "Notes" else c for c in wide.columns))
+    read = R.read_csv_table(spark, [f"{out}/*.csv"], table).withColumnRenamed(notes, "Notes")
+    return _csv_values(R.convert_times(read, wide))
+
+
 @query(
     "quarantine_counts",
     """SELECT CAST(user_id AS VARCHAR) AS series_id, count(*) AS rows, count_if(event_id % 25 = 0) AS quarantined
@@ -866,6 +885,28 @@ def json_source(spark, sf_dir):
     )
 
 
+@query(
+    "json_mixed_folder",
+    _SIMPLE_SQL.format(
+        extra=f"""{r6_sql("CASE WHEN event_type = 'purchase' THEN value / 10 END")} AS dose,
+  {r6_sql("CASE WHEN event_type = 'signup' THEN value - 5 END")} AS carbs,"""
+    ),
+)
+def json_mixed_folder(spark, sf_dir):
+    """One read of exports in three shapes: an object that holds a list, a
+    plain list, and lines of one record each, by person."""
+    rows = _simple_rows(_events(spark, sf_dir))
+    out = DF.scratch_dir(spark, "json-mixed")
+    table = CAT.EXAMPLE_JSON.files[0].tables[0]
+    fields = ["time", "glucose", "meter", "dose", "carbs", "note"]
+    kind = F.pmod(F.col("series_id").cast("bigint"), F.lit(3))
+    DF.write_json_files(rows.where(kind == 0), out, fields, key="Readings").agg(F.sum("rows")).collect()
+    DF.write_json_files(rows.where(kind == 1), out, fields).agg(F.sum("rows")).collect()
+    DF.write_json_files(rows.where(kind == 2), out, fields, lines=True).agg(F.sum("rows")).collect()
+    conv = R.convert_times(R.read_json_table(spark, [f"{out}/*.json"], table), table)
+    return conv.select("series_id", "ts", *[r6(F.expr(f"try_cast({c} as double)")).alias(c) for c in ("glucose", "meter", "dose", "carbs")], "note")
+
+
 @query("xml_source", _SIMPLE_SQL.format(extra=""))
 def xml_source(spark, sf_dir):
     """S4 + S5: every person's events as an XML export (time as attribute,

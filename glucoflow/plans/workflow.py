@@ -17,7 +17,7 @@ from glucoflow.operators import align as A
 from glucoflow.operators import clean as C
 from glucoflow.sources import conform
 from glucoflow.sources.catalog import Catalog, Layout, default_catalog
-from glucoflow.sources.readers import layout_specs, read_tables, rejected_files, to_events
+from glucoflow.sources.readers import layout_headers, layout_specs, read_tables, rejected_files, to_events
 
 # Processors per data type; register more with ``register_processor``
 PROCESSORS: dict[str, object] = {}
@@ -128,7 +128,8 @@ def process_path(
         layout = conform.detect_layout(spark, paths, catalog)
     specs = layout_specs(layout)
     longs, bads = [], []
-    for _, (tb, df) in read_tables(spark, layout, paths).items():
+    headers = layout_headers(spark, layout, paths)
+    for _, (tb, df) in read_tables(spark, layout, paths, headers).items():
         long, bad = to_events(df, tb, specs, series)
         longs.append(long)
         bads.append(bad)
@@ -146,7 +147,7 @@ def process_path(
     processed, notes = process(events, columns_of(layout), **params)
     # Units that are not legal for their data type are reported
     notes = [*layout.unit_problems(), *notes]
-    return Run(events, processed, notes, quarantine, rejected_files(spark, layout, paths))
+    return Run(events, processed, notes, quarantine, rejected_files(spark, layout, paths, headers))
 
 
 def run(spark: SparkSession, paths: list[str], out_dir: str, layout=None, freq: str = "5min", fmt: str = "csv", **params):

@@ -117,7 +117,9 @@ def write_sqlite_files(df: DataFrame, out_dir: str, tables: dict[str, list[str]]
     return parts.mapInPandas(_sqlite_writer(out_dir, tables), WRITTEN_SCHEMA)
 
 
-def _json_writer(out_dir: str, columns: list[str], key: str | None):
+def _json_writer(out_dir: str, columns: list[str], key: str | None, lines: bool):
+    start, between, end = ("", "\n", "\n") if lines else ("{" + json.dumps(key) + ": [", ",", "]}") if key else ("[", ",", "]")
+
     def run(batches):
         handles: dict[str, object] = {}
         counts: dict[str, int] = {}
@@ -127,29 +129,29 @@ def _json_writer(out_dir: str, columns: list[str], key: str | None):
                     path = f"{out_dir}/{sid}.json"
                     if path not in handles:
                         fh = open(path, "w", encoding="utf-8")
-                        fh.write("{" + json.dumps(key) + ": [" if key else "[")
+                        fh.write(start)
                         handles[path] = fh
                         counts[path] = 0
                     fh = handles[path]
                     for rec in grp[columns].itertuples(index=False):
                         obj = {c: (None if pd.isna(v) else v) for c, v in zip(columns, rec)}
-                        fh.write(("," if counts[path] else "") + json.dumps(obj, ensure_ascii=False))
+                        fh.write((between if counts[path] else "") + json.dumps(obj, ensure_ascii=False))
                         counts[path] += 1
         finally:
             for fh in handles.values():
-                fh.write("]}" if key else "]")
+                fh.write(end)
                 fh.close()
         yield pd.DataFrame({"path": list(counts), "rows": list(counts.values())})
 
     return run
 
 
-def write_json_files(df: DataFrame, out_dir: str, columns: list[str], key: str | None = None) -> DataFrame:
-    """One ``<series_id>.json`` per person: a list of records, or
-    ``{key: [records]}`` when ``key`` is given."""
+def write_json_files(df: DataFrame, out_dir: str, columns: list[str], key: str | None = None, lines: bool = False) -> DataFrame:
+    """One ``<series_id>.json`` per person: a list of records, ``{key: [records]}``
+    when ``key`` is given, or a line for each record."""
     os.makedirs(out_dir, exist_ok=True)
     parts = df.repartition("series_id").sortWithinPartitions("series_id", "_seq")
-    return parts.mapInPandas(_json_writer(out_dir, columns, key), WRITTEN_SCHEMA)
+    return parts.mapInPandas(_json_writer(out_dir, columns, key, lines), WRITTEN_SCHEMA)
 
 
 def _xml_writer(out_dir: str, tag: str, attrs: list[str], children: list[str]):

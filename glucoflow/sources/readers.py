@@ -9,19 +9,26 @@ times to UTC and unpivots the mapped columns into ``events_long``.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from glucoflow.functions import timestamps as TS
 from glucoflow.functions.numbers import null_words
 from glucoflow.operators.events import ColumnSpec, name_columns, to_long
+from glucoflow.session import checkpoint_dir
 from glucoflow.sources.catalog import CONFIRMATION_ONLY, OPTIONAL, Layout, Table
 from glucoflow.sources.sqlite_source import SQLiteTableSource
 
 #: rows that are searched for an undeclared header
 HEADER_SEARCH_ROWS = 4
+#: header rows of so many files (a path and a few numbers each) may be sent to every task
+BROADCAST_FILES = 100_000
+#: so many positions of a column are told apart by conditions, more by a list
+FEW_POSITIONS = 24
 
 
 def _norm(c: SparkColumn) -> SparkColumn:
@@ -43,53 +50,78 @@ def _required(table: Table) -> list[str]:
     return [c.source_name.strip().lower() for c in table.columns if c.requirement != OPTIONAL]
 
 
-def csv_width(spark: SparkSession, paths: list[str], table: Table) -> int:
-    """Fields of the widest line that names all required columns.
-
-    No column beyond that is ever asked for, so nothing is cut off.  One pass
-    over the lines, one number to the driver; quoted separators only make the
-    width larger than needed.
-    """
-    line = F.lower(F.col("value"))
-    named = F.lit(True)
-    for name in _required(table):
-        named = named & line.contains(name)
-    widest = spark.read.text(paths).where(named).agg(F.max(F.length("value") - F.length(F.replace(F.col("value"), F.lit(","), F.lit("")))))
-    return int(widest.first()[0] or 0) + 1
-
-
-def _csv_rows(spark: SparkSession, paths: list[str], table: Table, width: int) -> DataFrame:
-    """Every CSV record as ``_file, _seq, _fields`` (all text, no header)."""
-    schema = ", ".join(f"_c{i} string" for i in range(width))
+def _csv_reader(spark: SparkSession, table: Table):
     return (
-        spark.read.schema(schema)
-        .option("header", False)
+        spark.read.option("header", False)
         .option("multiLine", table.quoted_newlines)
         .option("mode", "PERMISSIVE")
         .option("encoding", "UTF-8")
         .option("quote", '"')
         .option("escape", '"')  # RFC 4180: a quote inside quotes is doubled
-        .csv(paths)
-        .select(
-            F.col("_metadata.file_path").alias("_file"),
-            F.monotonically_increasing_id().alias("_seq"),
-            F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("_fields"),
-        )
     )
 
 
-def _csv_headers(rows: DataFrame, table: Table) -> DataFrame:
-    """One row per file: ``_file, _hseq, _header, _hpos`` (nulls: no row names all required columns).
+def _uncarried(c: SparkColumn) -> SparkColumn:
+    """Without the carriage return that stays when a file ends its lines by CR LF but quotes a plain LF before the first of them."""
+    return F.rtrim(c, F.lit("\r"))
+
+
+def fields_of(record: SparkColumn) -> SparkColumn:
+    """The fields of a raw CSV record, unquoted: any number of them, by its own quotes.
+
+    Pieces between quotes are outside and inside by turns; commas inside are
+    hidden while the record is split.
+    """
+    hidden = "\x01"
+    pieces = F.transform(F.split(_uncarried(record), '"', -1), lambda piece, k: F.when(k % 2 == 1, F.translate(piece, ",", hidden)).otherwise(piece))
+    fields = F.split(F.array_join(pieces, '"'), ",", -1)
+
+    def plain(f: SparkColumn) -> SparkColumn:
+        f = F.translate(F.trim(f), hidden, ",")
+        quoted = f.startswith('"') & f.endswith('"') & (F.length(f) > 1)
+        return F.when(quoted, F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
+
+    return F.transform(fields, plain)
+
+
+def csv_headers(spark: SparkSession, paths: list[str], table: Table) -> DataFrame:
+    """One row per file with records: ``_file, _hseq, _hpos, _pos``.
+
+    The header is the file's first record that names all required columns:
+    ``_hseq`` and ``_hpos`` are its place in the scan and in the file (null: no
+    such record), ``_pos`` the position of every wanted column, -1 where the file
+    has none.  Records are read as one field and their own text, so a header
+    may have any width and hold quoted line breaks; only records in which all
+    names occur are taken apart.  Summed up per task before the shuffle,
+    written to the shared folder and read back.
 
     Splits of one file are packed into partitions in offset order and ids grow
-    with the partition, so a file's first rows get its first positions even
-    when it is split.  Summed up per map task before the shuffle.
+    with the partition, so a file's first records get its first positions even
+    when it is split.
     """
-    lowered = F.transform(F.col("_fields"), lambda x: _norm(x))
-    names_all = F.size(F.array_except(F.array(*[F.lit(r) for r in _required(table)]), lowered)) == 0
-    candidate = F.when(names_all, F.struct("_seq", lowered.alias("_header")))
-    found = rows.groupBy("_file").agg(F.min("_seq").alias("_first"), F.min_by(candidate, F.when(names_all, F.col("_seq"))).alias("_h"))
-    return found.select("_file", F.col("_h._seq").alias("_hseq"), F.col("_h._header").alias("_header"), (F.col("_h._seq") - F.col("_first")).alias("_hpos"))
+    records = (
+        _csv_reader(spark, table)
+        .schema("_c0 string, _raw string")
+        .option("columnNameOfCorruptRecord", "_raw")  # set for every record of two fields or more
+        .option("columnPruning", "false")
+        .csv(paths)
+        .select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_seq"), F.coalesce("_raw", "_c0").alias("_raw"))
+    )
+    required = _required(table)
+    lower = F.lower(F.col("_raw"))
+    maybe = F.lit(True)
+    for name in required:
+        maybe = maybe & lower.contains(name.replace('"', '""'))
+    names = F.when(maybe, F.transform(fields_of(F.col("_raw")), _norm))
+    records = records.select("_file", "_seq", names.alias("_names"))
+    names_all = F.size(F.array_except(F.array(*[F.lit(r) for r in required]), F.col("_names"))) == 0
+    at = F.when(F.col("_names").isNotNull() & names_all, F.col("_seq"))
+    found = records.groupBy("_file").agg(F.min("_seq").alias("_first"), F.min(at).alias("_hseq"), F.min_by("_names", at).alias("_names"))
+    wanted = [F.coalesce(F.array_position("_names", n.strip().lower()).cast("int"), F.lit(0)) - 1 for n in table.wanted()]
+    headers = found.select("_file", "_hseq", (F.col("_hseq") - F.col("_first")).alias("_hpos"), F.array(*wanted).alias("_pos"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-headers-{uuid.uuid4().hex}"
+    headers.write.parquet(path)
+    return spark.read.schema(headers.schema).parquet(path)
 
 
 def _header_ok(table: Table, search_rows: int) -> SparkColumn:
@@ -98,113 +130,173 @@ def _header_ok(table: Table, search_rows: int) -> SparkColumn:
     return F.coalesce(F.col("_hpos") < search_rows, F.lit(False))
 
 
-def read_csv_table(spark: SparkSession, paths: list[str], table: Table, max_columns: int | None = None, search_rows: int = HEADER_SEARCH_ROWS) -> DataFrame:
+def _at(position: SparkColumn, positions: list[int]) -> SparkColumn:
+    """The field at a position that is one of a few known ones; only these are read from the file."""
+    if len(positions) > FEW_POSITIONS:
+        place = F.array_position(F.array(*[F.lit(p) for p in positions]), position).cast("int")
+        return F.when(place > 0, F.element_at(F.array(*[F.col(f"_c{p}") for p in positions]), place))
+    value = F.lit(None).cast("string")
+    for p in positions:
+        value = F.when(position == p, F.col(f"_c{p}")).otherwise(value)
+    return value
+
+
+def read_csv_table(spark: SparkSession, paths: list[str], table: Table, search_rows: int = HEADER_SEARCH_ROWS, headers: DataFrame | None = None) -> DataFrame:
     """Read one CSV table from many files with per-file header resolution.
 
-    Files are parsed without a header (all text, quoted newlines kept).  The
-    header of each file is its declared ``header_row`` or, when undeclared,
-    the first of the first ``search_rows`` rows holding every required name.
+    The header of each file is its declared ``header_row`` or, when undeclared,
+    the first of the first ``search_rows`` records holding every required name.
     Columns are then picked by position of their (case-insensitive, stripped)
     name in that file's header, so files with different column orders mix
     freely and optional columns missing from a file are null.  Files without
     such a header are left out here and listed by ``rejected_csv_files``.
 
-    ``max_columns`` may give the number of fields to parse; by default it is
-    taken from the headers found.
+    Two scans: one for the headers (``csv_headers``, may be given), one for the
+    rows, which parses only the fields that some file's header asks for.
     """
-    rows = _csv_rows(spark, paths, table, max_columns or csv_width(spark, paths, table))
-    headers = _csv_headers(rows, table).where(_header_ok(table, search_rows))
-    # one small row per file; Spark broadcasts it where its measured size allows
-    body = rows.join(headers, "_file").where(F.col("_seq") > F.col("_hseq"))
-    # element_at with index 0 (name not in this file's header) would raise
-    safe = []
-    for name in table.wanted():
-        idx = F.array_position(F.col("_header"), F.lit(name.strip().lower())).cast("int")
-        safe.append(null_words(F.when(idx > 0, F.element_at(F.col("_fields"), idx))).alias(name))
-    return body.select("_file", "_seq", *safe)
-
-
-def rejected_csv_files(spark: SparkSession, paths: list[str], table: Table, search_rows: int = HEADER_SEARCH_ROWS) -> DataFrame:
+    headers = headers if headers is not None else csv_headers(spark, paths, table)
+    used = headers.where(_header_ok(table, search_rows))
+    # wanted columns times positions, few numbers however many files there are
+    places = used.select(F.posexplode("_pos").alias("k", "p")).where("p >= 0").distinct().collect()
+    by_column: dict[int, list[int]] = {}
+    for r in places:
+        by_column.setdefault(r["k"], []).append(r["p"])
+    width = max([r["p"] for r in places], default=0) + 1
+    rows = _csv_reader(spark, table).schema(", ".join(f"_c{i} string" for i in range(width))).csv(paths)
+    parsed = sorted({r["p"] for r in places})
+    body = rows.select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_seq"), *[F.col(f"_c{p}") for p in parsed])
+    # a row per file: sent to all tasks up to a known number of files, else joined as Spark sees fit
+    small = F.broadcast(used) if used.count() <= BROADCAST_FILES else used
+    body = body.join(small, "_file").where(F.col("_seq") > F.col("_hseq"))
+    wanted = [null_words(_uncarried(_at(F.col("_pos")[k], sorted(by_column.get(k, []))))).alias(n) for k, n in enumerate(table.wanted())]
+    return body.select("_file", "_seq", *wanted)
+
+
+def rejected_csv_files(spark: SparkSession, paths: list[str], table: Table, search_rows: int = HEADER_SEARCH_ROWS, headers: DataFrame | None = None) -> DataFrame:
     """``_file, reason`` of CSV files with rows but without the header that the layout asks for."""
-    rows = _csv_rows(spark, paths, table, csv_width(spark, paths, table))
+    headers = headers if headers is not None else csv_headers(spark, paths, table)
     where = F.lit(f"row {table.header_row}" if table.header_row is not None else f"the first {search_rows} rows")
     reason = F.when(F.col("_hpos").isNull(), F.lit("no row names all required columns")).otherwise(
         F.concat(F.lit("the header is in row "), F.col("_hpos").cast("string"), F.lit(", expected in "), where)
     )
-    return _csv_headers(rows, table).where(~_header_ok(table, search_rows)).select("_file", reason.alias("reason"))
+    return headers.where(~_header_ok(table, search_rows)).select("_file", reason.alias("reason"))
 
 
 # ------------------------------------------------------------------ JSON
+_RECORD = "map<string,string>"
+
+
+def _records_in(text: SparkColumn) -> SparkColumn:
+    """The records of a JSON text that is a list of them or a single one (null: neither)."""
+    single = F.from_json(text, _RECORD)
+    return F.when(F.ltrim(text).startswith("{"), F.when(single.isNotNull(), F.array(single))).otherwise(F.from_json(text, f"array<{_RECORD}>"))
+
+
+def _key(m: SparkColumn, name: str) -> SparkColumn:
+    """Value of the first key of a map that equals name but for case (null: none)."""
+    hit = F.filter(F.map_entries(m), lambda e: F.lower(e["key"]) == name.lower())
+    return F.when(F.size(hit) > 0, hit[0]["value"])
+
+
+def json_documents(spark: SparkSession, paths: list[str], table: Table) -> DataFrame:
+    """One row per JSON file: ``_file, _blank, _records`` (null: not JSON).
+
+    Nothing is inferred, so files of different shapes read together: a list of
+    records, a single record, lines of one record each, or an object whose
+    keys are tables that hold a list or a single record.  A record is a map of
+    its fields, each the text it has in the file; its values may be of any type.
+    """
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.col("value"))
+    lines = F.filter(F.split("value", "\r?\n"), lambda x: x.rlike("\\S"))
+    # a record that ends in its line, and more lines: each is a document
+    by_line = (F.size(lines) > 1) & F.from_json(lines[0], _RECORD).isNotNull()
+    each = F.transform(lines, lambda x: F.from_json(x, _RECORD))
+    root = F.when(by_line, F.when(F.forall(each, lambda r: r.isNotNull()), each)).otherwise(_records_in(F.col("value")))
+    found = files.select("_file", (F.size(lines) == 0).alias("_blank"), root.alias("_root"))
+    if not table.name:
+        return found.withColumnRenamed("_root", "_records")
+    is_table = (F.size("_root") == 1) & F.exists(F.map_keys(F.get("_root", F.lit(0))), lambda k: F.lower(k) == table.name.lower())
+    inner = _records_in(_key(F.get("_root", F.lit(0)), table.name))
+    return found.select("_file", "_blank", F.when(is_table, F.coalesce(inner, F.array().cast(f"array<{_RECORD}>"))).otherwise(F.col("_root")).alias("_records"))
+
+
 def read_json_table(spark: SparkSession, paths: list[str], table: Table) -> DataFrame:
-    """A JSON export: either a list of records, or an object whose keys are
-    tables holding lists of records."""
-    df = spark.read.option("multiLine", True).json(paths).withColumn("_file", F.col("_metadata.file_path"))
-    cols = {c.lower(): c for c in df.columns}
-    if table.name and table.name.lower() in cols:
-        src = cols[table.name.lower()]
-        records = F.col(f"`{src}`")
-        if dict(df.dtypes)[src].startswith("struct"):
-            records = F.array(records)  # every file holds a single record
-        recs = df.select("_file", F.posexplode(records).alias("_seq", "_r")).select(
-            "_file", F.col("_seq").cast("bigint"), "_r.*"
-        )
-    else:
-        recs = df.withColumn("_seq", F.monotonically_increasing_id())
-    present = {c.lower(): c for c in recs.columns}
-    out = [
-        (F.col(f"`{present[n.lower()]}`").cast("string") if n.lower() in present else F.lit(None).cast("string")).alias(n)
-        for n in table.wanted()
-    ]
-    return recs.select("_file", "_seq", *out)
+    """The records of a table in JSON exports, whatever their shape (see json_documents), in one scan."""
+    records = json_documents(spark, paths, table).select("_file", F.posexplode("_records").alias("_seq", "_r"))
+    return records.select("_file", F.col("_seq").cast("bigint").alias("_seq"), *[_key(F.col("_r"), n).alias(n) for n in table.wanted()])
+
+
+def rejected_json_files(spark: SparkSession, paths: list[str], table: Table) -> DataFrame:
+    """``_file, reason`` of files that are no JSON, and of those without a record that has the time."""
+    docs = json_documents(spark, paths, table)
+    timed = F.exists("_records", lambda r: F.exists(F.map_keys(r), lambda k: F.lower(k) == table.timestamp_column.lower()))
+    reason = (
+        F.when(F.col("_blank"), "the file is empty")
+        .when(F.col("_records").isNull(), "the file isn't JSON")
+        .when((F.size("_records") > 0) & ~F.coalesce(timed, F.lit(False)), f"no record has {table.timestamp_column}")
+    )
+    return docs.select("_file", reason.alias("reason")).where("reason is not null")
 
 
 # ------------------------------------------------------------------- XML
 def read_xml_table(spark: SparkSession, paths: list[str], table: Table) -> DataFrame:
     """One row per ``<table>`` element; a field is the attribute of that name,
-    else the child element's text; empty text is null."""
+    else the child element's text; empty text is null.
+
+    The schema is made from the layout's columns, so the files are read once and
+    fields that no column asks for are skipped.
+    """
+    wanted = table.wanted()
+    schema = StructType([StructField(k, StringType()) for n in wanted for k in (f"_attr_{n}", n)])
     df = (
         spark.read.format("xml")
+        .schema(schema)
         .option("rowTag", table.name)
         .option("attributePrefix", "_attr_")
-        .option("inferSchema", False)
         .load(paths)
         .select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_seq"), "*")
     )
-    fields = set(df.columns)
     out = []
-    for n in table.wanted():
-        cands = [F.col(f"`{k}`").cast("string") for k in (f"_attr_{n}", n) if k in fields]
-        v = F.coalesce(*cands) if cands else F.lit(None).cast("string")
+    for n in wanted:
+        v = F.coalesce(F.col(f"`_attr_{n}`"), F.col(f"`{n}`"))
         out.append(F.when(F.trim(v) != "", v).alias(n))
     return df.select("_file", "_seq", *out)
 
 
 # ---------------------------------------------------------------- SQLite
-def read_sqlite_table(
-    spark: SparkSession,
-    paths: list[str],
-    table: Table,
-    rows_per_partition: int = 1_000_000,
-    split_bytes: int = 64 << 20,
-) -> DataFrame:
-    """One SQLite table from many files; big files are split by rowid range."""
+def read_sqlite_table(spark: SparkSession, paths: list[str], table: Table, partition_bytes: int = 64 << 20, since: float | None = None, until: float | None = None) -> DataFrame:
+    """One SQLite table from many files, which share partitions or are cut by rowid, by their bytes.
+
+    ``since`` and ``until`` (first moment and the one after the last, as numbers
+    in the unit of the file) are run by SQLite itself; rows whose time is a text
+    are in no range.
+    """
     spark.dataSource.register(SQLiteTableSource)
-    local = [p[5:] if p.startswith("file:") else p for p in paths]
-    return (
+    files = spark.read.format("binaryFile").load(paths).select("path", "length").orderBy("path").collect()  # a name and a size per file
+    df = (
         spark.read.format(SQLiteTableSource.name())
-        .option("paths", json.dumps(local))
+        .option("files", json.dumps([list(f) for f in files]))
         .option("table", table.name)
         .option("columns", ",".join(table.wanted()))
-        .option("rowsPerPartition", str(rows_per_partition))
-        .option("splitBytes", str(split_bytes))
-        .load()
+        .option("timeColumn", table.timestamp_column)
+        .option("partitionBytes", str(partition_bytes))
     )
+    for name, bound in (("since", since), ("until", until)):
+        if bound is not None:
+            df = df.option(name, repr(float(bound)))
+    return df.load()
 
 
 READERS = {"csv": read_csv_table, "json": read_json_table, "xml": read_xml_table, "sqlite": read_sqlite_table}
 
 
-def read_tables(spark: SparkSession, layout: Layout, paths: list[str]) -> dict[str, tuple[Table, DataFrame]]:
+def layout_headers(spark: SparkSession, layout: Layout, paths: list[str]) -> dict[str, DataFrame]:
+    """The headers of every CSV table of a layout, read once for rows and rejected files."""
+    mine = {tb.name: (tb, [p for p in paths if fc.matches(p)]) for fc in layout.files if fc.file_type == "csv" for tb in fc.tables}
+    return {name: csv_headers(spark, own, tb) for name, (tb, own) in mine.items() if own}
+
+
+def read_tables(spark: SparkSession, layout: Layout, paths: list[str], headers: dict[str, DataFrame] | None = None) -> dict[str, tuple[Table, DataFrame]]:
     """Every table of a layout as a lazy DataFrame.
 
     Each file config reads the paths its glob matches.
@@ -215,17 +307,21 @@ def read_tables(spark: SparkSession, layout: Layout, paths: list[str]) -> dict[s
         if not mine:
             continue
         for tb in fc.tables:
-            out[tb.name] = (tb, READERS[fc.file_type](spark, mine, tb))
+            known = {"headers": headers[tb.name]} if headers and tb.name in headers else {}
+            out[tb.name] = (tb, READERS[fc.file_type](spark, mine, tb, **known))
     return out
 
 
-def rejected_files(spark: SparkSession, layout: Layout, paths: list[str]) -> DataFrame:
-    """``_file, reason`` of all CSV files of a layout whose header can't be found."""
+def rejected_files(spark: SparkSession, layout: Layout, paths: list[str], headers: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``_file, reason`` of the CSV files of a layout whose header can't be found, and of JSON files that hold no record."""
     out = spark.createDataFrame([], "_file string, reason string")
     for fc in layout.files:
         mine = [p for p in paths if fc.matches(p)]
+        if fc.file_type == "json" and mine:
+            for tb in fc.tables:
+                out = out.unionByName(rejected_json_files(spark, mine, tb))
         if fc.file_type == "csv" and mine:
-            out = out.unionByName(rejected_csv_files(spark, mine, fc.tables[0]))
+            out = out.unionByName(rejected_csv_files(spark, mine, fc.tables[0], headers=(headers or {}).get(fc.tables[0].name)))
     return out
 
 

@@ -1,14 +1,20 @@
 """SQLite exports as a Spark data source (Python Data Source API).
 
 No SQLite JDBC driver is assumed on the cluster, so the source reads with the
-standard ``sqlite3`` module inside the tasks.  One input partition per
-(file, rowid range): small files are one partition, large files are split
-into ranges of ``rowsPerPartition`` rowids, so one big export does not land
-in one task.  ``rowid`` is the row order (``_seq``).
-
-Options: ``paths`` (a JSON list, or comma separated), ``table``, ``columns`` (comma
-separated, the wanted list), ``rowsPerPartition`` (default 1,000,000),
-``splitBytes`` (files above this size are split; default 64 MiB).
+standard ``sqlite3`` module inside the tasks, in Arrow batches.  Input partitions
+follow bytes: small files share one, a large file is cut into as many rowid
+ranges as its size asks for; a task finds the bounds of its range itself, so
+the driver opens no file.  ``rowid`` is the row order (``_seq``).
+
+A time range is an option, run by SQLite as a condition on the stored number (an
+index on it is used).  It is no pushed filter: Spark 4.1 keeps the filters pushed
+into a Python source with the source and not with the scan, so two uses of one
+DataFrame with different filters would see each other's.
+
+Options: ``files`` (JSON list of [path, bytes]), ``table``, ``columns`` (comma
+separated, the wanted list), ``timeColumn``, ``since``, ``until`` (rows whose time
+is a number from since to before until), ``partitionBytes`` (default 64 MiB),
+``rowsPerBatch``.
 Columns missing from a file come back as nulls; identifiers must be
 alphanumeric, ``_`` or ``.``.
 """
@@ -16,10 +22,13 @@ alphanumeric, ``_`` or ``.``.
 from __future__ import annotations
 
 import json
-import os
+from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: bytes that opening a file counts for when files are packed into partitions
+OPEN_COST = 256 << 10
+
 
 def valid_identifier(name: str) -> bool:
     return bool(name) and all(c.isalnum() or c in "_." for c in name)
@@ -29,9 +38,39 @@ def _quote(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, lo: int | None, hi: int | None):
-        self.path, self.lo, self.hi = path, lo, hi
+def _local(path: str) -> str:
+    """A path as sqlite3 opens it."""
+    return path[5:] if path.startswith("file:") else path
+
+
+@dataclass(frozen=True)
+class Part:
+    """One of ``of`` rowid ranges of a file."""
+
+    path: str
+    part: int = 0
+    of: int = 1
+
+
+class _Parts(InputPartition):
+    def __init__(self, parts: list[Part]):
+        self.parts = parts
+
+
+def packed(files: list[tuple[str, int]], partition_bytes: int) -> list[list[Part]]:
+    """Files and ranges of files in groups of about ``partition_bytes``, in the order of the files."""
+    groups: list[list[Part]] = []
+    held = partition_bytes
+    for path, size in files:
+        n = max(1, -(-size // partition_bytes))
+        for k in range(n):
+            cost = size // n + OPEN_COST
+            if held + cost > partition_bytes:
+                groups.append([])
+                held = 0
+            groups[-1].append(Part(path, k, n))
+            held += cost
+    return groups
 
 
 class SQLiteTableSource(DataSource):
@@ -43,8 +82,7 @@ class SQLiteTableSource(DataSource):
         return [c for c in self.options.get("columns", "").split(",") if c]
 
     def schema(self) -> str:
-        cols = ", ".join(f"`{c}` string" for c in self._columns())
-        return "_file string, _seq bigint" + (", " + cols if cols else "")
+        return ", ".join(["_file string", "_seq bigint", *(f"`{c}` string" for c in self._columns())])
 
     def reader(self, schema):
         return _SQLiteReader(self.options, self._columns())
@@ -52,72 +90,83 @@ class SQLiteTableSource(DataSource):
 
 class _SQLiteReader(DataSourceReader):
     def __init__(self, options, columns):
-        given = options.get("paths", "")
-        self.paths = json.loads(given) if given.startswith("[") else [p for p in given.split(",") if p]
+        self.files = [(p, int(n)) for p, n in json.loads(options.get("files", "[]"))]
         self.table = options.get("table", "")
         self.columns = columns
-        self.rows_per_part = int(options.get("rowsPerPartition", 1_000_000))
-        self.split_bytes = int(options.get("splitBytes", 64 << 20))
-        for ident in [self.table, *columns]:
+        self.time = options.get("timeColumn") or None
+        self.partition_bytes = int(options.get("partitionBytes", 64 << 20))
+        self.rows_per_batch = int(options.get("rowsPerBatch", 10_000))
+        self.range = [(sign, float(options[k])) for k, sign in (("since", ">="), ("until", "<")) if options.get(k)]
+        for ident in [self.table, *columns, *([self.time] if self.time else [])]:
             if not valid_identifier(ident):
                 raise ValueError(f"unsafe SQLite identifier: {ident!r}")
 
+    def partitions(self):
+        return [_Parts(g) for g in packed(self.files, self.partition_bytes)] or [_Parts([])]
+
     def _splittable(self, con) -> bool:
         """Whether the file has the table, with rowids (a view or a table without has none)."""
         found = con.execute("SELECT type, sql FROM sqlite_master WHERE name = ? COLLATE NOCASE", (self.table,)).fetchone()
         return found is not None and found[0] == "table" and "WITHOUT ROWID" not in (found[1] or "").upper()
 
-    def partitions(self):
+    def _select(self, con, part: Part) -> tuple[str, tuple] | None:
+        """The query of a part, or None where the file has nothing for it."""
+        table = _quote(self.table)
+        con.execute("SELECT name FROM sqlite_master").fetchall()  # a file that is no database must not look empty
+        present = {r[1] for r in con.execute(f"PRAGMA table_info({table})")}
+        if not present:
+            return None
+        splittable = self._splittable(con)
+        if not splittable:  # without rowids the rows are numbered in the order they come, before any condition
+            table = f"(SELECT row_number() OVER () - 1 AS _seq, * FROM {table})"
+        columns = ["rowid AS _seq" if splittable else "_seq"]
+        # missing columns become NULL (never a quoted-name constant)
+        columns += [f"CAST({_quote(c)} AS TEXT)" if c in present else "NULL" for c in self.columns]
+        where: list[str] = []
+        args: list = []
+        if part.of > 1:
+            if not splittable:
+                if part.part:
+                    return None  # the first part reads it all
+            else:
+                lo, hi = con.execute(f"SELECT min(rowid), max(rowid) FROM {table}").fetchone()
+                if lo is None:
+                    return None
+                step = -(-(hi - lo + 1) // part.of)
+                first = lo + part.part * step
+                if first > hi:
+                    return None
+                where.append("rowid BETWEEN ? AND ?")
+                args += [first, min(first + step - 1, hi)]
+        if self.range:
+            if self.time not in present:
+                return None
+            # the plain column, so that its index counts; a text sorts above every number
+            where.append(f"typeof({_quote(self.time)}) IN ('integer', 'real')")
+            for sign, bound in self.range:
+                where.append(f"{_quote(self.time)} {sign} ?")
+                args.append(bound)
+        return f"SELECT {', '.join(columns)} FROM {table}" + (" WHERE " + " AND ".join(where) if where else ""), tuple(args)
+
+    def read(self, partition):
         import sqlite3
 
-        parts = []
-        for p in self.paths:
-            local = p[5:] if p.startswith("file:") else p
-            if os.path.getsize(local) <= self.split_bytes:
-                parts.append(_Range(local, None, None))
-                continue
-            con = sqlite3.connect(f"file:{local}?mode=ro", uri=True)
+        import pyarrow as pa
+
+        kinds = [("_seq", pa.int64()), *((c, pa.string()) for c in self.columns)]
+        schema = pa.schema([("_file", pa.string()), *kinds])
+        for part in partition.parts:
+            con = sqlite3.connect(f"file:{_local(part.path)}?mode=ro", uri=True)
             try:
-                if not self._splittable(con):
-                    parts.append(_Range(local, None, None))  # read as a whole; no table, no rows
+                query = self._select(con, part)
+                if query is None:
                     continue
-                n, lo, hi = con.execute(f"SELECT count(*), min(rowid), max(rowid) FROM {_quote(self.table)}").fetchone()
+                found = con.execute(*query)
+                while rows := found.fetchmany(self.rows_per_batch):
+                    columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([part.path] * len(rows)), *columns], schema=schema)
             finally:
                 con.close()
-            if not n:
-                continue
-            # as many ranges as the rows ask for, however far apart their ids lie
-            ranges = -(-n // self.rows_per_part)
-            step = -(-(hi - lo + 1) // ranges)
-            for start in range(lo, hi + 1, step):
-                parts.append(_Range(local, start, min(start + step - 1, hi)))
-        return parts or [_Range("", None, None)]
-
-    def read(self, partition):
-        import sqlite3
-
-        if not partition.path:
-            return
-        con = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
-        try:
-            present = {r[1] for r in con.execute(f"PRAGMA table_info({_quote(self.table)})")}
-            if not present:
-                return
-            # missing columns become NULL (never a quoted-name constant)
-            sel = ", ".join(
-                f"CAST({_quote(c)} AS TEXT)" if c in present else "NULL" for c in self.columns
-            )
-            # without rowids the rows are numbered in the order they come
-            key = "rowid" if self._splittable(con) else "row_number() OVER () - 1"
-            sql = f"SELECT {key}{', ' + sel if sel else ''} FROM {_quote(self.table)}"
-            args: tuple = ()
-            if partition.lo is not None:
-                sql += " WHERE rowid BETWEEN ? AND ?"
-                args = (partition.lo, partition.hi)
-            for row in con.execute(sql, args):
-                yield (partition.path, int(row[0]), *row[1:])
-        finally:
-            con.close()
 
 
 def table_structure(path: str) -> dict[str, list[str]]:

@@ -72,8 +72,8 @@ def test_mixed_formats_and_offsets(spark, sample):
     assert left == {"mixed": 0, "offset": 0, "fraction": 0}
 
 
-@pytest.mark.parametrize("split_bytes", [0, 64 << 20])
-def test_sqlite_splits(spark, tmp_path, split_bytes):
+@pytest.mark.parametrize("partition_bytes", [2000, 64 << 20])
+def test_sqlite_splits(spark, tmp_path, partition_bytes):
     table = K.Table("Readings", "t", (K.Column("v", "CGM", "mg/dL"),))
     for name, ddl in (("sparse", "CREATE TABLE Readings (t, v)"), ("norowid", "CREATE TABLE Readings (t PRIMARY KEY, v) WITHOUT ROWID"), ("other", "CREATE TABLE Other (t, v)")):
         con = sqlite3.connect(tmp_path / f"{name}.sqlite")
@@ -85,9 +85,9 @@ def test_sqlite_splits(spark, tmp_path, split_bytes):
         con.commit()
         con.close()
     paths = sorted(str(p) for p in tmp_path.glob("*.sqlite"))
-    df = R.read_sqlite_table(spark, paths, table, rows_per_partition=2, split_bytes=split_bytes)
+    df = R.read_sqlite_table(spark, paths, table, partition_bytes=partition_bytes)
     assert sorted(r["v"] for r in df.collect()) == ["5", "6", "7", "8", "9"]
-    assert df.rdd.getNumPartitions() < 10
+    assert df.rdd.getNumPartitions() == (1 if partition_bytes > 2000 else sum(-(-p.stat().st_size // 2000) for p in tmp_path.glob('*.sqlite')))
 
 
 def test_json_with_a_single_record(spark, tmp_path):

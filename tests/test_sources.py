@@ -199,7 +199,7 @@ def test_sqlite_large_file_split_by_rowid(spark, tmp_path):
     con.commit()
     con.close()
     tb = K.TWO_TABLE_SQLITE.files[0].tables[0]
-    df = R.read_sqlite_table(spark, [p], tb, rows_per_partition=400, split_bytes=1)
+    df = R.read_sqlite_table(spark, [p], tb, partition_bytes=-(-os.path.getsize(p) // 7))
     assert df.rdd.getNumPartitions() == 7
     rows = df.orderBy("_seq").collect()
     assert len(rows) == 2500 and [r["_seq"] for r in rows] == list(range(1, 2501))
