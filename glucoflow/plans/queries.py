@@ -726,7 +726,7 @@ def csv_source(spark, sf_dir):
     out = DF.scratch_dir(spark, "csv")
     DF.write_csv_files(rows, out, _csv_columns(), preamble=["Glucose Data", "Generated on", "export"]).agg(F.sum("rows")).collect()
     table = CAT.WIDE_CSV.files[0].tables[0]
-    return _csv_values(R.convert_times(R.read_csv_table(spark, [f"{out}/*.csv"], table), table))
+    return _csv_values(R.convert_times(R.read_csv_table(spark, [out], table), table))
 
 
 @query("csv_wide_columns", _CSV_SQL)
@@ -738,7 +738,7 @@ def csv_wide_columns(spark, sf_dir):
     out = DF.scratch_dir(spark, "csv-wide")
     DF.write_csv_files(rows, out, [*filler, *reversed(_csv_columns())], preamble=["Glucose Data"]).agg(F.sum("rows")).collect()
     table = CAT.WIDE_CSV.files[0].tables[0]
-    return _csv_values(R.convert_times(R.read_csv_table(spark, [f"{out}/*.csv"], table), table))
+    return _csv_values(R.convert_times(R.read_csv_table(spark, [out], table), table))
 
 
 @query("csv_header_search", _CSV_SQL)
@@ -753,7 +753,7 @@ def csv_header_search(spark, sf_dir):
     DF.write_csv_files(rows.where(odd), out, _csv_columns(), preamble=["Glucose Data"]).agg(F.sum("rows")).collect()
     DF.write_csv_files(rows.where(~odd), out, _csv_columns()).agg(F.sum("rows")).collect()
     table = replace(CAT.WIDE_CSV.files[0].tables[0], header_row=None)
-    return _csv_values(R.convert_times(R.read_csv_table(spark, [f"{out}/*.csv"], table), table))
+    return _csv_values(R.convert_times(R.read_csv_table(spark, [out], table), table))
 
 
 @query("csv_quoted_header", _CSV_SQL)
@@ -771,7 +771,7 @@ def csv_quoted_header(spark, sf_dir):
     DF.write_csv_files(rows.where(~odd), out, columns).agg(F.sum("rows")).collect()
     wide = CAT.WIDE_CSV.files[0].tables[0]
     table = replace(wide, header_row=None, columns=tuple(replace(c, source_name=notes) if c.source_name == "Notes" else c for c in wide.columns))
-    read = R.read_csv_table(spark, [f"{out}/*.csv"], table).withColumnRenamed(notes, "Notes")
+    read = R.read_csv_table(spark, [out], table).withColumnRenamed(notes, "Notes")
     return _csv_values(R.convert_times(read, wide))
 
 
@@ -788,7 +788,7 @@ def quarantine_counts(spark, sf_dir):
     out = DF.scratch_dir(spark, "csv-quarantine")
     DF.write_csv_files(rows.withColumn("Device Timestamp", stamp), out, _csv_columns(), preamble=["Glucose Data"]).agg(F.sum("rows")).collect()
     table = CAT.WIDE_CSV.files[0].tables[0]
-    conv = R.convert_times(R.read_csv_table(spark, [f"{out}/*.csv"], table), table)
+    conv = R.convert_times(R.read_csv_table(spark, [out], table), table)
     return conv.groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ts").isNull()).alias("quarantined"))
 
 
@@ -830,12 +830,9 @@ def sqlite_source(spark, sf_dir):
     )
     out = DF.scratch_dir(spark, "sqlite")
     DF.write_sqlite_files(rows, out, _XDRIP_TABLES).agg(F.sum("rows")).collect()
-    paths = [f"{out}/*.sqlite"]
     specs = R.layout_specs(CAT.TWO_TABLE_SQLITE)
-    longs = []
-    for _, (tb, df) in R.read_tables(spark, CAT.TWO_TABLE_SQLITE, paths).items():
-        longs.append(R.to_events(df, tb, specs)[0])
-    long = longs[0].unionByName(longs[1])
+    one, two = (R.to_events(R.read_sqlite_table(spark, [out], tb), tb, specs)[0] for tb in CAT.TWO_TABLE_SQLITE.files[0].tables)
+    long = one.unionByName(two)
     return long.select("series_id", "ts", "data_type", "column_name", r6("value").alias("value"), "text")
 
 
@@ -876,7 +873,7 @@ def json_source(spark, sf_dir):
     out = DF.scratch_dir(spark, "json")
     table = CAT.EXAMPLE_JSON.files[0].tables[0]
     DF.write_json_files(rows, out, ["time", "glucose", "meter", "dose", "carbs", "note"], key="readings").agg(F.sum("rows")).collect()
-    conv = R.convert_times(R.read_json_table(spark, [f"{out}/*.json"], table), table)
+    conv = R.convert_times(R.read_json_table(spark, [out], table), table)
     return conv.select(
         "series_id",
         "ts",
@@ -903,7 +900,7 @@ def json_mixed_folder(spark, sf_dir):
     DF.write_json_files(rows.where(kind == 0), out, fields, key="Readings").agg(F.sum("rows")).collect()
     DF.write_json_files(rows.where(kind == 1), out, fields).agg(F.sum("rows")).collect()
     DF.write_json_files(rows.where(kind == 2), out, fields, lines=True).agg(F.sum("rows")).collect()
-    conv = R.convert_times(R.read_json_table(spark, [f"{out}/*.json"], table), table)
+    conv = R.convert_times(R.read_json_table(spark, [out], table), table)
     return conv.select("series_id", "ts", *[r6(F.expr(f"try_cast({c} as double)")).alias(c) for c in ("glucose", "meter", "dose", "carbs")], "note")
 
 
@@ -915,7 +912,7 @@ def xml_source(spark, sf_dir):
     out = DF.scratch_dir(spark, "xml")
     table = CAT.EXAMPLE_XML.files[0].tables[0]
     DF.write_xml_files(rows, out, "reading", ["time"], ["glucose", "meter", "note"]).agg(F.sum("rows")).collect()
-    conv = R.convert_times(R.read_xml_table(spark, [f"{out}/*.xml"], table), table)
+    conv = R.convert_times(R.read_xml_table(spark, [out], table), table)
     return conv.select(
         "series_id",
         "ts",
@@ -993,7 +990,7 @@ def required_data_check(spark, sf_dir):
     cols.insert(2, "Device Timestamp")
     DF.write_csv_files(rows, out, cols, preamble=["Glucose Data"]).agg(F.sum("rows")).collect()
     table = CAT.WIDE_CSV.files[0].tables[0]
-    df = R.read_csv_table(spark, [f"{out}/*.csv"], table).withColumn("series_id", R.series_from_file(F.col("_file")))
+    df = R.read_csv_table(spark, [out], table).withColumn("series_id", R.series_from_file(F.col("_file")))
     chk = conform.required_data_check(df, table, ["series_id"])
     return chk.select("series_id", F.array_join("missing_required_data", "|").alias("missing_required_data"))
 
