@@ -6,7 +6,7 @@
    it is the round's own number, so every place fills after at most twice as
    many rounds, and the share of equal places concentrates around the Jaccard
    similarity.
-2. Equal sets are one class (128-bit digest); its smallest id stands for it.
+2. Equal sets are one class (128-bit digest, 64 bits of it name the class).
 3. Bands of the sketch are buckets.  A bucket's members are compared with its
    pivot, the member that shares most buckets, not with each other, so work is
    linear in the bucket.  Links are confirmed on the full sets.
@@ -14,14 +14,16 @@
    members, the pairs of different components that pass an exact prefix filter
    are compared too.  So every pair that shares a bucket is linked, connected
    or refuted.
-5. Components come from alternating star operations on tables.
+5. Components of classes come from alternating star operations on tables; ids
+   join them at the end, by the classes of their rows.
 
 With 32 bands of 4 places a pair at similarity 0.85 misses all buckets with a
 probability of 6e-11, at 0.8 of 5e-8.
 
 Defined results: null or empty text has no set, is linked with nothing and is
 kept; a null id is never linked (null component, kept); rows that repeat an id
-are one node; other columns are not read; an empty table gives an empty one.
+are one node, with the links of all its texts; other columns are not read; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ from glucoflow.llm.hashing import mix, shingles
 BANDS = 32
 ROWS = 4
 COORDINATES = BANDS * ROWS
+#: a set is hot with more than this share of the rows (1 / HOT); so there are at most HOT such sets
+HOT = 10_000
 
 _ROUND_KEYS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _BAND_KEYS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -75,34 +79,38 @@ def lower_ascii(text: str | None) -> bytes:
     return encode(text).lower()
 
 
-_SET_ROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("buckets", pa.list_(pa.int64()))])
-_TOKEN_ROW = pa.schema([("doc_id", pa.int64()), ("elements", pa.list_(pa.int64()))])
+_SET_ROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.int64()), ("buckets", pa.list_(pa.int64()))])
+_TOKEN_ROW = pa.schema([("set_key", pa.int64()), ("elements", pa.list_(pa.int64()))])
+
+
+def set_key(elements: np.ndarray) -> int:
+    """Name of a set: 64 bits of the digest of its sorted elements."""
+    return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
-    """Per document row: set size, digest of the set, bucket keys (null without a set)."""
+    """Per document row: set size, name of the set, bucket keys (null without a set)."""
 
     def one(doc_id: int, text: str | None) -> tuple:
         elements = shingles(lower_ascii(text), width)
         if not len(elements):
             return doc_id, 0, None, None
-        digest = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
-        return doc_id, len(elements), digest, band_keys(sketch(elements)).view(np.int64)
+        return doc_id, len(elements), set_key(elements), band_keys(sketch(elements)).view(np.int64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return in_batches((one(d, t) for d, t in rows_of(batches, "doc_id", "text")), _SET_ROW, 1024)
 
-    return _texts(docs).mapInArrow(rows, "doc_id long, n_shingles long, set_key binary, buckets array<long>")
+    return _texts(docs).mapInArrow(rows, "doc_id long, n_shingles long, set_key long, buckets array<long>")
 
 
 def element_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Per document row with a set: the full set of element hashes."""
+    """Per document row: the name of its set and all its element hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = ((d, shingles(lower_ascii(t), width).view(np.int64)) for d, t in rows_of(batches, "doc_id", "text"))
-        return in_batches(made, _TOKEN_ROW, 256)
+        made = (shingles(lower_ascii(t), width) for (t,) in rows_of(batches, "text"))
+        return in_batches(((set_key(x), x.view(np.int64)) for x in made), _TOKEN_ROW, 256)
 
-    return docs.mapInArrow(rows, "doc_id long, elements array<long>")
+    return docs.mapInArrow(rows, "set_key long, elements array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -110,33 +118,39 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach num/den."""
-    left = elements.select(F.col("doc_id").alias("a"), F.col("elements").alias("of_a"))
-    right = elements.select(F.col("doc_id").alias("b"), F.col("elements").alias("of_b"))
-    joined = pairs.join(right, "b").join(left, "a")
+    """The pairs (a, b) whose full sets reach num/den.
+
+    Sets meet their pairs by a sort-merge join at every size, so that what is
+    moved grows evenly.
+    """
+    left = elements.select(F.col("set_key").alias("a"), F.col("elements").alias("of_a"))
+    right = elements.select(F.col("set_key").alias("b"), F.col("elements").alias("of_b"))
+    joined = pairs.hint("merge").join(right.hint("merge"), "b").hint("merge").join(left.hint("merge"), "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - shared
     return joined.filter(den * shared >= num * union).select("a", "b")
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Confirmed links (a, b) between class representatives, enough for every component.
+    """Confirmed links (a, b) between classes, enough for every component.
 
-    classes: doc_id, n_shingles, buckets of the representatives.
+    classes: set_key, doc_id (one whose row has the set), n_shingles, buckets.
     """
-    members = classes.select("doc_id", "n_shingles", F.explode("buckets").alias("bucket"))
+    members = classes.select("set_key", "doc_id", "n_shingles", F.explode("buckets").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("in_bucket")).filter("in_bucket > 1")
     shared = materialize(members.join(sizes, "bucket"), "buckets")
 
-    central = shared.groupBy("doc_id").agg(F.sum("in_bucket").alias("weight"))
-    ranked = shared.select("bucket", "doc_id").join(central, "doc_id")
-    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("pivot"))
+    central = shared.groupBy("set_key").agg(F.sum("in_bucket").alias("weight"))
+    ranked = shared.select("bucket", "set_key").join(central, "set_key")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("weight", "set_key")).alias("top")).select("bucket", F.col("top.set_key").alias("pivot"))
     pairs = materialize(
-        shared.join(pivots, "bucket").filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs"
+        shared.join(pivots, "bucket").filter("set_key <> pivot").select(F.col("set_key").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs"
     )
 
-    wanted = shared.select("doc_id").distinct()
-    elements = materialize(element_sets(_texts(docs).join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "elements")
+    # rows of these ids may have other sets too, when an id repeats
+    texts = _texts(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = shared.select("set_key").distinct()
+    elements = materialize(element_sets(texts, width).join(wanted, "set_key", "left_semi").dropDuplicates(["set_key"]), "elements")
     first = materialize(_confirmed(pairs, elements, num, den), "confirmed")
     return first.unionByName(_confirmed(_open_pairs(shared, first, elements, num, den), elements, num, den))
 
@@ -148,21 +162,21 @@ def _open_pairs(shared: DataFrame, found: DataFrame, elements: DataFrame, num: i
     o = num (x + y) / (num + den).  With the elements of all sets in one order,
     rare ones first, the first x - o + 1 and the first y - o + 1 elements then
     have one in common.  Elements that no other open member has come first and
-    are only counted; a document with too many of them is settled at once.
+    are only counted; a set with too many of them is settled at once.
     """
     of = components(found)
-    placed = shared.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = shared.join(of.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     spread = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = materialize(placed.join(spread, "bucket").select("doc_id", F.col("n_shingles").alias("n"), "component").distinct(), "open")
+    open_ = materialize(placed.join(spread, "bucket").select("set_key", F.col("n_shingles").alias("n"), "component").distinct(), "open")
 
-    token = elements.join(open_, "doc_id").select("doc_id", "n", "component", F.explode("elements").alias("element"))
+    token = elements.join(open_, "set_key").select("set_key", "n", "component", F.explode("elements").alias("element"))
     twice = token.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = token.join(twice, "element").groupBy("doc_id", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("common"))
+    ranked = token.join(twice, "element").groupBy("set_key", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("common"))
     alone = F.col("n") - F.size("common")
     longest = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     first = F.slice("common", F.lit(1), F.greatest(F.lit(0), longest - alone).cast("int"))
-    prefix = ranked.select("doc_id", "n", "component", alone.alias("alone"), F.posexplode(first).alias("pos", "of"))
-    prefix = materialize(prefix.select("doc_id", "n", "component", (F.col("alone") + F.col("pos")).alias("place"), F.col("of.element").alias("element")), "prefix")
+    prefix = ranked.select("set_key", "n", "component", alone.alias("alone"), F.posexplode(first).alias("pos", "of"))
+    prefix = materialize(prefix.select("set_key", "n", "component", (F.col("alone") + F.col("pos")).alias("place"), F.col("of.element").alias("element")), "prefix")
 
     mixed = prefix.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("element")
     rows = prefix.join(mixed, "element")
@@ -170,9 +184,9 @@ def _open_pairs(shared: DataFrame, found: DataFrame, elements: DataFrame, num: i
     overlap = F.ceil((F.col("l.n") + F.col("r.n")) * num / (num + den))
     return (
         left.join(right, F.col("l.element") == F.col("r.element"))
-        .filter("l.doc_id > r.doc_id and l.component <> r.component")
+        .filter("l.set_key > r.set_key and l.component <> r.component")
         .filter((F.col("l.place") <= F.col("l.n") - overlap) & (F.col("r.place") <= F.col("r.n") - overlap))
-        .select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
+        .select(F.col("l.set_key").alias("a"), F.col("r.set_key").alias("b"))
         .distinct()
     )
 
@@ -184,19 +198,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     den * intersection >= num * union.
     """
     made = materialize(sets(docs, width), "sets")
-    # one representative of each distinct set; the buckets are the same for equal sets
+    # one row of each distinct set; size and buckets are the same for equal sets
     known = made.filter("set_key is not null and doc_id is not null")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    stands = made.select("set_key", "doc_id", "buckets").join(classes, ["set_key", "doc_id"]).dropDuplicates(["set_key"])
+    rows = known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
+    stands = known.select("set_key", "doc_id", "buckets").join(rows, ["set_key", "doc_id"]).dropDuplicates(["set_key"])
     classes = materialize(stands, "classes")
-    by_set = classes.select("set_key", F.col("doc_id").alias("stand"))
-
-    confirmed = links(docs, classes, width, num, den)
-    same = known.select("set_key", "doc_id").join(by_set, "set_key").filter("doc_id <> stand").select(F.col("doc_id").alias("a"), F.col("stand").alias("b"))
-    of = components(confirmed.unionByName(same)).withColumnRenamed("node", "doc_id")
-    return made.select("doc_id", "n_shingles").join(of, "doc_id", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
-    )
+
+    # the sets of one id belong together
+    own = known.select("doc_id", "set_key").distinct()
+    several = own.groupBy("doc_id").agg(F.min("set_key").alias("b"), F.count("*").alias("n")).filter("n > 1").select("doc_id", "b")
+    same = own.join(several, "doc_id").filter("set_key <> b").select(F.col("set_key").alias("a"), "b")
+    of = components(links(docs, classes, width, num, den).unionByName(same)).withColumnRenamed("node", "set_key")
+    joined = classes.select("set_key", "doc_id").join(of, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = materialize(joined.join(least, "component").select("set_key", "component_id"), "components")
+
+    # rows of a repeated id without a set follow the rows that have one
+    by_id = own.join(several.select("doc_id").unionByName(_bare_and_not(made)), "doc_id", "left_semi").join(named, "set_key")
+    by_id = by_id.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    bare = made.filter("set_key is null and doc_id is not null").join(by_id, "doc_id", "left")
+    nameless = made.filter("doc_id is null").withColumn("component_id", F.lit(None).cast("long"))
+
+    # sets with more than 1 / HOT of all rows, at most HOT of them, are broadcast
+    total = rows.agg(F.sum("copies")).first()[0] or 0
+    often = rows.filter(F.col("copies") > max(total // HOT, 1)).select("set_key")
+    hot = F.broadcast(named.join(often, "set_key", "left_semi"))
+    copied = known.join(hot, "set_key")
+    others = known.join(F.broadcast(often), "set_key", "left_anti").join(named, "set_key")
+    columns = ("doc_id", "n_shingles", "component_id")
+    judged = copied.select(*columns).unionByName(others.select(*columns)).unionByName(bare.select(*columns)).unionByName(nameless.select(*columns))
+    component = F.coalesce("component_id", "doc_id")
+    return judged.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _bare_and_not(made: DataFrame) -> DataFrame:
+    """Ids with a row that has no set and another that has one."""
+    has = F.col("set_key").isNotNull()
+    both = made.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(has).alias("some"), F.bool_and(has).alias("all"))
+    return both.filter("some and not `all`").select("doc_id")

@@ -1,11 +1,13 @@
 """Each operator against a plain version, on a table with all the odd cases."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import brute
 import pytest
+from conftest import prose
 from pyspark.sql import functions as F
 
 from glucoflow.llm import decontaminate, langid, linededup, neardup, packing, quality, secrets, stages, substring, suffixes, tokenfile
@@ -76,6 +78,18 @@ def test_near_duplicates(docs, rows, width, num):
     assert all(r["n_shingles"] == sizes[r["doc_id"]] for r in got if r["doc_id"] not in odd)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id with two texts has the links of both, whatever the order of the rows; its row without a set too."""
+    rng = random.Random(3)
+    one, two, other = (prose(rng, 60) for _ in range(3))
+    near_of = lambda t: " ".join(["changed", *t.split()[1:]])
+    rows = [(1, one), (1, two), (1, None), (2, near_of(one)), (3, near_of(two)), (4, other), (5, other), (6, ""), (None, one)]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        got = neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(2), 3, 80, 100).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got if r["doc_id"] is not None) == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (6, 6, True)]
+        assert len(got) == len(rows)
+
+
 def test_lines(docs, rows):
     kept = linededup.line_dedup(docs).collect()
     assert len(kept) == len(rows)
