@@ -8,9 +8,11 @@ and skipped; data problems never abort the run, they become metrics.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glucoflow.functions import glucose as G
 from glucoflow.operators import align as A
@@ -64,6 +66,8 @@ class Run:
     notes: list[str] = field(default_factory=list)
     quarantine: DataFrame | None = None
     rejected: DataFrame | None = None
+    #: required columns without a single value, by file
+    missing: DataFrame | None = None
 
 
 def columns_of(layout: Layout) -> dict[str, list[tuple[str, str | None]]]:
@@ -127,12 +131,14 @@ def process_path(
     if layout is None:
         layout = conform.detect_layout(spark, paths, catalog)
     specs = layout_specs(layout)
-    longs, bads = [], []
+    longs, bads, missing = [], [], []
     headers = layout_headers(spark, layout, paths)
     for _, (tb, df) in read_tables(spark, layout, paths, headers).items():
         long, bad = to_events(df, tb, specs, series)
         longs.append(long)
         bads.append(bad)
+        check = conform.required_data_check(df, tb).where(F.size("missing_required_data") > 0)
+        missing.append(check.select(F.lit(tb.name).alias("table_name"), "_file", "missing_required_data"))
     if not longs:
         raise conform.ConformanceError(f"No readable tables of layout {layout.name} in the given paths")
     events = longs[0]
@@ -147,7 +153,7 @@ def process_path(
     processed, notes = process(events, columns_of(layout), **params)
     # Units that are not legal for their data type are reported
     notes = [*layout.unit_problems(), *notes]
-    return Run(events, processed, notes, quarantine, rejected_files(spark, layout, paths, headers))
+    return Run(events, processed, notes, quarantine, rejected_files(spark, layout, paths, headers), reduce(DataFrame.unionByName, missing))
 
 
 def run(spark: SparkSession, paths: list[str], out_dir: str, layout=None, freq: str = "5min", fmt: str = "csv", **params):
@@ -168,7 +174,7 @@ def run(spark: SparkSession, paths: list[str], out_dir: str, layout=None, freq:
     written = export.write(spark, r.processed, aligned, out_dir, fmt=fmt, data_notes=notes)
     # what did not make it into the results is written beside them
     rejects = aligned.rejects if aligned is not None else None
-    for name, left in (("quarantine", r.quarantine), ("rejected_files", r.rejected), ("rejected_timelines", rejects)):
+    for name, left in (("quarantine", r.quarantine), ("rejected_files", r.rejected), ("missing_required_data", r.missing), ("rejected_timelines", rejects)):
         if left is not None:
             written[name] = f"{written.get('base', out_dir)}/{name}"
             left.write.mode("overwrite").json(written[name])

@@ -82,12 +82,22 @@ def _structure_of(path: str) -> list[tuple]:
             import xml.etree.ElementTree as ET
 
             seen: set[str] = set()
-            for _, el in ET.iterparse(p, events=("end",)):
-                if el.tag not in seen and (len(el) or el.attrib):
+            above: list[ET.Element] = []
+            fields: list[list[str]] = []  # child tags of the open elements
+            for event, el in ET.iterparse(p, events=("start", "end")):
+                if event == "start":
+                    above.append(el)
+                    fields.append([])
+                    continue
+                above.pop()
+                own = [*el.attrib, *fields.pop()]
+                if el.tag not in seen and own:
                     seen.add(el.tag)
-                    rows.append((path, ft, el.tag, 0, [*el.attrib.keys(), *[c.tag for c in el]]))
-                if len(el):
-                    el.clear()  # a finished element is done with: memory stays at one record
+                    rows.append((path, ft, el.tag, 0, own))
+                if above:  # a finished element leaves its parent: memory stays at the open ones
+                    if el.tag not in fields[-1]:
+                        fields[-1].append(el.tag)
+                    above[-1].remove(el)
     except (OSError, ValueError, UnicodeDecodeError, IndexError, csv.Error, sqlite3.Error, SyntaxError) as e:
         # this file can't be read: its verdict says so, the others go on (an XML ParseError is a SyntaxError)
         return [(path, ft or "", ERROR, 0, [f"{type(e).__name__}: {e}"])]

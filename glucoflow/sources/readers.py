@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
@@ -287,7 +288,28 @@ def read_sqlite_table(spark: SparkSession, paths: list[str], table: Table, parti
     return df.load()
 
 
-READERS = {"csv": read_csv_table, "json": read_json_table, "xml": read_xml_table, "sqlite": read_sqlite_table}
+#: A reader per file type, called with (spark, paths, table); register more with ``register_reader``
+READERS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register_reader(file_type: str):
+    """Decorator: the function reads tables of this file type from now on."""
+
+    def deco(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        READERS[file_type] = fn
+        return fn
+
+    return deco
+
+
+for _type, _reader in (("csv", read_csv_table), ("json", read_json_table), ("xml", read_xml_table), ("sqlite", read_sqlite_table)):
+    register_reader(_type)(_reader)
+
+
+def reader_of(file_type: str) -> Callable[..., DataFrame]:
+    if file_type not in READERS:
+        raise ValueError(f"No reader for {file_type!r} files; there are {', '.join(sorted(READERS))}")
+    return READERS[file_type]
 
 
 def layout_headers(spark: SparkSession, layout: Layout, paths: list[str]) -> dict[str, DataFrame]:
@@ -308,7 +330,7 @@ def read_tables(spark: SparkSession, layout: Layout, paths: list[str], headers:
             continue
         for tb in fc.tables:
             known = {"headers": headers[tb.name]} if headers and tb.name in headers else {}
-            out[tb.name] = (tb, READERS[fc.file_type](spark, mine, tb, **known))
+            out[tb.name] = (tb, reader_of(fc.file_type)(spark, mine, tb, **known))
     return out
 
 

@@ -134,3 +134,36 @@ def test_no_job_runs_before_the_read(spark, tmp_path, reader):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert before >= 0 and os.listdir(tmp_path) == ["x.json"]
+
+
+def test_reader_of_ones_own(spark, tmp_path, monkeypatch):
+    """A registered function reads its file type; an unknown type says what there is."""
+    monkeypatch.setattr(R, "READERS", dict(R.READERS))
+
+    @R.register_reader("tab")
+    def read(spark, paths, table):
+        return R.read_json_table(spark, paths, table)
+
+    assert R.reader_of("tab") is read
+    with pytest.raises(ValueError, match="No reader for 'xls' files; there are csv, json, sqlite, tab, xml"):
+        R.reader_of("xls")
+
+
+def test_structure_of_a_large_xml_file(tmp_path):
+    """Finished elements leave memory: 200,000 records take a few MB."""
+    import tracemalloc
+
+    from glucoflow.sources import conform
+
+    path = tmp_path / "large.xml"
+    with open(path, "w") as fh:
+        fh.write('<r v="1"><meta><a/></meta>')
+        for k in range(200_000):
+            fh.write(f'<reading time="{k}"><glucose>1</glucose><note>n</note></reading>')
+        fh.write("</r>")
+    tracemalloc.start()
+    rows = conform._structure_of(str(path))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {r[2]: r[4] for r in rows} == {"meta": ["a"], "reading": ["time", "glucose", "note"], "r": ["v", "meta", "reading"]}
+    assert peak < 5_000_000

@@ -1,0 +1,79 @@
+"""Times taken apart by one regex, against Python's strptime format by format."""
+
+import datetime as dt
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from glucoflow.functions import timestamps as TS
+
+
+def texts(n=9000, seed=11):
+    rng = random.Random(seed)
+    two = lambda k: f"{k:02d}" if rng.random() < 0.6 else str(k)
+    out = []
+    for _ in range(n):
+        year, month, day = rng.choice(["2024", "1999", "0001", "0000", "24"]), two(rng.randrange(14)), two(rng.randrange(33))
+        sep = rng.choice("-/")
+        text = sep.join(rng.choice([(year, month, day), (day, month, year), (month, day, year)]))
+        if rng.random() < 0.9:
+            text += rng.choice([" ", " ", "T", "  ", "\t", " T"]) + two(rng.randrange(26)) + ":" + f"{rng.randrange(62):02d}"
+            text += f":{rng.randrange(62):02d}" if rng.random() < 0.6 else ""
+            text += rng.choice(["", "", "", " AM", " pm", "PM", "Z", "+00:00", "+0200", "-05:30", "+02", ".5", ".123456Z"])
+        out.append(text + rng.choice(["", "", "", " UTC", "  GMT", " utc"]))
+    return out + ["", "abc", ";;;;", "29/02/2023 10:00", "29-02-2024 10:00", "2024-01-01T00:00:00+18:01"]
+
+
+def plain(text, fmt):
+    """Microseconds by strptime; naive is UTC."""
+    text = re.sub(r"\s+", " ", re.sub(r"\s+(UTC|GMT)$", "", text.strip()))
+    try:
+        t = dt.datetime.strptime(text, fmt)
+    except (ValueError, OverflowError):
+        return None
+    t = t if t.tzinfo else t.replace(tzinfo=dt.timezone.utc)
+    return (t - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
+
+
+def test_every_explicit_format(spark):
+    rows = texts()
+    shaped = TS.with_shape(spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").withColumn("v", F.trim("t")), "v")
+    got = shaped.select("k", *[F.unix_micros(TS.fit(p)).alias(f"f{i}") for i, (_, p) in enumerate(TS.EXPLICIT_FORMATS)]).collect()
+    hits = 0
+    for r in got:
+        for i, (fmt, _) in enumerate(TS.EXPLICIT_FORMATS):
+            want = plain(rows[r["k"]], fmt)
+            if want is not None and "+18:01" in rows[r["k"]]:
+                want = None  # farther from UTC than any zone
+            assert r[f"f{i}"] == want, (rows[r["k"]], fmt)
+            hits += want is not None
+    assert hits > 150
+
+
+@pytest.mark.parametrize(
+    ("text", "pattern", "micros"),
+    [
+        ("2024-01-01T00:00:00.5Z", "yyyy-M-d'T'H:m:s.SSSSSSSSSXXX", 1_704_067_200_500_000),
+        ("2024-1-1 0:0:0.123456789", "yyyy-M-d H:m:s.SSSSSSSSS", 1_704_067_200_123_456),
+        ("2024-01-01 02:00:00+02:00", "yyyy-M-d H:m:sXXX", 1_704_067_200_000_000),
+        ("2024-01-01", "yyyy-M-d", 1_704_067_200_000_000),
+        ("1/1/2024", "d/M/yyyy", 1_704_067_200_000_000),
+        ("2024-01-01  00:00:00", "yyyy-M-d H:m:s", None),  # these patterns take single blanks only
+        ("2024-01-01 00:00:00 UTC", "yyyy-M-d H:m:s", None),
+    ],
+)
+def test_other_patterns(spark, text, pattern, micros):
+    shaped = TS.with_shape(spark.createDataFrame([(text,)], "v string"), "v")
+    assert shaped.select(F.unix_micros(TS.fit(pattern, exact=True))).first()[0] == micros
+
+
+def test_one_regex_takes_a_time_apart(spark):
+    """Neither detection nor conversion tries a text against one pattern after another."""
+    df = spark.createDataFrame([("p", 1, "2024-01-01 10:00")], "k string, seq long, v string")
+    found = TS.detect(df, ["k"], "v", "seq")
+    for frame in (found, TS.convert(df, found, ["k"], "v")):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "gettimestamp" not in plan and plan.count("regexp_replace(") <= 2 * plan.count("project [")
+        assert set(frame.columns) & {"_text", "_salt"} == set() and not any(c.startswith("_shape") for c in frame.columns)

@@ -43,6 +43,8 @@ def test_run_end_to_end(spark, tmp_path):
     assert glob.glob(f"{base}/aligned/part-*.csv")
     assert glob.glob(f"{base}/monthly/cgm/month=2024-01/*.csv")
     assert export.read_table(spark, base, "monthly/cgm", ["bob"]).where("month = '2024-01'").count() == 12
+    missing = spark.read.json(written["missing_required_data"]).collect()  # the exports have no scan values
+    assert sorted((r["_file"].rsplit("/", 1)[1], r["missing_required_data"]) for r in missing) == [("alice.csv", ["Scan Glucose mmol/L"]), ("bob.csv", ["Scan Glucose mmol/L"])]
     notes = spark.read.schema(export.NOTES_SCHEMA).json(written["processing_notes"])
     assert notes.where("data_type = 'aligned' AND scope = 'person'").count() == 2
     cgm_notes = notes.where("data_type = 'cgm' AND series_id = 'alice' AND scope = 'person'").first()["notes"]
