@@ -33,6 +33,7 @@ HEADLINE = [
     "xml_source",
     "conformance_report",
     "export_complete",
+    "export_months",
 ]
 
 
