@@ -15,13 +15,15 @@ aggregates over all non-null values, or over the first 50 (parity option):
 6. a choice that parses under 90 % of all values is given up: every value is
    then parsed by the first pattern that fits it.
 
-Conversion: epoch units directly, dates from the parts that one regex finds in
-a text (``with_shape``); naive times are taken as UTC.  Values that do not parse are counted and returned
+Conversion: epoch units directly, formats with ``try_to_timestamp``; naive
+times are taken as UTC.  Values that do not parse are counted and returned
 in a quarantine frame instead of becoming silent nulls.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
@@ -77,90 +79,56 @@ DAYFIRST_INFERRED = ["d/M/yyyy H:m", "d-M-yyyy H:m", "d/M/yyyy H:m:s", "d-M-yyyy
 _SPARK = dict(EXPLICIT_FORMATS)
 
 
-# ------------------------------------------------------------------- shapes
-#: a date with an optional time, in any order and with any separators that a pattern knows; the
-#: groups: three date parts and the separators between them, what stands before the time, hour, minute,
-#: second, fraction, space and half of the day, zone, and a trailing name of UTC
-SHAPE = (
-    r"^(\d{1,4})([-/])(\d{1,2})([-/])(\d{1,4})"
-    r"(?:(T|\s+)(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,9}))?)?(?:(\s+)(AM|PM|am|pm))?(Z|[+-]\d{2}:?\d{2})?)?"
-    r"(\s+(?:UTC|GMT))?$"
-)
-_GROUPS = ("a", "s1", "b", "s2", "c", "t", "hour", "minute", "second", "fraction", "gap", "half", "zone", "utc")
-_PREFIX = "_shape_"
-#: farthest offset from UTC that a zone may have, in minutes
-MOST_OFFSET = 18 * 60
-
-
-def _part(name: str) -> Column:
-    return F.col(_PREFIX + name)
-
-
-def with_shape(df: DataFrame, value: str) -> DataFrame:
-    """Columns that say which patterns a text fits and the instants it stands for.
-
-    One regex takes a text apart; everything else is a comparison or arithmetic
-    on its parts, so no text is parsed by one datetime pattern after another.
-    ``sign`` is the separators and which parts there are, ``exact`` whether the
-    text has single blanks and no name of UTC behind it; ``Y``, ``D`` and ``M``
-    are the instants for the three orders of a date, null where there is none.
-    """
-    mark = ";"
-    pieces = F.regexp_replace(value, SHAPE, mark.join(f"${k}" for k in range(1, len(_GROUPS) + 1)))
-    df = df.withColumn(_PREFIX + "of", pieces)
-    found = F.when(_part("of") != F.col(value), F.split(_part("of"), mark, -1))  # unchanged: no date
-    df = df.withColumn(_PREFIX + "of", found)
-    g = {name: F.get(_part("of"), F.lit(k)) for k, name in enumerate(_GROUPS)}
-    has = lambda name, flag: F.when(g[name] != "", flag).otherwise("")
-    before = F.when(F.trim(g["t"]) == "T", "T").when(g["t"] != "", " ").otherwise("")
-    zone = F.when(g["zone"] == "Z", "Z").when(g["zone"] != "", "z").otherwise("")
-    sign = F.when(g["s1"] == g["s2"], F.concat(g["s1"], before, has("second", "s"), has("fraction", "f"), has("half", "a"), zone))
-    number = lambda name: F.when(g[name] != "", g[name].try_cast("int")).otherwise(0)
-    hour = number("hour")
-    later = F.upper(g["half"]) == "PM"
-    hour = F.when(g["half"] == "", hour).when(hour.between(1, 12), hour % 12 + F.when(later, 12).otherwise(0))
-    second = F.when(number("second") < 60, F.concat(number("second"), F.lit("."), F.rpad(F.concat(g["fraction"], F.lit("0")), 6, "0")).try_cast("decimal(16,6)"))
-    digits = F.replace(F.substring(g["zone"], 2, 5), F.lit(":"))
-    offset = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
-    offset = F.when(F.substring(digits, 3, 2).try_cast("int") < 60, F.when(g["zone"].startswith("-"), -offset).otherwise(offset))
-    offset = F.when(F.length(g["zone"]) < 2, 0).when(F.abs(offset) <= MOST_OFFSET, offset)
-    df = df.withColumns({
-        _PREFIX + "sign": sign,
-        _PREFIX + "exact": (g["utc"] == "") & g["t"].isin("T", " ", ""),
-        **{_PREFIX + k: g[k] for k in ("a", "b", "c")},
-        **{_PREFIX + k: v for k, v in (("hour", hour), ("minute", number("minute")), ("second", second), ("offset", offset))},
-    })
+def normalise(c: Column) -> Column:
+    """Trailing ``UTC``/``GMT`` removed, runs of whitespace collapsed."""
+    c = F.regexp_replace(F.trim(c), r"\s+(UTC|GMT)$", "")
+    return F.regexp_replace(c, r"\s+", " ")
 
-    def instant(year: str, month: str, day: str) -> Column:
-        y, m, d = (_part(x).try_cast("int") for x in (year, month, day))
-        local = F.try_make_timestamp(y, m, d, _part("hour"), _part("minute"), _part("second"))
-        shifted = F.timestamp_micros(F.unix_micros(local) - _part("offset").cast("long") * 60_000_000)
-        return F.when((F.length(_part(year)) == 4) & (F.length(_part(day)) <= 2) & (F.length(_part(month)) <= 2) & (y > 0), shifted)
-
-    return df.withColumns({_PREFIX + order: instant(*parts) for order, parts in (("Y", "abc"), ("D", "cba"), ("M", "cab"))}).drop(*(_PREFIX + k for k in ("of", "a", "b", "c", "hour", "minute", "second", "offset")))
-
-
-def without_shape(df: DataFrame) -> DataFrame:
-    return df.drop(*(c for c in df.columns if c.startswith(_PREFIX)))
-
-
-def signs_of(pattern: str) -> list[str]:
-    """The signs of the texts that a datetime pattern accepts."""
-    before = "T" if "'T'" in pattern else " " if ":" in pattern else ""
-    flags = ("s" if ":s" in pattern else "") + ("f" if "S" in pattern else "") + ("a" if pattern.endswith(" a") else "")
-    zones = ["z", "Z"] if pattern.endswith("XXX") else ["Z"] if pattern.endswith("'Z'") else [""]
-    return [("/" if "/" in pattern else "-") + before + flags + z for z in zones]
 
+_TOKENS = [
+    ("yyyy", r"\d{4}"),
+    ("SSSSSSSSS", r"\d{1,9}"),
+    ("XXX", r"(Z|[+-]\d{2}:?\d{2})"),
+    ("M", r"\d{1,2}"),
+    ("d", r"\d{1,2}"),
+    ("H", r"\d{1,2}"),
+    ("h", r"\d{1,2}"),
+    ("m", r"\d{1,2}"),
+    ("s", r"\d{1,2}"),
+    ("a", r"(AM|PM|am|pm)"),
+]
 
-def fit(pattern: str, exact: bool = False) -> Column:
-    """The instant of a text (see with_shape) under a pattern, null where it doesn't fit; naive times are UTC.
 
-    Explicit patterns take any white space and a trailing UTC or GMT, the others
-    (``exact``) only single blanks.
+def pattern_regex(pattern: str) -> str:
+    """Shape of the text a lenient datetime pattern accepts, as a regex."""
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern[i] == "'":
+            j = pattern.index("'", i + 1)
+            out.append(re.escape(pattern[i + 1 : j]))
+            i = j + 1
+            continue
+        for tok, rx in _TOKENS:
+            if pattern.startswith(tok, i):
+                out.append(rx)
+                i += len(tok)
+                break
+        else:
+            out.append(re.escape(pattern[i]))
+            i += 1
+    return "^" + "".join(out) + "$"
+
+
+def parse_with(c: Column, pattern: str) -> Column:
+    """``try_to_timestamp`` to an instant; offsets honoured, naive = UTC.
+
+    A regex on the text's shape runs first: values that cannot match are
+    skipped without a parse attempt (failed parses are the expensive path).
     """
-    order = {"y": "Y", "d": "D", "M": "M"}[pattern[0]]
-    same = _part("sign").isin(*signs_of(pattern))
-    return F.when(same & _part("exact") if exact else same, _part(order))
+    shaped = c.rlike(pattern_regex(pattern))
+    if pattern.endswith("XXX"):
+        c = F.regexp_replace(c, r"([+-]\d{2})(\d{2})$", "$1:$2")  # +0200 like +02:00
+    return F.when(shaped, F.try_to_timestamp(c, F.lit(pattern)))
 
 
 def sampled(df: DataFrame, keys: list[str], value: str, order: str, n: int | None) -> DataFrame:
@@ -183,10 +151,11 @@ def detect(df: DataFrame, keys: list[str], value: str, order: str, sample_size:
     choice that parses under 90 % of all values is given up for parsing value
     by value (T7).
     """
-    fits_any = lambda patterns: F.coalesce(*[fit(p, exact=True) for p in patterns]).isNotNull()
-    tried = {f"p{i}": fit(pat).isNotNull() for i, (_, pat) in enumerate(EXPLICIT_FORMATS)}
-    tried |= {"inf": fits_any(INFERRED_PATTERNS), "dinf": fits_any(DAYFIRST_INFERRED)}
-    s = without_shape(with_shape(sampled(df, keys, value, order, sample_size), "v").withColumns(tried))
+    nv = normalise(F.col("v"))
+    fits_any = lambda c, patterns: F.coalesce(*[parse_with(c, p) for p in patterns]).isNotNull()
+    tried = {f"p{i}": parse_with(nv, pat).isNotNull() for i, (_, pat) in enumerate(EXPLICIT_FORMATS)}
+    tried |= {"inf": fits_any(F.col("v"), INFERRED_PATTERNS), "dinf": fits_any(F.col("v"), DAYFIRST_INFERRED)}
+    s = sampled(df, keys, value, order, sample_size).withColumns(tried)
     used = F.col("used")
     among = lambda c: F.avg(F.when(used, F.col(c).cast("double")))
     share = lambda c: F.avg(c.cast("double"))
@@ -255,13 +224,15 @@ def convert(df: DataFrame, detected: DataFrame, keys: list[str], value: str) ->
     of all rows, so the join is salted: the rows by their time text, the
     formats repeated for every salt.
     """
+    v = F.trim(F.col(value).cast("string"))
+    nv = normalise(v)
     num = F.expr(f"try_cast(trim(cast(`{value}` as string)) as double)")
     # value by value: day-first patterns if chosen, then the inferred, then the explicit ones
     day_first = F.col("pattern") == "dayfirst"
     by_value = day_first | (F.col("pattern") == "inferred")
-    tries = [F.when(day_first, fit(p, exact=True)) for p in DAYFIRST_INFERRED]
-    tries += [F.when(by_value, fit(p, exact=True)) for p in INFERRED_PATTERNS]
-    tries += [F.when(by_value | (F.col("pattern") == p), fit(p)) for _, p in EXPLICIT_FORMATS]
+    tries = [F.when(day_first, parse_with(v, p)) for p in DAYFIRST_INFERRED]
+    tries += [F.when(by_value, parse_with(v, p)) for p in INFERRED_PATTERNS]
+    tries += [F.when(by_value | (F.col("pattern") == p), parse_with(nv, p)) for _, p in EXPLICIT_FORMATS]
     parsed = (
         F.when(F.col("ts_type") == "unix_seconds", F.timestamp_micros((num * 1e6).cast("bigint")))
         .when(F.col("ts_type") == "unix_milliseconds", F.timestamp_micros((num * 1e3).cast("bigint")))
@@ -269,5 +240,4 @@ def convert(df: DataFrame, detected: DataFrame, keys: list[str], value: str) ->
     )
     salted = detected.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
     rows = df.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(JOIN_SALTS)).cast("int"))
-    joined = rows.join(salted, [*keys, "_salt"], "left").withColumn("_text", F.trim(F.col(value).cast("string")))
-    return without_shape(with_shape(joined, "_text").withColumn("ts", parsed.cast(TimestampNTZType()))).drop("_salt", "_text")
+    return rows.join(salted, [*keys, "_salt"], "left").withColumn("ts", parsed.cast(TimestampNTZType())).drop("_salt")
