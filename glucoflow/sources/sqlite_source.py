@@ -85,7 +85,10 @@ class SQLiteTableSource(DataSource):
         return ", ".join(["_file string", "_seq bigint", *(f"`{c}` string" for c in self._columns())])
 
     def reader(self, schema):
-        return _SQLiteReader(self.options, self._columns())
+        made = _SQLiteReader(self.options, self._columns())
+        # source and reader go to every task, which reads the files of its own partition only
+        self.options = {k: v for k, v in self.options.items() if k != "files"}
+        return made
 
 
 class _SQLiteReader(DataSourceReader):
@@ -101,6 +104,9 @@ class _SQLiteReader(DataSourceReader):
             if not valid_identifier(ident):
                 raise ValueError(f"unsafe SQLite identifier: {ident!r}")
 
+    def __getstate__(self):
+        return {**self.__dict__, "files": []}
+
     def partitions(self):
         return [_Parts(g) for g in packed(self.files, self.partition_bytes)] or [_Parts([])]
 
