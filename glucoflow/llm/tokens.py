@@ -1,29 +1,68 @@
 """Token ids of whole texts by a public byte-level BPE file of the tokenizers library.
 
-The library encodes pieces independently, so a text of plain letters is cut into
-its pieces here, known pieces are looked up, and only new ones go to the
-library, many in one call.  Any text with another character, or with a special
-token in it, is encoded by the library as a whole.  Ids are the same.
+The library encodes pieces independently, so texts of plain letters are cut into
+their pieces here, in one pass over their bytes; the distinct pieces of the texts are
+looked up, and only new ones go to the library, many in one call.  Any text with
+another character, or with a special token in it, is encoded by the library as a
+whole.  Ids are the same.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+
+from glucoflow.llm.common import encode
 
 END_ID = 2
 SPECIAL = "<|endoftext|>"
+_MARK = SPECIAL.encode()
 #: pieces that a task keeps
 CACHED_PIECES = 600_000
 
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: characters whose class is known without a table: ASCII and the Latin-1 letters
-_PLAIN = re.compile(f"[\t\n\r -~{_LETTER}]*")
-#: fixed: the split of this public vocabulary, over those characters
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
+#: classes of a byte: white space but a space, a space, (part of) a letter, a digit, another sign, the end of a text
+_WHITE, _BLANK, _LETTER, _DIGIT, _OTHER, _END = range(6)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[list(b"\t\n\r")] = _WHITE
+_CLASS[32] = _BLANK
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[0] = _END
+#: bytes of plain characters: ASCII and the Latin-1 letters, whose class is known without a table
+_PLAIN = bytes([9, 10, 13, *range(32, 127), 0xC3, *(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))])
+#: what follows the apostrophe of a piece of its own
+_SHORT = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+
+
+def piece_starts(raw: np.ndarray) -> np.ndarray:
+    """Where the pieces begin in the bytes of plain texts, each text followed by a byte 0, a piece too.
+
+    Fixed: the split of this public vocabulary over plain characters,
+    ``'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?[^\\sLN]+|\\s+(?!\\S)|\\s+`` with letters L and digits N.
+    """
+    kind = _CLASS[raw]
+    before = np.concatenate([np.array([_END], np.uint8), kind[:-1]])
+    after = np.concatenate([kind[1:], np.array([_END], np.uint8)])
+    white, white_before = kind <= _BLANK, before <= _BLANK
+    # the last of some white space before a word starts anew: a space goes with the word
+    start = np.where(white, ~white_before | ((after > _BLANK) & (after != _END)), (before != kind) & (before != _BLANK))
+    start |= kind == _END
+    short = np.flatnonzero(raw == 39)
+    short = short[np.isin(before[short], (_WHITE, _LETTER, _DIGIT, _END))]
+    padded = np.concatenate([raw, np.zeros(4, np.uint8)])
+    for letters in _SHORT:
+        at = short
+        for k, letter in enumerate(letters):
+            at = at[padded[at + 1 + k] == letter]
+        start[at + 1] = False
+        if len(letters) == 2:
+            start[at + 2] = False
+        start[at + 1 + len(letters)] |= kind[at + 1 + len(letters)] == _LETTER
+    return np.flatnonzero(start)
 
 
 @lru_cache(maxsize=1)
@@ -43,52 +82,74 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        words = self.tokenizer.get_vocab()
+        self.line = words["Ċ"]
+        self.spaced = np.zeros(max(words.values()) + 1, bool)
+        self.spaced[[k for w, k in words.items() if w[0] == "Ġ"]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.first = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.known: dict[bytes, int] = {}
+        # piece 0 is the end of a text
+        self.known[b"\0"] = 0
+        self.flat, self.first = np.array([END_ID], "<u4"), np.array([0, 1])
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _ids(self, text: str) -> np.ndarray:
+        """The ids alone: places and words cost the library as much again."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _learn(self, pieces: set[str]) -> None:
         """Encode new pieces: runs of letters joined in one text, the rest one by one."""
         spaced = [p for p in pieces if p[0] == " " and len(p) > 1 and p[1:].isalpha()]
         bare = [p for p in pieces if p.isalpha()]
         rest = list(pieces.difference(spaced, bare))
         ids, sizes = [self.flat], []
-        for some, between, step in ((spaced, "", 1), (bare, "\n", 2)):
-            for k in range(0, len(some), 4096):
-                part = some[k : k + 4096]
-                found = self.tokenizer.encode(between.join(part), add_special_tokens=False)
-                word, got = np.array(found.word_ids), np.array(found.ids, "<u4")
-                sizes.append(np.bincount(word[word % step == 0] // step, minlength=len(part)))
-                ids.append(got[word % step == 0])
+        for k in range(0, len(spaced), 4096):
+            got = self._ids("".join(spaced[k : k + 4096]))
+            # the space of a piece is the first byte of its first id
+            sizes.append(np.diff(np.flatnonzero(self.spaced[got]), append=len(got)))
+            ids.append(got)
+        for k in range(0, len(bare), 4096):
+            got = self._ids("\n".join(bare[k : k + 4096]))
+            line = got == self.line
+            sizes.append(np.diff(np.flatnonzero(line), prepend=-1, append=len(got)) - 1)
+            ids.append(got[~line])
         for found in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False):
             ids.append(np.array(found.ids, "<u4"))
             sizes.append(np.array([len(ids[-1])]))
-        self.known.update(zip([*spaced, *bare, *rest], range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.known.update(zip((p.encode() for p in (*spaced, *bare, *rest)), range(len(self.known), len(self.known) + len(pieces)), strict=True))
         self.flat = np.concatenate(ids)
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Per text its ids as little-endian unsigned 32-bit integers, the end id last; null is empty."""
-        split = [_PIECES.findall(t) if t and _PLAIN.fullmatch(t) and SPECIAL not in t else None for t in texts]
-        new = set().union(*(s for s in split if s)).difference(self.known)
+        coded = [encode(t) for t in texts]
+        plain = [not c.translate(None, _PLAIN) and _MARK not in c for c in coded]
+        found = self._plain([c for c, p in zip(coded, plain, strict=True) if p])
+        return [next(found) if p else np.array([*self.whole(t), END_ID], "<u4") for t, p in zip(texts, plain, strict=True)]
+
+    def _plain(self, coded: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each plain text, the end id last."""
+        if not coded:
+            return
+        raw = b"\0".join([*coded, b""])
+        place = piece_starts(np.frombuffer(raw, np.uint8))
+        bounds = pa.py_buffer(np.append(place, len(raw)).astype(np.int32))
+        parts = pa.Array.from_buffers(pa.binary(), len(place), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
+        pieces = parts.dictionary.to_pylist()
+        new = {p.decode() for p in pieces if p not in self.known}
         if len(self.known) + len(new) > CACHED_PIECES:
             self.forget()
-            new = set().union(*(s for s in split if s))
+            new = {p.decode() for p in pieces if p not in self.known}
         if new:
             self._learn(new)
-        out = []
-        for text, pieces in zip(texts, split, strict=True):
-            if pieces is None:
-                out.append(np.array([*(self.whole(text) if text else ()), END_ID], "<u4"))
-                continue
-            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-            first, size = self.first[at], self.first[at + 1] - self.first[at]
-            ids = np.full(int(size.sum()) + 1, END_ID, "<u4")
-            ids[:-1] = self.flat[np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(ids) - 1)]
-            out.append(ids)
-        return out
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[parts.indices.to_numpy()]
+        first, size = self.first[at], self.first[at + 1] - self.first[at]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(first - ends + size, size) + np.arange(ends[-1])]
+        cuts = ends[at == 0]
+        for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            yield ids[lo:hi]

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glucoflow.llm import anchors, coder, decontaminate, hashing, linededup, neardup, packing, trigrams
+from glucoflow.llm import anchors, coder, decontaminate, hashing, linededup, neardup, packing, tokens, trigrams
 from glucoflow.llm.queries import tokenizer
 from glucoflow.llm.tokens import Encoder
 
@@ -159,3 +159,26 @@ def test_trigram_queries_are_necessary(pattern, text):
     p = trigrams.Postings([query])
     found = p.index([text.encode(), b"zzz"])
     assert re.search(pattern, text) and p.candidates(query, found)[0]
+
+
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
+
+
+@settings(deadline=None, max_examples=500)
+@given(st.lists(st.text(alphabet="'strevmlld Aé\n\t\r .!9", max_size=14), min_size=1, max_size=4))
+def test_pieces_by_bytes_are_those_of_the_split(texts):
+    raw = b"\0".join([*(t.encode() for t in texts), b""])
+    places = tokens.piece_starts(np.frombuffer(raw, np.uint8)).tolist()
+    got = [raw[a:b].decode() for a, b in zip(places, [*places[1:], len(raw)], strict=True)]
+    assert got == [p for t in texts for p in (*_SPLIT.findall(t), "\0")]
+
+
+def test_encoder_of_many_texts(monkeypatch):
+    """Many in one call, plain and others by turns, and with fewer known pieces than the texts have."""
+    texts = [None, "", "one two\n\nthree 'tis we've", "漢字 x", "é à×b", "\0", "a\x0bb", "<|endoftext|> a", "x's  12 'll", " ", "one"]
+    for most in (tokens.CACHED_PIECES, 3):
+        monkeypatch.setattr(tokens, "CACHED_PIECES", most)
+        e = Encoder(tokenizer())
+        for some in (texts, texts[::-1], texts[:3]):
+            assert [x.tolist() for x in e.encode(some)] == [[*(e.whole(t) if t else ()), 2] for t in some]
+            assert all(x.dtype == np.dtype("<u4") for x in e.encode(some))
