@@ -371,11 +371,22 @@ def layout_specs(layout: Layout) -> dict[tuple[str, str], ColumnSpec]:
     return out
 
 
+def _read_once(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder; the names of its columns may be of any characters."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/source-rows-{uuid.uuid4().hex}"
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    plain.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
 def convert_times(df: DataFrame, table: Table, series: SparkColumn | None = None) -> DataFrame:
     """Add ``series_id`` and ``ts`` (UTC) to source rows: the time format is
-    detected per series over all its values, then every row converted."""
+    detected per series over all its values, then every row converted.
+
+    Both need the rows, so files are read once: what was read is written to the
+    shared folder and read back."""
     s = series if series is not None else series_from_file(F.col("_file"))
-    keyed = df.withColumn("series_id", s)
+    keyed = _read_once(df.withColumn("series_id", s))
     tcol = table.timestamp_column
     detected = TS.detect(keyed, ["series_id"], tcol, "_seq")
     return TS.convert(keyed, detected, ["series_id"], tcol)

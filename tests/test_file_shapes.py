@@ -167,3 +167,15 @@ def test_structure_of_a_large_xml_file(tmp_path):
     tracemalloc.stop()
     assert {r[2]: r[4] for r in rows} == {"meta": ["a"], "reading": ["time", "glucose", "note"], "r": ["v", "meta", "reading"]}
     assert peak < 5_000_000
+
+
+def test_times_read_the_files_once(spark, tmp_path):
+    """Detecting and converting the times share what was read, under columns of any name."""
+    for reader, table, files in ((R.read_csv_table, LONG, CSV), (R.read_json_table, TABLE, JSON)):
+        folder = tmp_path / table.name
+        folder.mkdir()
+        rows = reader(spark, put(folder, files), table)
+        done = R.convert_times(rows, table)
+        assert {*done.columns} == {*rows.columns, "series_id", "ts_type", "pattern", "ts"} and done.count() == rows.count()
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan csv" not in plan and "FileScan text" not in plan
