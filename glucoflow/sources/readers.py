@@ -187,16 +187,20 @@ def rejected_csv_files(spark: SparkSession, paths: list[str], table: Table, sear
 _RECORD = "map<string,string>"
 
 
-def _records_in(text: SparkColumn) -> SparkColumn:
-    """The records of a JSON text that is a list of them or a single one (null: neither)."""
-    single = F.from_json(text, _RECORD)
-    return F.when(F.ltrim(text).startswith("{"), F.when(single.isNotNull(), F.array(single))).otherwise(F.from_json(text, f"array<{_RECORD}>"))
-
-
 def _key(m: SparkColumn, name: str) -> SparkColumn:
     """Value of the first key of a map that equals name but for case (null: none)."""
-    hit = F.filter(F.map_entries(m), lambda e: F.lower(e["key"]) == name.lower())
-    return F.when(F.size(hit) > 0, hit[0]["value"])
+    return F.get(F.filter(F.map_entries(m), lambda e: F.lower(e["key"]) == name.lower()), F.lit(0))["value"]
+
+
+def _with_records(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the records of a JSON text that is a list of them or a single one (null: neither).
+
+    The parsed text is a column of its own, so it is parsed once however often it is asked for.
+    """
+    starts = F.ltrim(text).startswith("{")
+    parsed = df.withColumn("_single", F.when(starts, F.from_json(text, _RECORD)))
+    many = F.when(~starts, F.from_json(text, f"array<{_RECORD}>"))
+    return parsed.withColumn(out, F.when(F.col("_single").isNotNull(), F.array("_single")).otherwise(many)).drop("_single")
 
 
 def json_documents(spark: SparkSession, paths: list[str], table: Table) -> DataFrame:
@@ -206,25 +210,38 @@ def json_documents(spark: SparkSession, paths: list[str], table: Table) -> DataF
     records, a single record, lines of one record each, or an object whose
     keys are tables that hold a list or a single record.  A record is a map of
     its fields, each the text it has in the file; its values may be of any type.
+
+    Each step is a projection of its own: Spark keeps apart what is used more
+    than once, so a text is split and parsed once.
     """
     files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.col("value"))
-    lines = F.filter(F.split("value", "\r?\n"), lambda x: x.rlike("\\S"))
+    lines = files.withColumn("_lines", F.filter(F.split("value", "\r?\n"), lambda x: x.rlike("\\S")))
     # a record that ends in its line, and more lines: each is a document
-    by_line = (F.size(lines) > 1) & F.from_json(lines[0], _RECORD).isNotNull()
-    each = F.transform(lines, lambda x: F.from_json(x, _RECORD))
-    root = F.when(by_line, F.when(F.forall(each, lambda r: r.isNotNull()), each)).otherwise(_records_in(F.col("value")))
-    found = files.select("_file", (F.size(lines) == 0).alias("_blank"), root.alias("_root"))
+    by_line = F.when(F.size("_lines") > 1, F.from_json(F.col("_lines")[0], _RECORD)).isNotNull()
+    kinds = lines.select("_file", (F.size("_lines") == 0).alias("_blank"), "value", "_lines", by_line.alias("_by_line"))
+    each = F.when(F.col("_by_line"), F.transform("_lines", lambda x: F.from_json(x, _RECORD)))
+    whole = F.when(~F.col("_by_line"), F.col("value"))
+    split = kinds.select("_file", "_blank", "_by_line", each.alias("_each"), whole.alias("_text"))
+    every = F.when(F.forall("_each", lambda r: r.isNotNull()), F.col("_each"))
+    found = _with_records(split, "_text", "_whole").select("_file", "_blank", F.when(F.col("_by_line"), every).otherwise(F.col("_whole")).alias("_root"))
     if not table.name:
         return found.withColumnRenamed("_root", "_records")
     is_table = (F.size("_root") == 1) & F.exists(F.map_keys(F.get("_root", F.lit(0))), lambda k: F.lower(k) == table.name.lower())
-    inner = _records_in(_key(F.get("_root", F.lit(0)), table.name))
-    return found.select("_file", "_blank", F.when(is_table, F.coalesce(inner, F.array().cast(f"array<{_RECORD}>"))).otherwise(F.col("_root")).alias("_records"))
+    told = found.withColumn("_is_table", is_table)
+    named = told.withColumn("_text", F.when(F.col("_is_table"), _key(F.get("_root", F.lit(0)), table.name)))
+    inner = F.coalesce(F.col("_inner"), F.array().cast(f"array<{_RECORD}>"))
+    return _with_records(named, "_text", "_inner").select("_file", "_blank", F.when(F.col("_is_table"), inner).otherwise(F.col("_root")).alias("_records"))
 
 
 def read_json_table(spark: SparkSession, paths: list[str], table: Table) -> DataFrame:
     """The records of a table in JSON exports, whatever their shape (see json_documents), in one scan."""
-    records = json_documents(spark, paths, table).select("_file", F.posexplode("_records").alias("_seq", "_r"))
-    return records.select("_file", F.col("_seq").cast("bigint").alias("_seq"), *[_key(F.col("_r"), n).alias(n) for n in table.wanted()])
+    # of a bare column Spark would filter by its size first, with the whole parse repeated in that filter
+    records = F.coalesce(F.col("_records"), F.array().cast(f"array<{_RECORD}>"))
+    rows = json_documents(spark, paths, table).select("_file", F.posexplode(records).alias("_seq", "_r"))
+    fields = rows.select("_file", "_seq", F.transform(F.map_keys("_r"), F.lower).alias("_names"), F.map_values("_r").alias("_values"))
+    # the first key that equals the name but for case; get() of place -1 is null
+    value = lambda n: F.get("_values", (F.array_position("_names", n.lower()) - 1).cast("int"))
+    return fields.select("_file", F.col("_seq").cast("bigint").alias("_seq"), *[value(n).alias(n) for n in table.wanted()])
 
 
 def rejected_json_files(spark: SparkSession, paths: list[str], table: Table) -> DataFrame:

@@ -169,6 +169,14 @@ def test_structure_of_a_large_xml_file(tmp_path):
     assert peak < 5_000_000
 
 
+def test_json_is_parsed_once(spark, tmp_path):
+    """No filter repeats the parse before the records are emitted, and no step parses a text again."""
+    plan = R.read_json_table(spark, put(tmp_path, JSON), TABLE)._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (" not in plan
+    # the first of several lines, each line, and a single record and a list of records at two depths
+    assert plan.count("from_json(") == 6
+
+
 def test_times_read_the_files_once(spark, tmp_path):
     """Detecting and converting the times share what was read, under columns of any name."""
     for reader, table, files in ((R.read_csv_table, LONG, CSV), (R.read_json_table, TABLE, JSON)):
