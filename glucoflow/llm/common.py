@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: the separators of a word, and bytes.split()'s own set
 SPACE = b" \t\n\r\x0b\x0c"
+#: rows of texts that Spark and a Python worker hold at a time, each on both sides of the pipe
+BATCH_ROWS = 1000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -36,10 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from the driver's place.
+    """Let Python workers import this package from the driver's place, and hand them few texts at a time.
 
     On a cluster without that folder, ship the package with --py-files.
     """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
+        spark.conf.set(batch, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -6,12 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import brute
+import pyarrow as pa
 import pytest
 from conftest import prose
 from pyspark.sql import functions as F
 
 from glucoflow.llm import decontaminate, langid, linededup, neardup, packing, quality, secrets, stages, substring, suffixes, tokenfile
-from glucoflow.llm.common import scratch_path
+from glucoflow.llm.common import BATCH_ROWS, importable, scratch_path
 from glucoflow.llm.queries import tokenizer
 
 
@@ -274,3 +275,20 @@ def test_base_digest_of_secrets(docs, rows):
         text = ",".join(f"{name}:{a}:{b}" for a, _, b, name in spans)
         want.append((d, hashlib.sha256(text.encode()).hexdigest()))
     assert found(secrets.find_secrets(docs), "doc_id", "base_sha256") == sorted(want, key=repr)
+
+
+def test_a_worker_gets_few_texts_at_a_time(spark):
+    """The operators' sessions hand at most BATCH_ROWS rows to Python in one batch; a lower setting stays."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.range(0, 3 * BATCH_ROWS, 1, 1)
+    for before, most in (("10000", BATCH_ROWS), ("0", BATCH_ROWS), ("70", 70)):
+        spark.conf.set(name, before)
+        importable(spark)
+        got = [r[0] for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert max(got) == most and sum(got) == 3 * BATCH_ROWS
+    spark.conf.unset(name)
