@@ -156,8 +156,8 @@ def process_path(
     return Run(events, processed, notes, quarantine, rejected_files(spark, layout, paths, headers), reduce(DataFrame.unionByName, missing))
 
 
-def run(spark: SparkSession, paths: list[str], out_dir: str, layout=None, freq: str = "5min", fmt: str = "csv", **params):
-    """Command-line equivalent: process, align (if CGM present), write."""
+def run(spark: SparkSession, paths: list[str], out_dir: str, layout=None, freq: str = "5min", fmt: str = "plain_csv", **params):
+    """Command-line equivalent: process, align (if CGM present), write (by default as CSV files that any program opens)."""
     from glucoflow.sinks import export
 
     r = process_path(spark, paths, layout, **params)
