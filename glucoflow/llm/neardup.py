@@ -10,10 +10,10 @@
 3. Bands of the sketch are buckets.  A bucket's members are compared with its
    pivot, the member that shares most buckets, not with each other, so work is
    linear in the bucket.  Links are confirmed on the full sets.
-4. Buckets whose members still lie in different components are open.  Of their
-   members, the pairs of different components that pass an exact prefix filter
-   are compared too.  So every pair that shares a bucket is linked, connected
-   or refuted.
+4. Buckets whose members, the pivot aside, still lie in different components are
+   open.  Of these members, the pairs of different components that pass an exact
+   prefix filter are compared too.  So every pair that shares a bucket is linked,
+   connected or refuted.
 5. Components of classes come from alternating star operations on tables; ids
    join them at the end, by the classes of their rows.
 
@@ -45,6 +45,8 @@ ROWS = 4
 COORDINATES = BANDS * ROWS
 #: a set is hot with more than this share of the rows (1 / HOT); so there are at most HOT such sets
 HOT = 10_000
+#: bits of a filter of wanted keys, sent to every task (1 MiB)
+BITS = 1 << 23
 
 _ROUND_KEYS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _BAND_KEYS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -131,32 +133,62 @@ def _confirmed(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> Dat
     return joined.filter(den * shared >= num * union).select("a", "b")
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in wanted, and few others: what is left to a join is little.
+
+    Keys are hashed to BITS bits, and the words that have some are sent to the
+    tasks; with 1 wanted key in 10 bits, about 1 in 10 of the other rows stays.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(BITS))
+    word, bit = F.shiftright("_slot", 6).alias("_word"), F.col("_slot").bitwiseAND(63).cast("int").alias("_bit")
+    words = wanted.select(slot.alias("_slot")).select(word, bit).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    placed = rows.withColumn("_slot", slot).select(*rows.columns, word, bit)
+    return placed.join(F.broadcast(words), "_word").filter(F.getbit("_bits", F.col("_bit")) == 1).select(*rows.columns)
+
+
 def links(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Confirmed links (a, b) between classes, enough for every component.
 
     classes: set_key, doc_id (one whose row has the set), n_shingles, buckets.
     """
-    members = classes.select("set_key", "doc_id", "n_shingles", F.explode("buckets").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("in_bucket")).filter("in_bucket > 1")
+    # counting reads set_key, so that both sides of the join are the same exchange
+    members = classes.select("set_key", F.explode("buckets").alias("bucket")).repartition("bucket")
+    sizes = members.groupBy("bucket").agg(F.count("set_key").alias("in_bucket")).filter("in_bucket > 1")
     shared = materialize(members.join(sizes, "bucket"), "buckets")
 
     central = shared.groupBy("set_key").agg(F.sum("in_bucket").alias("weight"))
+    wanted = materialize(classes.select("set_key", "doc_id", "n_shingles").join(central, "set_key"), "wanted")
     ranked = shared.select("bucket", "set_key").join(central, "set_key")
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("weight", "set_key")).alias("top")).select("bucket", F.col("top.set_key").alias("pivot"))
-    pairs = materialize(
-        shared.join(pivots, "bucket").filter("set_key <> pivot").select(F.col("set_key").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs"
-    )
+    others = materialize(shared.join(pivots, "bucket").filter("set_key <> pivot").select("bucket", "set_key", "pivot"), "others")
+    size_a, size_b = (wanted.select(F.col("set_key").alias(k), F.col("n_shingles").alias(f"n_{k}")) for k in "ab")
+    pairs = others.select(F.col("set_key").alias("a"), F.col("pivot").alias("b")).distinct().join(size_a, "a").join(size_b, "b")
+    pairs = materialize(pairs.filter(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")).select("a", "b"), "pairs")
 
     # rows of these ids may have other sets too, when an id repeats
-    texts = _texts(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
-    wanted = shared.select("set_key").distinct()
-    elements = materialize(element_sets(texts, width).join(wanted, "set_key", "left_semi").dropDuplicates(["set_key"]), "elements")
+    texts = _likely(_texts(docs), wanted, "doc_id")
+    elements = materialize(element_sets(texts, width).join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"]), "elements")
     first = materialize(_confirmed(pairs, elements, num, den), "confirmed")
-    return first.unionByName(_confirmed(_open_pairs(shared, first, elements, num, den), elements, num, den))
+    open_ = _open_sets(others, wanted, first, elements)
+    return first.unionByName(_confirmed(_open_pairs(open_, num, den), open_, num, den))
+
+
+def _open_sets(others: DataFrame, wanted: DataFrame, found: DataFrame, elements: DataFrame) -> DataFrame:
+    """(set_key, n, component, elements) of the members of open buckets.
+
+    A pivot was compared with all members of its bucket, so only the others
+    (bucket, set_key, pivot) can have links that nobody looked for.
+    """
+    of = components(found)
+    placed = others.join(of.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    spread = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    sized = wanted.select("set_key", F.col("n_shingles").alias("n"))
+    open_ = materialize(placed.join(spread, "bucket").select("set_key", "component").distinct().join(sized, "set_key"), "open")
+    return materialize(_likely(elements, open_, "set_key").join(open_, "set_key").select("set_key", "n", "component", "elements"), "open-elements")
 
 
-def _open_pairs(shared: DataFrame, found: DataFrame, elements: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of members of open buckets, in different components, that could reach num/den.
+def _open_pairs(open_: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of open sets, in different components, that could reach num/den.
 
     Exact prefix filter: sets of x and y elements need an overlap of
     o = num (x + y) / (num + den).  With the elements of all sets in one order,
@@ -164,14 +196,11 @@ def _open_pairs(shared: DataFrame, found: DataFrame, elements: DataFrame, num: i
     have one in common.  Elements that no other open member has come first and
     are only counted; a set with too many of them is settled at once.
     """
-    of = components(found)
-    placed = shared.join(of.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    spread = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = materialize(placed.join(spread, "bucket").select("set_key", F.col("n_shingles").alias("n"), "component").distinct(), "open")
-
-    token = elements.join(open_, "set_key").select("set_key", "n", "component", F.explode("elements").alias("element"))
-    twice = token.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = token.join(twice, "element").groupBy("set_key", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("common"))
+    # counting reads set_key here too
+    token = open_.select("set_key", F.explode("elements").alias("element")).repartition("element")
+    twice = token.groupBy("element").agg(F.count("set_key").alias("df")).filter("df > 1")
+    ranked = token.join(twice, "element").groupBy("set_key").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("common"))
+    ranked = ranked.join(open_.select("set_key", "n", "component"), "set_key")
     alone = F.col("n") - F.size("common")
     longest = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     first = F.slice("common", F.lit(1), F.greatest(F.lit(0), longest - alone).cast("int"))
@@ -200,9 +229,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     made = materialize(sets(docs, width), "sets")
     # one row of each distinct set; size and buckets are the same for equal sets
     known = made.filter("set_key is not null and doc_id is not null")
-    rows = known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
-    stands = known.select("set_key", "doc_id", "buckets").join(rows, ["set_key", "doc_id"]).dropDuplicates(["set_key"])
-    classes = materialize(stands, "classes")
+    stands = (F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets"), F.count("*").alias("copies"))
+    classes = materialize(known.groupBy("set_key").agg(*stands), "classes")
 
     # the sets of one id belong together
     own = known.select("doc_id", "set_key").distinct()
@@ -220,8 +248,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     nameless = made.filter("doc_id is null").withColumn("component_id", F.lit(None).cast("long"))
 
     # sets with more than 1 / HOT of all rows, at most HOT of them, are broadcast
-    total = rows.agg(F.sum("copies")).first()[0] or 0
-    often = rows.filter(F.col("copies") > max(total // HOT, 1)).select("set_key")
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    often = classes.filter(F.col("copies") > max(total // HOT, 1)).select("set_key")
     hot = F.broadcast(named.join(often, "set_key", "left_semi"))
     copied = known.join(hot, "set_key")
     others = known.join(F.broadcast(often), "set_key", "left_anti").join(named, "set_key")
