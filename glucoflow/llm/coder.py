@@ -4,17 +4,23 @@ A block of ids is coded on its own: all models start anew, and a checksum of
 its ids is kept with it.  Per id
 
 * order 2 and order 1 each predict an id, the one that last followed the same
-  two ids or one id, with a confidence that counts how often it came true;
-* a flag tells whether the preferred prediction holds.  Its probability is
-  mixed from three adaptive ones, by the order-2 confidence, by the order-1
-  confidence, and by the recent hits alone (order 0), weighted by how well each
-  has done lately;
-* an id that isn't predicted is coded by order 0: four symbols of 4 bits under
-  adaptive cumulative frequencies in the context of the bits before.
-
-The arithmetic is a carry-less range coder with 64-bit registers that puts out
-16-bit words.  Blocks are the lanes of numpy arrays: step t handles id t of
-every block, so the work per step is a fixed number of array operations.
+  two ids or one id, with a confidence: whether it came true when last tried, or the
+  time before;
+* one of three symbols tells whether the preferred prediction holds, or else
+  whether order 0 knows the id.  The probability of the prediction is mixed from
+  three adaptive ones, by the order-2 confidence, by the order-1 confidence, and
+  by the recent hits alone, weighted by how well each has done lately;
+* an id that isn't predicted is coded by order 0, under the frequencies of the ids
+  before it in the block; one that is new there is put in a list beside the code.
+
+Predictions are learned with every id; probabilities are brought up to date every
+REFRESH ids at most, and order 0 whenever the block has grown by about a third (TABLES).
+
+The arithmetic is a range coder with 48-bit registers that puts out one 16-bit word
+at most per id; carries are added when all words are there.  Blocks are the lanes of
+numpy arrays: step t handles id t of every block, so the work per step is a fixed
+number of array operations.  What doesn't depend on the step before is done for
+some steps at a time.
 """
 
 from __future__ import annotations
@@ -25,234 +31,334 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK_IDS = 4096
-LANES = 1024
-#: total of every frequency table, as a power of two
+LANES = 1536
+#: total of the probabilities, as a power of two
 SCALE_BITS = 15
 SCALE = 1 << SCALE_BITS
-MAGIC = b"IDB1"
+MAGIC = b"IDB3"
+#: steps between two updates of the probabilities: at most; half of it in the first EARLY steps
+REFRESH, EARLY = 128, 512
+#: steps at which order 0 takes up the ids so far; the probabilities are updated there, too
+TABLES = (64, 128, 192, 256, 384, 512, 768, 1024, 1408, 1920, 2560)
+#: lanes whose ids are sorted together, so that they stay in a cache
+_SORTED = 64
 
-_U = np.uint64
-_BOTTOM, _TOP = _U(1 << 32), _U(1 << 48)
-_SLOTS = 1 << 10
-_CONTEXTS = 1 + 16 + 256 + 256
-_RATE = 5
-#: of symbol s: the table that a certain s would have; every symbol keeps a count of at least 1
-_TARGETS = np.array([[j if j <= s else SCALE - 16 + j for j in range(17)] for s in range(16)], np.int32)
+#: the range is at least this before a step; the least share of the ids that order 0 knows keeps it so
+_LEAST, _LEAST_OLD = 1 << 32, SCALE // 16
+_SLOT_BITS = 10
+_MIX1, _MIX2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 class Models:
     """The adaptive state of all lanes."""
 
     def __init__(self, lanes: int):
-        self.n = lanes
-        self.lane = np.arange(lanes)
-        self.table = np.tile((np.arange(17, dtype=np.int32) * (SCALE // 16)), (lanes * _CONTEXTS, 1))
-        self.id1 = np.zeros(lanes * _SLOTS, np.int32)
-        self.id2 = np.zeros(lanes * _SLOTS, np.int32)
-        self.conf1 = np.zeros(lanes * _SLOTS, np.int8)
-        self.conf2 = np.zeros(lanes * _SLOTS, np.int8)
-        # hit probabilities out of SCALE: by order-2 confidence, by order-1 confidence, alone
-        self.hit = [np.full(lanes * 4, SCALE // 4, np.int32), np.full(lanes * 4, SCALE // 4, np.int32), np.full(lanes, SCALE // 4, np.int32)]
-        self.loss = np.full((3, lanes), 1.0)
-        self.before = np.zeros((2, lanes), np.int64)
-
-    def predict(self) -> None:
-        """Preferred id, and the mixed probability that it holds."""
-        base = self.lane * _SLOTS
-        one, two = self.before
-        self.at1 = base + ((one * 0x9E3B) >> 3) % _SLOTS
-        self.at2 = base + ((one * 0x9E3B + two * 0x85EB + (two >> 4)) >> 2) % _SLOTS
-        c1, c2 = self.conf1[self.at1], self.conf2[self.at2]
-        self.by2 = c2 > 0
-        self.guess = np.where(self.by2, self.id2[self.at2], self.id1[self.at1])
-        self.where = [self.lane * 4 + np.minimum(c2, 3), self.lane * 4 + np.minimum(c1, 3), self.lane]
-        self.each = np.stack([h[w] for h, w in zip(self.hit, self.where, strict=True)])
-        weight = 1.0 / self.loss
-        mixed = (self.each * weight).sum(axis=0) / weight.sum(axis=0)
-        self.chance = np.clip(mixed.astype(np.int64), 16, SCALE - 16)
-
-    def learn_flag(self, hit: np.ndarray) -> None:
-        goal = np.where(hit, SCALE, 0).astype(np.int32)
-        error = np.abs(goal - self.each) * (1.0 / SCALE)
-        self.loss *= 0.9
-        self.loss += error * error + 0.01
-        for h, w in zip(self.hit, self.where, strict=True):
-            h[w] += (goal - h[w]) >> 4
-
-    def learn_id(self, ids: np.ndarray) -> None:
-        for known, conf, at in ((self.id1, self.conf1, self.at1), (self.id2, self.conf2, self.at2)):
-            same = known[at] == ids
-            c = conf[at]
-            conf[at] = np.where(same, np.minimum(c + 1, 3), np.where(c > 1, c - 1, 1))
-            known[at] = np.where(same | (c > 1), known[at], ids)
-        self.before[1] = self.before[0]
-        self.before[0] = ids
-
-    def rows(self, some: np.ndarray, part: int, sofar: np.ndarray) -> np.ndarray:
-        """Table rows of the part-th symbol of the lanes in some, after the bits so far."""
-        if part == 0:
-            context = 0
-        elif part == 1:
-            context = 1 + sofar
-        elif part == 2:
-            context = 17 + sofar
-        else:
-            context = 273 + (sofar & 15) * 16 + (sofar >> 8)
-        return some * _CONTEXTS + context
-
-    def learn_symbol(self, rows: np.ndarray, table: np.ndarray, symbol: np.ndarray) -> None:
-        step = _TARGETS[symbol]
-        step -= table
-        step >>= _RATE
-        step += table
-        self.table[rows] = step
-
+        both = np.arange(2 * lanes).reshape(2, lanes)
+        self.lanes = lanes
+        self.known = np.zeros(2 * lanes << _SLOT_BITS, np.int32)  # id * 4 + confidence, by order-1 and order-2 context
+        self.first = both << _SLOT_BITS
+        self.at = self.first.copy()
+        self.mixed = np.zeros((2, lanes), np.uint32)
+        self.two = np.zeros(lanes, np.uint32)
+        self.entry, self.sure = np.zeros((2, lanes), np.int32), np.zeros((2, lanes), np.int32)
+        # probabilities that the prediction holds: by order-2 and by order-1 confidence, alone; that another id is new
+        self.by2, self.by1 = np.full((lanes, 4), 0.25), np.full((lanes, 4), 0.25)
+        self.alone, self.new = np.full((lanes, 1), 0.25), np.full((lanes, 1), 0.9)
+        self.loss = [np.ones((lanes, 1)) for _ in range(3)]
+        self.lane16 = np.arange(lanes) * 16
+        self._mix()
+
+    def predict(self, context: np.ndarray) -> np.ndarray:
+        """Preferred ids; puts the confidences, as order 2 * 4 + order 1, in context."""
+        entry, sure = self.entry, self.sure
+        self.known.take(self.at, out=entry, mode="clip")
+        np.bitwise_and(entry, 3, out=sure)
+        np.left_shift(sure[1], 2, out=context)
+        context += sure[0]
+        guess = np.where(sure[1] > 0, entry[1], entry[0])
+        guess >>= 2
+        return guess
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Take up the right ids (int32)."""
+        entry, sure = self.entry, self.sure
+        # masks in place of conditions: 3 where the id was known; all bits where another one may stay, a point less sure
+        value = ids << 2
+        same = entry ^ value
+        same -= 4
+        same >>= 31
+        same &= 3
+        np.left_shift(entry, 30, out=sure)
+        sure >>= 31
+        value |= 1
+        entry -= 1
+        entry ^= value
+        entry &= sure
+        entry ^= value
+        entry |= same
+        self.known[self.at] = entry
+        one, mixed = ids.view(np.uint32), self.mixed
+        np.multiply(one, _MIX1, out=mixed[0])
+        np.add(mixed[0], self.two, out=mixed[1])
+        np.multiply(one, _MIX2, out=self.two)
+        mixed >>= np.uint32(32 - _SLOT_BITS)
+        np.add(self.first, mixed, out=self.at)
+
+    def refresh(self, context: np.ndarray, hit: np.ndarray, fresh: np.ndarray) -> None:
+        """Learn from some steps: context, whether the prediction held, whether the id was new to order 0."""
+        n = 16 * self.lanes
+        places = context + self.lane16
+        places += hit * n
+        seen = np.bincount(places.ravel(), minlength=2 * n).reshape(2, self.lanes, 4, 4)
+        total, hits = seen[0] + seen[1], seen[1]
+        steps = len(context)
+        right = hits.sum(axis=(1, 2))[:, None]
+        for k, (p, t, h) in enumerate(((self.by2, total.sum(axis=2), hits.sum(axis=2)), (self.by1, total.sum(axis=1), hits.sum(axis=1)), (self.alone, np.full_like(right, steps), right))):
+            lost = h * (1 - p) ** 2 + (t - h) * p**2
+            sum_ = lost[:, :1].copy()
+            for j in range(1, lost.shape[1]):
+                sum_ += lost[:, j : j + 1]
+            self.loss[k] = self.loss[k] * 0.5 + sum_ / steps + 0.01
+            p += (h - t * p) / (t + 8)
+        other = steps - right
+        self.new += (fresh.sum(axis=0)[:, None] - other * self.new) / (other + 8)
+        self._mix()
+
+    def _mix(self) -> None:
+        w2, w1, w0 = (1 / x for x in self.loss)
+        holds = (self.by2 * w2)[:, :, None] + (self.by1 * w1 + self.alone * w0)[:, None, :]
+        holds /= (w2 + w1 + w0)[:, :, None]
+        hit = np.clip(holds * SCALE, 64, SCALE - _LEAST_OLD - 64).astype(np.int64)
+        rest = SCALE - hit
+        new = np.clip(rest * self.new[:, :, None], 64, rest - _LEAST_OLD).astype(np.int64)
+        # where the ids that are predicted end, and the new ones
+        self.ends = (hit << 16 | (hit + new)).ravel()
+
+
+def _steps(size: int) -> Iterator[tuple[int, int]]:
+    t = 0
+    while t < size:
+        end = min(t + (REFRESH // 2 if t < EARLY else REFRESH), size)
+        yield t, end
+        t = end
+
+
+class Order0:
+    """For coding: how many of the ids so far are below an id, and how many are that id."""
+
+    def __init__(self, ids: np.ndarray):
+        """ids: (lane, step)."""
+        lanes, size = ids.shape
+        # of each id, how many other ids of its lane are smaller
+        self.rank = np.empty((size, lanes), np.uint16)
+        step, width = np.arange(size, dtype=np.uint32), 0
+        for k in range(0, lanes, _SORTED):
+            order = np.sort((ids[k : k + _SORTED].astype(np.uint32) << 12) | step, axis=1)
+            value = order >> 12
+            rank = np.zeros(order.shape, np.uint16)
+            np.cumsum(value[:, 1:] != value[:, :-1], axis=1, out=rank[:, 1:])
+            width = max(width, int(rank[:, -1].max()) + 1)
+            order &= 4095
+            order += np.arange(len(order), dtype=np.uint32)[:, None] * np.uint32(size)
+            placed = np.empty(order.size, np.uint16)
+            placed[order] = rank
+            self.rank[:, k : k + _SORTED] = placed.reshape(order.shape).T
+        self.first = np.arange(lanes) * width
+        # id 0 is known at first; it has rank 0 or isn't there
+        self.count = np.zeros((lanes, width), np.int32)
+        self.count[:, 0] = (ids == 0).any(axis=1)
+        self.below = np.zeros((lanes, width), np.int32)
+        self.n, self.taken = 1, 0
+
+    def take_up(self, t: int) -> None:
+        """The first t ids are known."""
+        if not self.taken:
+            self.count[:] = 0
+        places = self.rank[self.taken : t] + self.first
+        self.count += np.bincount(places.ravel(), minlength=self.count.size).reshape(self.count.shape)
+        np.cumsum(self.count[:, :-1], axis=1, out=self.below[:, 1:])
+        self.n = self.taken = t
+
+    def spans(self, t: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        at = self.rank[t:end] + self.first
+        return self.below.ravel().take(at), self.count.ravel().take(at)
+
+
+def _short(size: np.ndarray) -> np.ndarray:
+    """All bits where a word is due."""
+    short = size - _LEAST
+    short >>= 63
+    return short
 
 
 class Writer:
-    def __init__(self, lanes: int, words: int):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-        self.out, self.size = np.zeros((lanes, words), "<u2"), np.zeros(lanes, np.int64)
-
-    def put(self, some: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        r = self.range[some] >> _U(SCALE_BITS)
-        low = self.low[some] + r * start.astype(_U)
-        wide = r * size.astype(_U)
-        while True:
-            same = (low ^ (low + wide)) < _TOP
-            short = ~same & (wide < _BOTTOM)
-            go = np.flatnonzero(same | short)
-            if not len(go):
-                break
-            cut = np.flatnonzero(short)
-            wide[cut] = (~low[cut] + _U(1)) & (_BOTTOM - _U(1))
-            lanes = some[go]
-            if self.size[lanes].max() >= self.out.shape[1]:
-                self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-            self.out[lanes, self.size[lanes]] = (low[go] >> _U(48)).astype("<u2")
-            self.size[lanes] += 1
-            low[go] <<= _U(16)
-            wide[go] <<= _U(16)
-        self.low[some], self.range[some] = low, wide
+    def __init__(self, lanes: int, symbols: int):
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
+        self.width = symbols + 4
+        self.out = np.zeros(lanes * self.width, np.int32)
+        self.first = np.arange(lanes) * self.width
+        self.next = self.first.copy()
+
+    def put(self, start: np.ndarray, size: np.ndarray, old: np.ndarray, below: np.ndarray, count: np.ndarray, n: int) -> None:
+        """Narrow to size from start on, of SCALE; where old to count of n ids from below on, in the rest after start."""
+        unit = self.range >> SCALE_BITS
+        low = self.low
+        start = unit * start
+        low += start
+        fine = self.range
+        fine -= start
+        fine //= n
+        unit *= size
+        low += fine * below
+        fine *= count
+        size = np.where(old, fine, unit)
+        top = low >> 32
+        self.out[self.next] = top
+        short = _short(size)
+        self.next -= short
+        top &= short
+        top <<= 32
+        low -= top
+        short &= 16
+        low <<= short
+        np.left_shift(size, short, out=self.range)
 
     def finish(self) -> list[bytes]:
-        every = np.arange(len(self.low))
-        for _ in range(4):
-            if self.size.max() >= self.out.shape[1]:
-                self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-            self.out[every, self.size] = (self.low >> _U(48)).astype("<u2")
-            self.size += 1
-            self.low <<= _U(16)
-        return [self.out[k, :n].tobytes() for k, n in enumerate(self.size.tolist())]
-
-
-class Reader:
-    def __init__(self, data: list[bytes]):
-        most = max(len(d) // 2 for d in data) + 8
-        self.words = np.zeros((len(data), most), "<u2")
-        for k, d in enumerate(data):
-            self.words[k, : len(d) // 2] = np.frombuffer(d, "<u2")
-        self.low, self.range = np.zeros(len(data), _U), np.full(len(data), (1 << 64) - 1, _U)
-        self.code = np.zeros(len(data), _U)
-        for k in range(4):
-            self.code = (self.code << _U(16)) | self.words[:, k].astype(_U)
-        self.next = np.full(len(data), 4, np.int64)
-
-    def peek(self, some: np.ndarray) -> np.ndarray:
-        self.unit = self.range[some] >> _U(SCALE_BITS)
-        return np.minimum((self.code[some] - self.low[some]) // self.unit, _U(SCALE - 1)).astype(np.int64)
-
-    def take(self, some: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        low = self.low[some] + self.unit * start.astype(_U)
-        wide = self.unit * size.astype(_U)
-        code = self.code[some]
-        while True:
-            same = (low ^ (low + wide)) < _TOP
-            short = ~same & (wide < _BOTTOM)
-            go = np.flatnonzero(same | short)
-            if not len(go):
-                break
-            cut = np.flatnonzero(short)
-            wide[cut] = (~low[cut] + _U(1)) & (_BOTTOM - _U(1))
-            lanes = some[go]
-            at = np.minimum(self.next[lanes], self.words.shape[1] - 1)
-            code[go] = (code[go] << _U(16)) | self.words[lanes, at].astype(_U)
-            self.next[lanes] += 1
-            low[go] <<= _U(16)
-            wide[go] <<= _U(16)
-        self.low[some], self.range[some], self.code[some] = low, wide, code
+        for shift, mask in ((32, -1), (16, 0xFFFF), (0, 0xFFFF)):
+            self.out[self.next] = (self.low >> shift) & mask
+            self.next += 1
+        out = self.out.reshape(-1, self.width)
+        while (carry := out >> 16).any():
+            out &= 0xFFFF
+            out[:, :-1] += carry[:, 1:]
+        words = out.astype("<u2")
+        return [words[k, :n].tobytes() for k, n in enumerate((self.next - self.first).tolist())]
 
 
 def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
-    """blocks: by descending length."""
-    sizes = np.array([len(b) for b in blocks])
-    ids = np.zeros((sizes[0], len(blocks)), np.int64)
+    lanes, sizes = len(blocks), np.array([len(b) for b in blocks])
+    by_lane = np.zeros((lanes, sizes.max()), np.int32)
     for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    m, w = Models(len(blocks)), Writer(len(blocks), max(64, int(sizes[0]) * 5 // 4))
-    every = np.arange(len(blocks))
-    for t in range(sizes[0]):
-        live = every[: np.searchsorted(-sizes, -t, side="left")]
-        now = ids[t]
-        m.predict()
-        hit = now == m.guess
-        chance = m.chance[live]
-        flag = hit[live]
-        w.put(live, np.where(flag, 0, chance), np.where(flag, chance, SCALE - chance))
-        m.learn_flag(hit)
-        some = live[~flag]
-        value, sofar = now[some], np.zeros(len(some), np.int64)
-        for part in range(4) if len(some) else ():
-            symbol = (value >> (12 - 4 * part)) & 15
-            rows = m.rows(some, part, sofar)
-            table = m.table[rows]
-            at = np.arange(len(some))
-            start = table[at, symbol]
-            w.put(some, start, table[at, symbol + 1] - start)
-            m.learn_symbol(rows, table, symbol)
-            sofar = sofar * 16 + symbol
-        m.learn_id(now)
-    return w.finish()
+        by_lane[k, : len(b)] = b
+    # a lane that has ended runs on with ids 0
+    ids = np.ascontiguousarray(by_lane.T)
+    m, w, order0 = Models(lanes), Writer(lanes, len(ids)), Order0(by_lane)
+    fresh = np.zeros(ids.shape, bool)
+    contexts, hits = np.empty((REFRESH, lanes), np.int32), np.empty((REFRESH, lanes), bool)
+    for t, end in _steps(len(ids)):
+        if t in TABLES:
+            order0.take_up(t)
+        context, hit = contexts[: end - t], hits[: end - t]
+        for k, now in enumerate(ids[t:end]):
+            np.equal(m.predict(context[k]), now, out=hit[k])
+            m.learn(now)
+        below, count = order0.spans(t, end)
+        new = fresh[t:end]
+        np.logical_and(count == 0, ~hit, out=new)
+        old = ~(hit | new)
+        ends = m.ends.take(context + m.lane16)
+        first, second = ends >> 16, ends & 0xFFFF
+        start = second * old + first * new
+        size = np.where(hit, first, second - first)
+        below *= old
+        for k in range(end - t):
+            w.put(start[k], size[k], old[k], below[k], count[k], order0.n)
+        m.refresh(context, hit, new)
+    code = w.finish()
+    fresh &= np.arange(len(ids))[:, None] < sizes
+    lists = [by_lane[k, f].astype("<u2").tobytes() for k, f in enumerate(np.ascontiguousarray(fresh.T))]
+    return [len(x).to_bytes(2, "little") + x + c for x, c in zip(lists, code, strict=True)]
+
+
+def _words(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All words of all lanes, and where each lane begins; a lane may read beyond its end."""
+    sizes = np.array([len(d) // 2 for d in data])
+    return np.frombuffer(b"".join([*data, bytes(8)]), "<u2").astype(np.int64), np.cumsum(sizes) - sizes
+
+
+def _table(ids: np.ndarray) -> np.ndarray:
+    """Of the ids of each lane (step, lane), sorted: id, how many are below and how many are equal, in one number."""
+    n, lanes = ids.shape
+    table = np.empty(lanes * n, np.int64)
+    for k in range(0, lanes, _SORTED):
+        value = np.sort(ids[:, k : k + _SORTED].T.astype(np.uint16), axis=1)
+        begins = np.ones(value.shape, bool)
+        np.not_equal(value[:, 1:], value[:, :-1], out=begins[:, 1:])
+        at = np.flatnonzero(begins)
+        size = np.diff(at, append=value.size)
+        found = value.ravel()[at].astype(np.int64) << 32 | (at % n) << 16 | size
+        table[k * n : k * n + value.size] = np.repeat(found, size)
+    return table
 
 
 def _decode_lanes(data: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-    """lengths: descending."""
-    sizes = np.array(lengths)
-    ids = np.zeros((sizes[0], len(data)), np.int64)
-    m, r = Models(len(data)), Reader(data)
-    every = np.arange(len(data))
-    for t in range(sizes[0]):
-        live = every[: np.searchsorted(-sizes, -t, side="left")]
-        m.predict()
-        chance = m.chance[live]
-        flag = r.peek(live) < chance
-        r.take(live, np.where(flag, 0, chance), np.where(flag, chance, SCALE - chance))
-        now = np.zeros(len(data), np.int64)
-        now[live[flag]] = m.guess[live[flag]]
-        some = live[~flag]
-        sofar = np.zeros(len(some), np.int64)
-        for part in range(4) if len(some) else ():
-            rows = m.rows(some, part, sofar)
-            table = m.table[rows]
-            symbol = (table[:, 1:16] <= r.peek(some)[:, None]).sum(axis=1)
-            at = np.arange(len(some))
-            start = table[at, symbol]
-            r.take(some, start, table[at, symbol + 1] - start)
-            m.learn_symbol(rows, table, symbol)
-            sofar = sofar * 16 + symbol
-        now[some] = sofar
-        # lanes that have ended follow the encoder's zero ids
-        m.learn_flag(now == m.guess)
-        m.learn_id(now)
-        ids[t] = now
-    return [ids[:n, k].astype("<u4") for k, n in enumerate(lengths)]
+    lanes = len(data)
+    cuts = [2 + int.from_bytes(d[:2], "little") for d in data]
+    lists, place = _words([d[2:c] for d, c in zip(data, cuts, strict=True)])
+    words, at = _words([d[c:] for d, c in zip(data, cuts, strict=True)])
+    code = np.zeros(lanes, np.int64)
+    for _ in range(3):
+        code = (code << 16) | words.take(at, mode="clip")
+        at += 1
+    size = np.full(lanes, (1 << 48) - 1, np.int64)
+    ids = np.zeros((max(lengths), lanes), np.int32)
+    m, n = Models(lanes), 1
+    table, first = np.ones(lanes, np.int64), np.arange(lanes)
+    contexts, hits, news = np.empty((REFRESH, lanes), np.int32), np.empty((REFRESH, lanes), bool), np.empty((REFRESH, lanes), bool)
+    for t, end in _steps(len(ids)):
+        if t in TABLES:
+            n = t
+            table, first = _table(ids[:t]), np.arange(lanes) * n
+        for k in range(end - t):
+            guess = m.predict(contexts[k])
+            ends = m.ends.take(contexts[k] + m.lane16)
+            unit = size >> SCALE_BITS
+            hit_end = ends >> 16
+            hit_end *= unit
+            ends &= 0xFFFF
+            ends *= unit
+            hit = np.less(code, hit_end, out=hits[k])
+            old = code >= ends
+            new = np.logical_or(hit, old, out=news[k])
+            np.logical_not(new, out=new)
+            # among the ids of order 0; exact: both are below 2**48, and the quotient below 2**12
+            size -= ends
+            size //= n
+            rest = code - ends
+            value = (rest / size).astype(np.int64)
+            value += first
+            found = table.take(value, mode="clip")
+            below = found >> 16
+            below &= 0xFFFF
+            below *= size
+            below += ends
+            low = np.where(old, below, hit_end * new)
+            ends -= hit_end
+            size *= found & 0xFFFF
+            size = np.where(old, size, np.where(hit, hit_end, ends))
+            found >>= 32
+            now = ids[k + t]
+            now[:] = np.where(old, found, np.where(hit, guess, lists.take(place, mode="clip")))
+            place += new
+            m.learn(now)
+            code -= low
+            short = _short(size)
+            word = words.take(at, mode="clip")
+            word &= short
+            at -= short
+            short &= 16
+            size <<= short
+            code <<= short
+            code |= word
+        m.refresh(contexts[: end - t], hits[: end - t], news[: end - t])
+    ids = np.ascontiguousarray(ids.T).astype("<u4")
+    return [ids[k, :n] for k, n in enumerate(lengths)]
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block (1 to BLOCK_IDS ids below 2**16) as bytes with magic, length and checksum."""
     out: list[bytes] = [b""] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    for some in _lanes(order):
+    for some in _lanes(blocks):
         for k, body in zip(some, _encode_lanes([blocks[k] for k in some]), strict=True):
             ids = blocks[k].astype("<u4")
             out[k] = MAGIC + len(ids).to_bytes(4, "little") + zlib.crc32(ids.tobytes()).to_bytes(4, "little") + body
@@ -266,9 +372,10 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
         if d[:4] != MAGIC:
             raise ValueError("not a block of ids")
         lengths.append(int.from_bytes(d[4:8], "little"))
+        if not 0 < lengths[-1] <= BLOCK_IDS:
+            raise ValueError("length of a block of ids is out of bounds")
     out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(data)
-    order = sorted(range(len(data)), key=lambda k: -lengths[k])
-    for some in _lanes(order):
+    for some in _lanes(data):
         for k, ids in zip(some, _decode_lanes([data[k][12:] for k in some], [lengths[k] for k in some]), strict=True):
             if zlib.crc32(ids.tobytes()) != int.from_bytes(data[k][8:12], "little"):
                 raise ValueError("checksum of a block of ids doesn't match")
@@ -276,6 +383,8 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _lanes(order: list[int]) -> Iterator[list[int]]:
-    for k in range(0, len(order), LANES):
-        yield order[k : k + LANES]
+def _lanes(blocks: list) -> Iterator[range]:
+    """At most LANES blocks at a time, about as many each time."""
+    times = -(-len(blocks) // LANES)
+    for k in range(times):
+        yield range(k * len(blocks) // times, (k + 1) * len(blocks) // times)

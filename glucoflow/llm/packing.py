@@ -68,14 +68,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, _PIECES_DDL)
 
 
-def _groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+def _groups(rows: Iterator[tuple], texts: int = BATCH_TEXTS, chars: int = BATCH_CHARS) -> Iterator[list[tuple]]:
     """Rows (id, text) in groups of a bounded size."""
     some: list[tuple] = []
     size = 0
     for r in rows:
         some.append(r)
         size += len(r[1] or "")
-        if len(some) == BATCH_TEXTS or size >= BATCH_CHARS:
+        if len(some) == texts or size >= chars:
             yield some
             some, size = [], 0
     if some:

@@ -33,6 +33,9 @@ from glucoflow.llm.packing import _groups
 from glucoflow.llm.tokens import task_encoder
 
 SHARD_BYTES = 12 << 20
+#: texts that are encoded together: so many, or so many characters
+BATCH_TEXTS = 8192
+BATCH_CHARS = 6 << 20
 
 _ROW = pa.schema([("shard", pa.int32()), ("kind", pa.string()), ("number", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 _ROW_DDL = "shard int, kind string, number long, doc_id long, place long, n_ids long, payload binary"
@@ -53,7 +56,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str) -> None:
             waiting: list[np.ndarray] = []
             size = place = number = block = 0
             full = coder.LANES * coder.BLOCK_IDS
-            for some in _groups(rows_of(batches, "doc_id", "text")):
+            for some in _groups(rows_of(batches, "doc_id", "text"), BATCH_TEXTS, BATCH_CHARS):
                 for (doc_id, _), ids in zip(some, encoder.encode([t for _, t in some]), strict=True):
                     yield shard, "document", number, doc_id, place, len(ids), None
                     number, place, size = number + 1, place + len(ids), size + len(ids)

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from glucoflow.llm.common import encode
 
@@ -23,6 +24,8 @@ SPECIAL = "<|endoftext|>"
 _MARK = SPECIAL.encode()
 #: pieces that a task keeps
 CACHED_PIECES = 600_000
+#: new pieces that the library gets in one text
+_JOINED = 256
 
 #: classes of a byte: white space but a space, a space, (part of) a letter, a digit, another sign, the end of a text
 _WHITE, _BLANK, _LETTER, _DIGIT, _OTHER, _END = range(6)
@@ -89,11 +92,23 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
         # piece 0 is the end of a text
-        self.known[b"\0"] = 0
+        self.known = pa.array([b"\0"], pa.binary())
         self.flat, self.first = np.array([END_ID], "<u4"), np.array([0, 1])
 
+    def keep(self, places: np.ndarray) -> None:
+        """Forget all pieces but these (ascending, piece 0 among them)."""
+        size = np.diff(self.first)[places]
+        self.flat, first = self._of(places), np.cumsum(size)
+        self.known, self.first = self.known.take(pa.array(places)), np.concatenate([[0], first])
+
+    def _of(self, places: np.ndarray) -> np.ndarray:
+        """The ids of these pieces, one after the other."""
+        first = self.first[places]
+        size = self.first[places + 1] - first
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(first - ends + size, size) + np.arange(ends[-1])]
+
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -101,28 +116,32 @@ class Encoder:
         """The ids alone: places and words cost the library as much again."""
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode new pieces: runs of letters joined in one text, the rest one by one."""
-        spaced = [p for p in pieces if p[0] == " " and len(p) > 1 and p[1:].isalpha()]
-        bare = [p for p in pieces if p.isalpha()]
-        rest = list(pieces.difference(spaced, bare))
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Encode new pieces: runs of letters joined in one text, the rest one by one. Their places."""
+        spaced, bare, rest = [], [], []
+        for k, p in enumerate(pieces):
+            (bare if p.isalpha() else spaced if p[0] == " " and len(p) > 1 and p[1:].isalpha() else rest).append(k)
         ids, sizes = [self.flat], []
-        for k in range(0, len(spaced), 4096):
-            got = self._ids("".join(spaced[k : k + 4096]))
+        for k in range(0, len(spaced), _JOINED):
+            got = self._ids("".join([pieces[j] for j in spaced[k : k + _JOINED]]))
             # the space of a piece is the first byte of its first id
             sizes.append(np.diff(np.flatnonzero(self.spaced[got]), append=len(got)))
             ids.append(got)
-        for k in range(0, len(bare), 4096):
-            got = self._ids("\n".join(bare[k : k + 4096]))
+        for k in range(0, len(bare), _JOINED):
+            got = self._ids("\n".join([pieces[j] for j in bare[k : k + _JOINED]]))
             line = got == self.line
             sizes.append(np.diff(np.flatnonzero(line), prepend=-1, append=len(got)) - 1)
             ids.append(got[~line])
-        for found in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False):
+        for found in self.tokenizer.encode_batch_fast([pieces[j] for j in rest], add_special_tokens=False):
             ids.append(np.array(found.ids, "<u4"))
             sizes.append(np.array([len(ids[-1])]))
-        self.known.update(zip((p.encode() for p in (*spaced, *bare, *rest)), range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        order = [*spaced, *bare, *rest]
+        places = np.empty(len(pieces), np.int64)
+        places[order] = np.arange(len(self.known), len(self.known) + len(pieces))
+        self.known = pa.concat_arrays([self.known, pa.array([pieces[j].encode() for j in order], pa.binary())])
         self.flat = np.concatenate(ids)
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
+        return places
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Per text its ids as little-endian unsigned 32-bit integers, the end id last; null is empty."""
@@ -139,17 +158,20 @@ class Encoder:
         place = piece_starts(np.frombuffer(raw, np.uint8))
         bounds = pa.py_buffer(np.append(place, len(raw)).astype(np.int32))
         parts = pa.Array.from_buffers(pa.binary(), len(place), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
-        pieces = parts.dictionary.to_pylist()
-        new = {p.decode() for p in pieces if p not in self.known}
+        where = self._places(parts.dictionary)
+        new = parts.dictionary.filter(pa.array(where < 0))
         if len(self.known) + len(new) > CACHED_PIECES:
-            self.forget()
-            new = {p.decode() for p in pieces if p not in self.known}
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[parts.indices.to_numpy()]
-        first, size = self.first[at], self.first[at + 1] - self.first[at]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(first - ends + size, size) + np.arange(ends[-1])]
+            self.keep(np.union1d(where[where >= 0], [0]))
+            where = self._places(parts.dictionary)
+        if len(new):
+            where[where < 0] = self._learn([p.decode() for p in new.to_pylist()])
+        at = where[parts.indices.to_numpy()]
+        ids = self._of(at)
+        ends = np.cumsum(self.first[at + 1] - self.first[at])
         cuts = ends[at == 0]
         for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
             yield ids[lo:hi]
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the pieces are among the known ones; -1 for a new one."""
+        return pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
