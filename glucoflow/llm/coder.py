@@ -14,7 +14,7 @@ its ids is kept with it.  Per id
   before it in the block; one that is new there is put in a list beside the code.
 
 Predictions are learned with every id; probabilities are brought up to date every
-REFRESH ids at most, and order 0 whenever the block has grown by about a third (TABLES).
+REFRESH ids at most, and order 0 whenever the block has grown to twice its size or less (TABLES).
 
 The arithmetic is a range coder with 48-bit registers that puts out one 16-bit word
 at most per id; carries are added when all words are there.  Blocks are the lanes of
@@ -39,7 +39,7 @@ MAGIC = b"IDB3"
 #: steps between two updates of the probabilities: at most; half of it in the first EARLY steps
 REFRESH, EARLY = 128, 512
 #: steps at which order 0 takes up the ids so far; the probabilities are updated there, too
-TABLES = (64, 128, 192, 256, 384, 512, 768, 1024, 1408, 1920, 2560)
+TABLES = (64, 128, 256, 512, 896, 1536, 2560)
 #: lanes whose ids are sorted together, so that they stay in a cache
 _SORTED = 64
 

@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public byte-level BPE file of the tokenizers library.
 
 The library encodes pieces independently, so texts of plain letters are cut into
-their pieces here, in one pass over their bytes; the distinct pieces of the texts are
-looked up, and only new ones go to the library, many in one call.  Any text with
+their pieces here, in one pass over their bytes; pieces of at most 16 bytes are looked
+up by those bytes, all at once, and only new ones go to the library, many in one call.  Any text with
 another character, or with a special token in it, is encoded by the library as a
 whole.  Ids are the same.
 """
@@ -24,6 +24,11 @@ SPECIAL = "<|endoftext|>"
 _MARK = SPECIAL.encode()
 #: pieces that a task keeps
 CACHED_PIECES = 600_000
+#: bits of the places where short pieces are looked up
+_SLOT_BITS = 20
+_MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: the bytes of a piece among the eight from its start on
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: new pieces that the library gets in one text
 _JOINED = 256
 
@@ -92,22 +97,12 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        # piece 0 is the end of a text
-        self.known = pa.array([b"\0"], pa.binary())
+        # piece 0 is the end of a text, all zeros, as is an empty slot
         self.flat, self.first = np.array([END_ID], "<u4"), np.array([0, 1])
-
-    def keep(self, places: np.ndarray) -> None:
-        """Forget all pieces but these (ascending, piece 0 among them)."""
-        size = np.diff(self.first)[places]
-        self.flat, first = self._of(places), np.cumsum(size)
-        self.known, self.first = self.known.take(pa.array(places)), np.concatenate([[0], first])
-
-    def _of(self, places: np.ndarray) -> np.ndarray:
-        """The ids of these pieces, one after the other."""
-        first = self.first[places]
-        size = self.first[places + 1] - first
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(first - ends + size, size) + np.arange(ends[-1])]
+        self.bytes1, self.bytes2 = (np.zeros(1 << _SLOT_BITS, np.uint64) for _ in range(2))
+        self.number = np.zeros(1 << _SLOT_BITS, np.int32)
+        # the pieces without a slot
+        self.others, self.other_numbers = pa.array([], pa.binary()), np.zeros(0, np.int64)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -116,11 +111,12 @@ class Encoder:
         """The ids alone: places and words cost the library as much again."""
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, pieces: list[str]) -> np.ndarray:
-        """Encode new pieces: runs of letters joined in one text, the rest one by one. Their places."""
-        spaced, bare, rest = [], [], []
-        for k, p in enumerate(pieces):
-            (bare if p.isalpha() else spaced if p[0] == " " and len(p) > 1 and p[1:].isalpha() else rest).append(k)
+    def _learn(self, pieces: list[str], raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Encode new pieces, in raw from start on: runs of letters joined in one text, the rest one by one. Their numbers."""
+        begin, letters = raw[start], _CLASS[raw[start + size - 1]] == _LETTER
+        spaced = np.flatnonzero(letters & (begin == 32)).tolist()
+        bare = np.flatnonzero(letters & (_CLASS[begin] == _LETTER)).tolist()
+        rest = np.flatnonzero(~letters | (_CLASS[begin] == _OTHER)).tolist()
         ids, sizes = [self.flat], []
         for k in range(0, len(spaced), _JOINED):
             got = self._ids("".join([pieces[j] for j in spaced[k : k + _JOINED]]))
@@ -135,13 +131,11 @@ class Encoder:
         for found in self.tokenizer.encode_batch_fast([pieces[j] for j in rest], add_special_tokens=False):
             ids.append(np.array(found.ids, "<u4"))
             sizes.append(np.array([len(ids[-1])]))
-        order = [*spaced, *bare, *rest]
-        places = np.empty(len(pieces), np.int64)
-        places[order] = np.arange(len(self.known), len(self.known) + len(pieces))
-        self.known = pa.concat_arrays([self.known, pa.array([pieces[j].encode() for j in order], pa.binary())])
+        numbers = np.empty(len(pieces), np.int64)
+        numbers[[*spaced, *bare, *rest]] = np.arange(len(self.first) - 1, len(self.first) - 1 + len(pieces))
         self.flat = np.concatenate(ids)
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
-        return places
+        return numbers
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Per text its ids as little-endian unsigned 32-bit integers, the end id last; null is empty."""
@@ -154,24 +148,54 @@ class Encoder:
         """The ids of each plain text, the end id last."""
         if not coded:
             return
-        raw = b"\0".join([*coded, b""])
-        place = piece_starts(np.frombuffer(raw, np.uint8))
-        bounds = pa.py_buffer(np.append(place, len(raw)).astype(np.int32))
-        parts = pa.Array.from_buffers(pa.binary(), len(place), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
-        where = self._places(parts.dictionary)
-        new = parts.dictionary.filter(pa.array(where < 0))
-        if len(self.known) + len(new) > CACHED_PIECES:
-            self.keep(np.union1d(where[where >= 0], [0]))
-            where = self._places(parts.dictionary)
-        if len(new):
-            where[where < 0] = self._learn([p.decode() for p in new.to_pylist()])
-        at = where[parts.indices.to_numpy()]
-        ids = self._of(at)
-        ends = np.cumsum(self.first[at + 1] - self.first[at])
+        data = b"\0".join([*coded, b""])
+        raw = np.frombuffer(data + bytes(16), np.uint8)
+        place = piece_starts(raw[: len(data)])
+        at = self._numbers(data, raw, place, np.diff(place, append=len(data)))
+        first = self.first[at]
+        size = self.first[at + 1] - first
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(first - ends + size, size) + np.arange(ends[-1])]
         cuts = ends[at == 0]
         for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
             yield ids[lo:hi]
 
-    def _places(self, pieces: pa.Array) -> np.ndarray:
-        """Where the pieces are among the known ones; -1 for a new one."""
-        return pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+    def _numbers(self, data: bytes, raw: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of every piece; new ones are learned. raw: data with 16 zeros more."""
+        eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        bytes1 = eight[place] & _BYTES[np.minimum(size, 8)]
+        bytes2 = eight[place + 8 * (size > 8)] & _BYTES[np.clip(size - 8, 0, 8)]
+        slot = ((bytes1 * _MIX1 + bytes2 * _MIX2) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
+        short = size <= 16
+        numbers = self.number[slot].astype(np.int64)
+        left = np.flatnonzero(~(short & (self.bytes1[slot] == bytes1) & (self.bytes2[slot] == bytes2)))
+        if not len(left):
+            return numbers
+        bounds = pa.py_buffer(np.append(place, len(data)).astype(np.int32))
+        parts = pa.Array.from_buffers(pa.binary(), len(place), [None, bounds, pa.py_buffer(data)]).take(pa.array(left)).dictionary_encode()
+        index = parts.indices.to_numpy()
+        found = np.full(len(parts.dictionary), -1)
+        if len(self.others):
+            among = pc.index_in(self.others, value_set=parts.dictionary)
+            found[among.drop_null().to_numpy()] = self.other_numbers[among.is_valid().to_numpy(zero_copy_only=False)]
+        new = np.flatnonzero(found < 0)
+        if len(self.first) > 2 and len(self.first) + len(new) > CACHED_PIECES:
+            self.forget()
+            return self._numbers(data, raw, place, size)
+        if len(new):
+            one = np.empty(len(found), np.int64)
+            one[index] = left
+            one = one[new]
+            pieces = parts.dictionary.take(pa.array(new))
+            found[new] = self._learn([p.decode() for p in pieces.to_pylist()], raw, place[one], size[one])
+            # a slot is for the first short piece that comes, and the one of no bytes for the end of a text
+            free, which = np.unique(slot[one], return_index=True)
+            fits = short[one[which]] & (self.number[free] == 0) & (free > 0)
+            free, which = free[fits], which[fits]
+            self.bytes1[free], self.bytes2[free], self.number[free] = bytes1[one[which]], bytes2[one[which]], found[new[which]]
+            other = np.ones(len(new), bool)
+            other[which] = False
+            self.others = pa.concat_arrays([self.others, pieces.filter(pa.array(other))])
+            self.other_numbers = np.concatenate([self.other_numbers, found[new[other]]])
+        numbers[left] = found[index]
+        return numbers

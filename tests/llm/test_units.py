@@ -117,17 +117,16 @@ def test_coder_keeps_pace():
     assert seconds(lambda: coder.decode_blocks(coder.encode_blocks(blocks))) < 60 * steps
 
 
-def test_encoder_keeps_what_it_needs(monkeypatch):
-    """With too many pieces, those of the texts at hand stay known."""
-    monkeypatch.setattr(tokens, "CACHED_PIECES", 8)
-    e = Encoder(tokenizer())
-    e.encode(["alpha beta gamma delta"])
-    learned = []
-    learn = e._learn
-    monkeypatch.setattr(e, "_learn", lambda pieces: learned.extend(pieces) or learn(pieces))
-    texts = ["alpha beta epsilon zeta eta theta", "alpha beta zeta"]
-    assert [x.tolist() for x in e.encode(texts)] == [[*e.whole(t), 2] for t in texts]
-    assert not {"alpha", " beta"} & set(learned)
+def test_encoder_of_pieces_without_a_slot(monkeypatch):
+    """Long pieces, and those whose slot is taken, are looked up beside the slots; each is learned once."""
+    monkeypatch.setattr(tokens, "_SLOT_BITS", 2)
+    e, learned, learn = Encoder(tokenizer()), [], Encoder._learn
+    monkeypatch.setattr(Encoder, "_learn", lambda self, pieces, *rest: learned.extend(pieces) or learn(self, pieces, *rest))
+    texts = ["alpha beta gamma delta", "a" * 8 + " " + "b" * 15 + " " + "b" * 16 + " " + "a" * 40, "12 é ééééééééé 'll we'll", "a" * 16, "a" * 17]
+    for _ in range(3):
+        for some in (texts, texts[::-1], texts[1:2]):
+            assert [x.tolist() for x in e.encode(some)] == [[*e.whole(t), 2] for t in some]
+    assert len(learned) == len(set(learned)) and len(e.others) > 4
 
 
 @given(st.lists(st.sampled_from(["the", "of", " ", "\n", "'s", "12", "é", "漢", "\t", "!!", "<|endoftext|>", "Don't", "ª", "²", "_", "\x85", " "]), max_size=12))
